@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle as O
+from .plans import features as FE
 from .plans import reports as R
 from .sources.star import load_star
 
@@ -61,13 +62,48 @@ def report_oracles() -> dict[str, str]:
     }
 
 
+def _orders(s, d):
+    return FE.load_valid_orders(_star(s, d).fact)
+
+
+def _orders_full(s, d):
+    st = _star(s, d)
+    return FE.load_full(st.fact, st.customers, st.products)
+
+
+def feature_queries() -> dict[str, Query]:
+    return {
+        "create_rfm": lambda s, d: FE.create_rfm(_orders(s, d)),
+        "rfm_features": lambda s, d: FE.build_rfm_features(_orders(s, d)),
+        "all_features": lambda s, d: FE.build_all_features(_orders(s, d), _orders_full(s, d)),
+        "product_diversity": lambda s, d: FE.product_diversity(_orders_full(s, d)),
+        "lag_features": lambda s, d: FE.lag_features(_orders(s, d)),
+        "channel_mode": lambda s, d: FE.channel_mode(_star(s, d).channels),
+        "item_features": lambda s, d: FE.item_features(_orders(s, d)),
+    }
+
+
+def feature_oracles() -> dict[str, str]:
+    return {
+        "create_rfm": O.create_rfm(),
+        "rfm_features": O.rfm_features(),
+        "all_features": O.all_features(),
+        "product_diversity": O.product_diversity(),
+        "lag_features": O.lag_features(),
+        "channel_mode": O.channel_mode(),
+        "item_features": O.item_features(),
+    }
+
+
 def queries() -> dict[str, Query]:
     q = {}
     q.update(report_queries())
+    q.update(feature_queries())
     return q
 
 
 def oracles() -> dict[str, str]:
     o = {}
     o.update(report_oracles())
+    o.update(feature_oracles())
     return o
