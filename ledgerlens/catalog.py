@@ -6,7 +6,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle as O
+from .plans import etl as ETL
 from .plans import features as FE
+from .plans import quality as QA
+from .sources.raw import raw_tables
 from .plans import reports as R
 from .sources.star import load_star
 
@@ -95,15 +98,74 @@ def feature_oracles() -> dict[str, str]:
     }
 
 
+def _raw(s, d):
+    return raw_tables(_star(s, d).tables)
+
+
+def _etl(s, d):
+    return ETL.run_transform(_raw(s, d))
+
+
+def etl_queries() -> dict[str, Query]:
+    return {
+        "clean_orders": lambda s, d: ETL.clean_orders(_raw(s, d)["orders"]),
+        "clean_order_items": lambda s, d: ETL.clean_order_items(_raw(s, d)["order_items"]),
+        "clean_users": lambda s, d: ETL.clean_users(_raw(s, d)["users"]),
+        "clean_products": lambda s, d: ETL.clean_products(_raw(s, d)["products"]),
+        "etl_dim_customers": lambda s, d: _etl(s, d)["dim_customers"],
+        "etl_dim_products": lambda s, d: _etl(s, d)["dim_products"],
+        "etl_dim_date": lambda s, d: _etl(s, d)["dim_date"],
+        "etl_fact_orders": lambda s, d: _etl(s, d)["fact_orders"],
+        "null_profile_raw": lambda s, d: __import__("functools").reduce(
+            lambda a, b: a.unionByName(b), [QA.null_profile(df, n) for n, df in _raw(s, d).items()]),
+        "validate_raw": lambda s, d: QA.validate_raw(_raw(s, d)),
+        "validate_star": lambda s, d: QA.validate_star(_etl(s, d)),
+        "anti_orphans": lambda s, d: QA.anti_orphans(_etl(s, d)["fact_orders"], _etl(s, d)["dim_customers"]),
+        "verify_counts": lambda s, d: QA.verify_counts(_etl(s, d)),
+    }
+
+
+def etl_oracles() -> dict[str, str]:
+    return {
+        "clean_orders": O.etl("clean_orders"),
+        "clean_order_items": O.etl("clean_items"),
+        "clean_users": O.etl("clean_users"),
+        "clean_products": O.etl("clean_products"),
+        "etl_dim_customers": O.etl("etl_dim_customers"),
+        "etl_dim_products": O.etl("etl_dim_products"),
+        "etl_dim_date": O.etl("etl_dim_date"),
+        "etl_fact_orders": O.etl("etl_fact"),
+        "null_profile_raw": O.null_profile_raw(),
+        "validate_raw": O.validate("raw"),
+        "validate_star": O.validate("star"),
+        "anti_orphans": O.anti_orphans(),
+        "verify_counts": O.verify_counts(),
+    }
+
+
+def _portable(df: DataFrame) -> DataFrame:
+    """Decimal result columns leave as DOUBLE (exact values, engine-neutral type)."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import DecimalType
+    return df.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, DecimalType)
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+def _wrap(fn: Query) -> Query:
+    return lambda s, d: _portable(fn(s, d))
+
+
 def queries() -> dict[str, Query]:
     q = {}
     q.update(report_queries())
     q.update(feature_queries())
-    return q
+    q.update(etl_queries())
+    return {k: _wrap(v) for k, v in q.items()}
 
 
 def oracles() -> dict[str, str]:
     o = {}
     o.update(report_oracles())
     o.update(feature_oracles())
+    o.update(etl_oracles())
     return o
