@@ -6,6 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle as O
+from .operators.overlap import overlap_top_k
+from .plans import analyst as A
 from .plans import etl as ETL
 from .plans import features as FE
 from .plans import quality as QA
@@ -155,11 +157,72 @@ def _wrap(fn: Query) -> Query:
     return lambda s, d: _portable(fn(s, d))
 
 
+YEAR = 1998
+AS_OF = FULL[1]
+
+
+def analyst_queries() -> dict[str, Query]:
+    st = _star
+    return {
+        "q_top5_customers_revenue": lambda s, d: A.top_customers_by_name(st(s, d).fact_slim, st(s, d).customers),
+        "q_monthly_revenue_year": lambda s, d: A.monthly_revenue_year(st(s, d).fact_slim, st(s, d).dates, YEAR),
+        "q_top_categories": lambda s, d: A.top_categories_items(st(s, d).fact, st(s, d).products),
+        "q_customers_by_country": lambda s, d: A.customers_by_country(st(s, d).customers),
+        "q_clv_top5": lambda s, d: A.top_customers_by_name(st(s, d).fact_slim, st(s, d).customers, value_name="clv"),
+        "q_revenue_year": lambda s, d: A.revenue_in_year(st(s, d).fact_slim, YEAR),
+        "q_orders_month": lambda s, d: A.orders_in_month(st(s, d).fact_slim, YEAR, 1),
+        "q_top5_categories_orders": lambda s, d: A.top_categories_orders(st(s, d).fact_slim, st(s, d).products),
+        "q_customers_count": lambda s, d: A.customers_count(st(s, d).customers),
+        "q_top5_spenders_by_id": lambda s, d: A.top_spenders_by_id(st(s, d).fact_slim, st(s, d).customers),
+        "q_monthly_perf": lambda s, d: A.monthly_performance(st(s, d).fact_slim, YEAR),
+        "q_brand_avg_price": lambda s, d: A.brand_avg_price(st(s, d).fact_slim, st(s, d).products),
+        "q_aov_month": lambda s, d: A.aov_by_month(st(s, d).fact_slim, f"{YEAR}-01-01", f"{YEAR}-06-30"),
+        "q_segment_compare": lambda s, d: A.segment_compare(st(s, d).fact_slim, AS_OF),
+        "q_repeat_rate": lambda s, d: A.repeat_rate(st(s, d).fact_slim),
+        "q_category_share": lambda s, d: A.category_share(st(s, d).fact_slim, st(s, d).products),
+        "q_inter_purchase": lambda s, d: A.inter_purchase_days(st(s, d).fact_slim, AS_OF),
+        "fewshot_overlap_topk": lambda s, d: overlap_top_k(st(s, d).tables.benchmark, st(s, d).tables.documents,
+                                                           "item_id", "text", "doc_id", "text", k=2),
+        "audit_recompute": lambda s, d: A.audit_recompute(st(s, d).fact_slim, st(s, d).products, *FULL),
+        "audit_pareto_headcount": lambda s, d: A.audit_pareto_headcount(st(s, d).fact_slim, *FULL),
+        "forecast_revenue": lambda s, d: A.forecast_revenue(st(s, d).fact_slim, 14),
+        "anomaly_revenue": lambda s, d: A.anomaly_revenue(st(s, d).fact_slim),
+    }
+
+
+def analyst_oracles() -> dict[str, str]:
+    return {
+        "q_top5_customers_revenue": O.top_customers_by_name(),
+        "q_monthly_revenue_year": O.monthly_revenue_year(YEAR),
+        "q_top_categories": O.top_categories_items(),
+        "q_customers_by_country": O.customers_by_country(),
+        "q_clv_top5": O.top_customers_by_name(value_name="clv"),
+        "q_revenue_year": O.revenue_in_year(YEAR),
+        "q_orders_month": O.orders_in_month(YEAR, 1),
+        "q_top5_categories_orders": O.top_categories_orders(),
+        "q_customers_count": O.customers_count(),
+        "q_top5_spenders_by_id": O.top_spenders_by_id(),
+        "q_monthly_perf": O.monthly_performance(YEAR),
+        "q_brand_avg_price": O.brand_avg_price(),
+        "q_aov_month": O.aov_by_month(f"{YEAR}-01-01", f"{YEAR}-06-30"),
+        "q_segment_compare": O.segment_compare(AS_OF),
+        "q_repeat_rate": O.repeat_rate(),
+        "q_category_share": O.category_share(),
+        "q_inter_purchase": O.inter_purchase_days(AS_OF),
+        "fewshot_overlap_topk": O.overlap_top_k(),
+        "audit_recompute": O.audit_recompute(*FULL),
+        "audit_pareto_headcount": O.audit_pareto_headcount(*FULL),
+        "forecast_revenue": O.daily_forecast(14),
+        "anomaly_revenue": O.anomaly_revenue(),
+    }
+
+
 def queries() -> dict[str, Query]:
     q = {}
     q.update(report_queries())
     q.update(feature_queries())
     q.update(etl_queries())
+    q.update(analyst_queries())
     return {k: _wrap(v) for k, v in q.items()}
 
 
@@ -168,4 +231,5 @@ def oracles() -> dict[str, str]:
     o.update(report_oracles())
     o.update(feature_oracles())
     o.update(etl_oracles())
+    o.update(analyst_oracles())
     return o
