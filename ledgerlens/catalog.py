@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracle as O
 from .operators.overlap import overlap_top_k
 from .plans import analyst as A
+from .plans import drift as DR
 from .plans import etl as ETL
+from .plans import scoring as SC
 from .plans import features as FE
 from .plans import quality as QA
 from .sources.raw import raw_tables
@@ -217,12 +219,62 @@ def analyst_oracles() -> dict[str, str]:
     }
 
 
+HISTORY_CUT = "1999-12-31"
+
+
+def _orders_until(s, d, until):
+    from pyspark.sql import functions as F
+    return _orders(s, d).filter(F.col("order_date") <= F.lit(until).cast("date"))
+
+
+def _features(s, d, until=None):
+    from pyspark.sql import functions as F
+    st = _star(s, d)
+    full = _orders_full(s, d)
+    if until:
+        full = full.filter(F.col("order_date") <= F.lit(until).cast("date"))
+    return FE.build_all_features(_orders(s, d) if until is None else _orders_until(s, d, until), full)
+
+
+def _scenario(df):
+    from pyspark.sql import functions as F
+    return df.withColumn("recency", F.col("recency") * 10).withColumn("monetary", F.col("monetary") / 100)
+
+
+def monitoring_queries() -> dict[str, Query]:
+    return {
+        "feature_stats": lambda s, d: DR.feature_stats(_features(s, d)),
+        "baseline_stats_api": lambda s, d: DR.baseline_stats_api(_features(s, d)),
+        "drift_check_scenario": lambda s, d: DR.drift_check(DR.feature_stats(_features(s, d)),
+                                                            DR.feature_stats(_scenario(_features(s, d)))),
+        "drift_check_history": lambda s, d: DR.drift_check(DR.feature_stats(_features(s, d)),
+                                                           DR.feature_stats(_features(s, d, HISTORY_CUT))),
+        "churn_heuristic": lambda s, d: SC.churn_heuristic(FE.create_rfm(_orders(s, d))),
+        "churn_pseudo_features": lambda s, d: SC.churn_pseudo_features(FE.create_rfm(_orders(s, d))),
+        "segment_score_batch": lambda s, d: SC.segment_score_batch(FE.create_rfm(_orders_until(s, d, HISTORY_CUT)),
+                                                                   FE.create_rfm(_orders(s, d))),
+    }
+
+
+def monitoring_oracles() -> dict[str, str]:
+    return {
+        "feature_stats": O.feature_stats(),
+        "baseline_stats_api": O.baseline_stats_api(),
+        "drift_check_scenario": O.drift_check(scenario=True),
+        "drift_check_history": O.drift_check(current_until=HISTORY_CUT),
+        "churn_heuristic": O.churn_heuristic(),
+        "churn_pseudo_features": O.churn_pseudo_features(),
+        "segment_score_batch": O.segment_score_batch(HISTORY_CUT),
+    }
+
+
 def queries() -> dict[str, Query]:
     q = {}
     q.update(report_queries())
     q.update(feature_queries())
     q.update(etl_queries())
     q.update(analyst_queries())
+    q.update(monitoring_queries())
     return {k: _wrap(v) for k, v in q.items()}
 
 
@@ -232,4 +284,5 @@ def oracles() -> dict[str, str]:
     o.update(feature_oracles())
     o.update(etl_oracles())
     o.update(analyst_oracles())
+    o.update(monitoring_oracles())
     return o
