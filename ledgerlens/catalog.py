@@ -268,6 +268,100 @@ def monitoring_oracles() -> dict[str, str]:
     }
 
 
+def _clv(s, d):
+    from .models import clv
+    return clv.fit_and_predict(_orders(s, d), months=1)
+
+
+def _kmeans(s, d):
+    from .models import segmentation
+    return segmentation.run_kmeans(FE.build_all_features(_orders(s, d), _orders_full(s, d)))[0]
+
+
+def _at_risk_top_clv(s, d):
+    from pyspark.sql import functions as F
+    seg = _segments(s, d).filter(F.col("segment_key") == "At Risk")
+    return (_clv(s, d).join(seg, "customer_id", "left_semi").orderBy(F.col("clv_pred").desc(), "customer_id")
+            .limit(10).select("customer_id", "clv_pred", "predicted_purchases", "predicted_aov"))
+
+
+def _segments(s, d):
+    from .plans.segments import segment_customers
+    return segment_customers(_star(s, d).fact_slim, AS_OF)
+
+
+def _champion_gg_gap(s, d):
+    from pyspark.sql import functions as F
+    champ = _segments(s, d).filter(F.col("segment_key") == "Champion")
+    c = _clv(s, d).join(champ, "customer_id", "left_semi").filter(F.col("frequency") > 0)
+    return c.agg(F.count(F.lit(1)).alias("customers"), F.avg("monetary_value").alias("actual_aov"),
+                 F.avg("predicted_aov").alias("gamma_gamma_aov"))
+
+
+def _low_p_active_category(s, d, category="PROMO"):
+    from pyspark.sql import functions as F
+    st = _star(s, d)
+    buyers = (FE.load_valid_orders(st.fact_slim).join(st.products.filter(F.col("category") == category)
+                                                      .select("product_id"), "product_id", "left_semi")
+              .select("customer_id").distinct())
+    return (_clv(s, d).filter(F.col("p_alive") < 0.2).join(buyers, "customer_id", "left_semi")
+            .select("customer_id", "p_alive", "frequency", "recency", "T"))
+
+
+def _churn(s, d, kinds=("lr", "gbt")):
+    from .models import churn
+    feats = FE.build_all_features(_orders(s, d), _orders_full(s, d))
+    return churn.train_churn_model(feats, kinds=kinds)
+
+
+def _gbt_importance(s, d):
+    from pyspark.sql import functions as F
+    from .models import churn
+    feats = FE.build_all_features(_orders(s, d), _orders_full(s, d))
+    data = churn.class_weights(churn.prepare(feats)).filter(~F.col("is_test"))
+    model = churn._pipeline("gbt", [f for f in churn.CHURN_FEATURES if f in feats.columns]).fit(data)
+    return churn.feature_importance(model)
+
+
+def _churn_scores(s, d):
+    from .models import churn
+    feats = FE.build_all_features(_orders(s, d), _orders_full(s, d))
+    model, _, _ = churn.train_churn_model(feats, kinds=("lr",))
+    return churn.predict_churn_risk(model, feats)
+
+
+def _als_recs(s, d):
+    from .models import recommend as REC
+    st = _star(s, d)
+    m = REC.interaction_matrix(FE.load_valid_orders(st.fact_slim)).persist()
+    model = REC.train_als(m)
+    return REC.enrich(REC.recommend(model, m, n=5), st.products)
+
+
+def model_queries() -> dict[str, Query]:
+    from .models import clv
+    from .models import recommend as REC
+    from .models import segmentation
+    return {
+        "clv_summary": lambda s, d: clv.clv_summary(_orders(s, d)),
+        "clv_predict": _clv,
+        "q_at_risk_top_clv": _at_risk_top_clv,
+        "q_champion_gg_gap": _champion_gg_gap,
+        "q_low_p_active_category": _low_p_active_category,
+        "kmeans_segments": _kmeans,
+        "silhouette_k_sweep": lambda s, d: segmentation.silhouette_k_sweep(FE.create_rfm(_orders(s, d))),
+        "churn_train_lr_metrics": lambda s, d: _churn(s, d, kinds=("lr",))[1],
+        "churn_gbt_importance": _gbt_importance,
+        "churn_score": _churn_scores,
+        "als_matrix": lambda s, d: REC.interaction_matrix(FE.load_valid_orders(_star(s, d).fact_slim)),
+        "als_recommend": _als_recs,
+    }
+
+
+def model_oracles() -> dict[str, str]:
+    return {"clv_summary": O.clv_summary(), "als_matrix": O.als_matrix()}
+
+
 def queries() -> dict[str, Query]:
     q = {}
     q.update(report_queries())
@@ -275,6 +369,7 @@ def queries() -> dict[str, Query]:
     q.update(etl_queries())
     q.update(analyst_queries())
     q.update(monitoring_queries())
+    q.update(model_queries())
     return {k: _wrap(v) for k, v in q.items()}
 
 
@@ -285,4 +380,5 @@ def oracles() -> dict[str, str]:
     o.update(etl_oracles())
     o.update(analyst_oracles())
     o.update(monitoring_oracles())
+    o.update(model_oracles())
     return o
