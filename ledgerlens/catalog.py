@@ -362,6 +362,53 @@ def model_oracles() -> dict[str, str]:
     return {"clv_summary": O.clv_summary(), "als_matrix": O.als_matrix()}
 
 
+def _incremental(s, d):
+    from pyspark.sql import functions as F
+    from .sources.sinks import incremental_new_rows
+    fact = _star(s, d).fact_slim
+    return incremental_new_rows(fact.filter(F.col("order_date") <= F.lit(HISTORY_CUT).cast("date")), fact)
+
+
+def _stream_fact(s, d):
+    from pyspark.sql import functions as F
+    from .streaming.incremental import scratch_dir, stream_incremental_fact
+    fact = _star(s, d).fact_slim
+    base = scratch_dir(s, "stream-fact")
+    src, sink, ck = base + "/source", base + "/sink", base + "/checkpoint"
+    fact.filter(F.col("order_date") <= F.lit(HISTORY_CUT).cast("date")).write.mode("append").parquet(src)
+    stream_incremental_fact(s, src, sink, ck, fact.schema, files_per_batch=None)
+    fact.write.mode("append").parquet(src)           # a later full re-extract
+    stream_incremental_fact(s, src, sink, ck, fact.schema, files_per_batch=None)
+    return s.read.parquet(sink).drop("batch_id")
+
+
+def _stream_drift(s, d):
+    from pyspark.sql import functions as F
+    from .streaming.incremental import scratch_dir, stream_drift
+    base = scratch_dir(s, "stream-drift")
+    src, log, ck = base + "/snapshots", base + "/log", base + "/checkpoint"
+    full = _features(s, d)
+    baseline = DR.feature_stats(full)
+    first = _features(s, d, HISTORY_CUT).withColumn("snapshot_id", F.lit(1))
+    first.write.mode("append").parquet(src)
+    stream_drift(s, src, baseline, log, ck, first.schema)
+    second = _scenario(full).withColumn("snapshot_id", F.lit(2)).select(*first.columns)
+    second.write.mode("append").parquet(src)
+    stream_drift(s, src, baseline, log, ck, first.schema)
+    return s.read.parquet(log).drop("batch_id")
+
+
+def stream_queries() -> dict[str, Query]:
+    return {"incremental_new_rows": _incremental, "stream_incremental_fact": _stream_fact,
+            "stream_drift": _stream_drift}
+
+
+def stream_oracles() -> dict[str, str]:
+    return {"incremental_new_rows": O.incremental_new_rows(HISTORY_CUT),
+            "stream_incremental_fact": O.stream_incremental_fact(HISTORY_CUT),
+            "stream_drift": O.stream_drift(HISTORY_CUT)}
+
+
 def queries() -> dict[str, Query]:
     q = {}
     q.update(report_queries())
@@ -370,6 +417,7 @@ def queries() -> dict[str, Query]:
     q.update(analyst_queries())
     q.update(monitoring_queries())
     q.update(model_queries())
+    q.update(stream_queries())
     return {k: _wrap(v) for k, v in q.items()}
 
 
@@ -381,4 +429,5 @@ def oracles() -> dict[str, str]:
     o.update(analyst_oracles())
     o.update(monitoring_oracles())
     o.update(model_oracles())
+    o.update(stream_oracles())
     return o
