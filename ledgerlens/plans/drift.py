@@ -114,7 +114,7 @@ class DriftMonitor:
             return False
 
     def set_baseline(self, features: DataFrame) -> DataFrame:
-        stats = feature_stats(features).withColumn("set_at", F.lit(_dt.datetime.utcnow().isoformat()))
+        stats = feature_stats(features).withColumn("set_at", F.lit(_dt.datetime.now(_dt.timezone.utc).isoformat()))
         stats.write.mode("overwrite").parquet(self.baseline_path)
         return self.spark.read.parquet(self.baseline_path)
 
@@ -126,7 +126,7 @@ class DriftMonitor:
             return self.spark.createDataFrame([], "feature string, baseline_mean double, current_mean double, "
                                                   "z_score double, drifted boolean")
         report = drift_check(self.spark.read.parquet(self.baseline_path), feature_stats(features), self.threshold)
-        checked_at = _dt.datetime.utcnow().isoformat()
+        checked_at = _dt.datetime.now(_dt.timezone.utc).isoformat()
         report.withColumn("checked_at", F.lit(checked_at)).write.mode("append").parquet(self.log_path)
         return report
 

@@ -93,7 +93,7 @@ def versioned_output(df: DataFrame, base_path: str, name: str = "features", meta
         n += 1
     out = os.path.join(base_path, f"{name}_v{n}")
     df.write.mode("overwrite").parquet(out)
-    meta = {"version": f"v{n}", "created_at": _dt.datetime.utcnow().isoformat(), "columns": df.columns}
+    meta = {"version": f"v{n}", "created_at": _dt.datetime.now(_dt.timezone.utc).isoformat(), "columns": df.columns}
     meta.update(metadata or {})
     spark.createDataFrame([(json.dumps(meta),)], "metadata string").write.mode("overwrite").parquet(out + "_meta")
     return out
