@@ -2,8 +2,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracle as O
 from .operators.overlap import overlap_top_k
@@ -11,6 +13,7 @@ from .plans import analyst as A
 from .plans import drift as DR
 from .plans import etl as ETL
 from .plans import scoring as SC
+from .plans import segments as SG
 from .plans import features as FE
 from .plans import quality as QA
 from .sources.raw import raw_tables
@@ -120,8 +123,8 @@ def etl_queries() -> dict[str, Query]:
         "etl_dim_products": lambda s, d: _etl(s, d)["dim_products"],
         "etl_dim_date": lambda s, d: _etl(s, d)["dim_date"],
         "etl_fact_orders": lambda s, d: _etl(s, d)["fact_orders"],
-        "null_profile_raw": lambda s, d: __import__("functools").reduce(
-            lambda a, b: a.unionByName(b), [QA.null_profile(df, n) for n, df in _raw(s, d).items()]),
+        "null_profile_raw": lambda s, d: reduce(
+            DataFrame.unionByName, [QA.null_profile(df, n) for n, df in _raw(s, d).items()]),
         "validate_raw": lambda s, d: QA.validate_raw(_raw(s, d)),
         "validate_star": lambda s, d: QA.validate_star(_etl(s, d)),
         "anti_orphans": lambda s, d: QA.anti_orphans(_etl(s, d)["fact_orders"], _etl(s, d)["dim_customers"]),
@@ -149,7 +152,6 @@ def etl_oracles() -> dict[str, str]:
 
 def _portable(df: DataFrame) -> DataFrame:
     """Decimal result columns leave as DOUBLE (exact values, engine-neutral type)."""
-    from pyspark.sql import functions as F
     from pyspark.sql.types import DecimalType
     return df.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, DecimalType)
                        else F.col(f.name) for f in df.schema.fields])
@@ -223,12 +225,10 @@ HISTORY_CUT = "1999-12-31"
 
 
 def _orders_until(s, d, until):
-    from pyspark.sql import functions as F
     return _orders(s, d).filter(F.col("order_date") <= F.lit(until).cast("date"))
 
 
 def _features(s, d, until=None):
-    from pyspark.sql import functions as F
     st = _star(s, d)
     full = _orders_full(s, d)
     if until:
@@ -237,7 +237,6 @@ def _features(s, d, until=None):
 
 
 def _scenario(df):
-    from pyspark.sql import functions as F
     return df.withColumn("recency", F.col("recency") * 10).withColumn("monetary", F.col("monetary") / 100)
 
 
@@ -279,19 +278,16 @@ def _kmeans(s, d):
 
 
 def _at_risk_top_clv(s, d):
-    from pyspark.sql import functions as F
     seg = _segments(s, d).filter(F.col("segment_key") == "At Risk")
     return (_clv(s, d).join(seg, "customer_id", "left_semi").orderBy(F.col("clv_pred").desc(), "customer_id")
             .limit(10).select("customer_id", "clv_pred", "predicted_purchases", "predicted_aov"))
 
 
 def _segments(s, d):
-    from .plans.segments import segment_customers
-    return segment_customers(_star(s, d).fact_slim, AS_OF)
+    return SG.segment_customers(_star(s, d).fact_slim, AS_OF)
 
 
 def _champion_gg_gap(s, d):
-    from pyspark.sql import functions as F
     champ = _segments(s, d).filter(F.col("segment_key") == "Champion")
     c = _clv(s, d).join(champ, "customer_id", "left_semi").filter(F.col("frequency") > 0)
     return c.agg(F.count(F.lit(1)).alias("customers"), F.avg("monetary_value").alias("actual_aov"),
@@ -299,7 +295,6 @@ def _champion_gg_gap(s, d):
 
 
 def _low_p_active_category(s, d, category="PROMO"):
-    from pyspark.sql import functions as F
     st = _star(s, d)
     buyers = (FE.load_valid_orders(st.fact_slim).join(st.products.filter(F.col("category") == category)
                                                       .select("product_id"), "product_id", "left_semi")
@@ -315,7 +310,6 @@ def _churn(s, d, kinds=("lr", "gbt")):
 
 
 def _gbt_importance(s, d):
-    from pyspark.sql import functions as F
     from .models import churn
     feats = FE.build_all_features(_orders(s, d), _orders_full(s, d))
     data = churn.class_weights(churn.prepare(feats)).filter(~F.col("is_test"))
@@ -338,6 +332,16 @@ def _als_recs(s, d):
     return REC.enrich(REC.recommend(model, m, n=5), st.products)
 
 
+def _churn_blend(s, d):
+    """Model probability of the fitted classifier blended with the heuristic,
+    on the pseudo-features derived from R, F, M."""
+    from .models import churn
+    model, _, _ = churn.train_churn_model(_features(s, d), kinds=("lr",))
+    pseudo = SC.churn_pseudo_features(FE.create_rfm(_orders(s, d))).withColumn("churn", F.lit(0))
+    probs = churn.predict_churn_risk(model, pseudo).withColumnRenamed("churn_probability", "model_probability")
+    return SC.churn_blend(pseudo.join(probs.select("customer_id", "model_probability"), "customer_id"))
+
+
 def model_queries() -> dict[str, Query]:
     from .models import clv
     from .models import recommend as REC
@@ -353,6 +357,7 @@ def model_queries() -> dict[str, Query]:
         "churn_train_lr_metrics": lambda s, d: _churn(s, d, kinds=("lr",))[1],
         "churn_gbt_importance": _gbt_importance,
         "churn_score": _churn_scores,
+        "churn_blend": _churn_blend,
         "als_matrix": lambda s, d: REC.interaction_matrix(FE.load_valid_orders(_star(s, d).fact_slim)),
         "als_recommend": _als_recs,
     }
@@ -363,14 +368,12 @@ def model_oracles() -> dict[str, str]:
 
 
 def _incremental(s, d):
-    from pyspark.sql import functions as F
     from .sources.sinks import incremental_new_rows
     fact = _star(s, d).fact_slim
     return incremental_new_rows(fact.filter(F.col("order_date") <= F.lit(HISTORY_CUT).cast("date")), fact)
 
 
 def _stream_fact(s, d):
-    from pyspark.sql import functions as F
     from .streaming.incremental import scratch_dir, stream_incremental_fact
     fact = _star(s, d).fact_slim
     base = scratch_dir(s, "stream-fact")
@@ -383,7 +386,6 @@ def _stream_fact(s, d):
 
 
 def _stream_drift(s, d):
-    from pyspark.sql import functions as F
     from .streaming.incremental import scratch_dir, stream_drift
     base = scratch_dir(s, "stream-drift")
     src, log, ck = base + "/snapshots", base + "/log", base + "/checkpoint"
@@ -409,6 +411,44 @@ def stream_oracles() -> dict[str, str]:
             "stream_drift": O.stream_drift(HISTORY_CUT)}
 
 
+def _rfm_bins(s, d):
+    return R.rfm_distribution(_star(s, d).fact_slim, *FULL)
+
+
+def rollup_queries() -> dict[str, Query]:
+    from .models import clv
+    st = _star
+    return {
+        "top_customers": lambda s, d: R.top_customers(_features(s, d), 10),
+        "segment_statistics": lambda s, d: R.segment_statistics(
+            SG.score_rfm(SG.customer_rfm(st(s, d).fact_slim, None, AS_OF))),
+        "revenue_at_risk": lambda s, d: R.revenue_at_risk(
+            SC.churn_heuristic(FE.create_rfm(_orders(s, d))).join(FE.create_rfm(_orders(s, d)), "customer_id")),
+        "at_risk_totals": lambda s, d: R.at_risk_totals(_rfm_bins(s, d)),
+        "brand_rollup": lambda s, d: R.brand_rollup(R.top_products(st(s, d).fact_slim, st(s, d).products, *FULL, 25)),
+        "category_bars": lambda s, d: R.category_bars(R.categories(st(s, d).fact_slim, st(s, d).products, *FULL)),
+        "pareto_curve": lambda s, d: R.pareto_curve(_rfm_bins(s, d)),
+        "revenue_by_month_top5": lambda s, d: R.revenue_by_month_top5(st(s, d).fact, st(s, d).dates),
+        "bestseller_top5": lambda s, d: R.bestseller_top5(st(s, d).fact, st(s, d).products),
+        "gg_training_set": lambda s, d: clv.gg_training_set(clv.clv_summary(_orders(s, d))),
+    }
+
+
+def rollup_oracles() -> dict[str, str]:
+    return {
+        "top_customers": O.top_customers(10),
+        "segment_statistics": O.segment_statistics(AS_OF),
+        "revenue_at_risk": O.revenue_at_risk(),
+        "at_risk_totals": O.at_risk_totals(*FULL),
+        "brand_rollup": O.brand_rollup(*FULL),
+        "category_bars": O.category_bars(*FULL),
+        "pareto_curve": O.pareto_curve(*FULL),
+        "revenue_by_month_top5": O.revenue_by_month_top5(),
+        "bestseller_top5": O.bestseller_top5(),
+        "gg_training_set": O.gg_training_set(),
+    }
+
+
 def queries() -> dict[str, Query]:
     q = {}
     q.update(report_queries())
@@ -418,6 +458,7 @@ def queries() -> dict[str, Query]:
     q.update(monitoring_queries())
     q.update(model_queries())
     q.update(stream_queries())
+    q.update(rollup_queries())
     return {k: _wrap(v) for k, v in q.items()}
 
 
@@ -430,4 +471,5 @@ def oracles() -> dict[str, str]:
     o.update(monitoring_oracles())
     o.update(model_oracles())
     o.update(stream_oracles())
+    o.update(rollup_oracles())
     return o

@@ -228,3 +228,52 @@ def category_bars(cats: DataFrame, limit: int = 20) -> DataFrame:
     return (cats.filter(F.col("revenue") > 0)
             .orderBy(F.col("revenue").desc(), F.col("category")).limit(limit)
             .select("category", "revenue", "orders"))
+
+
+def top_customers(rfm: DataFrame, limit: int = 10) -> DataFrame:
+    """Top N (1..100) customers of the RFM table by monetary value."""
+    limit = max(1, min(100, int(limit)))
+    cols = [c for c in ["customer_id", "recency", "frequency", "monetary", "segment"] if c in rfm.columns]
+    return rfm.select(*cols).orderBy(F.col("monetary").desc(), F.col("customer_id")).limit(limit)
+
+
+def segment_statistics(scored: DataFrame, segment_col: str = "segment_key") -> DataFrame:
+    """Per segment: customers and their share, mean recency / frequency /
+    monetary, revenue and its share (shares in percent, 2 dp)."""
+    per = scored.groupBy(segment_col).agg(
+        F.count(F.lit(1)).alias("customers"), F.sum("recency").alias("_r"), F.sum("frequency").alias("_f"),
+        F.sum(F.col("monetary").cast("decimal(38,2)")).alias("_m"))
+    tot = per.agg(F.sum("customers").alias("_tc"), F.sum("_m").alias("_tm"))
+    j = attach_scalars(per, tot)
+    return j.select(segment_col, "customers",
+                    ratio_round(F.col("customers") * 100, F.col("_tc"), 2).alias("customers_pct"),
+                    ratio_round(F.col("_r"), F.col("customers"), 2).alias("avg_recency"),
+                    ratio_round(F.col("_f"), F.col("customers"), 2).alias("avg_frequency"),
+                    ratio_round(F.col("_m"), F.col("customers"), 2).alias("avg_monetary"),
+                    money(F.col("_m")).alias("revenue"),
+                    ratio_round(F.col("_m") * 100, F.col("_tm"), 2).alias("revenue_pct"))
+
+
+def revenue_at_risk(scored: DataFrame, risk_col: str = "risk_level") -> DataFrame:
+    """Customers and revenue per risk level, with shares of the totals."""
+    return segment_statistics(scored.withColumn("recency", F.col("recency").cast("double")), risk_col) \
+        .select(risk_col, "customers", "customers_pct", "revenue", "revenue_pct")
+
+
+def revenue_by_month_top5(fact: DataFrame, dates: DataFrame, limit: int = 5) -> DataFrame:
+    """Load check: items and revenue per calendar month (all statuses), top 5."""
+    per_day = fact.groupBy("date_id").agg(F.count("order_item_id").alias("_n"), F.sum("sale_price").alias("_v"))
+    j = per_day.join(F.broadcast(dates.select("date_id", "year", "month", "month_name")), "date_id")
+    return (j.groupBy("year", "month", "month_name").agg(F.sum("_n").alias("total_transactions"),
+                                                         F.sum("_v").alias("_v"))
+            .orderBy(F.col("_v").desc(), "year", "month").limit(limit)
+            .select("year", "month_name", "total_transactions", money(F.col("_v")).alias("total_revenue")))
+
+
+def bestseller_top5(fact: DataFrame, products: DataFrame, limit: int = 5) -> DataFrame:
+    """Load check: items sold per (product name, category), all statuses, top 5."""
+    per_p = fact.groupBy("product_id").agg(F.count("order_item_id").alias("_n"), F.sum("sale_price").alias("_v"))
+    j = per_p.join(products.select("product_id", "name", "category"), "product_id")
+    return (j.groupBy("name", "category").agg(F.sum("_n").alias("units_sold"), F.sum("_v").alias("_v"))
+            .orderBy(F.col("units_sold").desc(), "name", "category").limit(limit)
+            .select(F.col("name").alias("product"), "category", "units_sold", money(F.col("_v")).alias("total_revenue")))
