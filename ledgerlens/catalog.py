@@ -73,12 +73,12 @@ def report_oracles() -> dict[str, str]:
 
 
 def _orders(s, d):
-    return FE.load_valid_orders(_star(s, d).fact)
+    return FE.load_valid_orders(_star(s, d).fact_slim)
 
 
 def _orders_full(s, d):
     st = _star(s, d)
-    return FE.load_full(st.fact, st.customers, st.products)
+    return FE.load_full(st.fact_slim, st.customers, st.products)
 
 
 def feature_queries() -> dict[str, Query]:
@@ -170,7 +170,7 @@ def analyst_queries() -> dict[str, Query]:
     return {
         "q_top5_customers_revenue": lambda s, d: A.top_customers_by_name(st(s, d).fact_slim, st(s, d).customers),
         "q_monthly_revenue_year": lambda s, d: A.monthly_revenue_year(st(s, d).fact_slim, st(s, d).dates, YEAR),
-        "q_top_categories": lambda s, d: A.top_categories_items(st(s, d).fact, st(s, d).products),
+        "q_top_categories": lambda s, d: A.top_categories_items(st(s, d).fact_slim, st(s, d).products),
         "q_customers_by_country": lambda s, d: A.customers_by_country(st(s, d).customers),
         "q_clv_top5": lambda s, d: A.top_customers_by_name(st(s, d).fact_slim, st(s, d).customers, value_name="clv"),
         "q_revenue_year": lambda s, d: A.revenue_in_year(st(s, d).fact_slim, YEAR),
@@ -428,8 +428,8 @@ def rollup_queries() -> dict[str, Query]:
         "brand_rollup": lambda s, d: R.brand_rollup(R.top_products(st(s, d).fact_slim, st(s, d).products, *FULL, 25)),
         "category_bars": lambda s, d: R.category_bars(R.categories(st(s, d).fact_slim, st(s, d).products, *FULL)),
         "pareto_curve": lambda s, d: R.pareto_curve(_rfm_bins(s, d)),
-        "revenue_by_month_top5": lambda s, d: R.revenue_by_month_top5(st(s, d).fact, st(s, d).dates),
-        "bestseller_top5": lambda s, d: R.bestseller_top5(st(s, d).fact, st(s, d).products),
+        "revenue_by_month_top5": lambda s, d: R.revenue_by_month_top5(st(s, d).fact_slim, st(s, d).dates),
+        "bestseller_top5": lambda s, d: R.bestseller_top5(st(s, d).fact_slim, st(s, d).products),
         "gg_training_set": lambda s, d: clv.gg_training_set(clv.clv_summary(_orders(s, d))),
     }
 

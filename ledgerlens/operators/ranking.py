@@ -26,16 +26,18 @@ from ..session import ensure_checkpoint_dir, shuffle_partitions
 _PID, _IDX, _OFF, _TOTAL = "_gr_pid", "_gr_idx", "_gr_off", "_gr_total"
 
 
-def global_row_number(df: DataFrame, order_by: list[Column], rn_col: str = "rn",
+def global_row_number(df: DataFrame, order_by: list[Column] | None, rn_col: str = "rn",
                       total_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """Append a 1-based global row number in ``order_by`` order (and optionally
-    the total row count)."""
+    the total row count). With ``order_by=None`` the rows are numbered in their
+    current partition order without any shuffle (dense ids fixed by the
+    checkpoint, e.g. surrogate keys of a table written once)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or shuffle_partitions(spark)
     pid = F.spark_partition_id()
-    tagged = (df.repartitionByRange(n, *order_by)
-              .sortWithinPartitions(*order_by)
+    ordered = df if order_by is None else df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
+    tagged = (ordered
               .withColumn(_PID, pid)
               .withColumn(_IDX, F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33))
               .checkpoint(eager=True))

@@ -30,8 +30,9 @@ def load_valid_orders(fact: DataFrame) -> DataFrame:
 def load_full(fact: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
     """``load_full``: valid items LEFT JOIN both dims; customer_id and product_id
     are taken from the dims, so orphans become NULL."""
+    item_id = ["order_item_id"] if "order_item_id" in fact.columns else []
     fo = fact.filter(valid_status(F.col("status"))).select(
-        "order_id", "order_item_id", "order_date", "sale_price", "status",
+        "order_id", *item_id, "order_date", "sale_price", "status",
         F.col("customer_id").alias("_fc"), F.col("product_id").alias("_fp"))
     dc = customers.select("customer_id", "age", "gender", "country", "city")
     dp = products.select("product_id", F.col("name").alias("product_name"), "category", "brand",
@@ -112,8 +113,9 @@ def fill_gap_median(feat: DataFrame) -> DataFrame:
 
 def product_diversity(orders_full: DataFrame) -> DataFrame:
     """unique_categories, unique_products, last_category (latest non-null
-    category; ties on the date by item id)."""
-    last_key = F.struct(F.col("order_date"), F.col("order_item_id"))
+    category; ties on the date broken by order id, then product id — rows tied
+    on all three carry the same category)."""
+    last_key = F.struct(F.col("order_date"), F.col("order_id"), F.col("product_id"))
     per_cp = (orders_full.filter(F.col("customer_id").isNotNull())
               .groupBy("customer_id", "product_id", "category")
               .agg(F.max(last_key).alias("_last")))
@@ -125,11 +127,14 @@ def product_diversity(orders_full: DataFrame) -> DataFrame:
 
 def lag_features(orders: DataFrame, lags=DEFAULT_LAGS, salt_buckets: int = 64) -> DataFrame:
     """monetary_lag_k: the sale price k rows before the customer's last item row
-    (rows ordered by date, then item id); 0 when the customer has <= k rows."""
+    (rows ordered by date, order id, product id, price; rows tied on all four
+    have the same price); 0 when the customer has <= k rows."""
     kmax = max(lags) + 1
-    order = [F.col("order_date").desc(), F.col("order_item_id").desc()]
-    top = top_k_per_group(orders.select("customer_id", "order_date", "order_item_id", "sale_price"),
-                          ["customer_id"], order, kmax, salt_col=F.col("order_item_id"),
+    order = [F.col("order_date").desc(), F.col("order_id").desc(), F.col("product_id").desc(),
+             F.col("sale_price").desc()]
+    top = top_k_per_group(orders.select("customer_id", "order_date", "order_id", "product_id", "sale_price"),
+                          ["customer_id"], order, kmax,
+                          salt_col=F.struct("order_id", "product_id", "sale_price"),
                           salt_buckets=salt_buckets, rank_col="_pos")
     aggs = [F.coalesce(F.max(F.when(F.col("_pos") == k + 1, F.col("sale_price"))).cast("double"), F.lit(0.0))
             .alias(f"monetary_lag_{k}") for k in lags]

@@ -262,7 +262,8 @@ def revenue_at_risk(scored: DataFrame, risk_col: str = "risk_level") -> DataFram
 
 def revenue_by_month_top5(fact: DataFrame, dates: DataFrame, limit: int = 5) -> DataFrame:
     """Load check: items and revenue per calendar month (all statuses), top 5."""
-    per_day = fact.groupBy("date_id").agg(F.count("order_item_id").alias("_n"), F.sum("sale_price").alias("_v"))
+    n = F.count("order_item_id") if "order_item_id" in fact.columns else F.count(F.lit(1))
+    per_day = fact.groupBy("date_id").agg(n.alias("_n"), F.sum("sale_price").alias("_v"))
     j = per_day.join(F.broadcast(dates.select("date_id", "year", "month", "month_name")), "date_id")
     return (j.groupBy("year", "month", "month_name").agg(F.sum("_n").alias("total_transactions"),
                                                          F.sum("_v").alias("_v"))
@@ -272,7 +273,8 @@ def revenue_by_month_top5(fact: DataFrame, dates: DataFrame, limit: int = 5) ->
 
 def bestseller_top5(fact: DataFrame, products: DataFrame, limit: int = 5) -> DataFrame:
     """Load check: items sold per (product name, category), all statuses, top 5."""
-    per_p = fact.groupBy("product_id").agg(F.count("order_item_id").alias("_n"), F.sum("sale_price").alias("_v"))
+    n = F.count("order_item_id") if "order_item_id" in fact.columns else F.count(F.lit(1))
+    per_p = fact.groupBy("product_id").agg(n.alias("_n"), F.sum("sale_price").alias("_v"))
     j = per_p.join(products.select("product_id", "name", "category"), "product_id")
     return (j.groupBy("name", "category").agg(F.sum("_n").alias("units_sold"), F.sum("_v").alias("_v"))
             .orderBy(F.col("units_sold").desc(), "name", "category").limit(limit)
