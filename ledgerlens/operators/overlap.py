@@ -1,15 +1,17 @@
 """Keyword-overlap top-k between a question table and an example table.
 
 score(q, e) = number of distinct lower-cased whitespace tokens shared; keep
-score > 0, best k per question, ties by example id. Tokenisation and the token
-join run in the JVM. When the question tokens fit the broadcast budget (checked
-by a count), every example partition joins them map-side and keeps only its
-own k best examples per question before anything is shuffled, so the shuffle
-carries at most k rows per question and partition; beyond the budget the
-token join is a shuffle join and the counts a grouped aggregate.
+score > 0, best k per question, ties by example id. Tokenisation runs in the
+JVM. When the question tokens fit the broadcast budget (checked by a count),
+they are broadcast as a token -> questions table and every example partition
+counts its overlaps with numpy and keeps only its own k best examples per
+question, so the shuffle carries at most k rows per question and partition;
+beyond the budget the token join is a shuffle join and the counts a grouped
+aggregate.
 """
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,28 +27,73 @@ def distinct_tokens(df: DataFrame, id_col: str, text_col: str, out_id: str) -> D
             .filter(F.col("token") != ""))
 
 
-def _local_topk(k: int):
+def _partition_scorer(bc, k: int):
+    """Score every example of a partition against all questions with numpy and
+    keep the partition's k best examples per question.
+
+    ``bc`` holds (token -> row index, CSR offsets, question ids per row, all
+    question ids) of the broadcast question tokens."""
     def run(batches):
-        frames = [b for b in batches if len(b)]
-        if not frames:
+        index, offsets, q_ids, all_q = bc.value
+        nq = len(all_q)
+        keys, counts = [], []
+        for b in batches:
+            if not len(b):
+                continue
+            tok = b["token"].map(index)
+            ok = tok.notna().to_numpy()
+            if not ok.any():
+                continue
+            t = tok.to_numpy()[ok].astype(np.int64)
+            e = b["e_id"].to_numpy()[ok].astype(np.int64)
+            lens = offsets[t + 1] - offsets[t]
+            starts = np.repeat(offsets[t], lens)
+            within = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+            q = q_ids[starts + within]
+            key = np.repeat(e, lens) * nq + q
+            u, c = np.unique(key, return_counts=True)
+            keys.append(u)
+            counts.append(c)
+        if not keys:
             return
-        pdf = pd.concat(frames, ignore_index=True)
-        counts = pdf.groupby(["q_id", "e_id"], sort=False).size().reset_index(name="score")
-        counts = counts.sort_values(["q_id", "score", "e_id"], ascending=[True, False, True])
-        yield counts.groupby("q_id", sort=False).head(k)
+        key = np.concatenate(keys)
+        cnt = np.concatenate(counts)
+        u, inv = np.unique(key, return_inverse=True)
+        score = np.bincount(inv, weights=cnt).astype(np.int64)
+        df = pd.DataFrame({"q_idx": u % nq, "e_id": u // nq, "score": score})
+        df = df.sort_values(["q_idx", "score", "e_id"], ascending=[True, False, True]).groupby("q_idx").head(k)
+        yield pd.DataFrame({"q_id": all_q[df["q_idx"].to_numpy()], "e_id": df["e_id"].to_numpy(),
+                            "score": df["score"].to_numpy()})
     return run
 
 
+def _broadcast_questions(spark, qtok: DataFrame):
+    """Question tokens (size checked by the caller) as a CSR table."""
+    pdf = qtok.toPandas()
+    all_q = np.sort(pdf["q_id"].unique()).astype(np.int64)
+    qpos = {q: i for i, q in enumerate(all_q)}
+    pdf = pdf.assign(q_idx=pdf["q_id"].map(qpos)).sort_values(["token", "q_idx"])
+    tokens = pdf["token"].unique()
+    index = {t: i for i, t in enumerate(tokens)}
+    sizes = pdf.groupby("token", sort=True).size().reindex(tokens).to_numpy()
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return spark.sparkContext.broadcast((index, offsets, pdf["q_idx"].to_numpy().astype(np.int64), all_q))
+
+
 def overlap_top_k(questions: DataFrame, examples: DataFrame, q_id: str, q_text: str, e_id: str,
                   e_text: str, k: int = 2, broadcast_tokens: int = DEFAULT_BROADCAST_TOKENS) -> DataFrame:
     qtok = distinct_tokens(questions, q_id, q_text, "q_id")
+    cores = examples.sparkSession.sparkContext.defaultParallelism
+    if examples.rdd.getNumPartitions() < cores:
+        # few input splits (large row groups): spread the texts before the
+        # tokenizer, which is the expensive step
+        examples = examples.select(e_id, e_text).repartition(cores)
     etok = distinct_tokens(examples, e_id, e_text, "e_id")
     schema = "q_id long, e_id long, score long"
     n_qtok = qtok.count()
     if n_qtok <= broadcast_tokens:
-        pairs = etok.join(F.broadcast(qtok), "token").select(
-            F.col("q_id").cast("long"), F.col("e_id").cast("long"))
-        cand = pairs.mapInPandas(_local_topk(k), schema)
+        bc = _broadcast_questions(questions.sparkSession, qtok)
+        cand = etok.select(F.col("e_id").cast("long"), "token").mapInPandas(_partition_scorer(bc, k), schema)
     else:
         pairs = etok.join(qtok, "token")
         cand = pairs.groupBy("q_id", "e_id").agg(F.count(F.lit(1)).alias("score"))

@@ -91,19 +91,18 @@ def qcut_positions(inputs: DataFrame, population: DataFrame, id_col: str, value_
     value, and the population size + 1. This is the rank the row gets when it
     is put in front of the population and ranked with ``method="first"``.
 
-    Both are derived from global row numbers of (population ∪ inputs) and of
-    the inputs alone, ordered by (value, inputs first, id)."""
-    pop = population.select(F.col(value_col).cast("double").alias("_v"), F.lit(0).alias("_is_in"),
+    One global order over (population ∪ inputs) by (value, inputs first, id);
+    the running count of population rows at an input row is the number of
+    population values below it."""
+    pop = population.select(F.col(value_col).cast("double").alias("_v"), F.lit(1).alias("_is_pop"),
                             F.lit(None).cast(inputs.schema[id_col].dataType).alias(id_col))
-    inp = inputs.select(F.col(value_col).cast("double").alias("_v"), F.lit(1).alias("_is_in"), F.col(id_col))
-    both = global_row_number(pop.unionByName(inp),
-                             [F.col("_v").asc(), F.col("_is_in").desc(), F.col(id_col).asc_nulls_last()],
-                             rn_col="_rn_all")
-    only = global_row_number(inp, [F.col("_v").asc(), F.col(id_col).asc()], rn_col="_rn_in")
+    inp = inputs.select(F.col(value_col).cast("double").alias("_v"), F.lit(0).alias("_is_pop"), F.col(id_col))
+    run = global_running_sums(pop.unionByName(inp),
+                              [F.col("_v").asc(), F.col("_is_pop").asc(), F.col(id_col).asc_nulls_last()],
+                              ["_is_pop"], rn_col="_rn_all")
     pop_n = population.agg(F.count(F.lit(1)).alias("_pop_n"))
-    pos = (both.filter(F.col("_is_in") == 1).select(id_col, "_rn_all")
-           .join(only.select(id_col, "_rn_in"), id_col)
-           .withColumn(out_col, F.col("_rn_all") - F.col("_rn_in") + F.lit(1)))
+    pos = (run.filter(F.col("_is_pop") == 0)
+           .select(id_col, (F.col("cum__is_pop") + F.lit(1)).alias(out_col)))
     return attach_scalars(pos, pop_n).select(id_col, out_col, (F.col("_pop_n") + 1).alias(out_col + "_n"))
 
 

@@ -36,10 +36,10 @@ def _ranked(long: DataFrame) -> DataFrame:
     return r.join(F.broadcast(first), "feature").withColumn("_k", F.col("_rn") - F.col("_first"))
 
 
-def quantiles(long: DataFrame, probs: dict[str, float]) -> DataFrame:
+def quantiles(long: DataFrame, probs: dict[str, float], ranked: DataFrame | None = None) -> DataFrame:
     """Linear-interpolated quantiles per feature (value at 0-based position
     (n-1)p, interpolated between its neighbours)."""
-    r = _ranked(long)
+    r = ranked if ranked is not None else _ranked(long)
     aggs = []
     for name, p in probs.items():
         h = (F.col("_n") - 1) * F.lit(p)
@@ -51,9 +51,9 @@ def quantiles(long: DataFrame, probs: dict[str, float]) -> DataFrame:
     return r.groupBy("feature").agg(*aggs)
 
 
-def medians(long: DataFrame) -> DataFrame:
+def medians(long: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
     """Median per feature as the mean of the two middle values."""
-    r = _ranked(long)
+    r = ranked if ranked is not None else _ranked(long)
     lo = F.floor((F.col("_n") - 1) / 2)
     hi = F.ceil((F.col("_n") - 1) / 2)
     return r.filter((F.col("_k") == lo) | (F.col("_k") == hi)).groupBy("feature").agg(
@@ -63,10 +63,11 @@ def medians(long: DataFrame) -> DataFrame:
 def feature_stats(df: DataFrame, features: list[str] = MONITORED_FEATURES, id_col: str = "customer_id") -> DataFrame:
     """feature, mean, std (sample), min, max, median, count over non-null values."""
     long = long_form(df, features, id_col)
-    base = long.groupBy("feature").agg(
+    ranked = _ranked(long)   # checkpointed once; every statistic is read from it
+    base = ranked.groupBy("feature").agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"), F.count(F.lit(1)).alias("count"))
-    out = base.join(medians(long), "feature")
+    out = base.join(medians(long, ranked), "feature")
     return out.select("feature", *[F.round(F.col(c), STAT_DIGITS).alias(c) for c in ("mean", "std", "min", "max", "median")],
                       "count")
 
@@ -74,9 +75,10 @@ def feature_stats(df: DataFrame, features: list[str] = MONITORED_FEATURES, id_co
 def baseline_stats_api(rfm: DataFrame, id_col: str = "customer_id") -> DataFrame:
     """mean, std, p25, p75 of recency, frequency, monetary."""
     long = long_form(rfm, API_BASELINE_FEATURES, id_col)
-    base = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-                                       F.count(F.lit(1)).alias("n_customers"))
-    q = quantiles(long, {"p25": 0.25, "p75": 0.75})
+    ranked = _ranked(long)
+    base = ranked.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+                                         F.count(F.lit(1)).alias("n_customers"))
+    q = quantiles(long, {"p25": 0.25, "p75": 0.75}, ranked)
     return base.join(q, "feature").select(
         "feature", *[F.round(F.col(c), STAT_DIGITS).alias(c) for c in ("mean", "std", "p25", "p75")], "n_customers")
 

@@ -98,17 +98,19 @@ def customer_aggregates(orders: DataFrame, snapshot_date=None, windows=DEFAULT_W
 
 def fill_gap_median(feat: DataFrame) -> DataFrame:
     """NULL avg_days_between_orders -> median over customers (mean of the two
-    middle values for an even count), found by a distributed global rank."""
-    vals = feat.filter(F.col("avg_days_between_orders").isNotNull()).select("customer_id", "avg_days_between_orders")
-    ranked = global_row_number(vals, [F.col("avg_days_between_orders").asc(), F.col("customer_id").asc()],
-                               rn_col="_rn", total_col="_n")
+    middle values for an even count), found by a distributed global rank. All
+    rows go through the rank (NULLs last), so the output is read from the
+    checkpointed rows and the features are computed once."""
+    gap = F.col("avg_days_between_orders")
+    ranked = global_row_number(feat, [gap.asc_nulls_last(), F.col("customer_id").asc()], rn_col="_rn")
+    n = ranked.agg(F.count(gap).alias("_n"))
+    r = attach_scalars(ranked, n)
     lo = F.floor((F.col("_n") + 1) / 2)
     hi = F.ceil((F.col("_n") + 1) / 2)
-    med = (ranked.filter((F.col("_rn") == lo) | (F.col("_rn") == hi))
-           .agg(F.avg("avg_days_between_orders").alias("_median")))
-    return (attach_scalars(feat, med)
-            .withColumn("avg_days_between_orders", F.coalesce(F.col("avg_days_between_orders"), F.col("_median")))
-            .drop("_median"))
+    med = (r.filter((F.col("_rn") == lo) | (F.col("_rn") == hi)).agg(F.avg(gap).alias("_median")))
+    return (attach_scalars(ranked, med)
+            .withColumn("avg_days_between_orders", F.coalesce(gap, F.col("_median")))
+            .drop("_median", "_rn"))
 
 
 def product_diversity(orders_full: DataFrame) -> DataFrame:

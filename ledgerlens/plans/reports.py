@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import (CHURN_THRESHOLD_DAYS, SEGMENT_CHURN_RISK, coalesce_label,
                                  date_range_filter, lit_date, map_lookup, monetary_bin, money,
                                  ratio_round, segment_display, valid_status)
-from ..operators.ranking import attach_scalars, global_running_sums, kth_largest_threshold
+from ..operators.ranking import attach_scalars, global_row_number, global_running_sums
 from .segments import score_rfm, segment_filter
 
 
@@ -50,21 +50,22 @@ def kpis(fact: DataFrame, d_from, d_to, segments=None) -> DataFrame:
 def insights(fact: DataFrame, d_from, d_to, segments=None) -> DataFrame:
     """Customer-level summary with the Pareto share of the top 20 % by
     PERCENT_RANK (rows with percent rank <= .2 are the values >= the K-th
-    largest, K = floor((n-1)/5) + 1)."""
+    largest, K = floor((n-1)/5) + 1). The per-customer rows are ranked once
+    (checkpointed) and every total is read from them."""
     base = _valid_range(fact, d_from, d_to, segments)
     stats = (base.groupBy("customer_id")
              .agg(F.sum("sale_price").alias("monetary"), F.max("order_date").alias("last_order"))
              .withColumn("recency", F.datediff(lit_date(d_to), F.col("last_order"))))
-    totals = stats.agg(
+    ranked = global_row_number(stats, [F.col("monetary").desc(), F.col("customer_id").asc()],
+                               rn_col="_rn", total_col="_n")
+    k = F.floor((F.col("_n") - 1) / 5) + 1
+    threshold = ranked.filter(F.col("_rn") <= k).agg(F.min("monetary").alias("threshold"))
+    out = attach_scalars(ranked, threshold).agg(
         F.count(F.lit(1)).alias("total_customers"),
         F.coalesce(F.sum("monetary"), F.lit(0)).alias("_revenue"),
         F.coalesce(F.sum("recency"), F.lit(0)).alias("_recency"),
-        F.sum(F.when(F.col("recency") > CHURN_THRESHOLD_DAYS, 1).otherwise(0)).alias("_churned"))
-    k = F.floor((F.col("_n") - 1) / 5) + 1
-    threshold = kth_largest_threshold(stats, "monetary", "customer_id", k)
-    top = attach_scalars(stats.select("monetary"), threshold) \
-        .agg(F.coalesce(F.sum(F.when(F.col("monetary") >= F.col("threshold"), F.col("monetary"))), F.lit(0)).alias("_top"))
-    out = attach_scalars(totals, top)
+        F.coalesce(F.sum(F.when(F.col("recency") > CHURN_THRESHOLD_DAYS, 1).otherwise(0)), F.lit(0)).alias("_churned"),
+        F.coalesce(F.sum(F.when(F.col("monetary") >= F.col("threshold"), F.col("monetary"))), F.lit(0)).alias("_top"))
     n = F.col("total_customers")
     return out.select(
         n.alias("total_customers"),
