@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from .operators.overlap import overlap_top_k
+from .models import churn as CH
 from .plans import analyst as A
 from .plans import drift as DR
 from .plans import etl as ETL
@@ -343,6 +344,16 @@ def _churn_blend(s, d):
     return SC.churn_blend(pseudo.join(probs.select("customer_id", "model_probability"), "customer_id"))
 
 
+def _heuristic_predictions(s, d):
+    """churn label (recency > 90) with the heuristic probability as the score
+    and p >= .6 as the predicted class."""
+    rfm = FE.build_rfm_features(_orders(s, d))
+    h = SC.churn_heuristic(rfm.select("customer_id", "recency", "frequency", "monetary"))
+    return (rfm.select("customer_id", F.col("churn").cast("double").alias("label")).join(h, "customer_id")
+            .select("customer_id", "label", F.col("churn_probability").alias("score"),
+                    (F.col("churn_probability") >= 0.6).cast("double").alias("prediction")))
+
+
 def model_queries() -> dict[str, Query]:
     from .models import clv
     from .models import recommend as REC
@@ -358,6 +369,8 @@ def model_queries() -> dict[str, Query]:
         "churn_train_lr_metrics": lambda s, d: _churn(s, d, kinds=("lr",))[1],
         "churn_gbt_importance": _gbt_importance,
         "churn_score": _churn_scores,
+        "binary_metrics_heuristic": lambda s, d: CH.binary_metrics(_heuristic_predictions(s, d)),
+        "auc_heuristic": lambda s, d: CH.auc_rank_sum(_heuristic_predictions(s, d)),
         "churn_blend": _churn_blend,
         "als_matrix": lambda s, d: REC.interaction_matrix(FE.load_valid_orders(_star(s, d).fact_slim)),
         "als_recommend": _als_recs,
@@ -365,7 +378,8 @@ def model_queries() -> dict[str, Query]:
 
 
 def model_oracles() -> dict[str, str]:
-    return {"clv_summary": O.clv_summary(), "als_matrix": O.als_matrix()}
+    return {"clv_summary": O.clv_summary(), "als_matrix": O.als_matrix(),
+            "binary_metrics_heuristic": O.binary_metrics_heuristic(), "auc_heuristic": O.auc_heuristic()}
 
 
 def _incremental(s, d):
