@@ -18,6 +18,10 @@ from .segments import score_rfm, segment_filter
 
 def _valid_range(fact: DataFrame, d_from, d_to, segments=None, only_valid: bool = True) -> DataFrame:
     cond = date_range_filter(F.col("order_date"), d_from, d_to)
+    if "order_month" in fact.columns:   # materialized fact: prune month partitions
+        cond = cond & (F.col("order_month") <= F.trunc(lit_date(d_to), "month"))
+        if d_from is not None:
+            cond = cond & (F.col("order_month") >= F.trunc(lit_date(d_from), "month"))
     if only_valid:
         cond = cond & valid_status(F.col("status"))
     seg = segment_filter(fact, d_to, segments)   # scored on all history <= d_to

@@ -166,3 +166,16 @@ class Star:
 
 def load_star(spark, base_dir: str) -> Star:
     return Star(Tables(spark, base_dir))
+
+
+def materialize_fact(fact: DataFrame, path: str) -> str:
+    """Write the fact once, partitioned by order month (``order_month`` = first
+    day of the month). Reports over the written table add a matching
+    ``order_month`` predicate, so a date range prunes whole partitions."""
+    (fact.withColumn("order_month", F.trunc(F.col("order_date"), "month"))
+     .write.mode("overwrite").partitionBy("order_month").parquet(path))
+    return path
+
+
+def load_materialized_fact(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)

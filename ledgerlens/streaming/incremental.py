@@ -32,15 +32,21 @@ def stream_incremental_fact(spark: SparkSession, source_dir: str, sink_dir: str,
                             schema, date_col: str = "order_date", files_per_batch: int | None = 1):
     """High-water append of new fact files. Rows not after the current maximum
     of the sink (late or repeated rows) are dropped (strict mode). Runs all
-    available files and stops (``availableNow``); returns the finished query."""
+    available files and stops (``availableNow``); returns the finished query.
+
+    The maximum is kept in a one-row-per-batch table next to the sink
+    (``<sink>_hwm``), so a micro-batch never rescans the loaded data."""
+    hwm_dir = sink_dir.rstrip("/") + "_hwm"
+
     def load(batch: DataFrame, batch_id: int) -> None:
-        prev = _existing(spark, sink_dir, batch_id)
-        new = batch
-        if prev is not None:
-            hwm = prev.agg(F.max(date_col)).first()[0]
-            if hwm is not None:
-                new = batch.filter(F.col(date_col) > F.lit(hwm))
+        prev = _existing(spark, hwm_dir, batch_id)
+        hwm = prev.agg(F.max("hwm")).first()[0] if prev is not None else None
+        new = batch if hwm is None else batch.filter(F.col(date_col) > F.lit(hwm))
         _write_batch(new, sink_dir, batch_id)
+        mark = new.agg(F.max(date_col).alias("_m")).select(
+            F.greatest(F.col("_m"), F.lit(hwm).cast(batch.schema[date_col].dataType)).alias("hwm")) \
+            if hwm is not None else new.agg(F.max(date_col).alias("hwm"))
+        _write_batch(mark, hwm_dir, batch_id)
 
     reader = spark.readStream.schema(schema)
     if files_per_batch:
