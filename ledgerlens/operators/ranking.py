@@ -152,8 +152,10 @@ def global_running_sums(df: DataFrame, order_by: list[Column], sum_cols: list[st
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row frame (a global aggregate) to every row:
-    an equi-join on a constant key with the one-row side broadcast."""
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one", "inner")
-            .drop("_one"))
+    """Attach the columns of a one-row frame (a global aggregate) to every row
+    as a scalar subquery: the aggregate runs once and its value is inlined
+    (no join). An empty frame gives NULLs."""
+    cols = one_row.columns
+    packed = one_row.select(F.struct(*[F.col(c) for c in cols]).alias("_scalar")).scalar()
+    out = df.withColumn("_scalar", packed)
+    return out.select(*[F.col(c) for c in df.columns], *[F.col("_scalar")[c].alias(c) for c in cols])

@@ -85,8 +85,9 @@ def anti_orphans(fact: DataFrame, dim: DataFrame, key: str = "customer_id") -> D
     """Distinct fact keys missing from the dimension and their share."""
     keys = fact.select(key).filter(F.col(key).isNotNull()).distinct()
     orphans = keys.join(dim.select(key), key, "left_anti")
-    stats = keys.agg(F.count(F.lit(1)).alias("fact_keys")).withColumn("_one", F.lit(1)).join(
-        F.broadcast(orphans.agg(F.count(F.lit(1)).alias("orphan_keys")).withColumn("_one", F.lit(1))), "_one").drop("_one")
+    from ..operators.ranking import attach_scalars
+    stats = attach_scalars(keys.agg(F.count(F.lit(1)).alias("fact_keys")),
+                           orphans.agg(F.count(F.lit(1)).alias("orphan_keys")))
     return stats.select(
         "fact_keys", "orphan_keys",
         F.coalesce(ratio_round(F.col("orphan_keys") * 100, F.col("fact_keys"), 2), F.lit(0.0)).alias("orphan_pct"),
