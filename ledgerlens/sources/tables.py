@@ -19,9 +19,33 @@ def table_path(base_dir: str, name: str) -> str:
     return single if os.path.exists(single) or "://" in base_dir else os.path.join(base_dir, name)
 
 
-def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
-    """``scan_table``: full-table read of one source table."""
-    return spark.read.parquet(table_path(base_dir, name))
+def read_table(spark: SparkSession, base_dir: str, name: str, fmt: str = "parquet",
+               options: dict | None = None, schema=None) -> DataFrame:
+    """``scan_table``: full-table read of one source table.
+
+    Parquet files under ``base_dir`` by default; any other Spark source
+    (``csv``, ``json``, ``orc``, ``jdbc`` with ``dbtable``/``query`` options)
+    goes through the same reader with its options and an explicit schema."""
+    reader = spark.read.format(fmt).options(**(options or {}))
+    if schema is not None:
+        reader = reader.schema(schema)
+    if fmt == "jdbc":
+        return reader.option("dbtable", (options or {}).get("dbtable", name)).load()
+    return reader.load(table_path(base_dir, name) if fmt == "parquet" else os.path.join(base_dir, name))
+
+
+def extract_all(spark: SparkSession, base_dir: str, names: list[str], fmt: str = "parquet",
+                options: dict | None = None) -> dict[str, DataFrame]:
+    """Lazy handles on several source tables; a missing table is skipped with
+    a warning (the extract step of the pipeline)."""
+    import warnings
+    out = {}
+    for n in names:
+        try:
+            out[n] = read_table(spark, base_dir, n, fmt, options)
+        except Exception as e:  # noqa: BLE001 - missing path or table
+            warnings.warn(f"table {n} skipped: {type(e).__name__}")
+    return out
 
 
 @dataclass

@@ -88,3 +88,11 @@ def test_materialized_fact_prunes_partitions(spark, tmp_dir):
     assert "(order_month" in plan and "<= 1998-03-01" in plan and ">= 1998-01-01" in plan
     assert got.collect() == R.trend(star.fact_slim, "1998-01-01", "1998-03-31").collect()
     assert R.kpis(mat, "1998-01-01", "1998-03-31").collect() == R.kpis(star.fact_slim, "1998-01-01", "1998-03-31").collect()
+
+
+def test_read_table_formats_and_extract_all(spark, tmp_dir):
+    from ledgerlens.sources.tables import extract_all, read_table
+    spark.range(4).write.mode("overwrite").option("header", True).csv(os.path.join(tmp_dir, "t_csv"))
+    assert read_table(spark, tmp_dir, "t_csv", "csv", {"header": "true"}).count() == 4
+    got = extract_all(spark, "/root/testdata/sf0.001", ["orders", "nation", "no_such_table"])
+    assert sorted(got) == ["nation", "orders"]
