@@ -125,14 +125,15 @@ def floor_days(later: Column, earlier: Column) -> Column:
 
 def title_case(col: Column) -> Column:
     """Python ``str.title()``: upper-case a letter that follows a non-letter,
-    lower-case every other letter ("t-shirt & tops" -> "T-Shirt & Tops")."""
+    lower-case every other letter ("t-shirt & tops" -> "T-Shirt & Tops",
+    "café" -> "Café"); letters are Unicode letters."""
     return _title_via_split(F.lower(col))
 
 
 def _title_via_split(lowered: Column) -> Column:
     # Split into runs of letters and non-letters, upper-case the first char of
     # each letter run, then glue back together. Pure JVM higher-order functions.
-    parts = F.regexp_extract_all(lowered, F.lit(r"([a-z]+|[^a-z]+)"), 1)
+    parts = F.regexp_extract_all(lowered, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
     cap = F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30)))
     return F.when(lowered.isNull(), None).otherwise(F.array_join(cap, ""))
 
