@@ -96,3 +96,16 @@ def test_read_table_formats_and_extract_all(spark, tmp_dir):
     assert read_table(spark, tmp_dir, "t_csv", "csv", {"header": "true"}).count() == 4
     got = extract_all(spark, "/root/testdata/sf0.001", ["orders", "nation", "no_such_table"])
     assert sorted(got) == ["nation", "orders"]
+
+
+def test_bucketed_fact_groups_without_shuffle(spark):
+    from ledgerlens.sources.star import load_star, materialize_fact_table
+    from tests.conftest import SF_SMALL
+    star = load_star(spark, SF_SMALL)
+    materialize_fact_table(star.fact_slim, "fact_orders_bucketed", 4)
+    t = spark.table("fact_orders_bucketed")
+    per_c = t.groupBy("customer_id").agg(F.sum("sale_price").alias("m"))
+    plan = per_c._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(customer_id" not in plan
+    want = star.fact_slim.groupBy("customer_id").agg(F.sum("sale_price").alias("m"))
+    assert sorted(per_c.collect()) == sorted(want.collect())
