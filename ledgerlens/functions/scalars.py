@@ -3,8 +3,6 @@ so the plans stay inside whole-stage codegen."""
 from __future__ import annotations
 
 import datetime as _dt
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,18 +109,6 @@ def date_id(col: Column) -> Column:
     return (F.year(col) * 10000 + F.month(col) * 100 + F.dayofmonth(col)).cast("int")
 
 
-def day_diff(later: Column, earlier: Column) -> Column:
-    """Calendar-day difference of two dates (SQL ``date - date``)."""
-    return F.datediff(later, earlier)
-
-
-def floor_days(later: Column, earlier: Column) -> Column:
-    """Floor of a timestamp difference in days (pandas ``Timedelta.days``)."""
-    secs = F.unix_timestamp(later.cast("timestamp_ntz").cast("timestamp")) - \
-        F.unix_timestamp(earlier.cast("timestamp_ntz").cast("timestamp"))
-    return F.floor(secs / F.lit(86400)).cast("long")
-
-
 def title_case(col: Column) -> Column:
     """Python ``str.title()``: upper-case a letter that follows a non-letter,
     lower-case every other letter ("t-shirt & tops" -> "T-Shirt & Tops",
@@ -154,7 +140,3 @@ def risk_threshold_api(p: Column) -> tuple[Column, Column]:
 
 def coalesce_label(col: Column, label: str) -> Column:
     return F.coalesce(col, F.lit(label))
-
-
-def any_of(conds: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conds)

@@ -74,17 +74,6 @@ def ntile(df: DataFrame, order_by: list[Column], tiles: int, out_col: str,
             .drop("_nt_rn", "_nt_total"))
 
 
-def kth_largest_threshold(df: DataFrame, value_col: str, key_col: str, k: Column) -> DataFrame:
-    """One-row frame with the k-th largest ``value_col`` (k is an expression of the
-    row count ``_n``). Used for PERCENT_RANK cut-offs: rows with
-    value >= threshold are exactly those whose percent rank is within the cut."""
-    ranked = global_row_number(df.select(value_col, key_col),
-                               [F.col(value_col).desc(), F.col(key_col).asc()],
-                               rn_col="_k_rn", total_col="_n")
-    return (ranked.filter(F.col("_k_rn") <= k)
-            .agg(F.min(value_col).alias("threshold")))
-
-
 def qcut_positions(inputs: DataFrame, population: DataFrame, id_col: str, value_col: str,
                    out_col: str) -> DataFrame:
     """For every input row: 1 + number of population values strictly below its

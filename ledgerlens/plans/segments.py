@@ -53,9 +53,3 @@ def segment_filter(fact: DataFrame, d_to, segments) -> DataFrame | None:
     if not segments:
         return None
     return segment_customers(fact, d_to).filter(F.col("segment_key").isin(*segments)).select("customer_id")
-
-
-def restrict(fact: DataFrame, d_to, segments) -> DataFrame:
-    """Apply the optional segment filter as a semi-join (customer keys unique)."""
-    seg = segment_filter(fact, d_to, segments)
-    return fact if seg is None else fact.join(seg, "customer_id", "left_semi")
