@@ -76,3 +76,30 @@ def test_churn_probabilities_in_unit_interval(spark):
     assert 0.0 <= stats[0] <= stats[1] <= 1.0
     m = metrics.first()
     assert m["tp"] + m["fp"] + m["fn"] + m["tn"] > 0 and 0.0 <= m["auc"] <= 1.0
+
+
+def _mini_fact(spark, rows):
+    import decimal
+    return spark.createDataFrame(
+        [(o, c, p, dt, decimal.Decimal(str(v)), s) for o, c, p, dt, v, s in rows],
+        "order_id long, customer_id long, product_id long, order_date date, sale_price decimal(18,2), status string")
+
+
+def test_null_status_is_not_revenue_but_is_reported(spark):
+    import datetime as dt
+    d = dt.date(2024, 1, 10)
+    fact = _mini_fact(spark, [(1, 1, 1, d, 10.0, "Complete"), (2, 1, 1, d, 5.0, None), (3, 2, 2, d, 7.0, "Returned")])
+    k = R.kpis(fact, "2024-01-01", "2024-01-31").first()
+    assert (k["orders"], k["revenue"]) == (1, 10.0)
+    sb = {r["status"]: (r["cnt"], r["revenue"]) for r in R.status_breakdown(fact, "2024-01-01", "2024-01-31").collect()}
+    assert sb == {"Complete": (1, 10.0), "Unknown": (1, 5.0), "Returned": (1, 7.0)}
+
+
+def test_top_products_ties_broken_by_product_id(spark):
+    import datetime as dt
+    d = dt.date(2024, 1, 10)
+    fact = _mini_fact(spark, [(1, 1, 9, d, 5.0, "Complete"), (2, 1, 3, d, 5.0, "Complete"), (3, 1, 7, d, 5.0, "Complete")])
+    products = spark.createDataFrame([(3, "c", "x", "b"), (7, "g", "x", "b"), (9, "i", "x", "b")],
+                                     "product_id long, name string, category string, brand string")
+    got = [r["product_id"] for r in R.top_products(fact, products, "2024-01-01", "2024-01-31", limit=2).collect()]
+    assert got == [3, 7]
