@@ -98,5 +98,5 @@ def overlap_top_k(questions: DataFrame, examples: DataFrame, q_id: str, q_text:
         pairs = etok.join(qtok, "token")
         cand = pairs.groupBy("q_id", "e_id").agg(F.count(F.lit(1)).alias("score"))
     w = Window.partitionBy("q_id").orderBy(F.col("score").desc(), F.col("e_id").asc())
-    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
             .select(F.col("q_id").alias("question_id"), F.col("e_id").alias("example_id"), "score", "rank"))
