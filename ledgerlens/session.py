@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "ledgerlens") -> SparkSession:
+                app_name: str = "ledgerlens", driver_memory: str | None = None) -> SparkSession:
     """Return (or create) a session with AQE on and a UTC session clock.
 
     On a cluster ``master`` stays None and the launcher's settings win; the
@@ -28,6 +28,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:   # local mode: the driver JVM is the whole cluster
+        builder = builder.config("spark.driver.memory", driver_memory)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
