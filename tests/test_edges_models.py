@@ -103,3 +103,26 @@ def test_top_products_ties_broken_by_product_id(spark):
                                      "product_id long, name string, category string, brand string")
     got = [r["product_id"] for r in R.top_products(fact, products, "2024-01-01", "2024-01-31", limit=2).collect()]
     assert got == [3, 7]
+
+
+def test_overlap_shuffle_path_equals_broadcast_path(spark):
+    from ledgerlens.operators.overlap import overlap_top_k
+    st = load_star(spark, SF_SMALL)
+    q, e = st.tables.benchmark, st.tables.documents
+    a = overlap_top_k(q, e, "item_id", "text", "doc_id", "text", k=2)
+    b = overlap_top_k(q, e, "item_id", "text", "doc_id", "text", k=2, broadcast_tokens=0)
+    assert sorted(a.collect()) == sorted(b.collect()) and a.count() > 0
+
+
+def test_clv_distributed_likelihood_equals_local(spark):
+    import numpy as np
+    from ledgerlens.models import clv
+    summary = clv.clv_summary(C._orders(spark, SF_SMALL))
+    cols = ["frequency", "recency", "T"]
+    g = summary.groupBy(*cols).agg(F.count(F.lit(1)).alias("w"))
+    total_ll = clv._distributed_objective(g, cols, clv._bgnbd_ll)
+    params = np.array([0.5, 2.0, 0.8, 1.5])
+    s, w = total_ll(params)
+    local = g.toPandas()
+    want = float(np.sum(local["w"] * clv._bgnbd_ll(params, *[local[c].to_numpy(float) for c in cols])))
+    assert w == float(local["w"].sum()) and abs(s - want) <= 1e-9 * abs(want)
