@@ -21,11 +21,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import idiv
-from ..session import ensure_checkpoint_dir, shuffle_partitions
+from ..session import ensure_checkpoint_dir
 
 _PID, _IDX, _OFF, _TOTAL = "_gr_pid", "_gr_idx", "_gr_off", "_gr_total"
 
 
+def _range_sorted(df: DataFrame, order_by: list[Column], num_partitions: int | None) -> DataFrame:
+    """Range partition + sort within partitions. Without an explicit count AQE
+    may merge adjacent (small) ranges, which keeps the global order; the
+    checkpoint that follows freezes whatever partitioning ran."""
+    ranged = (df.repartitionByRange(num_partitions, *order_by) if num_partitions
+              else df.repartitionByRange(*order_by))
+    return ranged.sortWithinPartitions(*order_by)
+
+
 def global_row_number(df: DataFrame, order_by: list[Column] | None, rn_col: str = "rn",
                       total_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """Append a 1-based global row number in ``order_by`` order (and optionally
@@ -34,9 +43,8 @@ def global_row_number(df: DataFrame, order_by: list[Column] | None, rn_col: str
     checkpoint, e.g. surrogate keys of a table written once)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or shuffle_partitions(spark)
     pid = F.spark_partition_id()
-    ordered = df if order_by is None else df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
+    ordered = df if order_by is None else _range_sorted(df, order_by, num_partitions)
     tagged = (ordered
               .withColumn(_PID, pid)
               .withColumn(_IDX, F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33))
@@ -115,10 +123,8 @@ def global_running_sums(df: DataFrame, order_by: list[Column], sum_cols: list[st
     partition id, so every task handles one range."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or shuffle_partitions(spark)
     pid = F.spark_partition_id()
-    tagged = (df.repartitionByRange(n, *order_by)
-              .sortWithinPartitions(*order_by)
+    tagged = (_range_sorted(df, order_by, num_partitions)
               .withColumn(_PID, pid)
               .withColumn(_IDX, F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33))
               .checkpoint(eager=True))
