@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, simhash
+from . import langid, license_scan, mixing, secret_scan, simhash
 from .common import crc_mod, read_table
 
 
@@ -16,6 +16,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken", "copies"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find secrets in every document."""
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict the language of every document."""
     docs = read_table(spark, sf_dir, "documents")
@@ -25,6 +30,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang_score").alias("score"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan every document for license statements."""
+    return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate components of all documents."""
     d = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
@@ -34,7 +44,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_secrets": op2_secrets,
     "op5_language": op5_language,
+    "op7_licenses": op7_licenses,
     "op10_simhash": op10_simhash,
 }
 #: None of these results can be had from SQL alone (fitted models, XXH64, hash ranks); tests hold them against brute force.
