@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license_scan, mixing, secret_scan, simhash
+from . import decontam, langid, license_scan, line_dedup, mixing, secret_scan, simhash
 from .common import crc_mod, read_table
 
 
@@ -21,6 +21,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that overlap."""
+    return decontam.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict the language of every document."""
     docs = read_table(spark, sf_dir, "documents")
@@ -30,6 +35,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang_score").alias("score"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, freed of repeated lines."""
+    return line_dedup.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan every document for license statements."""
     return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("detections")
@@ -45,7 +55,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
+    "op4_decontamination": op4_decontamination,
     "op5_language": op5_language,
+    "op6_line_dedup": op6_line_dedup,
     "op7_licenses": op7_licenses,
     "op10_simhash": op10_simhash,
 }
