@@ -37,7 +37,7 @@ def renamed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[src].alias(dst) for dst, src in columns.items()])
 
 
-def top_by_hash(df: DataFrame, group: str, key: str, k: int, salts: int = 64) -> DataFrame:
+def top_by_hash(df: DataFrame, group: str, key: str, k: int, salts: int = 8) -> DataFrame:
     """For each ``group`` the ``k`` rows with the smallest hash of ``key``
     (ties by key): a bounded, repeatable sample. The rank is taken inside
     ``salts`` slices of each group first, so no task sees a whole hot group."""

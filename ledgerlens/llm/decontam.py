@@ -199,11 +199,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     """The rows of ``docs`` that no benchmark item overlaps, unchanged (null and empty texts stay)."""
     for items in blocks(benchmark, item_col, item_text_col, block_chars):
         index = Index(items, min_words, min_identity)
+        docs = docs.filter(~_overlapping(index)(F.col(text_col)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def hit(texts: pd.Series, index=index) -> pd.Series:
-            found = {r[0] for r in index.overlaps([t if isinstance(t, str) else None for t in texts])}
-            return pd.Series([i in found for i in range(len(texts))], dtype=bool)
 
-        docs = docs.filter(~hit(F.col(text_col)))
-    return docs
+def _overlapping(index: Index):
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        found = {r[0] for r in index.overlaps([t if isinstance(t, str) else None for t in texts])}
+        return pd.Series([i in found for i in range(len(texts))], dtype=bool)
+    return hit

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, license_scan, line_dedup, mixing, secret_scan, simhash
+from . import decontam, hnsw, langid, license_scan, line_dedup, mixing, secret_scan, simhash
 from .common import crc_mod, read_table
 
 
@@ -45,6 +45,13 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings with the same label."""
+    d = hnsw.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
+    return d.select("vec_id", "n_links", F.col("component").alias("component_id"),
+                    (F.col("vec_id") == F.col("component")).alias("kept"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate components of all documents."""
     d = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
@@ -59,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_line_dedup": op6_line_dedup,
     "op7_licenses": op7_licenses,
+    "op8_hnsw": op8_hnsw,
     "op10_simhash": op10_simhash,
 }
 #: None of these results can be had from SQL alone (fitted models, XXH64, hash ranks); tests hold them against brute force.
