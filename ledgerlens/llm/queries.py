@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hnsw, langid, license_scan, line_dedup, mixing, secret_scan, simhash, toxicity
+from . import decontam, hnsw, html_extract, langid, license_scan, line_dedup, mixing, secret_scan, simhash, toxicity
 from .common import crc_mod, read_table
 
 
@@ -61,6 +61,13 @@ def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("vec_id") == F.col("component")).alias("kept"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = html_extract.extract(pages, html_extract.fit(pages), text_col="text")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate components of all documents."""
     d = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_licenses": op7_licenses,
     "op8_hnsw": op8_hnsw,
+    "op9_html": op9_html,
     "op10_simhash": op10_simhash,
 }
 #: None of these results can be had from SQL alone (fitted models, XXH64, hash ranks); tests hold them against brute force.
