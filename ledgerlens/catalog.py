@@ -21,9 +21,10 @@ from .sources.raw import raw_tables
 from .plans import reports as R
 from .sources.star import load_star
 
-# Parameters of the registered report calls. The full range covers every row
-# of the test data; the second range and the segment list exercise the filters.
-FULL = ("1995-01-01", "2001-08-01")
+# Parameters of the registered report calls. The full range runs from the first
+# to the last order date of the data; the second range and the segment list
+# exercise the filters.
+FULL = (O.FIRST, O.LAST)
 MID = ("1998-01-01", "1999-12-31")
 SEGS = ["Champion", "Loyal"]
 
@@ -34,23 +35,33 @@ def _star(spark, d):
     return load_star(spark, d)
 
 
+def _full(s, d) -> tuple[str, str]:
+    """First and last order date (min and max of one column: a footer-sized job)."""
+    day = F.col("o_orderdate").cast("date").cast("string")
+    return tuple(_star(s, d).tables.orders.agg(F.min(day), F.max(day)).first())
+
+
+def _last(s, d) -> str:
+    return _full(s, d)[1]
+
+
 def report_queries() -> dict[str, Query]:
     return {
-        "kpis": lambda s, d: R.kpis(_star(s, d).fact_slim, *FULL),
+        "kpis": lambda s, d: R.kpis(_star(s, d).fact_slim, *_full(s, d)),
         "kpis_mid_segments": lambda s, d: R.kpis(_star(s, d).fact_slim, *MID, segments=SEGS),
-        "insights": lambda s, d: R.insights(_star(s, d).fact_slim, *FULL),
+        "insights": lambda s, d: R.insights(_star(s, d).fact_slim, *_full(s, d)),
         "insights_mid_segments": lambda s, d: R.insights(_star(s, d).fact_slim, *MID, segments=SEGS),
         "date_bounds": lambda s, d: R.date_bounds(_star(s, d).fact_slim),
-        "trend_monthly": lambda s, d: R.trend(_star(s, d).fact_slim, *FULL, "Monthly"),
+        "trend_monthly": lambda s, d: R.trend(_star(s, d).fact_slim, *_full(s, d), "Monthly"),
         "trend_weekly_segments": lambda s, d: R.trend(_star(s, d).fact_slim, *MID, "Weekly", segments=["At Risk", "Lost"]),
-        "status_breakdown": lambda s, d: R.status_breakdown(_star(s, d).fact_slim, *FULL),
-        "top_products": lambda s, d: R.top_products(_star(s, d).fact_slim, _star(s, d).products, *FULL, limit=25),
+        "status_breakdown": lambda s, d: R.status_breakdown(_star(s, d).fact_slim, *_full(s, d)),
+        "top_products": lambda s, d: R.top_products(_star(s, d).fact_slim, _star(s, d).products, *_full(s, d), limit=25),
         "top_products_segments": lambda s, d: R.top_products(_star(s, d).fact_slim, _star(s, d).products, *MID,
                                                              limit=10, segments=SEGS),
-        "categories": lambda s, d: R.categories(_star(s, d).fact_slim, _star(s, d).products, *FULL),
-        "rfm_distribution": lambda s, d: R.rfm_distribution(_star(s, d).fact_slim, *FULL),
-        "segment_categories": lambda s, d: R.segment_categories(_star(s, d).fact_slim, _star(s, d).products, *FULL),
-        "segment_rollup": lambda s, d: R.segment_rollup(R.rfm_distribution(_star(s, d).fact_slim, *FULL)),
+        "categories": lambda s, d: R.categories(_star(s, d).fact_slim, _star(s, d).products, *_full(s, d)),
+        "rfm_distribution": lambda s, d: R.rfm_distribution(_star(s, d).fact_slim, *_full(s, d)),
+        "segment_categories": lambda s, d: R.segment_categories(_star(s, d).fact_slim, _star(s, d).products, *_full(s, d)),
+        "segment_rollup": lambda s, d: R.segment_rollup(R.rfm_distribution(_star(s, d).fact_slim, *_full(s, d))),
     }
 
 
@@ -183,14 +194,14 @@ def analyst_queries() -> dict[str, Query]:
         "q_monthly_perf": lambda s, d: A.monthly_performance(st(s, d).fact_slim, YEAR),
         "q_brand_avg_price": lambda s, d: A.brand_avg_price(st(s, d).fact_slim, st(s, d).products),
         "q_aov_month": lambda s, d: A.aov_by_month(st(s, d).fact_slim, f"{YEAR}-01-01", f"{YEAR}-06-30"),
-        "q_segment_compare": lambda s, d: A.segment_compare(st(s, d).fact_slim, AS_OF),
+        "q_segment_compare": lambda s, d: A.segment_compare(st(s, d).fact_slim, _last(s, d)),
         "q_repeat_rate": lambda s, d: A.repeat_rate(st(s, d).fact_slim),
         "q_category_share": lambda s, d: A.category_share(st(s, d).fact_slim, st(s, d).products),
-        "q_inter_purchase": lambda s, d: A.inter_purchase_days(st(s, d).fact_slim, AS_OF),
+        "q_inter_purchase": lambda s, d: A.inter_purchase_days(st(s, d).fact_slim, _last(s, d)),
         "fewshot_overlap_topk": lambda s, d: overlap_top_k(st(s, d).tables.benchmark, st(s, d).tables.documents,
                                                            "item_id", "text", "doc_id", "text", k=2),
-        "audit_recompute": lambda s, d: A.audit_recompute(st(s, d).fact_slim, st(s, d).products, *FULL),
-        "audit_pareto_headcount": lambda s, d: A.audit_pareto_headcount(st(s, d).fact_slim, *FULL),
+        "audit_recompute": lambda s, d: A.audit_recompute(st(s, d).fact_slim, st(s, d).products, *_full(s, d)),
+        "audit_pareto_headcount": lambda s, d: A.audit_pareto_headcount(st(s, d).fact_slim, *_full(s, d)),
         "forecast_revenue": lambda s, d: A.forecast_revenue(st(s, d).fact_slim, 14),
         "anomaly_revenue": lambda s, d: A.anomaly_revenue(st(s, d).fact_slim),
     }
@@ -286,7 +297,7 @@ def _at_risk_top_clv(s, d):
 
 
 def _segments(s, d):
-    return SG.segment_customers(_star(s, d).fact_slim, AS_OF)
+    return SG.segment_customers(_star(s, d).fact_slim, _last(s, d))
 
 
 def _champion_gg_gap(s, d):
@@ -393,10 +404,11 @@ def _stream_fact(s, d):
     fact = _star(s, d).fact_slim
     base = scratch_dir(s, "stream-fact")
     src, sink, ck = base + "/source", base + "/sink", base + "/checkpoint"
-    fact.filter(F.col("order_date") <= F.lit(HISTORY_CUT).cast("date")).write.mode("append").parquet(src)
-    stream_incremental_fact(s, src, sink, ck, fact.schema, files_per_batch=None)
-    fact.write.mode("append").parquet(src)           # a later full re-extract
-    stream_incremental_fact(s, src, sink, ck, fact.schema, files_per_batch=None)
+    fact.filter(F.col("order_date") <= F.lit(HISTORY_CUT).cast("date")).repartition(5, "order_id").write.mode("append").parquet(src)
+    stream_incremental_fact(s, src, sink, ck, fact.schema)
+    # a later full re-extract, in several files whose dates are mixed, two files a batch
+    fact.repartition(7, "order_id").write.mode("append").parquet(src)
+    stream_incremental_fact(s, src, sink, ck, fact.schema, files_per_batch=2)
     return s.read.parquet(sink).drop("batch_id")
 
 
@@ -407,10 +419,10 @@ def _stream_drift(s, d):
     full = _features(s, d)
     baseline = DR.feature_stats(full)
     first = _features(s, d, HISTORY_CUT).withColumn("snapshot_id", F.lit(1))
-    first.write.mode("append").parquet(src)
+    first.repartition(4, "customer_id").write.mode("append").parquet(src)      # a snapshot of several files
     stream_drift(s, src, baseline, log, ck, first.schema)
     second = _scenario(full).withColumn("snapshot_id", F.lit(2)).select(*first.columns)
-    second.write.mode("append").parquet(src)
+    second.repartition(3, "customer_id").write.mode("append").parquet(src)
     stream_drift(s, src, baseline, log, ck, first.schema)
     return s.read.parquet(log).drop("batch_id")
 
@@ -427,7 +439,7 @@ def stream_oracles() -> dict[str, str]:
 
 
 def _rfm_bins(s, d):
-    return R.rfm_distribution(_star(s, d).fact_slim, *FULL)
+    return R.rfm_distribution(_star(s, d).fact_slim, *_full(s, d))
 
 
 def rollup_queries() -> dict[str, Query]:
@@ -436,12 +448,12 @@ def rollup_queries() -> dict[str, Query]:
     return {
         "top_customers": lambda s, d: R.top_customers(_features(s, d), 10),
         "segment_statistics": lambda s, d: R.segment_statistics(
-            SG.score_rfm(SG.customer_rfm(st(s, d).fact_slim, None, AS_OF))),
+            SG.score_rfm(SG.customer_rfm(st(s, d).fact_slim, None, _last(s, d)))),
         "revenue_at_risk": lambda s, d: R.revenue_at_risk(
             SC.churn_heuristic(FE.create_rfm(_orders(s, d))).join(FE.create_rfm(_orders(s, d)), "customer_id")),
         "at_risk_totals": lambda s, d: R.at_risk_totals(_rfm_bins(s, d)),
-        "brand_rollup": lambda s, d: R.brand_rollup(R.top_products(st(s, d).fact_slim, st(s, d).products, *FULL, 25)),
-        "category_bars": lambda s, d: R.category_bars(R.categories(st(s, d).fact_slim, st(s, d).products, *FULL)),
+        "brand_rollup": lambda s, d: R.brand_rollup(R.top_products(st(s, d).fact_slim, st(s, d).products, *_full(s, d), 25)),
+        "category_bars": lambda s, d: R.category_bars(R.categories(st(s, d).fact_slim, st(s, d).products, *_full(s, d))),
         "pareto_curve": lambda s, d: R.pareto_curve(_rfm_bins(s, d)),
         "revenue_by_month_top5": lambda s, d: R.revenue_by_month_top5(st(s, d).fact_slim, st(s, d).dates),
         "bestseller_top5": lambda s, d: R.bestseller_top5(st(s, d).fact_slim, st(s, d).products),

@@ -166,8 +166,10 @@ def inter_purchase_days(fact: DataFrame, as_of: str, segment: str = "Champion")
 # ------------------------------------------------------------------- audits ---
 
 def audit_recompute(fact: DataFrame, products: DataFrame, d_from: str, d_to: str) -> DataFrame:
-    """Recompute revenue, orders, customers, AOV, churn % and the top category
-    from the rows and compare them with the report values."""
+    """Recompute revenue, orders, customers, AOV, churn %, the top category and
+    its revenue, and the Pareto share from the rows and compare them with the
+    report values (the reports' top category and revenue are those of their
+    first product)."""
     rows = fact.filter((F.col("order_date") >= lit_date(d_from)) &
                        (F.col("order_date") < F.date_add(lit_date(d_to), 1)) & valid_status(F.col("status")))
     gt = rows.agg(F.sum("sale_price").alias("_rev"), F.countDistinct("order_id").alias("_orders"),
@@ -182,11 +184,13 @@ def audit_recompute(fact: DataFrame, products: DataFrame, d_from: str, d_to: str
                .orderBy(F.col("_v").desc(), "category").limit(1)
                .select(F.col("category").alias("_gt_cat"), F.col("_v").alias("_gt_cat_rev")))
     app = R.kpis(fact, d_from, d_to)
-    ins = R.insights(fact, d_from, d_to).select(F.col("churn_rate_pct").alias("_app_churn"))
+    ins = R.insights(fact, d_from, d_to).select(F.col("churn_rate_pct").alias("_app_churn"),
+                                                F.col("pareto_top20_pct").alias("_app_pareto"))
+    heads = audit_pareto_headcount(fact, d_from, d_to).select(F.col("pareto_top20_pct").alias("_gt_pareto"))
     app_top = R.top_products(fact, products, d_from, d_to, limit=5).limit(1) \
         .select(F.col("category").alias("_app_cat"), F.col("revenue").alias("_app_cat_rev"))
     one = attach_scalars(attach_scalars(attach_scalars(attach_scalars(gt, churn), app), ins), top_cat)
-    one = attach_scalars(one, app_top)
+    one = attach_scalars(attach_scalars(one, app_top), heads)
     gt_aov = ratio_round(F.col("_rev"), F.col("_orders"), 2)
     gt_churn = ratio_round(F.col("_churned") * 100, F.col("_n"), 1)
     def metric(name, gt, app, passed, gt_label=None, app_label=None):
@@ -203,7 +207,11 @@ def audit_recompute(fact: DataFrame, products: DataFrame, d_from: str, d_to: str
         metric("customers", F.col("_cust"), F.col("total_customers"), F.col("_cust") == F.col("total_customers")),
         metric("aov", gt_aov, F.col("aov"), F.abs(gt_aov - F.col("aov")) < 1),
         metric("churn_rate_pct", gt_churn, F.col("_app_churn"), F.abs(gt_churn - F.col("_app_churn")) < 0.2),
-        metric("top_category", none, none, F.col("_gt_cat") == F.col("_app_cat"), F.col("_gt_cat"), F.col("_app_cat")))
+        metric("top_category", none, none, F.col("_gt_cat") == F.col("_app_cat"), F.col("_gt_cat"), F.col("_app_cat")),
+        metric("top_category_revenue", money(F.col("_gt_cat_rev")), F.col("_app_cat_rev"),
+               F.abs(money(F.col("_gt_cat_rev")) - F.col("_app_cat_rev")) < 1),
+        metric("pareto_top20_pct", F.col("_gt_pareto"), F.col("_app_pareto"),
+               F.abs(F.col("_gt_pareto") - F.col("_app_pareto")) < 0.2))
     return one.select(F.explode(metrics).alias("m")).select("m.*")
 
 

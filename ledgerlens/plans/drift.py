@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import global_row_number
+from ..sources.paths import read_if_exists
 
 # Features watched for drift (fixed list).
 MONITORED_FEATURES = ["recency", "frequency", "monetary", "avg_order_value",
@@ -83,14 +84,27 @@ def baseline_stats_api(rfm: DataFrame, id_col: str = "customer_id") -> DataFrame
         "feature", *[F.round(F.col(c), STAT_DIGITS).alias(c) for c in ("mean", "std", "p25", "p75")], "n_customers")
 
 
-def drift_check(baseline: DataFrame, current: DataFrame, threshold: float = DRIFT_THRESHOLD_STD) -> DataFrame:
-    """z = |mean_cur - mean_base| / std_base per feature present in both;
-    features with a zero or missing baseline std are skipped."""
+def feature_means(df: DataFrame, features: list[str] = MONITORED_FEATURES, by: str | None = None) -> DataFrame:
+    """feature, mean over non-null values (and ``by``, for each of its values):
+    one grouped pass, all that ``drift_check`` reads of the current side."""
+    present = [f for f in features if f in df.columns]
+    keys = [by] if by else []
+    wide = df.groupBy(*keys).agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in present])
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.round(F.col(f), STAT_DIGITS).alias("mean")) for f in present])
+    return wide.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.feature", "_p.mean").filter("mean is not null")
+
+
+def drift_check(baseline: DataFrame, current: DataFrame, threshold: float = DRIFT_THRESHOLD_STD,
+                by: str | None = None) -> DataFrame:
+    """z = |mean_cur - mean_base| / std_base per feature present in both (and
+    ``by``, for each of its values); features with a zero or missing baseline
+    std are skipped. Both sides hold one row per feature."""
+    keys = [by] if by else []
     b = baseline.select("feature", F.col("mean").alias("_bm"), F.col("std").alias("_bs"))
-    c = current.select("feature", F.col("mean").alias("_cm"))
+    c = current.select(*keys, "feature", F.col("mean").alias("_cm"))
     j = b.join(c, "feature").filter(F.col("_bs").isNotNull() & (F.col("_bs") != 0))
     z = F.abs(F.col("_cm") - F.col("_bm")) / F.col("_bs")
-    return j.select("feature", F.round("_bm", 4).alias("baseline_mean"), F.round("_cm", 4).alias("current_mean"),
+    return j.select(*keys, "feature", F.round("_bm", 4).alias("baseline_mean"), F.round("_cm", 4).alias("current_mean"),
                     F.round(z, 4).alias("z_score"), (z > threshold).alias("drifted"))
 
 
@@ -108,13 +122,6 @@ class DriftMonitor:
         self.baseline_path = os.path.join(root, "baseline_stats")
         self.log_path = os.path.join(root, "drift_log")
 
-    def _exists(self, path: str) -> bool:
-        try:
-            self.spark.read.parquet(path).schema
-            return True
-        except Exception:  # noqa: BLE001 - missing path
-            return False
-
     def set_baseline(self, features: DataFrame) -> DataFrame:
         stats = feature_stats(features).withColumn("set_at", F.lit(_dt.datetime.now(_dt.timezone.utc).isoformat()))
         stats.write.mode("overwrite").parquet(self.baseline_path)
@@ -123,20 +130,21 @@ class DriftMonitor:
     def check(self, features: DataFrame) -> DataFrame:
         """Compare with the stored baseline; without one, store it and report an
         empty (no drift) result. Each check is appended to the log."""
-        if not self._exists(self.baseline_path):
+        baseline = read_if_exists(self.spark, self.baseline_path)
+        if baseline is None:
             self.set_baseline(features)
             return self.spark.createDataFrame([], "feature string, baseline_mean double, current_mean double, "
                                                   "z_score double, drifted boolean")
-        report = drift_check(self.spark.read.parquet(self.baseline_path), feature_stats(features), self.threshold)
+        report = drift_check(baseline, feature_stats(features), self.threshold)
         checked_at = _dt.datetime.now(_dt.timezone.utc).isoformat()
         report.withColumn("checked_at", F.lit(checked_at)).write.mode("append").parquet(self.log_path)
         return report
 
     def last_report(self) -> DataFrame | None:
         """Rows of the latest check (log table filtered to its max checked_at)."""
-        if not self._exists(self.log_path):
+        log = read_if_exists(self.spark, self.log_path)
+        if log is None:
             return None
-        log = self.spark.read.parquet(self.log_path)
         last = log.agg(F.max("checked_at").alias("_last"))
         return log.join(F.broadcast(last), log.checked_at == last._last).drop("_last")
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .star import ITEM_ID_FACTOR, dim_customers, order_items, sale_price, status_from_order
+from .star import dim_customers, order_item_id, order_items, sale_price, status_from_order
 from .tables import Tables
 
 
@@ -34,7 +34,7 @@ def order_items_raw(t: Tables) -> DataFrame:
     status = status_from_order(F.col("o_orderstatus"), F.col("o_orderpriority"))
     created = F.col("o_orderdate").cast("timestamp_ntz")
     return j.select(
-        (F.col("l_orderkey") * ITEM_ID_FACTOR + F.col("_item_no")).alias("id"),
+        order_item_id(F.col("l_orderkey"), F.col("_item_no")).alias("id"),
         F.col("l_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"),
         F.col("l_partkey").alias("product_id"), status.alias("status"),
         sale_price(F.col("l_extendedprice"), F.col("l_discount")).cast("double").alias("sale_price"),

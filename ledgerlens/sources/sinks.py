@@ -14,14 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.quality import verify_counts
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except Exception:  # noqa: BLE001 - a missing path raises
-        return False
+from .paths import read_if_exists
 
 
 def sink_full_replace(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -35,9 +28,8 @@ def sink_full_replace(df: DataFrame, path: str, partition_by: list[str] | None =
 
 def high_water_mark(spark: SparkSession, path: str, col: str = "order_date"):
     """max(col) of the existing table, or None when it does not exist."""
-    if not _exists(spark, path):
-        return None
-    return spark.read.parquet(path).agg(F.max(col)).first()[0]
+    table = read_if_exists(spark, path)
+    return None if table is None else table.agg(F.max(col)).first()[0]
 
 
 def incremental_new_rows(existing: DataFrame | None, batch: DataFrame, col: str = "order_date") -> DataFrame:
@@ -54,18 +46,17 @@ def incremental_new_rows(existing: DataFrame | None, batch: DataFrame, col: str
 
 def sink_incremental(df: DataFrame, path: str, col: str = "order_date") -> int:
     """Append only new rows; full load when the table is missing. Returns the
-    number of rows written."""
+    number of rows written, counted in the table itself. Nothing is ever
+    overwritten: a table that is there but cannot be read raises."""
     spark = df.sparkSession
-    if not _exists(spark, path):
-        df.write.mode("overwrite").parquet(path)
+    before = read_if_exists(spark, path)
+    if before is None:
+        df.write.mode("append").parquet(path)
         return spark.read.parquet(path).count()
-    before = spark.read.parquet(path)
-    hwm = before.agg(F.max(col)).first()[0]
-    new = df.filter(F.col(col) > F.lit(hwm)) if hwm is not None else df
-    n = new.count()
-    if n:
-        new.write.mode("append").parquet(path)
-    return n
+    row = before.agg(F.max(col).alias("hwm"), F.count(F.lit(1)).alias("n")).first()
+    new = df if row.hwm is None else df.filter(F.col(col) > F.lit(row.hwm))
+    new.write.mode("append").parquet(path)
+    return spark.read.parquet(path).count() - row.n
 
 
 def load_all(tables: dict[str, DataFrame], base_path: str, mode: str = "full") -> DataFrame:
@@ -89,10 +80,10 @@ def versioned_output(df: DataFrame, base_path: str, name: str = "features", meta
     metadata table next to it. Returns the data path."""
     spark = df.sparkSession
     n = 1
-    while _exists(spark, os.path.join(base_path, f"{name}_v{n}")):
+    while read_if_exists(spark, os.path.join(base_path, f"{name}_v{n}")) is not None:
         n += 1
     out = os.path.join(base_path, f"{name}_v{n}")
-    df.write.mode("overwrite").parquet(out)
+    df.write.mode("errorifexists").parquet(out)
     meta = {"version": f"v{n}", "created_at": _dt.datetime.now(_dt.timezone.utc).isoformat(), "columns": df.columns}
     meta.update(metadata or {})
     spark.createDataFrame([(json.dumps(meta),)], "metadata string").write.mode("overwrite").parquet(out + "_meta")

@@ -3,8 +3,8 @@
 The commerce model of the reference (orders, order items, users, products) is
 mapped onto lineitem/orders/customer/part:
 
-* fact grain is the line item; ``order_item_id`` is ``order_id*1000 + n`` where
-  ``n`` numbers the items of one order (the pair (l_orderkey, l_linenumber) is
+* fact grain is the line item; ``order_item_id`` is ``order_id * 2^20 + n`` where
+  ``n`` (an order with more items raises) numbers the items of one order (the pair (l_orderkey, l_linenumber) is
   not unique in the data, so the number runs over all item columns);
 * status comes from order status and priority;
 * ``sale_price`` is exact ``decimal(18,2)``.
@@ -25,7 +25,8 @@ from .tables import Tables
 # Fixed mapping of (o_orderstatus, o_orderpriority) to the commerce status domain.
 STATUS_CANCELLED_PRIORITY = "5-LOW"
 STATUS_RETURNED_PRIORITY = "4-NOT SPECIFIED"
-ITEM_ID_FACTOR = 1000
+#: Items of one order that have room in ``order_item_id``; one more raises.
+ITEM_ID_FACTOR = 1 << 20
 
 
 def status_from_order(orderstatus: Column, priority: Column) -> Column:
@@ -46,6 +47,12 @@ LINEITEM_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_q
                     "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
+def order_item_id(order_id: Column, n: Column) -> Column:
+    """Unique id of the ``n``-th item of an order; raises where there is no room for it."""
+    fits = (n < ITEM_ID_FACTOR) & (order_id < (1 << 63) // ITEM_ID_FACTOR)
+    return F.when(fits, order_id * ITEM_ID_FACTOR + n).otherwise(F.raise_error(F.lit("order_item_id out of range")))
+
+
 def order_items(t: Tables) -> DataFrame:
     """Line items with a per-order item number. The window is partitioned by the
     order key, which is also the join key of the fact, so it reuses that shuffle."""
@@ -64,7 +71,7 @@ def fact_orders(t: Tables, with_item_id: bool = True) -> DataFrame:
     f = items.join(o, items.l_orderkey == o.o_orderkey, "inner")
     cols = [F.col("l_orderkey").alias("order_id")]
     if with_item_id:
-        cols.append((F.col("l_orderkey") * ITEM_ID_FACTOR + F.col("_item_no")).alias("order_item_id"))
+        cols.append(order_item_id(F.col("l_orderkey"), F.col("_item_no")).alias("order_item_id"))
     cols += [F.col("customer_id"), F.col("l_partkey").alias("product_id"),
              date_id(F.col("order_date")).alias("date_id"), F.col("order_date"),
              sale_price(F.col("l_extendedprice"), F.col("l_discount")).alias("sale_price"),

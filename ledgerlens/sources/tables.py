@@ -8,17 +8,15 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from .paths import is_missing, read_if_exists
+
 TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-def table_path(base_dir: str, name: str) -> str:
-    single = os.path.join(base_dir, f"{name}.parquet")
-    return single if os.path.exists(single) or "://" in base_dir else os.path.join(base_dir, name)
-
-
 def read_table(spark: SparkSession, base_dir: str, name: str, fmt: str = "parquet",
                options: dict | None = None, schema=None) -> DataFrame:
     """``scan_table``: full-table read of one source table.
@@ -31,20 +29,28 @@ def read_table(spark: SparkSession, base_dir: str, name: str, fmt: str = "parque
         reader = reader.schema(schema)
     if fmt == "jdbc":
         return reader.option("dbtable", (options or {}).get("dbtable", name)).load()
-    return reader.load(table_path(base_dir, name) if fmt == "parquet" else os.path.join(base_dir, name))
+    if fmt == "parquet":     # <name>.parquet, or else a folder of that name
+        try:
+            return reader.load(os.path.join(base_dir, f"{name}.parquet"))
+        except AnalysisException as e:
+            if not is_missing(e):
+                raise
+    return reader.load(os.path.join(base_dir, name))
 
 
 def extract_all(spark: SparkSession, base_dir: str, names: list[str], fmt: str = "parquet",
                 options: dict | None = None) -> dict[str, DataFrame]:
     """Lazy handles on several source tables; a missing table is skipped with
-    a warning (the extract step of the pipeline)."""
+    a warning (the extract step of the pipeline), any other error raises."""
     import warnings
     out = {}
     for n in names:
         try:
             out[n] = read_table(spark, base_dir, n, fmt, options)
-        except Exception as e:  # noqa: BLE001 - missing path or table
-            warnings.warn(f"table {n} skipped: {type(e).__name__}")
+        except AnalysisException as e:
+            if not is_missing(e):
+                raise
+            warnings.warn(f"table {n} skipped: nothing there")
     return out
 
 
@@ -64,12 +70,13 @@ class Tables:
 
 
 def read_staged(spark: SparkSession, path: str, name: str) -> DataFrame | None:
-    """``scan_parquet_stage``: read a staged table; a missing table gives None
-    (the caller skips it with a warning, as the staged DAG does)."""
-    p = os.path.join(path, name)
-    if "://" not in path and not os.path.exists(p):
-        return None
-    return spark.read.parquet(p)
+    """``scan_parquet_stage``: read a staged table; a missing table gives None and
+    a warning."""
+    import warnings
+    table = read_if_exists(spark, os.path.join(path, name))
+    if table is None:
+        warnings.warn(f"staged table {name} skipped: nothing there")
+    return table
 
 
 def write_staged(df: DataFrame, path: str, name: str) -> str:

@@ -12,7 +12,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.drift import drift_check, feature_stats
+from ..plans.drift import drift_check, feature_means
+from ..sources.paths import read_if_exists
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -20,33 +21,25 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
      .mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
 
 
-def _existing(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    try:
-        df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return None
-    return df.filter(F.col("batch_id") < batch_id)
-
-
 def stream_incremental_fact(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                            schema, date_col: str = "order_date", files_per_batch: int | None = 1):
-    """High-water append of new fact files. Rows not after the current maximum
-    of the sink (late or repeated rows) are dropped (strict mode). Runs all
+                            schema, date_col: str = "order_date", files_per_batch: int | None = None):
+    """High-water append of new fact files. Rows not after the maximum of the
+    earlier extracts (late or repeated rows) are dropped (strict mode). Runs all
     available files and stops (``availableNow``); returns the finished query.
 
-    The maximum is kept in a one-row-per-batch table next to the sink
-    (``<sink>_hwm``), so a micro-batch never rescans the loaded data."""
+    The files there at the start are one extract: all are held against the mark
+    that stood before it, in whatever order and however many batches they come,
+    and the mark moves once they are all in. A run that breaks off leaves the
+    old mark; the next one goes on with the files left over. Marks are rows
+    (last batch, maximum) of a small table next to the sink (``<sink>_hwm``), so
+    loaded data is not scanned again."""
     hwm_dir = sink_dir.rstrip("/") + "_hwm"
+    marks = read_if_exists(spark, hwm_dir)
+    last = marks.agg(F.max("hwm").alias("hwm"), F.max("last_batch").alias("batch")).first() if marks is not None else None
+    hwm, done = (last.hwm, last.batch) if last is not None else (None, -1)
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        prev = _existing(spark, hwm_dir, batch_id)
-        hwm = prev.agg(F.max("hwm")).first()[0] if prev is not None else None
-        new = batch if hwm is None else batch.filter(F.col(date_col) > F.lit(hwm))
-        _write_batch(new, sink_dir, batch_id)
-        mark = new.agg(F.max(date_col).alias("_m")).select(
-            F.greatest(F.col("_m"), F.lit(hwm).cast(batch.schema[date_col].dataType)).alias("hwm")) \
-            if hwm is not None else new.agg(F.max(date_col).alias("hwm"))
-        _write_batch(mark, hwm_dir, batch_id)
+        _write_batch(batch if hwm is None else batch.filter(F.col(date_col) > F.lit(hwm)), sink_dir, batch_id)
 
     reader = spark.readStream.schema(schema)
     if files_per_batch:
@@ -54,27 +47,27 @@ def stream_incremental_fact(spark: SparkSession, source_dir: str, sink_dir: str,
     q = (reader.parquet(source_dir).writeStream.foreachBatch(load)
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     q.awaitTermination()
+    loaded = read_if_exists(spark, sink_dir)
+    if loaded is not None:
+        new = loaded.filter(F.col("batch_id") > F.lit(done)).agg(
+            F.max("batch_id").cast("long").alias("last_batch"), F.max(date_col).alias("hwm")).filter("last_batch is not null")
+        new.coalesce(1).write.mode("append").parquet(hwm_dir)
     return q
 
 
 def stream_drift(spark: SparkSession, snapshots_dir: str, baseline_stats: DataFrame, log_dir: str,
                  checkpoint_dir: str, schema, snapshot_col: str = "snapshot_id", threshold: float = 3.0):
-    """For each arriving feature snapshot (rows tagged with ``snapshot_col``),
-    compare its statistics with the baseline and append one report per
-    snapshot and feature to ``log_dir``."""
-    baseline_stats = baseline_stats.persist()
+    """For each feature snapshot (rows tagged with ``snapshot_col``), compare its
+    statistics with the baseline and append one report per snapshot and feature
+    to ``log_dir``. All files there at the start are one batch, so a snapshot is
+    judged over all its files; a snapshot is to be written before the run that
+    checks it starts. All snapshots are judged together, by grouped aggregates."""
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        ids = [r[0] for r in batch.select(snapshot_col).distinct().collect()]  # snapshot ids of the batch (few)
-        reports = None
-        for sid in ids:
-            rep = drift_check(baseline_stats, feature_stats(batch.filter(F.col(snapshot_col) == sid)), threshold)
-            rep = rep.withColumn(snapshot_col, F.lit(sid))
-            reports = rep if reports is None else reports.unionByName(rep)
-        if reports is not None:
-            _write_batch(reports, log_dir, batch_id)
-
-    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(snapshots_dir)
+        _write_batch(drift_check(baseline_stats, feature_means(batch, by=snapshot_col), threshold, by=snapshot_col),
+                     log_dir, batch_id)
+
+    q = (spark.readStream.schema(schema).parquet(snapshots_dir)
          .writeStream.foreachBatch(check).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -6,10 +6,9 @@ from tests.compare import assert_same
 from tests.conftest import SF_SMALL
 
 ORACLES = E.oracle_sql()
-SLOW = {"stream_drift", "drift_check_history", "drift_check_scenario", "feature_stats"}
 
 
-@pytest.mark.parametrize("name", sorted(n for n in ORACLES if n not in SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, duck, name):
     got = E.queries()[name](spark, SF_SMALL).toPandas()
     want = duck.sql(ORACLES[name]).df()
