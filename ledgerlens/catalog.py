@@ -285,6 +285,13 @@ def _clv(s, d):
     return clv.fit_and_predict(_orders(s, d), months=1)
 
 
+def _clv_later(s, d):
+    """Customers as they stood at ``HISTORY_CUT``, seen from the last day: who has
+    not come back since is likely lost."""
+    from .models import clv
+    return clv.fit_and_predict(_orders_until(s, d, HISTORY_CUT), months=1, observation_end=_last(s, d))
+
+
 def _kmeans(s, d):
     from .models import segmentation
     return segmentation.run_kmeans(FE.build_all_features(_orders(s, d), _orders_full(s, d)))[0]
@@ -312,7 +319,7 @@ def _low_p_active_category(s, d, category="PROMO"):
     buyers = (FE.load_valid_orders(st.fact_slim).join(st.products.filter(F.col("category") == category)
                                                       .select("product_id"), "product_id", "left_semi")
               .select("customer_id").distinct())
-    return (_clv(s, d).filter(F.col("p_alive") < 0.2).join(buyers, "customer_id", "left_semi")
+    return (_clv_later(s, d).filter(F.col("p_alive") < 0.2).join(buyers, "customer_id", "left_semi")
             .select("customer_id", "p_alive", "frequency", "recency", "T"))
 
 

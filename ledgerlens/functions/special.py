@@ -1,6 +1,6 @@
 """Vectorised special functions (numpy only): log-gamma and Gauss 2F1.
 
-Used inside Arrow-batched pandas UDFs and by the small driver-side optimiser.
+Used inside Arrow-batched pandas UDFs.
 """
 from __future__ import annotations
 
@@ -31,48 +31,24 @@ def gammaln(x):
     return out if out.ndim else float(out)
 
 
-def hyp2f1(a, b, c, z, tol: float = 1e-15, max_terms: int = 5000):
-    """Gauss hypergeometric 2F1(a, b; c; z) by its power series, |z| < 1."""
-    a, b, c, z = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (a, b, c, z)))
-    term = np.ones_like(z)
-    total = np.ones_like(z)
-    for n in range(max_terms):
-        term = term * (a + n) * (b + n) / ((c + n) * (n + 1.0)) * z
+def hyp2f1(a, b, c, z, tol: float = 1e-15):
+    """Gauss hypergeometric 2F1(a, b; c; z) by its power series, 0 <= z < 1.
+
+    Summed until each value's terms have fallen below ``tol`` of it; terms fall
+    like z^n, so their number follows from z and the parameters. Raises for
+    values outside the series' reach."""
+    a, b, c, z = (np.array(v, dtype=float) for v in np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (a, b, c, z))))
+    if np.any(~(np.abs(z) < 1)):
+        raise ValueError("2F1: |z| must be below 1")
+    total, term, open_ = np.ones_like(z), np.ones_like(z), np.ones(z.shape, dtype=bool)
+    # past this index the terms' ratio stays below (1 + |z|) / 2
+    most = np.max((np.abs(a) + np.abs(b) + np.abs(c) + 40.0) / (1.0 - np.abs(z)), initial=1.0) * 8
+    n = 0
+    while open_.any():
+        if n > most:
+            raise ArithmeticError("2F1: the series has not converged")
+        term = np.where(open_, term * (a + n) * (b + n) / ((c + n) * (n + 1.0)) * z, 0.0)
         total = total + term
-        if np.all(np.abs(term) <= tol * np.abs(total)):
-            break
+        open_ &= np.abs(term) > tol * np.abs(total)
+        n += 1
     return total
-
-
-def nelder_mead(f, x0, step: float = 0.5, max_iter: int = 4000, tol: float = 1e-10):
-    """Minimise f over R^n (small n) with the Nelder-Mead simplex."""
-    x0 = np.asarray(x0, dtype=float)
-    n = len(x0)
-    pts = [x0] + [x0 + step * np.eye(n)[i] for i in range(n)]
-    vals = [f(p) for p in pts]
-    for _ in range(max_iter):
-        order = np.argsort(vals)
-        pts = [pts[i] for i in order]
-        vals = [vals[i] for i in order]
-        if abs(vals[-1] - vals[0]) <= tol * (abs(vals[0]) + tol) and \
-                max(np.max(np.abs(p - pts[0])) for p in pts[1:]) < 1e-8:
-            break
-        centroid = np.mean(pts[:-1], axis=0)
-        xr = centroid + (centroid - pts[-1])
-        fr = f(xr)
-        if fr < vals[0]:
-            xe = centroid + 2.0 * (centroid - pts[-1])
-            fe = f(xe)
-            pts[-1], vals[-1] = (xe, fe) if fe < fr else (xr, fr)
-        elif fr < vals[-2]:
-            pts[-1], vals[-1] = xr, fr
-        else:
-            xc = centroid + 0.5 * (pts[-1] - centroid)
-            fc = f(xc)
-            if fc < vals[-1]:
-                pts[-1], vals[-1] = xc, fc
-            else:
-                pts = [pts[0]] + [pts[0] + 0.5 * (p - pts[0]) for p in pts[1:]]
-                vals = [vals[0]] + [f(p) for p in pts[1:]]
-    best = int(np.argmin(vals))
-    return pts[best], vals[best]

@@ -4,9 +4,12 @@
 * Fitting maximises the published likelihoods (Fader, Hardie & Lee 2005;
   Fader & Hardie 2013). The data enter through sufficient statistics: BG/NBD
   needs only the distinct (x, t_x, T) triples with their counts, Gamma-Gamma
-  the distinct (x, m) pairs. When their number is within ``local_limit``
-  (checked with a count) they are fitted on the driver; beyond it each
-  likelihood evaluation is a distributed aggregate over the grouped table.
+  the distinct (x, m) pairs. Newton steps on the log parameters: one job
+  evaluates the penalised likelihood at all points that the gradient and the
+  Hessian need, one more a batch of step lengths, each as a sum over the
+  grouped table. The fit has converged when the gradient is near zero; else the
+  next penaliser is tried, and after the last one the fit raises. Times are
+  scaled to at most 10 before the penaliser applies.
 * Scoring is column arithmetic plus one Arrow-batched pandas UDF for 2F1.
 """
 from __future__ import annotations
@@ -18,12 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import gammaln, hyp2f1, nelder_mead
+from ..functions.special import gammaln, hyp2f1
 from ..operators.ranking import attach_scalars
 from ..plans.drift import long_form, quantiles
 
 PENALIZERS = [0.01, 0.1, 0.5, 1.0]
-LOCAL_LIMIT = 500_000
+MAX_STEPS = 100
+GRADIENT_TOL = 1e-5
+LARGEST_TIME = 10.0
 
 
 def clv_summary(orders: DataFrame, observation_end=None) -> DataFrame:
@@ -73,61 +78,80 @@ class FitResult:
     objective: float
 
 
-def _fit(ll, weights, names, penalizers=PENALIZERS) -> FitResult:
-    wsum = float(np.sum(weights))
-    for pen in penalizers:
-        def objective(logp):
-            p = np.exp(logp)
-            val = -np.sum(weights * ll(p)) / wsum + pen * np.sum(p ** 2)
-            return val if np.isfinite(val) else 1e300
-        best, val = nelder_mead(objective, np.zeros(len(names)))
-        if np.isfinite(val) and val < 1e299:
-            return FitResult(dict(zip(names, np.exp(best).tolist())), pen, float(val))
-    raise RuntimeError("likelihood fit did not converge")
-
-
-def _grouped(df: DataFrame, cols: list[str], local_limit: int) -> pd.DataFrame | None:
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("w"))
-    if g.count() > local_limit:
-        return None
-    return g.toPandas()
-
-
-def _distributed_objective(g: DataFrame, cols, ll_fn):
-    """Weighted log-likelihood summed by the executors (grouped table cached)."""
-    g = g.persist()
-
-    def total_ll(params) -> tuple[float, float]:
+def _evaluator(grouped: DataFrame, cols: list[str], ll_fn):
+    """points -> mean log likelihood of each, in one job over the grouped table."""
+    def means(points: np.ndarray) -> np.ndarray:
         def part(batches):
-            s = w = 0.0
+            total, weight = np.zeros(len(points)), 0.0
             for b in batches:
-                vals = ll_fn(params, *[b[c].to_numpy(float) for c in cols])
-                s += float(np.sum(b["w"].to_numpy(float) * vals))
-                w += float(b["w"].sum())
-            yield pd.DataFrame({"s": [s], "w": [w]})
-        row = g.mapInPandas(part, "s double, w double").agg(F.sum("s").alias("s"), F.sum("w").alias("w")).first()
-        return row["s"], row["w"]
-    return total_ll
-
-
-def fit_bgnbd(summary: DataFrame, local_limit: int = LOCAL_LIMIT) -> FitResult:
-    cols = ["frequency", "recency", "T"]
-    local = _grouped(summary, cols, local_limit)
-    names = ["r", "alpha", "a", "b"]
-    if local is not None:
-        x, tx, T, w = (local[c].to_numpy(float) for c in cols + ["w"])
-        return _fit(lambda p: _bgnbd_ll(p, x, tx, T), w, names)
-    g = summary.groupBy(*cols).agg(F.count(F.lit(1)).alias("w"))
-    total_ll = _distributed_objective(g, cols, _bgnbd_ll)
-    for pen in PENALIZERS:
-        def objective(logp):
-            s, wsum = total_ll(np.exp(logp))
-            val = -s / wsum + pen * np.sum(np.exp(logp) ** 2)
-            return val if np.isfinite(val) else 1e300
-        best, val = nelder_mead(objective, np.zeros(4), max_iter=400)
-        if val < 1e299:
-            return FitResult(dict(zip(names, np.exp(best).tolist())), pen, float(val))
-    raise RuntimeError("BG/NBD fit did not converge")
+                data = [b[c].to_numpy(float) for c in cols]
+                w = b["w"].to_numpy(float)
+                weight += float(w.sum())
+                total += np.array([float(np.sum(w * ll_fn(p, *data))) for p in points])
+            yield pd.DataFrame({"s": [total.tolist()], "w": [weight]})
+        sums = grouped.mapInPandas(part, "s array<double>, w double")
+        row = sums.agg(F.sum("w").alias("w"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(len(points))]).first()
+        return np.array([row[f"s{i}"] for i in range(len(points))]) / row["w"]
+    return means
+
+
+def _newton(means, n: int, penalizer: float, step: float = 3e-4) -> tuple[np.ndarray, float, bool]:
+    """(log parameters, objective, converged) of the penalised mean likelihood's minimum."""
+    def objective(points: list[np.ndarray]) -> np.ndarray:
+        p = np.exp(np.array(points))
+        with np.errstate(all="ignore"):
+            v = -means(p) + penalizer * (p ** 2).sum(axis=1)
+        return np.where(np.isfinite(v), v, np.inf)
+
+    x, eye = np.zeros(n), np.eye(n) * step
+    pairs = [(i, j) for i in range(n) for j in range(i)]
+    value = np.inf
+    for _ in range(MAX_STEPS):
+        v = objective([x] + [x + s * eye[i] for i in range(n) for s in (1, -1)]
+                      + [x + a * eye[i] + b * eye[j] for i, j in pairs for a, b in ((1, 1), (1, -1), (-1, 1), (-1, -1))])
+        value, up, down, cross = v[0], v[1:2 * n + 1:2], v[2:2 * n + 1:2], v[2 * n + 1:].reshape(-1, 4)
+        if not np.all(np.isfinite(v)):
+            return x, value, False
+        gradient = (up - down) / (2 * step)
+        if np.abs(gradient).max() < GRADIENT_TOL:
+            return x, float(value), True
+        hessian = np.diag((up - 2 * value + down) / step ** 2)
+        for (i, j), c in zip(pairs, cross):
+            hessian[i, j] = hessian[j, i] = (c[0] - c[1] - c[2] + c[3]) / (4 * step ** 2)
+        size, axes = np.linalg.eigh(hessian)
+        move = -axes @ ((axes.T @ gradient) / np.maximum(np.abs(size), 2e-6))     # downhill also where it is not convex
+        move *= min(1.0, 2.0 / np.abs(move).max())
+        lengths = [1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001]
+        tried = objective([x + t * move for t in lengths])
+        best = int(tried.argmin())
+        if tried[best] >= value:
+            return x, float(value), bool(np.abs(gradient).max() < 10 * GRADIENT_TOL)
+        x = x + lengths[best] * move
+    return x, float(value), False
+
+
+def _fit(grouped: DataFrame, cols: list[str], ll_fn, names: list[str]) -> FitResult:
+    grouped = grouped.persist()
+    try:
+        means = _evaluator(grouped, cols, ll_fn)
+        for penalizer in PENALIZERS:
+            x, value, converged = _newton(means, len(names), penalizer)
+            if converged:
+                return FitResult(dict(zip(names, np.exp(x).tolist())), penalizer, value)
+    finally:
+        grouped.unpersist()
+    raise RuntimeError("the likelihood fit did not converge with any penaliser")
+
+
+def fit_bgnbd(summary: DataFrame) -> FitResult:
+    """r, alpha, a, b. Times are scaled for the fit; alpha comes back in days."""
+    longest = summary.agg(F.max("T")).first()[0]
+    scale = LARGEST_TIME / longest if longest else 1.0
+    g = summary.groupBy("frequency", (F.col("recency") * scale).alias("tx"), (F.col("T") * scale).alias("t")).agg(
+        F.count(F.lit(1)).alias("w"))
+    fit = _fit(g, ["frequency", "tx", "t"], _bgnbd_ll, ["r", "alpha", "a", "b"])
+    fit.params["alpha"] /= scale
+    return fit
 
 
 def gg_training_set(summary: DataFrame, upper_quantile: float = 0.999) -> DataFrame:
@@ -138,25 +162,9 @@ def gg_training_set(summary: DataFrame, upper_quantile: float = 0.999) -> DataFr
     return attach_scalars(ret, q).filter(F.col("monetary_value") <= F.col("upper")).drop("upper")
 
 
-def fit_gamma_gamma(summary: DataFrame, local_limit: int = LOCAL_LIMIT) -> FitResult:
-    train = gg_training_set(summary)
-    cols = ["frequency", "monetary_value"]
-    names = ["p", "q", "v"]
-    local = _grouped(train, cols, local_limit)
-    if local is not None:
-        x, m, w = (local[c].to_numpy(float) for c in cols + ["w"])
-        return _fit(lambda p: _gg_ll(p, x, m), w, names)
-    g = train.groupBy(*cols).agg(F.count(F.lit(1)).alias("w"))
-    total_ll = _distributed_objective(g, cols, _gg_ll)
-    for pen in PENALIZERS:
-        def objective(logp):
-            s, wsum = total_ll(np.exp(logp))
-            val = -s / wsum + pen * np.sum(np.exp(logp) ** 2)
-            return val if np.isfinite(val) else 1e300
-        best, val = nelder_mead(objective, np.zeros(3), max_iter=400)
-        if val < 1e299:
-            return FitResult(dict(zip(names, np.exp(best).tolist())), pen, float(val))
-    raise RuntimeError("Gamma-Gamma fit did not converge")
+def fit_gamma_gamma(summary: DataFrame) -> FitResult:
+    g = gg_training_set(summary).groupBy("frequency", "monetary_value").agg(F.count(F.lit(1)).alias("w"))
+    return _fit(g, ["frequency", "monetary_value"], _gg_ll, ["p", "q", "v"])
 
 
 # ------------------------------------------------------------------ scoring ---
@@ -211,8 +219,8 @@ def clv_predict(summary: DataFrame, bg: dict, gg: dict, months: int = 1, discoun
         p_alive(bg).alias("p_alive"))
 
 
-def fit_and_predict(orders: DataFrame, months: int = 1) -> DataFrame:
-    summary = clv_summary(orders).persist()
+def fit_and_predict(orders: DataFrame, months: int = 1, observation_end=None) -> DataFrame:
+    summary = clv_summary(orders, observation_end)
     bg = fit_bgnbd(summary)
     gg = fit_gamma_gamma(summary)
     return clv_predict(summary, bg.params, gg.params, months)

@@ -21,7 +21,7 @@ def _prepared(rfm: DataFrame, features: list[str]):
     return scaler.transform(vec), scaler
 
 
-def run_kmeans(rfm: DataFrame, n_clusters: int = 4, seed: int = 42, n_init: int = 3):
+def run_kmeans(rfm: DataFrame, n_clusters: int = 4, seed: int = 42, n_init: int = 10):
     """Fit k-means ``n_init`` times (seeds seed, seed+1, ...) and keep the lowest
     cost; label clusters by the centroid score monetary - .3 recency + 2
     frequency in original units. Returns (scored DataFrame, model, centroids)."""
@@ -35,6 +35,7 @@ def run_kmeans(rfm: DataFrame, n_clusters: int = 4, seed: int = 42, n_init: int
         if best is None or cost < best[0]:
             best = (cost, model)
     model = best[1]
+    data.unpersist()
     mean, std = np.array(scaler.mean.toArray()), np.array(scaler.std.toArray())
     centroids = [mean + std * np.array(c) for c in model.clusterCenters()]
     idx = {f: i for i, f in enumerate(features)}
@@ -56,4 +57,5 @@ def silhouette_k_sweep(rfm: DataFrame, k_values=range(2, 9), seed: int = 42) ->
     for k in k_values:
         model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(data)
         rows.append((int(k), float(model.summary.trainingCost), float(evaluator.evaluate(model.transform(data)))))
+    data.unpersist()
     return rfm.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")

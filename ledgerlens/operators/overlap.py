@@ -2,12 +2,12 @@
 
 score(q, e) = number of distinct lower-cased whitespace tokens shared; keep
 score > 0, best k per question, ties by example id. Tokenisation runs in the
-JVM. When the question tokens fit the broadcast budget (checked by a count),
-they are broadcast as a token -> questions table and every example partition
-counts its overlaps with numpy and keeps only its own k best examples per
-question, so the shuffle carries at most k rows per question and partition;
-beyond the budget the token join is a shuffle join and the counts a grouped
-aggregate.
+JVM. The questions go to the tasks in blocks of at most ``block_tokens``
+distinct (question, token) rows, so what is broadcast has a fixed bound; more
+questions take more passes over the examples. A task scores one Arrow batch of
+whole examples at a time against the block and keeps the running best k of each
+question, so it holds and shuffles k rows per question, however many examples
+share a word with it.
 """
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 # Characters Python's str.split() treats as whitespace (ASCII and common Unicode).
 WHITESPACE = "[\\s\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-DEFAULT_BROADCAST_TOKENS = 2_000_000
+BLOCK_TOKENS = 250_000
 
 
 def distinct_tokens(df: DataFrame, id_col: str, text_col: str, out_id: str) -> DataFrame:
@@ -27,76 +27,55 @@ def distinct_tokens(df: DataFrame, id_col: str, text_col: str, out_id: str) -> D
             .filter(F.col("token") != ""))
 
 
-def _partition_scorer(bc, k: int):
-    """Score every example of a partition against all questions with numpy and
-    keep the partition's k best examples per question.
+def token_blocks(qtok: DataFrame, block_tokens: int):
+    """The (q_id, token) rows in blocks of about ``block_tokens``, whole questions
+    together: (token -> position, offsets, question positions, question ids)."""
+    n_blocks = max(1, -(-qtok.count() // block_tokens))
+    for k in range(n_blocks):
+        pdf = qtok.filter(F.pmod(F.xxhash64("q_id"), F.lit(n_blocks)) == k).toPandas()   # at most about one block
+        ids = np.sort(pdf["q_id"].unique()).astype(np.int64)
+        pdf = pdf.assign(q=np.searchsorted(ids, pdf["q_id"].to_numpy(np.int64))).sort_values(["token", "q"])
+        tokens, first = np.unique(pdf["token"].to_numpy(dtype=str), return_index=True)
+        yield ({t: i for i, t in enumerate(tokens.tolist())}, np.append(first, len(pdf)).astype(np.int64),
+               pdf["q"].to_numpy(np.int64), ids)
+
+
+def _running_best(block, k: int):
+    index, offsets, questions, ids = block
 
-    ``bc`` holds (token -> row index, CSR offsets, question ids per row, all
-    question ids) of the broadcast question tokens."""
     def run(batches):
-        index, offsets, q_ids, all_q = bc.value
-        nq = len(all_q)
-        keys, counts = [], []
+        best = pd.DataFrame({"q": pd.Series(dtype="int64"), "e_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
         for b in batches:
-            if not len(b):
-                continue
-            tok = b["token"].map(index)
-            ok = tok.notna().to_numpy()
-            if not ok.any():
-                continue
-            t = tok.to_numpy()[ok].astype(np.int64)
-            e = b["e_id"].to_numpy()[ok].astype(np.int64)
-            lens = offsets[t + 1] - offsets[t]
-            starts = np.repeat(offsets[t], lens)
+            tokens = [[index[t] for t in row if t in index] for row in b["tokens"]]
+            sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+            at = np.array([i for t in tokens for i in t], dtype=np.int64)
+            lens = offsets[at + 1] - offsets[at]
             within = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-            q = q_ids[starts + within]
-            key = np.repeat(e, lens) * nq + q
-            u, c = np.unique(key, return_counts=True)
-            keys.append(u)
-            counts.append(c)
-        if not keys:
-            return
-        key = np.concatenate(keys)
-        cnt = np.concatenate(counts)
-        u, inv = np.unique(key, return_inverse=True)
-        score = np.bincount(inv, weights=cnt).astype(np.int64)
-        df = pd.DataFrame({"q_idx": u % nq, "e_id": u // nq, "score": score})
-        df = df.sort_values(["q_idx", "score", "e_id"], ascending=[True, False, True]).groupby("q_idx").head(k)
-        yield pd.DataFrame({"q_id": all_q[df["q_idx"].to_numpy()], "e_id": df["e_id"].to_numpy(),
-                            "score": df["score"].to_numpy()})
+            q = questions[np.repeat(offsets[at], lens) + within]
+            doc = np.repeat(np.repeat(np.arange(len(tokens)), sizes), lens)
+            pair, score = np.unique(doc * max(1, len(ids)) + q, return_counts=True)
+            new = pd.DataFrame({"q": pair % max(1, len(ids)), "e_id": b["e_id"].to_numpy(np.int64)[pair // max(1, len(ids))], "score": score})
+            best = (pd.concat([best, new]).sort_values(["q", "score", "e_id"], ascending=[True, False, True])
+                    .groupby("q").head(k))
+        yield pd.DataFrame({"q_id": ids[best["q"].to_numpy(np.int64)], "e_id": best["e_id"].to_numpy(np.int64),
+                            "score": best["score"].to_numpy(np.int64)})
     return run
 
 
-def _broadcast_questions(spark, qtok: DataFrame):
-    """Question tokens (size checked by the caller) as a CSR table."""
-    pdf = qtok.toPandas()
-    all_q = np.sort(pdf["q_id"].unique()).astype(np.int64)
-    qpos = {q: i for i, q in enumerate(all_q)}
-    pdf = pdf.assign(q_idx=pdf["q_id"].map(qpos)).sort_values(["token", "q_idx"])
-    tokens = pdf["token"].unique()
-    index = {t: i for i, t in enumerate(tokens)}
-    sizes = pdf.groupby("token", sort=True).size().reindex(tokens).to_numpy()
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    return spark.sparkContext.broadcast((index, offsets, pdf["q_idx"].to_numpy().astype(np.int64), all_q))
-
-
 def overlap_top_k(questions: DataFrame, examples: DataFrame, q_id: str, q_text: str, e_id: str,
-                  e_text: str, k: int = 2, broadcast_tokens: int = DEFAULT_BROADCAST_TOKENS) -> DataFrame:
+                  e_text: str, k: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     qtok = distinct_tokens(questions, q_id, q_text, "q_id")
     cores = examples.sparkSession.sparkContext.defaultParallelism
     if examples.rdd.getNumPartitions() < cores:
         # few input splits (large row groups): spread the texts before the
         # tokenizer, which is the expensive step
         examples = examples.select(e_id, e_text).repartition(cores)
-    etok = distinct_tokens(examples, e_id, e_text, "e_id")
-    schema = "q_id long, e_id long, score long"
-    n_qtok = qtok.count()
-    if n_qtok <= broadcast_tokens:
-        bc = _broadcast_questions(questions.sparkSession, qtok)
-        cand = etok.select(F.col("e_id").cast("long"), "token").mapInPandas(_partition_scorer(bc, k), schema)
-    else:
-        pairs = etok.join(qtok, "token")
-        cand = pairs.groupBy("q_id", "e_id").agg(F.count(F.lit(1)).alias("score"))
+    toks = F.array_distinct(F.split(F.lower(F.col(e_text)), WHITESPACE))
+    etok = examples.select(F.col(e_id).cast("long").alias("e_id"), toks.alias("tokens")).filter("e_id is not null and tokens is not null")
+    cand = None
+    for block in token_blocks(qtok, block_tokens):
+        part = etok.mapInPandas(_running_best(block, k), "q_id long, e_id long, score long")
+        cand = part if cand is None else cand.unionByName(part)
     w = Window.partitionBy("q_id").orderBy(F.col("score").desc(), F.col("e_id").asc())
     return (cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
             .select(F.col("q_id").alias("question_id"), F.col("e_id").alias("example_id"), "score", "rank"))

@@ -40,8 +40,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make sure reliable checkpoints have a directory.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; it is used
-    as is. Only when nothing is configured (local tests) a scratch folder is
-    created.
+    as is. Where nothing is configured, a local session (one machine) gets a
+    scratch folder of its own, and any other raises: a folder of the driver is
+    not seen by the executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     local_dir = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local_dir)
     return local_dir

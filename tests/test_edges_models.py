@@ -105,12 +105,12 @@ def test_top_products_ties_broken_by_product_id(spark):
     assert got == [3, 7]
 
 
-def test_overlap_shuffle_path_equals_broadcast_path(spark):
+def test_overlap_in_blocks_equals_one_block(spark):
     from ledgerlens.operators.overlap import overlap_top_k
     st = load_star(spark, SF_SMALL)
     q, e = st.tables.benchmark, st.tables.documents
     a = overlap_top_k(q, e, "item_id", "text", "doc_id", "text", k=2)
-    b = overlap_top_k(q, e, "item_id", "text", "doc_id", "text", k=2, broadcast_tokens=0)
+    b = overlap_top_k(q, e, "item_id", "text", "doc_id", "text", k=2, block_tokens=100)
     assert sorted(a.collect()) == sorted(b.collect()) and a.count() > 0
 
 
@@ -120,9 +120,66 @@ def test_clv_distributed_likelihood_equals_local(spark):
     summary = clv.clv_summary(C._orders(spark, SF_SMALL))
     cols = ["frequency", "recency", "T"]
     g = summary.groupBy(*cols).agg(F.count(F.lit(1)).alias("w"))
-    total_ll = clv._distributed_objective(g, cols, clv._bgnbd_ll)
-    params = np.array([0.5, 2.0, 0.8, 1.5])
-    s, w = total_ll(params)
+    points = np.array([[0.5, 2.0, 0.8, 1.5], [0.7, 9.0, 0.4, 2.5]])
+    got = clv._evaluator(g, cols, clv._bgnbd_ll)(points)
     local = g.toPandas()
-    want = float(np.sum(local["w"] * clv._bgnbd_ll(params, *[local[c].to_numpy(float) for c in cols])))
-    assert w == float(local["w"].sum()) and abs(s - want) <= 1e-9 * abs(want)
+    for p, value in zip(points, got):
+        want = float(np.average(clv._bgnbd_ll(p, *[local[c].to_numpy(float) for c in cols]), weights=local["w"]))
+        assert abs(value - want) <= 1e-9 * abs(want)
+
+
+def test_bgnbd_fit_recovers_simulated_customers(spark):
+    import numpy as np
+    from ledgerlens.models import clv
+    rng = np.random.default_rng(11)
+    r, alpha, a, b, n = 2.0, 40.0, 1.2, 3.0, 4000
+    rate, drop, t_end = rng.gamma(r, 1 / alpha, n), rng.beta(a, b, n), rng.integers(200, 400, n)
+    rows = []
+    for lam, p, end in zip(rate, drop, t_end):
+        t, x, last = 0.0, 0, 0.0
+        while True:
+            t += rng.exponential(1 / lam)
+            if t > end:
+                break
+            x, last = x + 1, t
+            if rng.random() < p:
+                break
+        rows.append((float(x), float(round(last)), float(end)))
+    summary = spark.createDataFrame(rows, "frequency double, recency double, T double")
+    fit = clv.fit_bgnbd(summary)
+    mean_rate, mean_drop = fit.params["r"] / fit.params["alpha"], fit.params["a"] / (fit.params["a"] + fit.params["b"])
+    assert abs(mean_rate - r / alpha) < 0.2 * r / alpha and abs(mean_drop - a / (a + b)) < 0.1
+    # the optimum of the penalised likelihood: no single parameter can be moved to advantage
+    g = summary.groupBy("frequency", "recency", "T").agg(F.count(F.lit(1)).alias("w"))
+    scale = clv.LARGEST_TIME / 399
+    x, tx, t, w = (g.toPandas()[c].to_numpy(float) for c in ("frequency", "recency", "T", "w"))
+    def objective(p):
+        q = np.array([p[0], p[1] * scale, p[2], p[3]])
+        return -np.average(clv._bgnbd_ll(q, x, tx * scale, t * scale), weights=w) + fit.penalizer * (q ** 2).sum()
+    best = np.array([fit.params[k] for k in ("r", "alpha", "a", "b")])
+    for i in range(4):
+        for f in (0.97, 1.03):
+            moved = best.copy()
+            moved[i] *= f
+            assert objective(moved) > objective(best)
+
+
+def test_hyp2f1_against_closed_forms():
+    import numpy as np
+    from ledgerlens.functions.special import hyp2f1
+    z = np.array([0.0, 0.3, 0.9, 0.999, 0.9999])
+    assert np.allclose(hyp2f1(1.0, 1.0, 2.0, z[1:]), -np.log1p(-z[1:]) / z[1:], rtol=1e-9)
+    assert np.allclose(hyp2f1(3.0, 2.5, 2.5, z[:4]), (1 - z[:4]) ** -3.0, rtol=1e-9)
+    with pytest.raises(ValueError):
+        hyp2f1(1.0, 1.0, 2.0, 1.0)
+
+
+def test_churn_split_and_folds_are_stratified(spark):
+    from ledgerlens.models import churn
+    df = spark.createDataFrame([(i, float(i % 7 == 0)) for i in range(1003)], "customer_id long, label double")
+    got = df.join(churn.stratified_split(df), "customer_id").collect()
+    for y in (0.0, 1.0):
+        rows = [r for r in got if r.label == y]
+        assert sum(r.is_test for r in rows) == -(-len(rows) * 20 // 100)
+        folds = [sum(r.fold == k and not r.is_test for r in rows) for k in range(5)]
+        assert max(folds) - min(folds) <= 1
