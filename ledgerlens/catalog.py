@@ -97,8 +97,8 @@ def feature_queries() -> dict[str, Query]:
     return {
         "create_rfm": lambda s, d: FE.create_rfm(_orders(s, d)),
         "rfm_features": lambda s, d: FE.build_rfm_features(_orders(s, d)),
-        "all_features": lambda s, d: FE.build_all_features(_orders(s, d), _orders_full(s, d)),
-        "product_diversity": lambda s, d: FE.product_diversity(_orders_full(s, d)),
+        "all_features": _features,
+        "product_diversity": lambda s, d: FE.product_diversity(_orders(s, d), _star(s, d).customers, _star(s, d).products),
         "lag_features": lambda s, d: FE.lag_features(_orders(s, d)),
         "channel_mode": lambda s, d: FE.channel_mode(_star(s, d).channels),
         "item_features": lambda s, d: FE.item_features(_orders(s, d)),
@@ -243,10 +243,7 @@ def _orders_until(s, d, until):
 
 def _features(s, d, until=None):
     st = _star(s, d)
-    full = _orders_full(s, d)
-    if until:
-        full = full.filter(F.col("order_date") <= F.lit(until).cast("date"))
-    return FE.build_all_features(_orders(s, d) if until is None else _orders_until(s, d, until), full)
+    return FE.build_all_features(_orders(s, d) if until is None else _orders_until(s, d, until), st.customers, st.products)
 
 
 def _scenario(df):
@@ -258,9 +255,9 @@ def monitoring_queries() -> dict[str, Query]:
         "feature_stats": lambda s, d: DR.feature_stats(_features(s, d)),
         "baseline_stats_api": lambda s, d: DR.baseline_stats_api(_features(s, d)),
         "drift_check_scenario": lambda s, d: DR.drift_check(DR.feature_stats(_features(s, d)),
-                                                            DR.feature_stats(_scenario(_features(s, d)))),
+                                                            DR.feature_means(_scenario(_features(s, d)))),
         "drift_check_history": lambda s, d: DR.drift_check(DR.feature_stats(_features(s, d)),
-                                                           DR.feature_stats(_features(s, d, HISTORY_CUT))),
+                                                           DR.feature_means(_features(s, d, HISTORY_CUT))),
         "churn_heuristic": lambda s, d: SC.churn_heuristic(FE.create_rfm(_orders(s, d))),
         "churn_pseudo_features": lambda s, d: SC.churn_pseudo_features(FE.create_rfm(_orders(s, d))),
         "segment_score_batch": lambda s, d: SC.segment_score_batch(FE.create_rfm(_orders_until(s, d, HISTORY_CUT)),
@@ -294,7 +291,7 @@ def _clv_later(s, d):
 
 def _kmeans(s, d):
     from .models import segmentation
-    return segmentation.run_kmeans(FE.build_all_features(_orders(s, d), _orders_full(s, d)))[0]
+    return segmentation.run_kmeans(_features(s, d))[0]
 
 
 def _at_risk_top_clv(s, d):
@@ -325,13 +322,13 @@ def _low_p_active_category(s, d, category="PROMO"):
 
 def _churn(s, d, kinds=("lr", "gbt")):
     from .models import churn
-    feats = FE.build_all_features(_orders(s, d), _orders_full(s, d))
+    feats = _features(s, d)
     return churn.train_churn_model(feats, kinds=kinds)
 
 
 def _gbt_importance(s, d):
     from .models import churn
-    feats = FE.build_all_features(_orders(s, d), _orders_full(s, d))
+    feats = _features(s, d)
     data = churn.class_weights(churn.prepare(feats)).filter(~F.col("is_test"))
     model = churn._pipeline("gbt", [f for f in churn.CHURN_FEATURES if f in feats.columns]).fit(data)
     return churn.feature_importance(model)
@@ -339,7 +336,7 @@ def _gbt_importance(s, d):
 
 def _churn_scores(s, d):
     from .models import churn
-    feats = FE.build_all_features(_orders(s, d), _orders_full(s, d))
+    feats = _features(s, d)
     model, _, _ = churn.train_churn_model(feats, kinds=("lr",))
     return churn.predict_churn_risk(model, feats)
 

@@ -62,24 +62,55 @@ def global_row_number(df: DataFrame, order_by: list[Column] | None, rn_col: str
     return out.drop(_PID, _IDX, _OFF, _TOTAL)
 
 
-def ntile_from_rank(rn: Column, total: Column, tiles: int) -> Column:
-    """SQL NTILE(tiles) from a 1-based row number and the row count: with
-    b = n div tiles and e = n mod tiles, the first e tiles hold b+1 rows."""
-    b = idiv(total, F.lit(tiles))
-    e = total - b * F.lit(tiles)
-    big = e * (b + F.lit(1))
-    first = idiv(rn - F.lit(1), b + F.lit(1)) + F.lit(1)
-    rest = e + idiv(rn - F.lit(1) - big, F.greatest(b, F.lit(1))) + F.lit(1)
-    return F.when(rn <= big, first).otherwise(rest).cast("long")
-
-
-def ntile(df: DataFrame, order_by: list[Column], tiles: int, out_col: str,
-          num_partitions: int | None = None) -> DataFrame:
-    """``NTILE(tiles) OVER (ORDER BY order_by)`` computed without one-task windows."""
-    ranked = global_row_number(df, order_by, rn_col="_nt_rn", total_col="_nt_total",
-                               num_partitions=num_partitions)
-    return (ranked.withColumn(out_col, ntile_from_rank(F.col("_nt_rn"), F.col("_nt_total"), tiles))
-            .drop("_nt_rn", "_nt_total"))
+def _cuts_below(score: int, key: Column) -> Column:
+    return F.size(F.filter("_cuts", lambda c: (c["s"] == score) & (c["k"] < key)))
+
+
+def ntiles(df: DataFrame, scores: dict[str, list[Column]], id_col: str, tiles: int) -> DataFrame:
+    """``NTILE(tiles) OVER (ORDER BY keys, id)`` for several scores at once.
+
+    ``scores``: column name -> up to two numeric keys, ascending (negate for
+    descending); ties go by the id. Only (score, keys, id) is ranked, all scores
+    in one go; of the ranks just the last key of each tile is kept, and every row
+    finds its tile by comparing its keys with these few."""
+    def key(keys: list[Column]) -> Column:
+        first, second = (keys + [F.lit(0)])[:2]
+        return F.struct(first.cast("decimal(38,6)").alias("a"), second.cast("decimal(38,6)").alias("b"),
+                        F.col(id_col).alias("id"))
+
+    every = F.array(*[F.struct(F.lit(i).alias("s"), key(k).alias("k")) for i, k in enumerate(scores.values())])
+    narrow = df.select(F.explode(every).alias("_x")).select("_x.s", "_x.k")
+    ranked = global_row_number(narrow, [F.col("s").asc(), F.col("k").asc()], "_rn", total_col="_total")
+    n = idiv(F.col("_total"), F.lit(len(scores)))
+    at = F.col("_rn") - F.col("s") * n
+    # tile t ends at row t * (n div tiles) + min(t, n mod tiles)
+    ends = [F.lit(t) * idiv(n, F.lit(tiles)) + F.least(F.lit(t), n % tiles) for t in range(1, tiles)]
+    cuts = ranked.select("s", "k", F.explode(F.array(*[F.when(at == e, F.lit(t)) for t, e in enumerate(ends, 1)])).alias("t"))
+    # (tiles - 1) keys of each score, attached as one value
+    held = cuts.filter("t is not null").agg(F.collect_list(F.struct("s", "k")).alias("_cuts"))
+    out = attach_scalars(df, held)
+    for i, (name, keys) in enumerate(scores.items()):
+        # a tile without rows ends where the one before it does, and counts as passed there too
+        out = out.withColumn(name, (_cuts_below(i, key(keys)) + 1).cast("long"))
+    return out.drop("_cuts")
+
+
+def value_counts(values: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, value, n, before): how often each value occurs and how many rows of
+    its group are smaller. Ranks the distinct values only, so a value that most
+    rows share costs no more than any other."""
+    counted = values.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+    run = global_running_sums(counted, [*[F.col(g).asc() for g in group], F.col(value).asc()], ["n"], rn_col="_rn")
+    run = run.withColumn("_before", F.col("cum_n") - F.col("n"))
+    if not group:
+        return run.select(value, "n", F.col("_before").alias("before"))
+    first = run.groupBy(*group).agg(F.min("_before").alias("_first"))     # a row for each group
+    return run.join(F.broadcast(first), group).select(*group, value, "n", (F.col("_before") - F.col("_first")).alias("before"))
+
+
+def value_at(counted: DataFrame, value: str, position: Column) -> Column:
+    """Aggregate over ``value_counts`` rows: the value at a 0-based position in order."""
+    return F.max(F.when((F.col("before") <= position) & (position < F.col("before") + F.col("n")), F.col(value)))
 
 
 def qcut_positions(inputs: DataFrame, population: DataFrame, id_col: str, value_col: str,
@@ -88,18 +119,16 @@ def qcut_positions(inputs: DataFrame, population: DataFrame, id_col: str, value_
     value, and the population size + 1. This is the rank the row gets when it
     is put in front of the population and ranked with ``method="first"``.
 
-    One global order over (population ∪ inputs) by (value, inputs first, id);
-    the running count of population rows at an input row is the number of
-    population values below it."""
-    pop = population.select(F.col(value_col).cast("double").alias("_v"), F.lit(1).alias("_is_pop"),
-                            F.lit(None).cast(inputs.schema[id_col].dataType).alias(id_col))
-    inp = inputs.select(F.col(value_col).cast("double").alias("_v"), F.lit(0).alias("_is_pop"), F.col(id_col))
-    run = global_running_sums(pop.unionByName(inp),
-                              [F.col("_v").asc(), F.col("_is_pop").asc(), F.col(id_col).asc_nulls_last()],
-                              ["_is_pop"], rn_col="_rn_all")
+    Only distinct values are ordered: those of the population with their
+    counts, those of the inputs with count 0."""
+    v = F.col(value_col).cast("double").alias("_v")
+    both = (population.select(v, F.lit(1).alias("_w")).groupBy("_v").agg(F.sum("_w").alias("_w"))
+            .unionByName(inputs.select(v, F.lit(0).cast("long").alias("_w")).distinct())
+            .groupBy("_v").agg(F.sum("_w").alias("_w")))
+    run = global_running_sums(both, [F.col("_v").asc()], ["_w"], rn_col="_rn_all")
+    below = run.select(F.col("_v").alias("_bv"), (F.col("cum__w") - F.col("_w") + 1).alias(out_col))
     pop_n = population.agg(F.count(F.lit(1)).alias("_pop_n"))
-    pos = (run.filter(F.col("_is_pop") == 0)
-           .select(id_col, (F.col("cum__is_pop") + F.lit(1)).alias(out_col)))
+    pos = inputs.select(id_col, v).join(below, F.col("_v").eqNullSafe(F.col("_bv"))).select(id_col, out_col)
     return attach_scalars(pos, pop_n).select(id_col, out_col, (F.col("_pop_n") + 1).alias(out_col + "_n"))
 
 

@@ -1,8 +1,9 @@
 """Feature drift: per-feature statistics in long form, baseline comparison by
 z-score, and an append-only drift log.
 
-Medians and quantiles are exact: one global rank over (feature, value) rows
-(no single-task window, no collect), then the rows at the needed positions."""
+Medians and quantiles are exact: the distinct values of each feature with their
+counts are put in order (no single-task window, no collect), and the values at
+the needed positions taken."""
 from __future__ import annotations
 
 import datetime as _dt
@@ -11,7 +12,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ranking import global_row_number
+from ..operators.ranking import value_at, value_counts
 from ..sources.paths import read_if_exists
 
 # Features watched for drift (fixed list).
@@ -30,56 +31,51 @@ def long_form(df: DataFrame, features: list[str], id_col: str = "customer_id") -
             .select("_id", "_p.feature", "_p.value").filter(F.col("value").isNotNull()))
 
 
-def _ranked(long: DataFrame) -> DataFrame:
-    r = global_row_number(long, [F.col("feature").asc(), F.col("value").asc(), F.col("_id").asc()], rn_col="_rn")
-    first = r.groupBy("feature").agg(F.min("_rn").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    # one row per feature: broadcast is bounded by the feature list
-    return r.join(F.broadcast(first), "feature").withColumn("_k", F.col("_rn") - F.col("_first"))
+def _counted(long: DataFrame) -> DataFrame:
+    """(feature, value, n, before) and the feature's total ``_n``."""
+    c = value_counts(long, ["feature"], "value")
+    total = c.groupBy("feature").agg(F.sum("n").alias("_n"))
+    return c.join(F.broadcast(total), "feature")     # a row for each feature of the list
 
 
-def quantiles(long: DataFrame, probs: dict[str, float], ranked: DataFrame | None = None) -> DataFrame:
+def quantiles(long: DataFrame, probs: dict[str, float], counted: DataFrame | None = None) -> DataFrame:
     """Linear-interpolated quantiles per feature (value at 0-based position
     (n-1)p, interpolated between its neighbours)."""
-    r = ranked if ranked is not None else _ranked(long)
+    c = counted if counted is not None else _counted(long)
     aggs = []
     for name, p in probs.items():
         h = (F.col("_n") - 1) * F.lit(p)
-        lo, hi = F.floor(h), F.ceil(h)
-        vlo = F.max(F.when(F.col("_k") == lo, F.col("value")))
-        vhi = F.max(F.when(F.col("_k") == hi, F.col("value")))
-        frac = F.max(F.when(F.col("_k") == lo, h - lo))
-        aggs.append((vlo + (vhi - vlo) * frac).alias(name))
-    return r.groupBy("feature").agg(*aggs)
+        lo, hi = value_at(c, "value", F.floor(h)), value_at(c, "value", F.ceil(h))
+        aggs.append((lo + (hi - lo) * F.max(h - F.floor(h))).alias(name))
+    return c.groupBy("feature").agg(*aggs)
 
 
-def medians(long: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
-    """Median per feature as the mean of the two middle values."""
-    r = ranked if ranked is not None else _ranked(long)
-    lo = F.floor((F.col("_n") - 1) / 2)
-    hi = F.ceil((F.col("_n") - 1) / 2)
-    return r.filter((F.col("_k") == lo) | (F.col("_k") == hi)).groupBy("feature").agg(
-        ((F.max("value") + F.min("value")) / 2).alias("median"))
+def _moments(counted: DataFrame) -> DataFrame:
+    """feature, mean, std (sample), min, max, count from the counted values; the
+    squares are taken from the mean, so nothing cancels."""
+    mean = counted.groupBy("feature").agg((F.sum(F.col("value") * F.col("n")) / F.max("_n")).alias("mean"))
+    d = counted.join(F.broadcast(mean), "feature")   # a row for each feature of the list
+    square = F.sum(F.col("n") * (F.col("value") - F.col("mean")) * (F.col("value") - F.col("mean")))
+    return d.groupBy("feature").agg(
+        F.max("mean").alias("mean"), F.when(F.max("_n") > 1, F.sqrt(square / (F.max("_n") - 1))).alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"), F.max("_n").alias("count"),
+        ((value_at(d, "value", F.floor((F.col("_n") - 1) / 2)) + value_at(d, "value", F.ceil((F.col("_n") - 1) / 2))) / 2)
+        .alias("median"))
 
 
 def feature_stats(df: DataFrame, features: list[str] = MONITORED_FEATURES, id_col: str = "customer_id") -> DataFrame:
-    """feature, mean, std (sample), min, max, median, count over non-null values."""
-    long = long_form(df, features, id_col)
-    ranked = _ranked(long)   # checkpointed once; every statistic is read from it
-    base = ranked.groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"), F.count(F.lit(1)).alias("count"))
-    out = base.join(medians(long, ranked), "feature")
+    """feature, mean, std (sample), min, max, median, count over non-null values,
+    all from one table of distinct values and their counts."""
+    out = _moments(_counted(long_form(df, features, id_col)))
     return out.select("feature", *[F.round(F.col(c), STAT_DIGITS).alias(c) for c in ("mean", "std", "min", "max", "median")],
                       "count")
 
 
 def baseline_stats_api(rfm: DataFrame, id_col: str = "customer_id") -> DataFrame:
     """mean, std, p25, p75 of recency, frequency, monetary."""
-    long = long_form(rfm, API_BASELINE_FEATURES, id_col)
-    ranked = _ranked(long)
-    base = ranked.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-                                         F.count(F.lit(1)).alias("n_customers"))
-    q = quantiles(long, {"p25": 0.25, "p75": 0.75}, ranked)
+    counted = _counted(long_form(rfm, API_BASELINE_FEATURES, id_col))
+    base = _moments(counted).select("feature", "mean", "std", F.col("count").alias("n_customers"))
+    q = quantiles(None, {"p25": 0.25, "p75": 0.75}, counted)
     return base.join(q, "feature").select(
         "feature", *[F.round(F.col(c), STAT_DIGITS).alias(c) for c in ("mean", "std", "p25", "p75")], "n_customers")
 
@@ -135,7 +131,7 @@ class DriftMonitor:
             self.set_baseline(features)
             return self.spark.createDataFrame([], "feature string, baseline_mean double, current_mean double, "
                                                   "z_score double, drifted boolean")
-        report = drift_check(baseline, feature_stats(features), self.threshold)
+        report = drift_check(baseline, feature_means(features), self.threshold)
         checked_at = _dt.datetime.now(_dt.timezone.utc).isoformat()
         report.withColumn("checked_at", F.lit(checked_at)).write.mode("append").parquet(self.log_path)
         return report

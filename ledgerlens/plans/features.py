@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import CHURN_THRESHOLD_DAYS, lit_date, valid_status
-from ..operators.ranking import attach_scalars, global_row_number
+from ..operators.ranking import attach_scalars, value_at, value_counts
 from ..operators.topk import top_k_per_group
 
 DEFAULT_WINDOWS = (30, 60)
@@ -98,33 +98,33 @@ def customer_aggregates(orders: DataFrame, snapshot_date=None, windows=DEFAULT_W
 
 def fill_gap_median(feat: DataFrame) -> DataFrame:
     """NULL avg_days_between_orders -> median over customers (mean of the two
-    middle values for an even count), found by a distributed global rank. All
-    rows go through the rank (NULLs last), so the output is read from the
-    checkpointed rows and the features are computed once."""
+    middle values for an even count). Only the distinct gaps and their counts are
+    put in order; the median comes back as one value."""
     gap = F.col("avg_days_between_orders")
-    ranked = global_row_number(feat, [gap.asc_nulls_last(), F.col("customer_id").asc()], rn_col="_rn")
-    n = ranked.agg(F.count(gap).alias("_n"))
-    r = attach_scalars(ranked, n)
-    lo = F.floor((F.col("_n") + 1) / 2)
-    hi = F.ceil((F.col("_n") + 1) / 2)
-    med = (r.filter((F.col("_rn") == lo) | (F.col("_rn") == hi)).agg(F.avg(gap).alias("_median")))
-    return (attach_scalars(ranked, med)
-            .withColumn("avg_days_between_orders", F.coalesce(gap, F.col("_median")))
-            .drop("_median", "_rn"))
-
-
-def product_diversity(orders_full: DataFrame) -> DataFrame:
+    counted = value_counts(feat.select(gap.alias("g")).filter("g is not null"), [], "g")
+    n = counted.agg(F.sum("n").alias("_n"))
+    mid = attach_scalars(counted, n)
+    lo, hi = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
+    med = mid.agg(((value_at(mid, "g", lo) + value_at(mid, "g", hi)) / 2).alias("_median"))
+    return attach_scalars(feat, med).withColumn("avg_days_between_orders", F.coalesce(gap, F.col("_median"))).drop("_median")
+
+
+def product_diversity(orders: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
     """unique_categories, unique_products, last_category (latest non-null
-    category; ties on the date broken by order id, then product id — rows tied
-    on all three carry the same category)."""
-    last_key = F.struct(F.col("order_date"), F.col("order_id"), F.col("product_id"))
-    per_cp = (orders_full.filter(F.col("customer_id").isNotNull())
-              .groupBy("customer_id", "product_id", "category")
-              .agg(F.max(last_key).alias("_last")))
-    return per_cp.groupBy("customer_id").agg(
+    category; ties on the date broken by order id, then product id) over the
+    valid items of known customers; products missing from the dimension count
+    for nothing. The items are reduced to (customer, product) before any
+    dimension is joined."""
+    per_cp = (orders.filter("customer_id is not null").groupBy("customer_id", "product_id")
+              .agg(F.max(F.struct("order_date", "order_id")).alias("_last")))
+    known = per_cp.join(customers.select("customer_id"), "customer_id", "left_semi")
+    dp = products.select(F.col("product_id").alias("_p"), "category")
+    j = known.join(dp, F.col("product_id") == F.col("_p"), "left")
+    latest = F.when(F.col("category").isNotNull(), F.struct("_last", F.col("_p")))
+    return j.groupBy("customer_id").agg(
         F.countDistinct("category").alias("unique_categories"),
-        F.countDistinct("product_id").alias("unique_products"),
-        F.max_by(F.col("category"), F.when(F.col("category").isNotNull(), F.col("_last"))).alias("last_category"))
+        F.countDistinct("_p").alias("unique_products"),
+        F.max_by(F.col("category"), latest).alias("last_category"))
 
 
 def lag_features(orders: DataFrame, lags=DEFAULT_LAGS, salt_buckets: int = 64) -> DataFrame:
@@ -174,11 +174,11 @@ def build_rfm_features(orders: DataFrame, snapshot_date=None, churn_threshold: i
     return churn_label(fill_gap_median(agg.select(*cols)), churn_threshold)
 
 
-def build_all_features(orders: DataFrame, orders_full: DataFrame, snapshot_date=None,
+def build_all_features(orders: DataFrame, customers: DataFrame, products: DataFrame, snapshot_date=None,
                        churn_threshold: int = CHURN_THRESHOLD_DAYS, windows=DEFAULT_WINDOWS) -> DataFrame:
     """rfm -> behavioral -> product diversity -> time windows -> label."""
     agg = fill_gap_median(customer_aggregates(orders, snapshot_date, windows))
-    prod = product_diversity(orders_full)
+    prod = product_diversity(orders, customers, products)
     feat = (agg.join(prod, "customer_id", "left")
             .withColumn("unique_categories", F.coalesce(F.col("unique_categories"), F.lit(1)).cast("long"))
             .withColumn("unique_products", F.coalesce(F.col("unique_products"), F.lit(1)).cast("long")))

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import date_range_filter, lit_date, segment_key, valid_status
-from ..operators.ranking import ntile
+from ..operators.ranking import ntiles
 
 
 def customer_rfm(fact: DataFrame, d_from, d_to, as_of=None) -> DataFrame:
@@ -28,13 +28,9 @@ def score_rfm(rfm: DataFrame, recency_tiebreak: bool = True) -> DataFrame:
     r: recency DESC; f: frequency ASC[, recency DESC]; m: monetary ASC[,
     recency DESC]; every order ends with customer_id ASC so ties are
     deterministic."""
-    cid = F.col("customer_id").asc()
-    r_order = [F.col("recency").desc(), cid]
-    f_order = [F.col("frequency").asc()] + ([F.col("recency").desc()] if recency_tiebreak else []) + [cid]
-    m_order = [F.col("monetary").asc()] + ([F.col("recency").desc()] if recency_tiebreak else []) + [cid]
-    scored = ntile(rfm, r_order, 5, "r_score")
-    scored = ntile(scored, f_order, 5, "f_score")
-    scored = ntile(scored, m_order, 5, "m_score")
+    late = [-F.col("recency")] if recency_tiebreak else []
+    scored = ntiles(rfm, {"r_score": [-F.col("recency")], "f_score": [F.col("frequency")] + late,
+                          "m_score": [F.col("monetary")] + late}, "customer_id", 5)
     total = F.col("r_score") + F.col("f_score") + F.col("m_score")
     return scored.withColumn("rfm_total", total).withColumn("segment_key", segment_key(total))
 

@@ -4,19 +4,37 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.ranking import (global_row_number, global_running_sums, ntile, qcut_bin,
-                                          qcut_positions)
+from ledgerlens.operators.ranking import (global_row_number, global_running_sums, ntiles, qcut_bin,
+                                          qcut_positions, value_at, value_counts)
 
 
-@pytest.mark.parametrize("n", [1, 4, 5, 9, 23, 1000, 1004])
-def test_ntile_matches_window(spark, n):
-    df = spark.range(n).select(F.col("id").alias("k"), (F.col("id") * 7919 % 13).alias("v"))
-    order = [F.col("v").desc(), F.col("k").asc()]
-    got = ntile(df, order, 5, "t").select("k", "t")
-    want = df.select("k", F.ntile(5).over(Window.orderBy(*order)).cast("long").alias("t"))
+@pytest.mark.parametrize("n", [1, 3, 4, 5, 9, 23, 1000, 1004])
+def test_ntiles_match_windows(spark, n):
+    df = spark.range(n).select(F.col("id").alias("k"), (F.col("id") * 7919 % 13).alias("v"), (F.col("id") % 3).alias("w"))
+    got = ntiles(df, {"t": [-F.col("v")], "u": [F.col("w"), -F.col("v")]}, "k", 5).select("k", "t", "u")
+    tile = lambda *o: F.ntile(5).over(Window.orderBy(*o)).cast("long")
+    want = df.select("k", tile(F.col("v").desc(), "k").alias("t"), tile("w", F.col("v").desc(), "k").alias("u"))
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def test_value_counts_give_exact_positions(spark):
+    rows = [("a", float(i % 5)) for i in range(103)] + [("b", 7.0)] * 50 + [("b", 1.5)]
+    counted = value_counts(spark.createDataFrame(rows, "f string, x double"), ["f"], "x")
+    got = {r.f: r for r in counted.groupBy("f").agg(*[value_at(counted, "x", F.lit(p)).alias(f"p{p}") for p in (0, 1, 50)]).collect()}
+    for f in "ab":
+        order = sorted(x for g, x in rows if g == f)
+        assert [got[f][f"p{p}"] for p in (0, 1, 50)] == [order[p] for p in (0, 1, 50)]
+
+
+@pytest.mark.parametrize("hot", [0.9, 1.0])
+def test_qcut_with_one_value_held_by_most(spark, hot):
+    pop = [1.0 if i < 500 * hot else float(i) for i in range(500)]
+    inputs = spark.createDataFrame([(1, 0.5), (2, 1.0), (3, 470.0)], "customer_id long, x double")
+    popdf = spark.createDataFrame([(100 + i, v) for i, v in enumerate(pop)], "customer_id long, x double")
+    got = {r.customer_id: (r.r, r.r_n) for r in qcut_positions(inputs, popdf, "customer_id", "x", "r").collect()}
+    assert got == {i: (1 + sum(p < v for p in pop), 501) for i, v in ((1, 0.5), (2, 1.0), (3, 470.0))}
+
+
 def test_row_number_plan_has_no_single_partition(spark):
     df = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") % 97).alias("v"))
     out = global_row_number(df, [F.col("v").asc(), F.col("k").asc()], "rn")
