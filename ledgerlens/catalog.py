@@ -88,9 +88,14 @@ def _orders(s, d):
     return FE.load_valid_orders(_star(s, d).fact_slim)
 
 
-def _orders_full(s, d):
+def _load_full_orphans(s, d):
+    """Valid items against dimensions that lack every 7th customer and 5th product."""
     st = _star(s, d)
-    return FE.load_full(st.fact_slim, st.customers, st.products)
+    full = FE.load_full(st.fact_slim, st.customers.filter("customer_id % 7 <> 0"), st.products.filter("product_id % 5 <> 0"))
+    return full.groupBy(F.col("customer_id").isNull().alias("no_customer"), F.col("product_id").isNull().alias("no_product")).agg(
+        F.count(F.lit(1)).alias("items"), F.sum("sale_price").alias("revenue"),
+        F.countDistinct("customer_id").alias("customers"), F.countDistinct("product_id").alias("products"),
+        F.countDistinct("category").alias("categories"))
 
 
 def feature_queries() -> dict[str, Query]:
@@ -100,7 +105,8 @@ def feature_queries() -> dict[str, Query]:
         "all_features": _features,
         "product_diversity": lambda s, d: FE.product_diversity(_orders(s, d), _star(s, d).customers, _star(s, d).products),
         "lag_features": lambda s, d: FE.lag_features(_orders(s, d)),
-        "channel_mode": lambda s, d: FE.channel_mode(_star(s, d).channels),
+        "channel_mode": lambda s, d: FE.channel_mode(_star(s, d).channels, _star(s, d).customers),
+        "load_full_orphans": _load_full_orphans,
         "item_features": lambda s, d: FE.item_features(_orders(s, d)),
     }
 
@@ -113,6 +119,7 @@ def feature_oracles() -> dict[str, str]:
         "product_diversity": O.product_diversity(),
         "lag_features": O.lag_features(),
         "channel_mode": O.channel_mode(),
+        "load_full_orphans": O.load_full_orphans(),
         "item_features": O.item_features(),
     }
 
@@ -431,6 +438,173 @@ def _stream_drift(s, d):
     return s.read.parquet(log).drop("batch_id")
 
 
+def _scratch(s, name):
+    from .streaming.incremental import scratch_dir
+    return scratch_dir(s, name)
+
+
+def _sink_incremental(s, d):
+    """A table loaded up to ``HISTORY_CUT``, then the whole fact appended twice."""
+    from .sources import sinks
+    path = _scratch(s, "sink-incremental") + "/fact"
+    fact = _star(s, d).fact_slim
+    sinks.sink_incremental(fact.filter(F.col("order_date") <= F.lit(HISTORY_CUT).cast("date")).repartition(5, "order_id"), path)
+    sinks.sink_incremental(fact.repartition(7, "order_id"), path)
+    sinks.sink_incremental(fact, path)
+    return s.read.parquet(path)
+
+
+def _sink_full_replace(s, d):
+    """An older, longer table replaced by the products."""
+    from .sources import sinks
+    path = _scratch(s, "sink-full") + "/dim_products"
+    products = _etl(s, d)["dim_products"]
+    sinks.sink_full_replace(products.union(products), path)
+    sinks.sink_full_replace(products, path)
+    return s.read.parquet(path)
+
+
+def _load_all(s, d):
+    """The star loaded in full and then incrementally; rows per table as loaded."""
+    from .sources import sinks
+    base, star = _scratch(s, "load-all"), _etl(s, d, surrogate_key=False)
+    sinks.load_all(star, base)
+    return sinks.load_all(star, base, mode="incremental")
+
+
+def _verify_counts_missing(s, d):
+    """Counts of a star of which one table was never loaded."""
+    from .sources import sinks
+    from .sources.paths import read_if_exists
+    base, star = _scratch(s, "verify"), _etl(s, d, surrogate_key=False)
+    sinks.load_all({n: df for n, df in star.items() if n != "dim_date"}, base)
+    return QA.verify_counts({n: read_if_exists(s, f"{base}/{n}") for n in star})
+
+
+def _staged(s, d):
+    """Users written to the stage, read back and cleaned."""
+    from .sources.tables import read_staged, write_staged
+    base = _scratch(s, "stage")
+    write_staged(_raw(s, d)["users"], base, "users")
+    return ETL.clean_users(read_staged(s, base, "users"))
+
+
+def _versioned(s, d):
+    """The second version of a feature table, read back."""
+    from .sources import sinks
+    base, rfm = _scratch(s, "versions"), FE.create_rfm(_orders(s, d))
+    sinks.versioned_output(rfm.limit(0), base, "rfm")
+    return s.read.parquet(sinks.versioned_output(rfm, base, "rfm"))
+
+
+def _exported(s, d):
+    """Scores exported as CSV, read back."""
+    from .sources import sinks
+    path, scores = _scratch(s, "export") + "/scores", SC.churn_heuristic(FE.create_rfm(_orders(s, d)))
+    sinks.export_scores(scores, path)
+    return s.read.schema(scores.schema).option("header", True).csv(path)
+
+
+def _margin(s, d):
+    """Fact built from items that carry their product's cost."""
+    raw = _raw(s, d)
+    cost = raw["products"].select(F.col("id").alias("product_id"), F.col("cost").cast("double").alias("cost"))
+    items = raw["order_items"].join(cost, "product_id", "left")
+    fact = ETL.build_fact_orders(ETL.clean_order_items(items), ETL.clean_orders(raw["orders"]), surrogate_key=False)
+    return fact.select("order_item_id", F.round("margin", 4).alias("margin"))
+
+
+def _drift_baseline(s, d):
+    return DR.DriftMonitor(s, _scratch(s, "drift")).set_baseline(_features(s, d)).drop("set_at")
+
+
+def _drift_log(s, d):
+    """The latest report of a monitor's log after two checks."""
+    monitor, features = DR.DriftMonitor(s, _scratch(s, "drift")), _features(s, d)
+    monitor.set_baseline(features)
+    monitor.check(features)
+    monitor.check(_scenario(features))
+    return monitor.last_report().drop("checked_at")
+
+
+def _dirty_raw(s, d):
+    """Raw tables with faults: most order statuses missing, no email column, few products."""
+    raw = dict(_raw(s, d))
+    raw["orders"] = raw["orders"].select("order_id", F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("status"), "created_at")
+    raw["users"] = raw["users"].drop("email")
+    raw["products"] = raw["products"].filter("id <= 50")
+    return raw
+
+
+def _dirty_orphans(s, d):
+    """Orphan check against a dimension without every 7th customer."""
+    star = _etl(s, d, surrogate_key=False)
+    return QA.anti_orphans(star["fact_orders"], star["dim_customers"].filter("customer_id % 7 <> 0"))
+
+
+def _churn_split(s, d):
+    """Hold-out and fold sizes of each class."""
+    from .models import churn
+    split = churn.prepare(_features(s, d))
+    return (split.groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("n"))
+            .select("label", "is_test", "n"))
+
+
+def _blend_given(s, d):
+    """Blend with a supplied model probability (here 1 / (1 + frequency))."""
+    rfm = FE.create_rfm(_orders(s, d)).withColumn("model_probability", F.lit(1.0) / (F.lit(1.0) + F.col("frequency")))
+    return SC.churn_blend(rfm).select("customer_id", "churn_probability", "risk_level", "prediction")
+
+
+def _p_active_given(s, d):
+    """P(alive) under fixed parameters."""
+    from .models import clv
+    params = {"r": 0.8, "alpha": 60.0, "a": 0.9, "b": 2.5}
+    return clv.clv_summary(_orders(s, d)).select("customer_id", F.round(clv.p_alive(params), 6).alias("p_alive"))
+
+
+def _als_invariants(s, d):
+    """What any recommendation must satisfy, counted over all customers."""
+    from .models import recommend as REC
+    m = REC.interaction_matrix(_orders(s, d)).checkpoint()
+    recs = REC.recommend(REC.train_als(m), m, n=5).checkpoint()
+    bought = recs.join(m, ["customer_id", "product_id"], "left_semi").agg(F.count(F.lit(1)).alias("already_bought"))
+    per = recs.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"), F.countDistinct("rank").alias("ranks"))
+    total = per.agg(F.count(F.lit(1)).alias("customers"), F.sum("n").cast("long").alias("recommendations"),
+                    F.count(F.when((F.col("last") != F.col("n")) | (F.col("ranks") != F.col("n")), 1)).alias("gaps_in_rank"))
+    return total.join(F.broadcast(bought))     # one row each
+
+
+def _lookup_enrich(s, d):
+    """Name and category of every product bought, with the fall-back labels where the dimension lacks it."""
+    from .models import recommend as REC
+    recs = _orders(s, d).select("customer_id", "product_id").distinct().withColumn("rank", F.lit(1))
+    return REC.enrich(recs, _star(s, d).products.filter("product_id % 3 <> 0"))
+
+
+def load_queries() -> dict[str, Query]:
+    return {
+        "sink_incremental": _sink_incremental, "sink_full_replace": _sink_full_replace, "load_all": _load_all,
+        "verify_counts_missing": _verify_counts_missing, "scan_parquet_stage": _staged, "versioned_output": _versioned,
+        "export_scores": _exported, "margin": _margin, "drift_set_baseline": _drift_baseline, "drift_log": _drift_log,
+        "validate_raw_dirty": lambda s, d: QA.validate_raw(_dirty_raw(s, d)), "anti_orphans_dirty": _dirty_orphans,
+        "churn_split": _churn_split, "churn_blend_given": _blend_given, "p_active_given": _p_active_given,
+        "als_invariants": _als_invariants, "lookup_enrich": _lookup_enrich,
+    }
+
+
+def load_oracles() -> dict[str, str]:
+    return {
+        "sink_incremental": O.stream_incremental_fact(HISTORY_CUT), "sink_full_replace": O.etl("etl_dim_products"),
+        "load_all": O.verify_counts(), "verify_counts_missing": O.verify_counts_missing(), "scan_parquet_stage": O.etl("clean_users"),
+        "versioned_output": O.create_rfm(), "export_scores": O.churn_heuristic(), "margin": O.margin(),
+        "drift_set_baseline": O.feature_stats(), "drift_log": O.drift_check(scenario=True),
+        "validate_raw_dirty": O.validate_raw_dirty(), "anti_orphans_dirty": O.anti_orphans("AND customer_id % 7 <> 0"),
+        "churn_split": O.churn_split(), "churn_blend_given": O.churn_blend_given(), "p_active_given": O.p_active_given(),
+        "als_invariants": O.als_invariants(), "lookup_enrich": O.lookup_enrich(),
+    }
+
+
 def stream_queries() -> dict[str, Query]:
     return {"incremental_new_rows": _incremental, "stream_incremental_fact": _stream_fact,
             "stream_drift": _stream_drift}
@@ -489,6 +663,7 @@ def queries() -> dict[str, Query]:
     q.update(monitoring_queries())
     q.update(model_queries())
     q.update(stream_queries())
+    q.update(load_queries())
     q.update(rollup_queries())
     return {k: _wrap(v) for k, v in q.items()}
 
@@ -502,5 +677,6 @@ def oracles() -> dict[str, str]:
     o.update(monitoring_oracles())
     o.update(model_oracles())
     o.update(stream_oracles())
+    o.update(load_oracles())
     o.update(rollup_oracles())
     return o

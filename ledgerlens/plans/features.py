@@ -143,11 +143,14 @@ def lag_features(orders: DataFrame, lags=DEFAULT_LAGS, salt_buckets: int = 64) -
     return top.groupBy("customer_id").agg(*aggs)
 
 
-def channel_mode(channels: DataFrame) -> DataFrame:
-    """Most frequent channel per customer, the smallest value on ties."""
+def channel_mode(channels: DataFrame, customers: DataFrame) -> DataFrame:
+    """Most frequent channel of every customer, the smallest value on ties;
+    'Unknown' for customers without one."""
     counts = channels.filter(F.col("channel").isNotNull()).groupBy("customer_id", "channel").agg(F.count(F.lit(1)).alias("_n"))
-    return counts.groupBy("customer_id").agg(
-        F.min_by(F.col("channel"), F.struct((-F.col("_n")).alias("n"), F.col("channel").alias("c"))).alias("primary_channel"))
+    modes = counts.groupBy("customer_id").agg(
+        F.min_by(F.col("channel"), F.struct((-F.col("_n")).alias("n"), F.col("channel").alias("c"))).alias("_mode"))
+    return customers.select("customer_id").join(modes, "customer_id", "left").select(
+        "customer_id", F.coalesce("_mode", F.lit("Unknown")).alias("primary_channel"))
 
 
 def item_features(orders: DataFrame) -> DataFrame:

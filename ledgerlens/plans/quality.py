@@ -95,6 +95,11 @@ def anti_orphans(fact: DataFrame, dim: DataFrame, key: str = "customer_id") -> D
 
 
 def verify_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """Row count per table (union of one-row counts)."""
-    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows") for n, df in tables.items()]
+    """Row count per table (union of one-row counts); a table that is None (not
+    there) is reported with NULL rows and does not stop the others."""
+    spark = next(df.sparkSession for df in tables.values() if df is not None)
+    parts = [spark.range(1).select(F.lit(n).alias("table"), F.lit(None).cast("long").alias("rows"))
+             for n, df in tables.items() if df is None]
+    parts += [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows") for n, df in tables.items()
+              if df is not None]
     return reduce(DataFrame.unionByName, parts)

@@ -72,7 +72,7 @@ def load_all(tables: dict[str, DataFrame], base_path: str, mode: str = "full") -
         else:
             sink_full_replace(tables[name], path)
     spark = next(iter(tables.values())).sparkSession
-    return verify_counts({n: spark.read.parquet(os.path.join(base_path, n)) for n in order if n in tables})
+    return verify_counts({n: read_if_exists(spark, os.path.join(base_path, n)) for n in order if n in tables})
 
 
 def versioned_output(df: DataFrame, base_path: str, name: str = "features", metadata: dict | None = None) -> str:
