@@ -62,6 +62,28 @@ def global_row_number(df: DataFrame, order_by: list[Column] | None, rn_col: str
     return out.drop(_PID, _IDX, _OFF, _TOTAL)
 
 
+def range_row_number(df: DataFrame, keys: list[str], rn_col: str = "rn", ranges: int | None = None) -> DataFrame:
+    """1-based row number in the order of ``keys`` (unique together; nulls last)
+    without writing the rows anywhere.
+
+    Bounds are taken once from approximate quantiles of the first key and used
+    by two passes: one counts the rows of each range (it reads the first key
+    only), one numbers the rows inside their range. The counts (a row for each
+    range) become offsets. Only the quantiles are computed right away."""
+    spark = df.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.col(keys[0])
+    bounds = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    cuts = sorted(set(bounds or []))
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b < key)) if cuts else F.lit(0)
+    ranged = df.withColumn("_range", F.when(key.isNull(), F.lit(len(cuts) + 1)).otherwise(place))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(*[F.col(k).asc_nulls_last() for k in keys])
+    return (ranged.withColumn("_at", F.row_number().over(inside)).join(F.broadcast(offsets), "_range")
+            .withColumn(rn_col, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before"))
+
+
 def _cuts_below(score: int, key: Column) -> Column:
     return F.size(F.filter("_cuts", lambda c: (c["s"] == score) & (c["k"] < key)))
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.ranking import (global_row_number, global_running_sums, ntiles, qcut_bin,
+from ledgerlens.operators.ranking import (global_row_number, global_running_sums, ntiles, range_row_number, qcut_bin,
                                           qcut_positions, value_at, value_counts)
 
 
@@ -69,3 +69,13 @@ def test_qcut_rank_matches_pandas(spark, pop):
         s = pd.Series([v] + pop, dtype=float)
         want = int(pd.qcut(s.rank(method="first"), q=5, labels=[1, 2, 3, 4, 5])[0])
         assert got[i] == want, (v, got[i], want)
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 50])
+def test_range_row_number_matches_window(spark, ranges):
+    df = spark.range(700).select((F.col("id") * 7919 % 10007).alias("a"), F.col("id").alias("b")).union(
+        spark.createDataFrame([(None, -1), (None, -2)], "a long, b long"))
+    got = range_row_number(df, ["a", "b"], "rn", ranges)
+    want = df.withColumn("rn", F.row_number().over(Window.orderBy(F.col("a").asc_nulls_last(), "b")).cast("long"))
+    assert sorted(got.collect(), key=lambda r: r.rn) == sorted(want.collect(), key=lambda r: r.rn)
+    assert range_row_number(df.limit(0), ["a", "b"]).count() == 0

@@ -52,12 +52,12 @@ def test_margin_when_items_carry_cost(spark):
     assert fact["margin"] == 5.5 and fact["fact_id"] == 1
 
 
-def test_unsorted_surrogate_keys_are_dense(spark):
+def test_surrogate_keys_are_dense(spark):
     orders = spark.createDataFrame([(i, 1, "Complete", "2024-01-02 00:00:00") for i in range(50)],
                                    "order_id long, user_id long, status string, created_at string")
     items = spark.createDataFrame([(100 + i, i, 1, 5, 1.0) for i in range(50)],
                                   "id long, order_id long, user_id long, product_id long, sale_price double")
-    ids = sorted(r["fact_id"] for r in etl.build_fact_orders(items, orders, ordered_keys=False).collect())
+    ids = sorted(r["fact_id"] for r in etl.build_fact_orders(items, orders).collect())
     assert ids == list(range(1, 51))
 
 
