@@ -14,6 +14,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of texts that go to a Python worker at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session set to hand rows to Python workers in batches of
+    ``BATCH_ROWS`` at most: whole texts are long, and a worker holds a batch."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name, "0"))
+    if not 0 < now <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's shared checkpoint folder and read it back:
     later jobs neither recompute it nor depend on an executor that may go."""
