@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, renamed
+from .common import cut, renamed, small_batches
 
 #: Fixed masks over twelve words: 1 is hashed, 0 ignored.
 MASKS = ("111010010111", "110110101011", "101101110101")
@@ -31,7 +31,7 @@ MIN_WORDS = 10
 MIN_IDENTITY = 0.8
 BLOCK_CHARS = 8_000_000
 #: Characters of text laid out at once in a task.
-CHARS_AT_ONCE = 8_000_000
+CHARS_AT_ONCE = 2_000_000
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 3) ** 5 | 1) % (1 << 64) for i in range(SPAN)], dtype=np.uint64)
 _BITS = 20
@@ -166,7 +166,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     Null and empty texts and items overlap nothing. Repeated rows and rows
     sharing an id are each looked at; a null id stays null. An empty table on
     either side gives an empty result."""
-    d = renamed(docs, id=id_col, text=text_col)
+    d = small_batches(renamed(docs, id=id_col, text=text_col))
     id_type = d.schema["id"].dataType.simpleString()
     item_type = "string" if benchmark.schema[item_col].dataType.simpleString() == "string" else "bigint"
     schema = (f"`{id_col}` {id_type}, `{item_col}` {item_type}, matched int, identity double, coverage double, "
@@ -199,7 +199,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     """The rows of ``docs`` that no benchmark item overlaps, unchanged (null and empty texts stay)."""
     for items in blocks(benchmark, item_col, item_text_col, block_chars):
         index = Index(items, min_words, min_identity)
-        docs = docs.filter(~_overlapping(index)(F.col(text_col)))
+        docs = small_batches(docs).filter(~_overlapping(index)(F.col(text_col)))
     return docs
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dom import Page, attributes
-from .common import top_by_hash
+from .common import small_batches, top_by_hash
 
 #: Bound of the training sample.
 SAMPLE_PAGES = 200
@@ -309,4 +309,4 @@ def extract(pages: DataFrame, model: Model, html_col: str = "html", text_col: st
         todo = [h if isinstance(h, str) else None for h in htmls]
         return pd.Series([t for a in range(0, len(todo), 256) for t in model.extract(todo[a:a + 256])], dtype=object)
 
-    return pages.withColumn(text_col, of(F.col(html_col)))
+    return small_batches(pages).withColumn(text_col, of(F.col(html_col)))

@@ -19,11 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, renamed, top_by_hash
+from .common import crc_mod, renamed, small_batches, top_by_hash
 
 WINDOW = 256
 #: Symbols parsed at once in a task.
-SYMBOLS_AT_ONCE = 4_000_000
+SYMBOLS_AT_ONCE = 2_000_000
 #: Bounds of the training sample of each language: documents, and symbols in all.
 SAMPLE_DOCS = 240
 SAMPLE_SYMBOLS = 36_000
@@ -225,5 +225,5 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             lang, score = model.predict([t if isinstance(t, str) else None for t in texts])
             yield pd.DataFrame({"lang_pred": lang, "lang_score": score})
 
-    got = docs.withColumn("_lid", of(F.col(text_col)))
+    got = small_batches(docs).withColumn("_lid", of(F.col(text_col)))
     return got.select(*[c for c in docs.columns if c not in ("lang_pred", "lang_score")], "_lid.lang_pred", "_lid.lang_score")

@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, renamed
+from .common import cut, renamed, small_batches
 from .components import connected_components
 
 #: Shingles whose bits are counted at once: bounds the memory for one very long text.
-SHINGLES_AT_ONCE = 1 << 16
+SHINGLES_AT_ONCE = 1 << 15
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -107,7 +107,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one node per distinct fingerprint. A null id gets the component of its
     fingerprint's other rows, or null if there is none, and never names one. An
     empty table gives an empty result; further columns are not touched."""
-    d = renamed(docs, id=id_col, text=text_col)
+    d = small_batches(renamed(docs, id=id_col, text=text_col))
     prints = cut(d.select("id", fingerprints(shingle)(F.col("text")).alias("fp")))
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")).filter("rep is not null"))
     # rows of one id with several fingerprints tie these together

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, top_by_hash
+from .common import crc_mod, cut, small_batches, top_by_hash
 
 #: Bounds of the fitted model: examples of each label, features.
 EXAMPLES = 3000
@@ -208,4 +208,4 @@ def score(docs: DataFrame, model: Votes, id_col: str = "doc_id", text_col: str =
         return pd.DataFrame({"score": [s for s, _ in found],
                              "evidence": [[dict(id=i, cosine=c, label=y) for i, c, y in e[:5]] for _, e in found]})
 
-    return docs.select(F.col(id_col), of(F.col(text_col)).alias("_s")).select(id_col, "_s.score", "_s.evidence")
+    return small_batches(docs).select(F.col(id_col), of(F.col(text_col)).alias("_s")).select(id_col, "_s.score", "_s.evidence")
