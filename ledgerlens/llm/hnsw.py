@@ -22,7 +22,7 @@ from .components import connected_components
 SHARD = 2048
 NEIGHBOURS = 8          # of a node in upper layers; twice as many in the lowest
 LEVEL_ODDS = 16         # one node of so many also stands in the next layer
-BEAM = 32
+BEAM = 16
 AUDIT_EVERY = 32        # one query of so many is counted exactly
 RECALL = 0.995
 PAIRS_AT_ONCE = 200_000
@@ -131,33 +131,39 @@ class Graph:
 
     def search(self, q: np.ndarray, beam: int, near: float) -> np.ndarray:
         """[query, node] similarities of all visited nodes, -inf elsewhere. Each
-        round follows the links of every visited node that is among the query's
-        ``beam`` best or within ``near``."""
+        round follows the links of the nodes visited in the last one that are among
+        their query's ``beam`` best so far or within ``near``. (That bound only
+        rises, so a node below it once need not be looked at again.)"""
         n, m = len(q), len(self.x)
         links = self.layers[0][1]
-        sims = np.full((n, m), -np.inf, dtype=np.float32)
-        done = np.zeros((n, m), dtype=bool)
-        start = self.entries(q)
-        sims[np.arange(n), start] = np.einsum("ij,ij->i", q, self.x[start])
-        active = np.arange(n)
-        while len(active):
-            s = sims[active]
-            worst = np.partition(s, m - beam, axis=1)[:, m - beam] if beam < m else np.full(len(active), -np.inf)
-            todo = (s >= np.minimum(worst, near)[:, None]) & np.isfinite(s) & ~done[active]
-            qi, ni = np.nonzero(todo)
-            if not len(qi):
-                break
-            qi = active[qi]
-            done[qi, ni] = True
-            near_by = links[ni]
-            flat = (qi[:, None] * m + near_by)[near_by >= 0]
-            flat = flat[np.isneginf(sims.ravel()[flat])]
-            flat = np.unique(flat)
+        sims = np.full(n * m, -np.inf, dtype=np.float32)
+        mark = np.zeros(n * m, dtype=np.int32)
+        best = np.full((n, beam), -np.inf, dtype=np.float32)
+        todo = np.arange(n) * m + self.entries(q)
+        sims[todo] = np.einsum("ij,ij->i", q, self.x[todo % m])
+        best[:, 0] = sims[todo]
+        while len(todo):
+            near_by = links[todo % m]
+            flat = ((todo // m * m)[:, None] + near_by)[near_by >= 0]
+            flat = flat[np.isneginf(sims[flat])]
+            order = np.arange(len(flat), dtype=np.int32)
+            mark[flat] = order
+            flat = np.sort(flat[mark[flat] == order])      # each once, by query
             for a in range(0, len(flat), PAIRS_AT_ONCE):
                 part = flat[a:a + PAIRS_AT_ONCE]
-                sims.ravel()[part] = np.einsum("ij,ij->i", q[part // m], self.x[part % m])
-            active = np.unique(qi)
-        return sims
+                sims[part] = np.einsum("ij,ij->i", q[part // m], self.x[part % m])
+            owner, value = flat // m, sims[flat]
+            who, first, count = np.unique(owner, return_index=True, return_counts=True)
+            if not len(who):
+                break
+            new = np.full((len(who), int(count.max())), -np.inf, dtype=np.float32)
+            row = np.repeat(np.arange(len(who)), count)
+            new[row, np.arange(len(flat)) - np.repeat(first, count)] = value
+            both = np.concatenate([best[who], new], axis=1)
+            best[who] = -np.partition(-both, beam - 1, axis=1)[:, :beam]
+            worst = best[who].min(axis=1)
+            todo = flat[value >= np.minimum(worst, near)[row]]
+        return sims.reshape(n, m)
 
 
 def _hits(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
