@@ -61,6 +61,8 @@ def segment_score_batch(inputs: DataFrame, population: DataFrame, id_col: str =
 
     Both customer-grain inputs are read for each of the three metrics, so they
     are checkpointed (four columns each)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(inputs.sparkSession)
     metrics = ["recency", "frequency", "monetary"]
     inputs = inputs.select(id_col, *metrics).checkpoint()
     population = population.select(id_col, *metrics).checkpoint()
