@@ -25,8 +25,8 @@ WINDOW = 256
 #: Symbols parsed at once in a task.
 SYMBOLS_AT_ONCE = 2_000_000
 #: Bounds of the training sample of each language: documents, and symbols in all.
-SAMPLE_DOCS = 240
-SAMPLE_SYMBOLS = 36_000
+SAMPLE_DOCS = 200
+SAMPLE_SYMBOLS = 30_000
 UNKNOWN = "und"
 
 
@@ -85,7 +85,7 @@ def suffix_automaton(symbols: list[int], k: int) -> np.ndarray:
                     nxt[p][c] = clone
                     p = link[p]
         last = cur
-    table = np.zeros(len(nxt) * k, dtype=np.int32)
+    table = np.zeros(len(nxt) * k, dtype=np.uint16 if len(nxt) < 1 << 16 else np.int32)
     for s, t in enumerate(nxt):
         for c, to in t.items():
             table[s * k + c] = to
@@ -132,7 +132,7 @@ class Model:
         if self.key not in Model._built:
             Model._built.clear()
             alphabet = Alphabet(self.letters)
-            found = []
+            found: list[tuple[str, np.ndarray, float]] = []
             for lang, pieces in self.samples.items():
                 symbols = np.concatenate([alphabet.symbols(p) for p in pieces] + [np.zeros(0, np.uint8)])[:SAMPLE_SYMBOLS]
                 found.append((lang, suffix_automaton(symbols.tolist(), alphabet.size), math.log2(len(symbols) + 2)))
