@@ -575,6 +575,28 @@ def _als_invariants(s, d):
     return total.join(F.broadcast(bought))     # one row each
 
 
+def _kmeans_invariants(s, d):
+    """What any clustering must satisfy: every customer once, four labelled
+    clusters, labels in the order of the centroids' scores, and nobody nearer (in
+    standardised units) to another centre."""
+    from pyspark.ml.functions import vector_to_array
+    from .models import segmentation as SEG
+    rfm = FE.create_rfm(_orders(s, d)).drop("avg_order_value").checkpoint()
+    scored, model, centroids = SEG.run_kmeans(rfm, n_init=3)
+    data, _ = SEG._prepared(rfm, SEG.BASE_FEATURES)
+    x = vector_to_array("features")
+    gaps = [F.aggregate(F.zip_with(x, F.array(*map(F.lit, map(float, c))), lambda a, b: (a - b) * (a - b)), F.lit(0.0),
+                        lambda acc, v: acc + v) for c in model.clusterCenters()]
+    near = data.select("customer_id", F.array(*gaps).alias("gap")).join(scored, "customer_id")
+    wrong = F.element_at("gap", F.col("cluster") + 1) > F.array_min("gap") + 1e-9
+    scores = [c[2] - 0.3 * c[0] + 2 * c[1] for c in centroids]      # monetary, recency, frequency
+    labels = {r.cluster: r.segment for r in scored.select("cluster", "segment").distinct().collect()}    # one for each cluster
+    ordered = [labels[i] for i in sorted(labels, key=lambda i: -scores[i])] == SEG.CLUSTER_LABELS[:len(labels)]
+    return near.agg(F.count(F.lit(1)).alias("customers"), F.countDistinct("cluster").alias("clusters"),
+                    F.countDistinct("segment").alias("segments"), F.count(F.when(wrong, 1)).alias("misplaced")).withColumn(
+        "labels_in_order", F.lit(ordered))
+
+
 def _lookup_enrich(s, d):
     """Name and category of every product bought, with the fall-back labels where the dimension lacks it."""
     from .models import recommend as REC
@@ -589,7 +611,7 @@ def load_queries() -> dict[str, Query]:
         "export_scores": _exported, "margin": _margin, "drift_set_baseline": _drift_baseline, "drift_log": _drift_log,
         "validate_raw_dirty": lambda s, d: QA.validate_raw(_dirty_raw(s, d)), "anti_orphans_dirty": _dirty_orphans,
         "churn_split": _churn_split, "churn_blend_given": _blend_given, "p_active_given": _p_active_given,
-        "als_invariants": _als_invariants, "lookup_enrich": _lookup_enrich,
+        "als_invariants": _als_invariants, "lookup_enrich": _lookup_enrich, "kmeans_invariants": _kmeans_invariants,
     }
 
 
@@ -602,6 +624,7 @@ def load_oracles() -> dict[str, str]:
         "validate_raw_dirty": O.validate_raw_dirty(), "anti_orphans_dirty": O.anti_orphans("AND customer_id % 7 <> 0"),
         "churn_split": O.churn_split(), "churn_blend_given": O.churn_blend_given(), "p_active_given": O.p_active_given(),
         "als_invariants": O.als_invariants(), "lookup_enrich": O.lookup_enrich(),
+        "kmeans_invariants": O.kmeans_invariants(),
     }
 
 
