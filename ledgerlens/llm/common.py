@@ -14,6 +14,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: UTF-8 bytes with all but ASCII letters, digits and what lies beyond ASCII as a space.
+SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
+
+
+def words_of(text: str) -> list[bytes]:
+    """Lower-case words: runs of ASCII letters and digits and all characters beyond ASCII."""
+    return text.lower().encode("utf-8", "replace").translate(SPACED).split()
+
+
 #: Rows of texts that go to a Python worker at once.
 BATCH_ROWS = 1000
 

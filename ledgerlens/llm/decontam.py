@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, renamed, small_batches
+from .common import cut, renamed, small_batches, words_of
 
 #: Fixed masks over twelve words: 1 is hashed, 0 ignored.
 MASKS = ("111010010111", "110110101011", "101101110101")
@@ -32,16 +32,10 @@ MIN_IDENTITY = 0.8
 BLOCK_CHARS = 8_000_000
 #: Characters of text laid out at once in a task.
 CHARS_AT_ONCE = 2_000_000
-_SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 3) ** 5 | 1) % (1 << 64) for i in range(SPAN)], dtype=np.uint64)
 _BITS = 20
 
 
-def words_of(text: str) -> list[bytes]:
-    """Lower-case words: runs of ASCII letters and digits and all other characters beyond ASCII."""
-    return text.lower().encode("utf-8", "replace").translate(_SPACED).split()
-
-
 def _window_hashes(ids: np.ndarray, span: int, places: list[int]) -> np.ndarray:
     """Hash of each window's masked words; 0 where one of them is not a word of the benchmark."""
     n = len(ids) - span + 1

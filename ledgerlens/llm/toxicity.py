@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, small_batches, top_by_hash
+from .common import crc_mod, cut, small_batches, top_by_hash, words_of
 
 #: Bounds of the fitted model: examples of each label, features.
 EXAMPLES = 3000
@@ -27,11 +27,6 @@ PREFIXES = range(4, 10)     # word beginnings, in bytes
 NEIGHBOURS = 25
 BLOCK = 64
 PRIOR_WEIGHT = 0.5
-_SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").translate(_SPACED).split()
 
 
 def features_of(word: bytes) -> list[bytes]:
