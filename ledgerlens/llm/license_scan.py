@@ -18,7 +18,7 @@ _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-# Label, its name as a pattern over words, a literal within every match, its SPDX words, its address.
+# Label, its name as a pattern over words, literals (one of them is in every match), its SPDX words, its address.
 LICENSES = (
     ("mit", r"(?:mit|expat) licen[cs]e", "licen", r"mit", r"opensource org licenses mit"),
     ("mit-0", r"mit no attribution(?: licen[cs]e)?", "mit no attribution", r"mit 0", r"opensource org licenses mit 0"),
@@ -26,13 +26,13 @@ LICENSES = (
     ("apache-2.0", r"apache (?:software )?licen[cs]e(?: version| v)? 2(?: 0)?", "apache", r"apache 2 0", r"apache org licenses license 2 0"),
     ("apache-1.1", r"apache (?:software )?licen[cs]e(?: version| v)? 1 1", "apache", r"apache 1 1", r"apache org licenses license 1 1"),
     ("apache", r"apache (?:software )?licen[cs]e", "apache", r"apache", r"apache org licenses"),
-    ("gpl-2.0", r"(?:gnu )?(?:general public licen[cs]e|gpl)(?: gpl)?(?: version| v)? ?v?2(?: 0)?", "g", r"gpl 2 0(?: only| or later)?", r"gnu org licenses (?:old licenses )?gpl 2 0"),
-    ("gpl-3.0", r"(?:gnu )?(?:general public licen[cs]e|gpl)(?: gpl)?(?: version| v)? ?v?3(?: 0)?", "g", r"gpl 3 0(?: only| or later)?", r"gnu org licenses gpl 3 0"),
-    ("gpl", r"(?:gnu general public licen[cs]e|gnu gpl)", "gnu g", r"gpl", r"gnu org licenses gpl"),
-    ("lgpl-2.1", r"(?:gnu )?(?:lesser general public licen[cs]e|lgpl)(?: lgpl)?(?: version| v)? ?v?2 1", "l", r"lgpl 2 1(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
-    ("lgpl-3.0", r"(?:gnu )?(?:lesser general public licen[cs]e|lgpl)(?: lgpl)?(?: version| v)? ?v?3(?: 0)?", "l", r"lgpl 3 0(?: only| or later)?", r"gnu org licenses lgpl 3 0"),
+    ("gpl-2.0", r"(?:gnu )?(?:general public licen[cs]e|gpl)(?: gpl)?(?: version| v)? ?v?2(?: 0)?", "general public licen|gpl", r"gpl 2 0(?: only| or later)?", r"gnu org licenses (?:old licenses )?gpl 2 0"),
+    ("gpl-3.0", r"(?:gnu )?(?:general public licen[cs]e|gpl)(?: gpl)?(?: version| v)? ?v?3(?: 0)?", "general public licen|gpl", r"gpl 3 0(?: only| or later)?", r"gnu org licenses gpl 3 0"),
+    ("gpl", r"(?:gnu general public licen[cs]e|gnu gpl)", "gnu general public licen|gnu gpl", r"gpl", r"gnu org licenses gpl"),
+    ("lgpl-2.1", r"(?:gnu )?(?:lesser general public licen[cs]e|lgpl)(?: lgpl)?(?: version| v)? ?v?2 1", "lesser general public licen|lgpl", r"lgpl 2 1(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
+    ("lgpl-3.0", r"(?:gnu )?(?:lesser general public licen[cs]e|lgpl)(?: lgpl)?(?: version| v)? ?v?3(?: 0)?", "lesser general public licen|lgpl", r"lgpl 3 0(?: only| or later)?", r"gnu org licenses lgpl 3 0"),
     ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[cs]e", "general public licen", r"lgpl", r"gnu org licenses lgpl"),
-    ("agpl-3.0", r"(?:gnu )?(?:affero general public licen[cs]e|agpl)(?: agpl)?(?: version| v)? ?v?3(?: 0)?", "a", r"agpl 3 0(?: only| or later)?", r"gnu org licenses agpl 3 0"),
+    ("agpl-3.0", r"(?:gnu )?(?:affero general public licen[cs]e|agpl)(?: agpl)?(?: version| v)? ?v?3(?: 0)?", "affero general public licen|agpl", r"agpl 3 0(?: only| or later)?", r"gnu org licenses agpl 3 0"),
     ("agpl", r"(?:gnu )?affero general public licen[cs]e", "affero", r"agpl", r"gnu org licenses agpl"),
     ("gfdl", r"(?:gnu )?free documentation licen[cs]e", "free documentation licen", r"gfdl 1 [0-9]", r"gnu org licenses fdl"),
     ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?", "bsd", r"bsd 2 clause", r"opensource org licenses bsd 2 clause"),
@@ -53,28 +53,28 @@ LICENSES = (
     ("artistic-2.0", r"artistic licen[cs]e(?: version| v)? 2(?: 0)?", "artistic", r"artistic 2 0", r"perlfoundation org artistic license 2 0"),
     ("artistic", r"artistic licen[cs]e", "artistic", r"artistic", r"opensource org licenses artistic"),
     ("zlib", r"zlib(?: libpng)? licen[cs]e", "zlib", r"zlib", r"opensource org licenses zlib"),
-    ("libpng", r"(?:png reference library|libpng) licen[cs]e", "png", r"libpng 2 0", r"libpng org pub png src libpng license"),
+    ("libpng", r"(?:png reference library|libpng) licen[cs]e", "png reference library|libpng", r"libpng 2 0", r"libpng org pub png src libpng license"),
     ("boost", r"boost software licen[cs]e(?: version| v)?(?: 1 0)?", "boost", r"bsl 1 0", r"boost org license 1 0"),
     ("python", r"(?:python software foundation|psf) licen[cs]e(?: agreement)?", "licen", r"(?:psf|python) 2 0", r"python org psf license"),
     ("php", r"php licen[cs]e(?: version| v)?(?: 3 0(?:1)?)?", "php", r"php 3 0(?:1)?", r"php net license 3 0"),
     ("ruby", r"ruby licen[cs]e", "ruby licen", r"ruby", r"ruby lang org en about license"),
     ("ofl", r"(?:sil )?open font licen[cs]e(?: version| v)?(?: 1 1)?", "open font", r"ofl 1 1", r"scripts sil org ofl"),
     ("unlicense", r"(?:the unlicense|unlicensed into the public domain)", "unlicense", r"unlicense", r"unlicense org"),
-    ("wtfpl", r"(?:do what the fuck you want to public licen[cs]e|wtfpl)", "w", r"wtfpl", r"wtfpl net"),
+    ("wtfpl", r"(?:do what the fuck you want to public licen[cs]e|wtfpl)", "do what the fuck you want|wtfpl", r"wtfpl", r"wtfpl net"),
     ("public-domain", r"(?:released|dedicated|placed) (?:in|to|into) the public domain", "public domain", r"public domain", r"creativecommons org licenses publicdomain"),
-    ("cc0-1.0", r"(?:cc0|creative commons zero)(?: v)?(?: 1 0)?(?: universal)?", "c", r"cc0 1 0", r"creativecommons org publicdomain zero 1 0"),
-    ("cc-by-1.0", r"(?:cc by|creative commons attribution) 1 0", "c", r"cc by 1 0", r"creativecommons org licenses by 1 0"),
-    ("cc-by-2.0", r"(?:cc by|creative commons attribution) 2 [05]", "c", r"cc by 2 [05]", r"creativecommons org licenses by 2 [05]"),
-    ("cc-by-3.0", r"(?:cc by|creative commons attribution) 3 0", "c", r"cc by 3 0", r"creativecommons org licenses by 3 0"),
-    ("cc-by-4.0", r"(?:cc by|creative commons attribution) 4 0", "c", r"cc by 4 0", r"creativecommons org licenses by 4 0"),
-    ("cc-by-sa-3.0", r"(?:cc by sa|creative commons attribution share ?alike) 3 0", "c", r"cc by sa 3 0", r"creativecommons org licenses by sa 3 0"),
-    ("cc-by-sa-4.0", r"(?:cc by sa|creative commons attribution share ?alike) 4 0", "c", r"cc by sa 4 0", r"creativecommons org licenses by sa 4 0"),
-    ("cc-by-nc-3.0", r"(?:cc by nc|creative commons attribution non ?commercial) 3 0", "c", r"cc by nc 3 0", r"creativecommons org licenses by nc 3 0"),
-    ("cc-by-nc-4.0", r"(?:cc by nc|creative commons attribution non ?commercial) 4 0", "c", r"cc by nc 4 0", r"creativecommons org licenses by nc 4 0"),
-    ("cc-by-nd-4.0", r"(?:cc by nd|creative commons attribution no ?derivatives) 4 0", "c", r"cc by nd 4 0", r"creativecommons org licenses by nd 4 0"),
-    ("cc-by-nc-sa-3.0", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike) 3 0", "c", r"cc by nc sa 3 0", r"creativecommons org licenses by nc sa 3 0"),
-    ("cc-by-nc-sa-4.0", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike) 4 0", "c", r"cc by nc sa 4 0", r"creativecommons org licenses by nc sa 4 0"),
-    ("cc-by-nc-nd-4.0", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?derivatives) 4 0", "c", r"cc by nc nd 4 0", r"creativecommons org licenses by nc nd 4 0"),
+    ("cc0-1.0", r"(?:cc0|creative commons zero)(?: v)?(?: 1 0)?(?: universal)?", "cc0|creative commons zero", r"cc0 1 0", r"creativecommons org publicdomain zero 1 0"),
+    ("cc-by-1.0", r"(?:cc by|creative commons attribution) 1 0", "cc by|creative commons attribution", r"cc by 1 0", r"creativecommons org licenses by 1 0"),
+    ("cc-by-2.0", r"(?:cc by|creative commons attribution) 2 [05]", "cc by|creative commons attribution", r"cc by 2 [05]", r"creativecommons org licenses by 2 [05]"),
+    ("cc-by-3.0", r"(?:cc by|creative commons attribution) 3 0", "cc by|creative commons attribution", r"cc by 3 0", r"creativecommons org licenses by 3 0"),
+    ("cc-by-4.0", r"(?:cc by|creative commons attribution) 4 0", "cc by|creative commons attribution", r"cc by 4 0", r"creativecommons org licenses by 4 0"),
+    ("cc-by-sa-3.0", r"(?:cc by sa|creative commons attribution share ?alike) 3 0", "cc by|creative commons attribution", r"cc by sa 3 0", r"creativecommons org licenses by sa 3 0"),
+    ("cc-by-sa-4.0", r"(?:cc by sa|creative commons attribution share ?alike) 4 0", "cc by|creative commons attribution", r"cc by sa 4 0", r"creativecommons org licenses by sa 4 0"),
+    ("cc-by-nc-3.0", r"(?:cc by nc|creative commons attribution non ?commercial) 3 0", "cc by|creative commons attribution", r"cc by nc 3 0", r"creativecommons org licenses by nc 3 0"),
+    ("cc-by-nc-4.0", r"(?:cc by nc|creative commons attribution non ?commercial) 4 0", "cc by|creative commons attribution", r"cc by nc 4 0", r"creativecommons org licenses by nc 4 0"),
+    ("cc-by-nd-4.0", r"(?:cc by nd|creative commons attribution no ?derivatives) 4 0", "cc by|creative commons attribution", r"cc by nd 4 0", r"creativecommons org licenses by nd 4 0"),
+    ("cc-by-nc-sa-3.0", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike) 3 0", "cc by|creative commons attribution", r"cc by nc sa 3 0", r"creativecommons org licenses by nc sa 3 0"),
+    ("cc-by-nc-sa-4.0", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike) 4 0", "cc by|creative commons attribution", r"cc by nc sa 4 0", r"creativecommons org licenses by nc sa 4 0"),
+    ("cc-by-nc-nd-4.0", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?derivatives) 4 0", "cc by|creative commons attribution", r"cc by nc nd 4 0", r"creativecommons org licenses by nc nd 4 0"),
     ("eupl-1.2", r"european union public licen[cs]e", "european union", r"eupl 1 [0-2]", r"joinup ec europa eu collection eupl"),
     ("osl-3.0", r"open software licen[cs]e(?: version| v)?(?: 3 0)?", "open software licen", r"osl 3 0", r"opensource org licenses osl 3 0"),
     ("afl-3.0", r"academic free licen[cs]e(?: version| v)?(?: 3 0)?", "academic free", r"afl 3 0", r"opensource org licenses afl 3 0"),
@@ -89,7 +89,7 @@ LICENSES = (
     ("upl-1.0", r"universal permissive licen[cs]e", "universal permissive", r"upl 1 0", r"opensource org licenses upl"),
     ("vim", r"vim licen[cs]e", "vim licen", r"vim", r"vimhelp org uganda"),
     ("ecl-2.0", r"educational community licen[cs]e", "educational community", r"ecl 2 0", r"opensource org licenses ecl2"),
-    ("proprietary", r"(?:proprietary and confidential|unauthorized (?:copying|use) .{0,60}prohibited)", "p", r"licenseref proprietary", r"licenseref proprietary"),
+    ("proprietary", r"(?:proprietary and confidential|unauthorized (?:copying|use) .{0,60}prohibited)", "proprietary and confidential|unauthorized", r"licenseref proprietary", r"licenseref proprietary"),
 )
 #: Longer statements that name no license by themselves.
 NOTICES = (
@@ -111,11 +111,11 @@ P_SPDX, P_GRANT, P_URL, P_NOTICE, P_NAME, P_BASE = 6, 5, 4, 3, 2, 1
 BELIEF = {P_SPDX: 0.99, P_GRANT: 0.95, P_URL: 0.9, P_NOTICE: 0.8, P_NAME: 0.7, P_BASE: 0.6}
 #: Texts that match none of this hold no detection.
 GATE = (r"(?i)licen|reserved|copyright|spdx|domain|warrant|clause|gpl|apache|bsd|commons|unlicense|wtfpl|cc0|prohibited"
-        r"|confidential|opensource|permi|©|derivative|commercial|conditions|redistribution|mozilla|eclipse|joinup|scripts|xfree86|vimhelp|cc" + _GAP + r"by")
+        r"|confidential|opensource|permi|©|derivative|commercial|conditions|redistribution|attribution|mozilla|eclipse|joinup|scripts|xfree86|vimhelp|cc" + _GAP + r"by")
 
 
 def rules() -> list[tuple[str, str, str, int]]:
-    """(label, pattern, keyword, priority), first the base phrases, then by falling priority."""
+    """(label, pattern, keywords, priority), first the base phrases, then by falling priority."""
     out = [(label, phrase, phrase, P_BASE) for phrase, label in BASE]
     out += [(lab, rf"spdx license identifier {spdx}", "spdx license identifier", P_SPDX) for lab, _, _, spdx, _ in LICENSES]
     out += [(lab, _GRANT + name, key, P_GRANT) for lab, name, key, _, _ in LICENSES]
@@ -133,8 +133,10 @@ def detections(words: Column, table: list[tuple[str, str, str, int]]) -> Column:
     """Array of ``s``, ``e`` (words, end exclusive), ``p``, ``rule`` of every rule's
     matches in the padded word string ``words``."""
     listed = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(f"(?<= )(?:{pat})(?= )").alias("re"),
-                                F.lit(key).alias("key"), F.lit(p).alias("p")) for i, (_, pat, key, p) in enumerate(table)])
-    hits = F.filter(listed, lambda r: F.contains(words, r["key"]) & F.regexp_like(words, r["re"]))
+                                F.array(*map(F.lit, keys.split("|"))).alias("keys"), F.lit(p).alias("p"))
+                       for i, (_, pat, keys, p) in enumerate(table)])
+    gated = F.filter(listed, lambda r: F.exists(r["keys"], lambda k: F.contains(words, k)))
+    hits = F.filter(gated, lambda r: F.regexp_like(words, r["re"]))
 
     def of(r: Column) -> Column:
         parts = F.arrays_zip(F.regexp_extract_all(words, r["re"], F.lit(0)).alias("m"),

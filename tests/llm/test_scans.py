@@ -109,6 +109,24 @@ def test_license_rules(spark):
     assert got[0] == "mit" and got[1] == "apache-2.0" and "gpl-3.0" in got[2] and "bsd-3-clause" in got[3] and "cc-by-nc-4.0" in got[4]
 
 
+def test_every_match_holds_a_keyword_and_passes_the_gate(spark):
+    gate = re.compile(license_scan.GATE)
+    for label, pat, keys, _ in license_scan.rules():
+        # a shortest text of the pattern: options left out, first alternatives taken
+        text = re.sub(r"\[([^\]])[^\]]*\](?:\{[^}]*\})?", r"\1", pat)
+        while True:
+            new = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(\??)", lambda m: "" if m[2] else m[1], text)
+            new = re.sub(r"\.\{0,60\}", "", new)
+            if new == text:
+                break
+            text = new
+        text = re.sub(r".\?", "", text)
+        found = re.search(f"(?<= )(?:{pat})(?= )", f" {' '.join(text.split())} ")
+        if found:
+            assert any(k in f" {found[0]} " for k in keys.split("|")), (label, pat, keys)
+            assert gate.search(found[0]), (label, found[0])
+
+
 def test_licenses_odd_cases(spark):
     docs = odd_docs(spark)
     rows = license_scan.scan(clashing(docs)).collect()
