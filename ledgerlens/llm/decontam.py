@@ -3,8 +3,8 @@
 A seed is a window of words hashed under a fixed mask that ignores some of its
 positions, so a substituted word there does not hide the overlap. The hashes of
 the benchmark are joined with those of every window of the corpus, and around
-each hit the item is laid along the text word by word: the best stretch, rated
-by matches against substitutions, must be long and alike enough.
+each hit the item is laid along the text word by word: of the stretches that are
+alike enough that with the most matches is taken, and must be long enough.
 
 The benchmark side of the join is handed to the tasks in blocks of at most
 ``BLOCK_CHARS`` characters of text, so what is broadcast has a fixed bound; a
@@ -14,6 +14,7 @@ shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import repeat
 
 import numpy as np
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, renamed, small_batches, words_of
 
-#: Fixed masks over twelve words: 1 is hashed, 0 ignored.
-MASKS = ("111010010111", "110110101011", "101101110101")
-SPAN = len(MASKS[0])
+#: Fixed masks: 1 is hashed, 0 ignored. Those over twelve words; those over ten, by which no run of ten words is missed;
+#: and shorter ones for substitutions close together (a stretch of 10 words and more at 0.8 holds an equal run of 3 or 4).
+MASKS = ("111010010111", "110110101011", "101101110101", "1101100111", "1110101011", "11101011", "110111", "11111")
+SPAN = max(map(len, MASKS))
 MIN_WORDS = 10
 MIN_IDENTITY = 0.8
 BLOCK_CHARS = 8_000_000
@@ -53,6 +55,20 @@ def _window_hashes(ids: np.ndarray, span: int, places: list[int]) -> np.ndarray:
     return h
 
 
+def best_stretch(same: np.ndarray, min_identity: float) -> tuple[int, int, int]:
+    """Matches, first and end place of the stretch with the most matches among those
+    of at least ``min_identity``; it begins and ends with a match."""
+    part = Fraction(min_identity).limit_denominator(1000)
+    # a stretch is alike enough where its sum of these is not negative
+    total = np.concatenate(([0], np.cumsum(np.where(same, part.denominator - part.numerator, -part.numerator))))
+    count = np.concatenate(([0], np.cumsum(same)))
+    first = np.searchsorted(-np.minimum.accumulate(total), -total)     # for each end, the first place it may begin
+    matched = count - count[first]
+    end = int(matched.argmax())
+    at = np.flatnonzero(same[first[end]:end]) + first[end]
+    return (len(at), int(at[0]), int(at[-1]) + 1) if len(at) else (0, 0, 0)
+
+
 class Index:
     """Seeds of one block of benchmark items. Items shorter than a seed are looked up whole."""
 
@@ -65,13 +81,13 @@ class Index:
             if words:
                 self.ids.append(item)
                 self.items.append(np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], dtype=np.uint64))
-        shapes = [(SPAN, [i for i, c in enumerate(m) if c == "1"]) for m in MASKS]
-        short = sorted({len(i) for i in self.items if len(i) < SPAN})
+        shapes = [(len(m), [i for i, c in enumerate(m) if c == "1"]) for m in MASKS]
+        short = sorted({len(i) for i in self.items if len(i) <= min_words})    # nothing but the whole item counts
         self.seeds = []
-        for span, places in shapes + [(n, list(range(n))) for n in short]:
+        for whole, span, places in [(False, *x) for x in shapes] + [(True, n, list(range(n))) for n in short]:
             found = []
             for k, ids in enumerate(self.items):
-                if (len(ids) >= SPAN) == (span == SPAN) and (span == SPAN or len(ids) == span):
+                if len(ids) == span if whole else len(ids) > min_words and len(ids) >= span:
                     h = _window_hashes(ids, span, places)
                     found.append((h, np.full(len(h), k), np.arange(len(h))))
             if found:
@@ -126,12 +142,10 @@ class Index:
             ref = self.items[k]
             a, b = max(diagonal, int(starts[doc])), min(diagonal + len(ref), int(starts[doc] + sizes[doc]))
             same = ids[a:b] == ref[a - diagonal:b - diagonal]
-            total = np.concatenate(([0], np.cumsum(np.where(same, 1, -2))))
-            gain = total - np.minimum.accumulate(total)
-            end = int(gain.argmax())
-            first = int(np.flatnonzero(total[:end + 1] == total[:end + 1].min())[-1]) if end else 0
-            matched = int(same[first:end].sum())
-            if matched < min(self.min_words, len(ref)) or matched < self.min_identity * (end - first):
+            if np.count_nonzero(same) < min(self.min_words, len(ref)):
+                continue
+            matched, first, end = best_stretch(same, self.min_identity)
+            if matched < min(self.min_words, len(ref)):
                 continue
             row = (matched, matched / (end - first), matched / len(ref), a - int(starts[doc]) + first, a - int(starts[doc]) + end)
             key = (base + doc, self.ids[k])

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from ledgerlens.llm import decontam, queries
 
 from .cases import clashing, no_docs, odd_docs
@@ -65,6 +67,34 @@ def test_substitutions_are_tolerated():
     assert not decontam.Index([(7, " ".join(item))]).overlaps([" ".join(rng.sample(item, 40))] * 3)
 
 
+def test_best_stretch_against_all_stretches():
+    rng = random.Random(6)
+    for n in range(200):
+        same = np.array([rng.random() > rng.choice([0.1, 0.2, 0.25, 0.5]) for _ in range(rng.randrange(60))], dtype=bool)
+        want = max((int(same[a:b].sum()) for a in range(len(same)) for b in range(a + 1, len(same) + 1)
+                    if same[a:b].sum() >= 0.8 * (b - a) - 1e-9), default=0)
+        got, a, b = decontam.best_stretch(same, 0.8)
+        assert got == want == same[a:b].sum() and got >= 0.8 * (b - a) - 1e-9
+
+
+def test_random_substitutions_and_runs_of_ten_words():
+    rng = random.Random(7)
+    vocab = [f"w{i}" for i in range(3000)]
+    there = found = 0
+    for n in range(600):
+        item = rng.choices(vocab, k=rng.choice([11, 15, 60, 150]))
+        rate = rng.choice([0.15, 0.2, 0.25])
+        same = np.array([rng.random() > rate for _ in item])
+        text = [w if s else "other" for w, s in zip(item, same)]
+        hit = bool(decontam.Index([(1, " ".join(item))]).overlaps([" ".join(rng.choices(vocab, k=20) + text)]))
+        if decontam.best_stretch(same, 0.8)[0] >= 10:
+            there, found = there + 1, found + hit
+        at = rng.randrange(len(item) - 9)
+        run = rng.choices(vocab, k=20) + item[at:at + 10] + rng.choices(vocab, k=20)
+        assert decontam.Index([(1, " ".join(item))]).overlaps([" ".join(run)])
+    assert there > 200 and found >= 0.97 * there, (found, there)
+
+
 def test_blocks_and_odd_cases(spark):
     docs = odd_docs(spark)
     bench = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog again and"), (2, None), (3, ""), (None, "line two has five words"),
