@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
-Candidates are found by pattern in every text. A value that many owners carry
-is a copied example; one that only a few owners carry and that mixes letters and
-digits looks live. So candidate hashes are aggregated over the whole corpus by
+Candidates are found by pattern in every text. A value that many owners or many
+repositories carry is a copied example; one that only a few of both carry and
+that mixes letters and digits looks live. So candidate hashes are aggregated over the whole corpus by
 distinct repositories and owners, and the verdict is joined back to the
 documents: a live-looking value adds a ``live`` span over it.
 """
@@ -28,8 +28,9 @@ EXTRA = (
     ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 20),
 )
 KINDS = tuple(k[0] for k in BASE + EXTRA) + ("live",)
-#: Values of up to so many owners can be live.
+#: Values of up to so many owners, and of up to so many repositories, can be live.
 MAX_OWNERS = 2
+MAX_REPOS = 4
 _SPAN = "struct<s:int,k:int,e:int,vs:int,v:bigint,looks:boolean>"
 
 
@@ -73,9 +74,11 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-         repo_col: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+         repo_col: str = "doc_id", max_owners: int = MAX_OWNERS,
+         max_repos: int = MAX_REPOS) -> DataFrame:
     """One row per input row: the id, ``n_assign``, ``n_access``, ``n_hex``,
-    ``base_sha256``, ``spans``, ``n_live``, ``n_example``.
+    ``base_sha256``, ``spans``, ``n_live``, ``n_example``, and the largest numbers of
+    owners and of repositories that any of its values has, ``most_owners``, ``most_repos``.
 
     A null text is taken as empty and finds nothing. Rows with equal id and text
     get equal rows back, as often as they came; such repeats count as one
@@ -88,11 +91,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     owned = ownership(found)
     occurs = found.select("id", "h", F.explode("spans").alias("x")).select(
         "id", "h", F.col("x.v").alias("v"), F.col("x.looks").alias("looks")).distinct()
-    judged = occurs.join(owned, "v").withColumn("live", F.col("looks") & (F.col("owners") <= max_owners))
+    few = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
+    judged = occurs.join(owned, "v").withColumn("few", few).withColumn("live", F.col("looks") & F.col("few"))
     per_doc = judged.groupBy("id", "h").agg(
         F.collect_set(F.when(F.col("live"), F.col("v"))).alias("live"),
-        F.count(F.when(F.col("owners") > max_owners, 1)).alias("n_example"))
-    out = join_on(found, per_doc, ["id", "h"], "left")
+        F.count(F.when(~F.col("few"), 1)).alias("n_example"), F.max("owners").alias("owners"), F.max("repos").alias("repos"))
+    out = join_on(found.drop("owner", "repo"), per_doc, ["id", "h"], "left")
     base = F.filter("spans", lambda x: x["k"] < len(BASE))
     live = F.array_distinct(F.transform(
         F.filter("spans", lambda x: F.coalesce(F.array_contains("live", x["v"]), F.lit(False))),
@@ -104,4 +108,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         F.col("id").alias(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(_shown(base), 256).alias("base_sha256"), _shown(every).alias("spans"),
         F.size(live).cast("long").alias("n_live"),
-        F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"))
+        F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
+        F.coalesce("owners", F.lit(0)).cast("long").alias("most_owners"),
+        F.coalesce("repos", F.lit(0)).cast("long").alias("most_repos"))

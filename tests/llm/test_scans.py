@@ -53,6 +53,15 @@ def test_secret_ownership(spark):
     assert got[12].spans == "assign:12:36"
 
 
+def test_value_copied_inside_one_source_is_an_example(spark):
+    rows = [(i, "token = 'Zx9Kq2Lm7Np4Rt6V' copied", "hot") for i in range(50)] + [(99, "secret: Qw8Er7Ty6Ui5Op4A", "hot"), (100, "none", "hot")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secret_scan.scan(df).collect()}
+    assert all((got[i].n_live, got[i].n_example, got[i].most_owners, got[i].most_repos) == (0, 1, 1, 50) for i in range(50))
+    assert (got[99].n_live, got[99].n_example, got[99].most_owners, got[99].most_repos) == (1, 0, 1, 1)
+    assert (got[100].most_owners, got[100].most_repos) == (0, 0)
+
+
 def test_secrets_odd_cases(spark):
     docs = odd_docs(spark)
     rows = secret_scan.scan(clashing(docs)).collect()
