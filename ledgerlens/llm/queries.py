@@ -6,8 +6,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hnsw, html_extract, langid, license_scan, line_dedup, mixing, secret_scan, simhash, toxicity
+from . import (decontam, divergence, hnsw, html_extract, langid, license_scan, line_dedup, lloyd, mixing, secret_scan, simhash,
+               toxicity)
 from .common import crc_mod, read_table
+from .oracles import ORACLES  # noqa: F401  (SQL of those results that SQL can express)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +77,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("component").alias("component_id"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences of the sources of each language over all documents."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all embeddings."""
+    return lloyd.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
@@ -86,6 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hnsw": op8_hnsw,
     "op9_html": op9_html,
     "op10_simhash": op10_simhash,
+    "op11_divergence": op11_divergence,
+    "op13_lloyd": op13_lloyd,
 }
-#: None of these results can be had from SQL alone (fitted models, XXH64, hash ranks); tests hold them against brute force.
-ORACLES: dict[str, str] = {}
