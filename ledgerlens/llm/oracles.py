@@ -69,4 +69,4 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
 FROM d LEFT JOIN left_over USING (rid)
 """
 
-ORACLES: dict[str, str] = {"op11_divergence": DIVERGENCE, "op13_lloyd": lloyd()}
+ORACLES: dict[str, str] = {"op11_divergence": DIVERGENCE, "op12_substring": SUBSTRING, "op13_lloyd": lloyd()}

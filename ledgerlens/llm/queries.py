@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (decontam, divergence, hnsw, html_extract, langid, license_scan, line_dedup, lloyd, mixing, secret_scan, simhash,
-               toxicity)
+               substring, toxicity)
 from .common import crc_mod, read_table
 from .oracles import ORACLES  # noqa: F401  (SQL of those results that SQL can express)
 
@@ -82,6 +82,12 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents"))
 
 
+def op12_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, freed of repeated runs of 20 words."""
+    out = substring.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight clusters of all embeddings."""
     return lloyd.cluster(read_table(spark, sf_dir, "embeddings"))
@@ -99,5 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html": op9_html,
     "op10_simhash": op10_simhash,
     "op11_divergence": op11_divergence,
+    "op12_substring": op12_substring,
     "op13_lloyd": op13_lloyd,
 }
