@@ -22,19 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, renamed, small_batches
 
 #: Entries (term, source) of the stripes a task holds before it spills them.
-STRIPE_ENTRIES = 500_000
+STRIPE_ENTRIES = 1_500_000
+#: Stripes in a batch that a task sends on; entries that it merges at once.
+ROWS_AT_ONCE, ENTRIES_AT_ONCE = 20_000, 400_000
 #: Bytes of a text whose terms are counted at once.
 PIECE = 1 << 20
 #: Sources whose divergences from one another are summed in one pass over the stripes.
 BLOCK = 512
 #: Terms of stripes laid out as a table (terms x sources) at once.
-TERMS_AT_ONCE = 512
+TERMS_AT_ONCE = 4096
 #: Terms listed of each source.
 TOP_TERMS = 200
 
@@ -58,8 +61,11 @@ def pieces_of(text: str) -> Iterator[list[bytes]]:
         at = end
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
+def _stripes(lang: list[str] | pa.Array, term: pa.Array, df: np.ndarray, upto: np.ndarray, sources: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """Stripes whose entries end at ``upto`` in ``sources`` and ``counts``."""
+    ends = pa.array(np.concatenate(([0], upto)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([lang if isinstance(lang, pa.Array) else pa.array(lang, pa.string()), term, pa.array(df),
+                                       pa.ListArray.from_arrays(ends, sources), pa.ListArray.from_arrays(ends, pa.array(counts))], schema=_ARROW)
 
 
 class Stripes:
@@ -82,16 +88,23 @@ class Stripes:
 
     def spill(self) -> Iterator[pa.RecordBatch]:
         for lang, df in self.df.items():
-            by_source = sorted(self.counts[lang].items())
-            rows = []
-            for term in sorted(df):
-                own = [(s, c[term]) for s, c in by_source if term in c]
-                rows.append((lang, term.decode("utf-8"), df[term], [s for s, _ in own], [n for _, n in own]))
-                if len(rows) == 10_000:
-                    yield _rows(rows)
-                    rows = []
-            if rows:
-                yield _rows(rows)
+            by_source = list(self.counts[lang].items())
+            terms = list(df)
+            place = dict(zip(terms, range(len(terms))))
+            row = np.fromiter((place[t] for _, c in by_source for t in c), dtype=np.int64)
+            count = np.fromiter((n for _, c in by_source for n in c.values()), dtype=np.int64)
+            source = np.repeat(np.arange(len(by_source)), [len(c) for _, c in by_source])
+            order = np.argsort(row, kind="stable")
+            upto = np.cumsum(np.bincount(row, minlength=len(terms)))
+            names = pa.array([name for name, _ in by_source], pa.string())
+            n_docs = np.fromiter(df.values(), dtype=np.int64, count=len(df))
+            del place, row
+            for first in range(0, len(terms), ROWS_AT_ONCE):
+                last = min(first + ROWS_AT_ONCE, len(terms))
+                begin = upto[first - 1] if first else 0
+                own = order[begin:upto[last - 1]]
+                yield _stripes([lang] * (last - first), pa.array(terms[first:last], pa.binary()).cast(pa.string()), n_docs[first:last],
+                               upto[first:last] - begin, names.take(pa.array(source[own])), count[own])
         self.__init__()
 
 
@@ -110,30 +123,44 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from stripes.spill()
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stripes in the order of their keys to one stripe for each key."""
-    key, df, own, rows = None, 0, Counter(), []
+def _merged(table: pa.Table) -> pa.RecordBatch:
+    """Rows in the order of their keys to one stripe for each key."""
+    table = table.combine_chunks()
+    lang, term, df, sources, counts = [c.chunk(0) for c in table.columns]
+    new = np.ones(len(lang), dtype=bool)
+    if len(lang) > 1:
+        differ = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1]))
+        new[1:] = differ.to_numpy(zero_copy_only=False)
+    head = np.flatnonzero(new)
+    key = np.cumsum(new) - 1
+    row = np.repeat(key, pc.list_value_length(sources).to_numpy(zero_copy_only=False))
+    coded = sources.flatten().dictionary_encode()
+    count, width = counts.flatten().to_numpy(), max(1, len(coded.dictionary))
+    entry = row * width + coded.indices.to_numpy()
+    order = np.argsort(entry, kind="stable")
+    entry = entry[order]
+    first = np.flatnonzero(np.concatenate(([True], entry[1:] != entry[:-1]))) if len(entry) else np.zeros(0, dtype=np.int64)
+    total = np.add.reduceat(count[order], first) if len(first) else np.zeros(0, dtype=np.int64)
+    upto = np.cumsum(np.bincount(entry[first] // width, minlength=len(head)))
+    at = pa.array(head)
+    return _stripes(lang.take(at), term.take(at), np.add.reduceat(df.to_numpy(), head), upto, coded.dictionary.take(pa.array(entry[first] % width)), total)
 
-    def done():
-        sources = sorted(own)
-        return (*key, df, sources, [own[s] for s in sources])
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stripes in the order of their keys, a key's perhaps far apart in many batches, to one stripe for each key."""
+    waiting, entries = [], 0
     for batch in batches:
-        for lang, term, n, sources, counts in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-            if (lang, term) != key:
-                if key is not None:
-                    rows.append(done())
-                key, df, own = (lang, term), 0, Counter()
-            df += n
-            for s, c in zip(sources, counts):
-                own[s] += c
-        if len(rows) >= 10_000:
-            yield _rows(rows)
-            rows = []
-    if key is not None:
-        rows.append(done())
-    if rows:
-        yield _rows(rows)
+        if not len(batch):
+            continue
+        waiting.append(batch)
+        entries += len(batch) + len(batch.column(3).flatten())
+        if entries >= ENTRIES_AT_ONCE:
+            done = _merged(pa.Table.from_batches(waiting, _ARROW))
+            if len(done) > 1:
+                yield done.slice(0, len(done) - 1)
+            waiting, entries = [done.slice(len(done) - 1)], 0       # its key may go on
+    if waiting:
+        yield _merged(pa.Table.from_batches(waiting, _ARROW))
 
 
 def stripes_of(docs: DataFrame, min_docs: int = 3) -> DataFrame:
@@ -141,7 +168,7 @@ def stripes_of(docs: DataFrame, min_docs: int = 3) -> DataFrame:
     stand in at least ``min_docs`` documents of their language, as a written checkpoint.
     ``docs``: ``lang``, ``source``, ``text`` without nulls."""
     spilled = docs.select("lang", "source", "text").mapInArrow(_fold, _STRIPES)
-    merged = (spilled.repartition("lang", "term").sortWithinPartitions("lang", "term")
+    merged = (spilled.repartition("lang", "term").sortWithinPartitions("term", "lang")
               .mapInArrow(_merge, _STRIPES).filter(F.col("df") >= min_docs))
     return cut(merged)
 
@@ -161,82 +188,103 @@ def away(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // q
 
 
-def _tables(batches: Iterator[pa.RecordBatch], at: dict[str, dict[str, int]], width: dict[str, int]):
-    """(language, terms, table of counts: terms x sources) for at most ``TERMS_AT_ONCE`` terms of a language at a time.
+def _tables(batches: Iterator[pa.RecordBatch], at: dict[str, dict[str, int]]) -> Iterator[tuple[str, np.ndarray]]:
+    """(language, table of counts: terms x sources) for ``TERMS_AT_ONCE`` terms of a language at most.
     ``at``: column of each source to use."""
     for batch in batches:
-        waiting = defaultdict(list)
-        for row in zip(*[batch.column(i).to_pylist() for i in (0, 1, 3, 4)]):
-            waiting[row[0]].append(row[1:])
-        for lang, rows in waiting.items():
-            columns = at.get(lang)
-            if columns is None:
+        langs = batch.column("lang").dictionary_encode()
+        sizes = pc.list_value_length(batch.column("sources")).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(batch)), sizes)
+        coded, count = batch.column("sources").flatten().dictionary_encode(), batch.column("counts").flatten().to_numpy()
+        code = langs.indices.to_numpy()
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            if lang not in at:
                 continue
-            for first in range(0, len(rows), TERMS_AT_ONCE):
-                some = rows[first:first + TERMS_AT_ONCE]
-                table = np.zeros((len(some), width[lang]), dtype=np.int64)
-                for i, (_, sources, counts) in enumerate(some):
-                    for s, c in zip(sources, counts):
-                        if s in columns:
-                            table[i, columns[s]] = c
-                yield lang, [r[0] for r in some], table
+            columns = np.array([at[lang].get(s, -1) for s in coded.dictionary.to_pylist()], dtype=np.int64)
+            mine = np.flatnonzero(code == k)
+            place = np.full(len(batch), -1, dtype=np.int64)
+            place[mine] = np.arange(len(mine))
+            use = place[row] >= 0
+            r, c, n = place[row[use]], columns[coded.indices.to_numpy()[use]], count[use]
+            known = c >= 0
+            r, c, n = r[known], c[known], n[known]
+            for first in range(0, len(mine), TERMS_AT_ONCE):
+                here = slice(*np.searchsorted(r, (first, first + TERMS_AT_ONCE)))
+                table = np.zeros((min(TERMS_AT_ONCE, len(mine) - first), len(at[lang])), dtype=np.int64)
+                table[r[here] - first, c[here]] = n[here]
+                yield lang, table
+
+
+def _large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about ``TERMS_AT_ONCE`` rows."""
+    waiting = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(map(len, waiting)) >= TERMS_AT_ONCE:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting = []
+    if sum(map(len, waiting)):
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
 
 
 def pair_sums(stripes: DataFrame, rows: list[tuple], columns: list[tuple]) -> DataFrame:
     """``lang``, ``source``, ``item``, ``value``: for each source of ``rows`` and other source of
-    ``columns`` of its language the divergences summed over all kept terms. Both lists, of
-    (language, source, N + V), are blocks of bounded length."""
+    ``columns`` of its language the divergences summed over a task's terms (none for 0). Both lists,
+    of (language, source, N + V), are blocks of bounded length, so a task's sums are, too."""
     places = {}
     for lang, source, total in [*rows, *columns]:
         places.setdefault(lang, {}).setdefault(source, total)
     at = {lang: {s: i for i, s in enumerate(own)} for lang, own in places.items()}
-    left = {lang: np.array([at[lang][s] for g, s, _ in rows if g == lang], dtype=np.int64) for lang in at}
-    right = {lang: np.array([at[lang][s] for g, s, _ in columns if g == lang], dtype=np.int64) for lang in at}
-    names = {lang: np.array(list(own), dtype=object) for lang, own in places.items()}
+    left = {lang: [at[lang][s] for g, s, _ in rows if g == lang] for lang in at}
+    right = {lang: [at[lang][s] for g, s, _ in columns if g == lang] for lang in at}
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, _, table in _tables(batches, at, {g: len(own) for g, own in at.items()}):
-            p = share(table, np.array(list(places[lang].values()), dtype=np.int64))
-            for i in left[lang]:
-                f = away(p[:, [i]], p[:, right[lang]]).sum(axis=0)
-                other = right[lang] != i
-                n = int(other.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n, pa.string()), pa.array([names[lang][i]] * n, pa.string()),
-                     pa.array(names[lang][right[lang]][other], pa.string()), pa.array(f[other])],
-                    names=["lang", "source", "item", "value"])
-
-    out = stripes.mapInArrow(sums, "lang string, source string, item string, value long")
-    return out.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+        done = {lang: np.zeros((len(left[lang]), len(right[lang])), dtype=np.int64) for lang in at if left[lang] and right[lang]}
+        for lang, table in _tables(_large(batches), at):
+            if lang in done:
+                p = share(table, np.array(list(places[lang].values()), dtype=np.int64))
+                for k, i in enumerate(left[lang]):
+                    done[lang][k] += away(p[:, [i]], p[:, right[lang]]).sum(axis=0)
+        for lang, total in done.items():
+            names = list(places[lang])
+            out = [(names[i], names[j], int(total[k, m])) for k, i in enumerate(left[lang]) for m, j in enumerate(right[lang]) if i != j and total[k, m]]
+            if out:
+                source, item, value = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array(source, pa.string()),
+                                                  pa.array(item, pa.string()), pa.array(value, pa.int64())],
+                                                 names=["lang", "source", "item", "value"])
+
+    return stripes.select("lang", "sources", "counts").mapInArrow(sums, "lang string, source string, item string, value long")
 
 
 def term_values(stripes: DataFrame, sources: list[tuple], langs: dict[str, int]) -> DataFrame:
     """``lang``, ``source``, ``item``, ``value``: each kept term that a source of ``sources`` uses
     and uses more than its language does. ``sources``: (language, source, N + V); ``langs``: N + V of languages."""
-    places = {}
-    for lang, source, total in sources:
-        places.setdefault(lang, {})[source] = total
+    totals = {(lang, source): total for lang, source, total in sources}
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [], [], [], []
-            for lang, term, own, counts in zip(*[batch.column(i).to_pylist() for i in (0, 1, 3, 4)]):
-                here = places.get(lang)
-                used = [(s, c) for s, c in zip(own, counts) if here and s in here]
-                if not used:
-                    continue
-                c = np.array([c for _, c in used], dtype=np.int64)
-                p = share(c, np.array([here[s] for s, _ in used], dtype=np.int64))
-                q = share(np.array([sum(counts)], dtype=np.int64), np.array([langs[lang]], dtype=np.int64))[0]
-                f = away(p, q)
-                for i in np.flatnonzero(p > q).tolist():
-                    for column, x in zip(out, (lang, used[i][0], term, int(f[i]))):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()),
-                                              pa.array(out[2], pa.string()), pa.array(out[3], pa.int64())],
-                                             names=["lang", "source", "item", "value"])
-
-    return stripes.mapInArrow(values, "lang string, source string, item string, value long")
+        for batch in _large(batches):
+            sizes = pc.list_value_length(batch.column("sources")).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(batch)), sizes)
+            lang = batch.column("lang").dictionary_encode()
+            name = batch.column("sources").flatten().dictionary_encode()
+            count = batch.column("counts").flatten().to_numpy()
+            whole = np.zeros(len(batch), dtype=np.int64)
+            np.add.at(whole, row, count)
+            code = lang.indices.to_numpy()
+            of_lang = np.array([langs.get(g, 0) for g in lang.dictionary.to_pylist()], dtype=np.int64)
+            of_source = np.array([[totals.get((g, s), 0) for s in name.dictionary.to_pylist()] for g in lang.dictionary.to_pylist()],
+                                 dtype=np.int64).reshape(len(lang.dictionary), -1)
+            total = of_source[code[row], name.indices.to_numpy()]
+            use = np.flatnonzero((total > 0) & (count > 0))
+            p, q = share(count[use], total[use]), share(whole[row[use]], of_lang[code[row[use]]])
+            more = p > q
+            use, f = use[more], away(p[more], q[more])
+            at = pa.array(row[use])
+            yield pa.RecordBatch.from_arrays([batch.column("lang").take(at), name.dictionary.take(name.indices.take(pa.array(use))),
+                                              batch.column("term").take(at), pa.array(f)], names=["lang", "source", "item", "value"])
+
+    return stripes.select("lang", "term", "sources", "counts").mapInArrow(values, "lang string, source string, item string, value long")
 
 
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
@@ -285,10 +333,9 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
         for others in blocks():
             if own & {lang for lang, _, _ in others}:
                 pairs = pairs.union(pair_sums(stripes, mine, others))
-    # languages without a kept term: nothing to sum
-    bare = groups.filter("v = 0").select("lang", "source")
-    pairs = pairs.union(bare.join(bare.withColumnRenamed("source", "item"), "lang").filter("source <> item")
-                        .select("lang", "source", "item", F.lit(0).cast("long").alias("value")))
+    none = groups.select("lang", "source").join(groups.select("lang", F.col("source").alias("item")), "lang").filter("source <> item")
+    pairs = (pairs.union(none.select("lang", "source", "item", F.lit(0).cast("long").alias("value")))
+             .groupBy("lang", "source", "item").agg(F.sum("value").alias("value")))
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked_pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(best).alias("rank"))
     ranked_terms = terms.select("lang", "source", F.lit("term").alias("part"), "item", "value",
