@@ -1,10 +1,16 @@
 """Texts as arrays: words and stretches of words by rolling hashes, many texts at once."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+#: Bits of the bitmap of hashes that scans look for (8 MB); a larger set is joined instead.
+BITMAP_BITS = 26
+#: Of a bitmap's bits, so many for each member at least.
+BITS_EACH = 8
 #: Bytes of text laid out as arrays at once in a task.
 BYTES_AT_ONCE = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -49,3 +55,33 @@ def groups(texts) -> Iterator[tuple[int, list[str]]]:
         if room >= BYTES_AT_ONCE or i + 1 == len(texts):
             yield i + 1 - len(group), group
             group, room = [], 0
+
+
+class Members:
+    """A set of hashes for scans to look up: a bitmap of fixed size, in which some others are, too."""
+
+    def __init__(self, hashes: DataFrame, column: Column):
+        slots = hashes.select(column.bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)).alias("slot"))
+        bits = (slots.selectExpr("shiftright(slot, 6) as word", "shiftleft(1L, cast(slot & 63 as int)) as bit")
+                .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
+        out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
+        out[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+        self.shared = hashes.sparkSession.sparkContext.broadcast(out.tobytes())
+
+    def __call__(self) -> Callable[[np.ndarray], np.ndarray]:
+        bits = np.frombuffer(self.shared.value, dtype=np.uint64)
+
+        def has(h: np.ndarray) -> np.ndarray:
+            slot = h & np.uint64((1 << BITMAP_BITS) - 1)
+            return np.flatnonzero(bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
+        return has
+
+
+def members_of(hashes: DataFrame, column: str) -> Members | None:
+    """The hashes in ``column``, or None if they are too many for a bitmap to tell much."""
+    return Members(hashes, F.col(column)) if hashes.count() * BITS_EACH <= 1 << BITMAP_BITS else None
+
+
+def look_up(member: Members | None) -> Callable[[np.ndarray], np.ndarray]:
+    """Hashes to the places of those that may be in the set."""
+    return member() if member else lambda h: np.arange(len(h))

@@ -1,86 +1,101 @@
 """Fuzzy line deduplication.
 
-Lines are normalised (lower-case words; in scripts without blanks, characters) and hashed; equal lines are one node,
-represented by their first occurrence. A pair is linked when its word edit
-similarity is 0.8 or more, and each connected group keeps one occurrence, its
-first.
-
-No such pair is missed. With n words in the longer line it has at most
-k = n / 5 edits (rounded down) and n - k words in common, so among the k + 1 rarest words of
-each line, by one order of all words, one is the same: these are the keys of the
-equality join. The lines' 128-bit hashes hold each word's bit as often as it
-stands (mod 2); an edit changes two of them at most, so pairs of more than 2 k
-different bits are passed over.
-
-Only hashes and positions are shuffled. The words of a line travel only for
-the lines of candidate pairs: a second scan picks them by a fixed-size bitmap of
-their hashes.
+Lines are normalised (lower-case words; in scripts without blanks, characters) and
+hashed; equal lines are one node, represented by their first occurrence. A pair of
+nodes is linked when its word edit similarity is 0.8 or more, and each connected
+group keeps one occurrence, its first.
+
+Candidates come from SimHash blocks. The words of a line fall into a few groups by
+their hash, and each group gives one block of the line's fingerprint: the SimHash (64
+bits, by vote) of its words. An edit touches the blocks of the words it takes and
+puts, and no other, so while the edits touch fewer blocks than there are, one block is
+the same in both lines: lines meet by an equality join on (size class, block).
+``GROUPS`` holds how many blocks a class has; that they are fewer than the most edits
+could touch, and that blocks of less than ``LEAST_WORDS`` words are no key, costs some of
+the pairs with very many edits (recall in the README). Of two lines that meet, sizes
+and SimHashes of the whole lines (``MAX_BITS``) are compared before their words are.
+
+Under a key that few lines share all pairs are held against each other; in a larger one
+first every line against one of them. Of larger ones only what these links have
+not connected goes on, with keys of its own: the key and one of the line's longest
+other words, so many of them that no pair is lost.
+
+Only hashes and positions are shuffled. The words of a line travel only for the
+lines of candidate pairs. Scans find what they look for by bitmaps of fixed size, or
+by a join where these would be too full.
 """
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import VALUE, Members, groups, look_up, members_of, mix, range_hash
 from .common import SPACED, cut, renamed, small_batches
 from .components import connected_components
 
-MAX_BITS = 64        # of one half of a hash: by itself it rules out nothing, the bound is by edits (``_near``)
 MIN_WORDS = 1        # lines without a word are never repeats
+MIN_SIMILARITY = 0.8
+#: Words of the longer line of the shortest near pair; each size class goes from there to twice as many.
+SHORTEST = 5
+#: Blocks of the fingerprint of lines of 5, 10, 20, 40, 80 words and more, and for how many ways of dealing words to them.
+GROUPS, WAYS = (3, 4, 6, 8, 10), (2, 2, 1, 1, 1)
+#: Words of a block that is a key, by class.
+LEAST_WORDS = (1, 2, 2, 2, 2)
+#: Bits in which the SimHashes of two lines may differ (at similarity 0.8 they differ in 13, with a deviation of 3).
+MAX_BITS = 24
+#: Words above which the votes of a stretch are counted by themselves.
+MANY = 256
+#: Lines under one key that are held against each other, all pairs.
+FEW = 12
 #: Characters of scripts without blanks (Thai, Lao, Burmese, Khmer, kana, Han) are words each.
 _APART = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
-MIN_SIMILARITY = 0.8
-BITMAP_BITS = 24
-#: How common words are goes by their counts in one of so many documents, by so many bits of their hash. Any order finds the same pairs.
-COUNTED_DOCS, COUNT_BITS = 8, 20
-#: Bits of a word and of a line's number in what is sorted at once (six are left for how common the word is).
-KEY_BITS, LINE_BITS = 44, 14
-#: Bytes of text laid out as arrays at once in a task.
-BYTES_AT_ONCE = 1 << 19
 _KIND = np.array([2 if chr(c).isalnum() or c >= 128 else 1 if c == 10 else 0 for c in range(256)], dtype=np.uint8)
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)     # what a byte adds to a hash
-_BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93}     # odd, so they have inverses
-_powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse (modulo 2 ** 64), 0 to n - 1 at least."""
-    if kind not in _powers or len(_powers[kind][0]) < n:
-        size = 1 << (n - 1).bit_length()
-        powers = []
-        for base in (_BASES[kind], pow(_BASES[kind], -1, 1 << 64)):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            powers.append(np.multiply.accumulate(p))
-        _powers[kind] = tuple(powers)
-    return _powers[kind]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(32))
-
-
-def _range_hash(values: np.ndarray, first: np.ndarray, end: np.ndarray, kind: str) -> np.ndarray:
-    """Hash of each stretch of ``values``, the same wherever the stretch stands."""
-    powers, inverse = _power(kind, len(values) + 1)
-    total = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers[:len(values)], out=total[1:])
-    return _mix((total[end] - total[first]) * inverse[first])
+_LINES = bytes(10 if c == 10 else SPACED[c] for c in range(256))
 
 
 def _apart(text: str) -> str:
     return text if text.isascii() else _APART.sub(r" \g<0> ", text)
 
 
+def majority(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """SimHash of each stretch ``words[first:first + count]``: the bits set in over half of its hashes.
+
+    Votes of all stretches (but those of over ``MANY`` words) are counted together, bit by bit of the counts:
+    plane j holds bit j of the 64 counts of every stretch."""
+    out = np.zeros(len(count), dtype=np.uint64)
+    for i in np.flatnonzero(count > MANY).tolist():
+        votes = np.zeros(64, dtype=np.int64)
+        for at in range(int(first[i]), int(first[i] + count[i]), 1 << 14):
+            part = words[at:min(at + (1 << 14), int(first[i] + count[i]))]
+            votes += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[i] = np.packbits(2 * votes > count[i], bitorder="little").view("<u8")[0]
+    order = np.flatnonzero(count <= MANY)
+    order = order[np.argsort(-count[order], kind="stable")]
+    most = int(count[order[0]]) if len(order) else 0
+    first, planes = first[order], np.zeros((most.bit_length(), len(order)), dtype=np.uint64)
+    sizes = -count[order]
+    for r in range(most):
+        active = int(np.searchsorted(sizes, -r))        # stretches of more than r words
+        carry = words[first[:active] + r]
+        for plane in planes[:(r + 1).bit_length()]:
+            plane[:active], carry = plane[:active] ^ carry, plane[:active] & carry
+    over, equal = np.zeros(len(order), dtype=np.uint64), np.full(len(order), ~np.uint64(0))
+    half = count[order] // 2
+    for j in reversed(range(len(planes))):
+        bit = np.where(half >> j & 1, ~np.uint64(0), np.uint64(0))
+        over |= equal & planes[j] & ~bit
+        equal &= ~(planes[j] ^ bit)
+    out[order] = over
+    return out
+
+
 class Lines:
     """The lines of some texts as arrays: ``doc`` and ``line`` number, ``size`` (words), ``h`` (hash of the words)."""
 
@@ -90,12 +105,12 @@ class Lines:
         kind = _KIND[raw]
         edge = np.diff((kind == 2).view(np.int8), prepend=np.int8(0), append=np.int8(0))
         self.first, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.word = _range_hash(_VALUE[raw], self.first, self.end, "byte")
+        self.word = range_hash(VALUE[raw], self.first, self.end, "byte")
         breaks = np.flatnonzero(kind == 1)
         upto = np.searchsorted(self.first, breaks)
         self.start = np.concatenate(([0], upto[:-1])) if len(upto) else upto     # first word of each line
         self.size = upto - self.start
-        self.h = _range_hash(self.word, self.start, upto, "word")
+        self.h = range_hash(self.word, self.start, upto, "word")
         counts = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
         self.doc = np.repeat(np.arange(len(texts)), counts)
         self.line = np.arange(len(self.doc)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -106,38 +121,47 @@ class Lines:
         begin = int(self.breaks[i - 1]) + 1 if i else 0
         return b" ".join(self.data[begin:int(self.breaks[i])].translate(SPACED).split())
 
-    def _words(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words of the given lines (with words), and where each line begins among them."""
+    def different(self) -> np.ndarray:
+        """One line of each kind that is long enough to have a near one."""
+        long = np.flatnonzero(self.size + 1e-9 >= SHORTEST * MIN_SIMILARITY)
+        return long[np.unique(self.h[long], return_index=True)[1]]
+
+    def simhash(self, lines: np.ndarray) -> np.ndarray:
+        return majority(self.word, self.start[lines], self.size[lines])
+
+    def entries(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``lines``, size class, way of dealing) of everything the lines are cut into blocks for:
+        their own class, and the next one where a longer near line may be in it."""
         size = self.size[lines]
+        own = np.floor(np.log2(size / SHORTEST) + 1e-12).astype(np.int64)
+        longer = np.flatnonzero((size / MIN_SIMILARITY + 1e-9).astype(np.int64) >= SHORTEST << (own + 1))
+        itself = np.flatnonzero(size >= SHORTEST)
+        at, kind = np.concatenate((itself, longer)), np.concatenate((own[itself], own[longer] + 1))
+        ways = np.array(WAYS)[np.minimum(kind, len(WAYS) - 1)]
+        return np.repeat(at, ways), np.repeat(kind, ways), np.arange(ways.sum()) - np.repeat(np.cumsum(ways) - ways, ways)
+
+    def blocks(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the given lines (such as ``different`` gives) and the place in ``lines`` of each; then the words
+        of all keyed blocks (numbers of words, one block after the other), where each block begins among them and its words."""
+        at, kind, way = self.entries(lines)
+        size = self.size[lines[at]]
         first = np.cumsum(size) - size
-        return self.word[np.repeat(self.start[lines] - first, size) + np.arange(size.sum())], first
-
-    def simhash(self, lines: np.ndarray, half: int = 0) -> np.ndarray:
-        """One half of the 128-bit hash of the given lines (with words): each word
-        flips one bit, so lines of k edits differ in 2 k bits at most."""
-        if not len(lines):
-            return np.zeros(0, dtype="<i8")
-        h, first = self._words(lines)
-        bit = np.where((h >> np.uint64(6)) & np.uint64(1) == half, np.uint64(1) << (h & np.uint64(63)), np.uint64(0))
-        return np.bitwise_xor.reduceat(bit, first).astype("<u8").view("<i8")
-
-    def keys(self, lines: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k + 1 rarest words of each of the given lines, k its most edits, each
-        once, as numbers, and how many each line has. ``common``: ``counted_words``."""
-        out, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-        for at in range(0, len(lines), 1 << LINE_BITS):
-            some = lines[at:at + (1 << LINE_BITS)]
-            size = self.size[some]
-            h, first = self._words(some)
-            level = common[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64)
-            token = level << np.uint64(KEY_BITS) | h & np.uint64((1 << KEY_BITS) - 1)
-            owner = np.repeat(np.arange(len(some)), size)
-            token = np.sort(owner.astype(np.uint64) << np.uint64(64 - LINE_BITS) | token)      # by line, then rare words first
-            new = np.concatenate(([True], token[1:] != token[:-1]))
-            used = new & (np.arange(len(token)) - first[owner] <= most_edits(size)[owner])
-            out.append(token[used] & np.uint64((1 << 64 - LINE_BITS) - 1))
-            counts.append(np.bincount(owner[used], minlength=len(some)))
-        return np.concatenate(out), np.concatenate(counts)
+        number = np.repeat(self.start[lines[at]] - first, size) + np.arange(size.sum())
+        n_groups = np.array(GROUPS)[np.minimum(kind, len(GROUPS) - 1)]
+        salt = mix((kind * 8 + way + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        entry = np.repeat(np.arange(len(at)), size)
+        group = (mix(self.word[number] ^ salt[entry]) >> np.uint64(33)).astype(np.int64) % n_groups[entry]
+        slot = entry * max(GROUPS) + group
+        order = np.argsort(slot, kind="stable")
+        slot, number = slot[order], number[order]
+        begin = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))) if len(slot) else np.zeros(0, dtype=np.int64)
+        count = np.diff(np.append(begin, len(slot)))
+        owner = slot[begin] // max(GROUPS)
+        enough = count >= np.array(LEAST_WORDS)[np.minimum(kind[owner], len(LEAST_WORDS) - 1)]
+        begin, count, owner, label = begin[enough], count[enough], owner[enough], slot[begin][enough] % max(GROUPS)
+        block = majority(self.word[number], begin, count)
+        key = mix(block ^ mix(salt[owner] + label.astype(np.uint64)))
+        return key, at[owner], number, begin, count
 
 
 def most_edits(longest, least: float = MIN_SIMILARITY):
@@ -145,114 +169,128 @@ def most_edits(longest, least: float = MIN_SIMILARITY):
     return np.asarray((1 - least) * longest + 1e-9).astype(np.int64)
 
 
-def _groups(texts) -> Iterator[tuple[int, list[str]]]:
-    """Texts of an Arrow column, few at a time: (place of the first, texts); null is empty."""
-    group, room = [], 0
-    for i in range(len(texts)):
-        group.append(texts[i].as_py() or "")
-        room += len(group[-1])
-        if room >= BYTES_AT_ONCE or i + 1 == len(texts):
-            yield i + 1 - len(group), group
-            group, room = [], 0
-
-
-def counted_words(docs: DataFrame) -> bytes:
-    """How common words are in one of ``COUNTED_DOCS`` documents (``th``, ``text``): a
-    number (count, as a power of two) for every ``COUNT_BITS`` bits of a word's hash."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+def _batches(emit: Callable[[Lines], dict[str, np.ndarray]], names: list[str], take: list[str]):
+    """Arrow batches of documents (``text`` and more) to rows that ``emit`` makes of their lines; with the columns
+    ``take`` of the document ``doc`` that a row is of."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in _groups(batch.column("text")):
-                slot = (Lines(texts).word >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
-                counts += np.bincount(slot, minlength=len(counts))
-        slot = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(counts[slot])], names=["slot", "n"])
-
-    some = docs.filter(F.pmod("th", F.lit(COUNTED_DOCS)) == 0).select("text").mapInArrow(count, "slot int, n long")
-    found = some.groupBy("slot").agg(F.ceil(F.log2(F.sum("n") + 1)).cast("tinyint").alias("level")).toPandas()
-    out = np.zeros(1 << COUNT_BITS, dtype=np.uint8)
-    out[found["slot"].to_numpy(dtype=np.int64)] = found["level"].to_numpy(dtype=np.uint8)
-    return out.tobytes()
+            for base, texts in groups(batch.column("text")):
+                rows = emit(Lines(texts))
+                of = [batch.column(c).take(pa.array(base + rows["doc"], pa.int64())) for c in take]
+                yield pa.RecordBatch.from_arrays(of + [pa.array(rows[n]) for n in names], names=take + names)
+    return run
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``id``, ``text`` to one row per line of ``MIN_WORDS`` words and more: ``id``, ``th``
-    (hash of the text), ``line`` (from 0), ``h``, ``size`` (words), ``sim``, ``sim2``, ``keys``."""
+    """``id``, ``th``, ``text`` to one row per line with words: ``id``, ``th``, ``line`` (from 0), ``h``, ``size``."""
+    def emit(t: Lines) -> dict:
+        some = np.flatnonzero(t.size >= MIN_WORDS)
+        return {"doc": t.doc[some], "line": t.line[some].astype(np.int32), "h": t.h[some].view(np.int64)}
     id_type = docs.schema["id"].dataType.simpleString()
-    counted = docs.sparkSession.sparkContext.broadcast(counted_words(docs))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = np.frombuffer(counted.value, dtype=np.uint8)
-        for batch in batches:
-            for base, texts in _groups(batch.column("text")):
-                t = Lines(texts)
-                chosen = np.flatnonzero(t.size >= MIN_WORDS)
-                at = pa.array(base + t.doc[chosen], pa.int64())
-                keys, counts = t.keys(chosen, common)
-                ends = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(at), batch.column("th").take(at), pa.array(t.line[chosen], pa.int32()),
-                     pa.array(t.h[chosen].view(np.int64)), pa.array(t.size[chosen], pa.int32()), pa.array(t.simhash(chosen)),
-                     pa.array(t.simhash(chosen, 1)), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64)))],
-                    names=["id", "th", "line", "h", "size", "sim", "sim2", "keys"])
-
-    return docs.select("id", "th", "text").mapInArrow(
-        split, f"id {id_type}, th long, line int, h long, size int, sim long, sim2 long, keys array<long>")
-
-
-def keyed(nodes: DataFrame) -> DataFrame:
-    """``key``, ``h``, ``ns`` (occurrences above 32 bits of size), ``sim``, ``sim2`` once for each key. Lines too short for an edit have no like line but their equals."""
-    return nodes.filter(F.floor((F.col("size") + 1) * F.lit(1 - MIN_SIMILARITY) + F.lit(1e-9)) > 0).select(
-        F.explode("keys").alias("key"), "h", F.expr("shiftleft(least(n, 2147483647L), 32) | size").alias("ns"), "sim", "sim2")
-
-
-def _near(b: str):
-    """Whether a row's line and that of the columns named with ``b`` can be alike, by sizes and hashes."""
-    own, size = (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in ("ns", f"ns{b}"))
-    edits = F.floor(F.greatest(own, size) * F.lit(1 - MIN_SIMILARITY) + F.lit(1e-9))
-    far = [F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}{b}"))) for x in ("sim", "sim2")]
-    return (F.abs(own - size) <= edits) & (far[0] + far[1] <= 2 * edits) & (F.greatest(*far) <= MAX_BITS)
-
-
-def neighbours(nodes: DataFrame) -> DataFrame:
-    """The ``keyed`` rows of nodes that have another node that can be alike
-    under the same key. Each row asks for one such partner and no more, so a large
-    group gives its rows, not its pairs; both sides of the join are one shuffle."""
-    rows = keyed(nodes)
-    other = rows.withColumnsRenamed({c: f"{c}_b" for c in rows.columns})
-    return rows.join(other, (F.col("key") == F.col("key_b")) & (F.col("h") != F.col("h_b")) & _near("_b"), "left_semi")
-
-
-def hash_bitmap(hashes: DataFrame) -> bytes:
-    """Fixed-size bitmap (2 ** ``BITMAP_BITS`` bits) of column ``h``; nothing in ``h`` is ever missed."""
-    slot = F.shiftrightunsigned(F.col("h"), 64 - BITMAP_BITS)
-    words = (hashes.select(slot.alias("slot")).selectExpr("shiftright(slot, 5) as word", "shiftleft(1L, cast(slot & 31 as int)) as bit")
-             .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas())
-    out = np.zeros(1 << (BITMAP_BITS - 5), dtype="<u4")
-    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.uint64).astype(np.uint32)
-    return out.tobytes()
+    return docs.select("id", "th", "text").mapInArrow(_batches(emit, ["line", "h"], ["id", "th"]), f"id {id_type}, th long, line int, h long")
+
+
+def shared_keys(docs: DataFrame) -> DataFrame:
+    """``key``: those of two different lines or more."""
+    def emit(t: Lines) -> dict:
+        lines = t.different()
+        key, at, *_ = t.blocks(lines)
+        return {"key": key.view(np.int64), "h": t.h[lines][at].view(np.int64)}
+    rows = docs.select("text").mapInArrow(_batches(emit, ["key", "h"], []), "key long, h long")
+    return cut(rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("key"))
+
+
+_MEMBER = "key long, h long, size int, sim long"
+
+
+def _members(docs: DataFrame, keys: DataFrame, emit: Callable[[Lines, Callable], dict]) -> DataFrame:
+    """Distinct ``key``, ``h``, ``size``, ``sim`` of the rows that ``emit`` finds for ``keys``."""
+    member = members_of(keys, "key")
+    rows = docs.select("text").mapInArrow(_batches(lambda t: emit(t, look_up(member)), ["base", "key", "h", "size", "sim"], []), "base long, " + _MEMBER)
+    if member is None:
+        rows = rows.join(keys.withColumnRenamed("key", "base"), "base", "left_semi")
+    return cut(rows.groupBy("key", "h").agg(F.first("size").alias("size"), F.first("sim").alias("sim")))
+
+
+def members_under(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Lines under each of ``keys`` (and perhaps others): ``key``, ``h``, ``size``, ``sim`` (SimHash of the line)."""
+    def emit(t: Lines, has: Callable) -> dict:
+        lines = t.different()
+        key, at, *_ = t.blocks(lines)
+        hit = has(key)
+        own, place = np.unique(at[hit], return_inverse=True)
+        sim = t.simhash(lines[own])
+        return {"base": key[hit].view(np.int64), "key": key[hit].view(np.int64), "h": t.h[lines[own]].view(np.int64)[place],
+                "size": t.size[lines[own]].astype(np.int32)[place], "sim": sim.view(np.int64)[place]}
+    return _members(docs, keys, emit)
+
+
+def members_split(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Lines under ``keys`` that too many share, under keys of two parts: the old one and a word of the line that is
+    not of that block. Two near lines of k edits differ in k of these at most on either side, so one of the
+    first k + 1 in any order is the same; the order is by length, as long words are seldom common."""
+    def emit(t: Lines, has: Callable) -> dict:
+        lines = t.different()
+        key, at, number, begin, count = t.blocks(lines)
+        out = {"base": [], "key": [], "h": [], "size": [], "sim": []}
+        for b in has(key).tolist():
+            i = int(lines[at[b]])
+            every = np.arange(t.start[i], t.start[i] + t.size[i])
+            rest = np.setdiff1d(every, number[begin[b]:begin[b] + count[b]])
+            n = int(most_edits(int(t.size[i] / MIN_SIMILARITY + 1e-9))) + 1
+            chosen = rest[np.lexsort((t.word[rest], t.first[rest] - t.end[rest]))[:n]]
+            # a line that is the block and a few words more may share the block alone
+            sub = np.append(mix(key[b] ^ mix(t.word[chosen])), key[b:b + 1]) if len(rest) < n else mix(key[b] ^ mix(t.word[chosen]))
+            out["key"].append(sub)
+            for name, value in (("base", key[b]), ("h", t.h[i]), ("size", t.size[i]), ("sim", t.simhash(np.array([i]))[0])):
+                out[name].append(np.full(len(sub), value))
+        none = np.zeros(0, dtype=np.uint64)
+        rows = {n: np.concatenate(v) if v else none for n, v in out.items()}
+        return {n: v.astype(np.int32) if n == "size" else v.view(np.int64) for n, v in rows.items()}
+    return _members(docs, keys, emit)
+
+
+def _near(a: str, b: str):
+    """Whether lines can be near by size and SimHash; columns ``size`` and ``sim`` with these endings."""
+    size, other = F.col(f"size{a}"), F.col(f"size{b}")
+    edits = F.floor(F.greatest(size, other) * F.lit(1 - MIN_SIMILARITY) + F.lit(1e-9))
+    return (F.abs(size - other) <= edits) & (F.bit_count(F.col(f"sim{a}").bitwiseXOR(F.col(f"sim{b}"))) <= MAX_BITS)
+
+
+def _pairs(members: DataFrame, apart: str = "h") -> DataFrame:
+    """Pairs ``u``, ``v`` of possibly near lines under one key whose ``apart`` differ."""
+    b = members.withColumnsRenamed({c: f"{c}_b" for c in members.columns})
+    return members.join(b, (F.col("key") == F.col("key_b")) & (F.col(apart) < F.col(f"{apart}_b")) & _near("", "_b")).select(
+        F.col("h").alias("u"), F.col("h_b").alias("v"))
 
 
 def words_of_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``h``, ``words`` (normalised) of the lines whose hash is in ``wanted`` (``h``, distinct)."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(hash_bitmap(wanted))
+    member = members_of(wanted, "h")
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, dtype="<u4")
-        for batch in batches:
-            for _, texts in _groups(batch.column("text")):
-                t = Lines(texts)
-                slot = t.h >> np.uint64(64 - BITMAP_BITS)
-                hit = (bits[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & 1
-                chosen = np.flatnonzero((hit == 1) & (t.size >= MIN_WORDS))
-                seen, at = np.unique(t.h[chosen], return_index=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(seen.view(np.int64)), pa.array([t.words_of(int(chosen[i])) for i in at], pa.binary())], names=["h", "words"])
-
-    found = docs.select("text").mapInArrow(pick, "h long, words binary")
+    def emit(t: Lines) -> dict:
+        lines = t.different()
+        lines = lines[look_up(member)(t.h[lines])]
+        return {"h": t.h[lines].view(np.int64), "words": [t.words_of(int(i)) for i in lines]}
+    found = docs.select("text").mapInArrow(_batches(emit, ["h", "words"], []), "h long, words binary")
     return found.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("words").alias("words"))
 
 
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (``u``, ``v``) whose lines have the edit similarity (a written checkpoint)."""
+    pairs = cut(pairs.distinct())
+    wanted = cut(pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct())
+    words = words_of_lines(docs, wanted)
+    left = words.select(F.col("h").alias("u"), F.col("words").alias("words_u"))
+    right = words.select(F.col("h").alias("v"), F.col("words").alias("words_v"))
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y) >= MIN_SIMILARITY for x, y in zip(a, b)], dtype=bool)
+
+    return cut(pairs.join(left, "u").join(right, "v").filter(alike("words_u", "words_v")).select("u", "v"))
+
+
 def similarity(a: bytes, b: bytes, least: float = MIN_SIMILARITY) -> float:
     """1 - word edit distance / words of the longer line; 0 where that is below ``least``.
 
@@ -292,93 +330,75 @@ def _along(x: list[bytes], y: list[bytes], i: int, j: int) -> int:
         j += 1
     return i
 
-
-def linked_lines(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Verified links ``u``, ``v`` between line hashes that connect whatever all
-    verified links together would.
-
-    First every node is held against the centre of each of its keys, the line
-    that occurs most often. Pairs whose ends these links have not yet brought
-    together are then compared one by one; within a group that is already
-    connected no pair is made."""
-    members = cut(neighbours(nodes))
-    words = cut(words_of_lines(docs, members.select("h").distinct()))
-
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y) >= MIN_SIMILARITY for x, y in zip(a, b)], dtype=bool)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = words.select(F.col("h").alias("u"), F.col("words").alias("words_u"))
-        right = words.select(F.col("h").alias("v"), F.col("words").alias("words_v"))
-        return pairs.distinct().join(left, "u").join(right, "v").filter(alike("words_u", "words_v")).select("u", "v")
-
-    centre = members.groupBy("key").agg(F.max(F.struct("ns", "h", "sim", "sim2")).alias("c")).select(
-        F.col("key").alias("key_c"), F.col("c.h").alias("v"), *[F.col(f"c.{x}").alias(f"{x}_c") for x in ("ns", "sim", "sim2")])
-    stars = cut(verified(members.join(centre, F.col("key") == F.col("key_c"))
-                         .filter((F.col("h") != F.col("v")) & _near("_c")).select(F.col("h").alias("u"), "v")))
-    found = connected_components(stars)
-    group = Window.partitionBy("key")
-    label = (members.join(found, members["h"] == found["node"], "left")
-             .select("key", "h", "ns", "sim", "sim2", F.coalesce("component", "h").alias("g"))
-             .withColumn("low", F.min("g").over(group)).withColumn("high", F.max("g").over(group))
-             .filter("low < high").drop("low", "high"))
-    b = label.withColumnsRenamed({c: f"{c}_b" for c in label.columns})
-    rest = label.join(b, (F.col("key") == F.col("key_b")) & (F.col("g") < F.col("g_b")) & _near("_b")).select(
-        F.col("h").alias("u"), F.col("h_b").alias("v"))
-    return stars.union(verified(rest))
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return small_batches(renamed(docs, id=id_col, text=text_col)).withColumn("th", F.xxhash64("text"))
+def linked_lines(docs: DataFrame) -> DataFrame:
+    """Verified links ``u``, ``v`` between line hashes that connect whatever all verified links of candidates would."""
+    members = members_under(docs, shared_keys(docs))
+    keys = cut(members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("h", "size", "sim")).alias("c")).filter("n > 1"))
+    few = members.join(keys.filter(F.col("n") <= FEW).select("key"), "key", "left_semi")
+    centre = keys.filter(F.col("n") > FEW).select(F.col("key").alias("key_c"), F.col("c.h").alias("v"), F.col("c.size").alias("size_c"), F.col("c.sim").alias("sim_c"))
+    stars = members.join(centre, (F.col("key") == F.col("key_c")) & (F.col("h") != F.col("v")) & _near("", "_c")).select(F.col("h").alias("u"), "v")
+    links = verified(docs, _pairs(few).union(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))))
+    found = connected_components(links)
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        """With the group ``g`` that a line is in so far, under keys whose lines are in several."""
+        held = cut(rows.join(found, rows["h"] == found["node"], "left").select("key", "h", "size", "sim", F.coalesce("component", "h").alias("g")))
+        several = held.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("key")
+        return held.join(several, "key", "left_semi")
+
+    large = cut(grouped(members.join(centre.select(F.col("key_c").alias("key")), "key", "left_semi")).select("key").distinct())
+    if large.isEmpty():
+        return links
+    split = members_split(docs, large)
+    return links.union(verified(docs, _pairs(grouped(split), "g")))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
-    """For keyed ``docs`` (``id``, ``th``, ``text``): per ``id``, ``th`` the numbers of the kept lines of
-    ``MIN_WORDS`` words and more, ``kept``. Documents that keep none are not listed."""
-    nodes = cut(lines_of(docs).groupBy("h", "size", "sim", "sim2").agg(
-        F.min(F.struct("id", "th", "line")).alias("at"), F.count("*").alias("n"), F.first("keys").alias("keys")))
-    found = connected_components(linked_lines(docs, nodes.drop("at")))
-    grouped = nodes.join(found, nodes["h"] == found["node"], "left")
-    first = grouped.groupBy(F.coalesce("component", "h").alias("g")).agg(F.min("at").alias("at"))
+    """For keyed ``docs`` (``id``, ``th``, ``text``): per ``id``, ``th`` the numbers of the kept lines with words, ``kept``.
+    Documents that keep none are not listed."""
+    found = connected_components(linked_lines(docs))
+    nodes = lines_of(docs).groupBy("h").agg(F.min(F.struct("id", "th", "line")).alias("at"))
+    named = nodes.join(found, nodes["h"] == found["node"], "left")
+    first = named.groupBy(F.coalesce("component", "h").alias("g")).agg(F.min("at").alias("at"))
     return first.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list("at.line").alias("kept"))
 
 
+def _freed(text: str, kept) -> tuple[str, int, bool]:
+    """(text without the lines with words that are not kept, lines removed, whether a word is left)."""
+    has = [bool(line.strip()) for line in text.encode("utf-8", "replace").translate(_LINES).split(b"\n")]
+    stay = [not h for h in has]
+    for i in kept if kept is not None else ():
+        stay[i] = True
+    removed = len(stay) - sum(stay)
+    if not removed:
+        return text, 0, any(has)
+    return "\n".join(line for line, s in zip(text.split("\n"), stay) if s), removed, any(h and s for h, s in zip(has, stay))
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
-    """``docs`` with ``text_col`` freed of repeated lines, and ``lines_removed`` added.
+    """``docs`` with ``text_col`` freed of repeated lines, and ``lines_removed`` added (or replaced).
 
     Of each group of like lines the first occurrence stays, by id (null first),
     hash of the text, and line number; all others go. Lines without a word always
     stay; of lines of up to three words only equal ones are alike. Null and empty texts stay as they are. Rows
     with equal id and text are one document and stay alike. With
     ``drop_emptied``, documents that lose lines and keep none with words go. An
-    empty table gives an empty result; all other columns pass through."""
-    keyed = _keyed(docs, id_col, text_col)
-    kept = kept_lines(keyed).withColumnsRenamed({"id": "_ld_id", "th": "_ld_th", "kept": "_ld_kept"})
-    own = docs.withColumn("_ld_h", F.xxhash64(F.col(text_col)))
-    j = own.join(kept, F.col(id_col).eqNullSafe(F.col("_ld_id")) & (F.col("_ld_h") == F.col("_ld_th")), "left")
+    empty table gives an empty result; all other columns pass through, whatever they are called."""
+    keyed = small_batches(renamed(docs, id=id_col, text=text_col)).withColumn("th", F.xxhash64("text"))
+    kept = kept_lines(keyed).select(F.col("id").alias("key"), F.col("th").alias("key_th"), "kept")
+    rest = [c for c in docs.columns if c not in (text_col, "lines_removed")]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col(text_col).alias("text"), F.col(id_col).alias("id"),
+                      F.xxhash64(F.col(text_col)).alias("th"))
+    held = own.join(kept, F.col("id").eqNullSafe(F.col("key")) & (F.col("th") == F.col("key_th")), "left")
 
     @F.pandas_udf("text string, removed int, words boolean")
     def cut_lines(texts: pd.Series, keeps: pd.Series) -> pd.DataFrame:
-        texts, keeps = texts.tolist(), keeps.tolist()
-        out, removed, left = list(texts), [0] * len(texts), [True] * len(texts)
-        for base, group in _groups(pa.array(texts, pa.string(), from_pandas=True)):
-            t = Lines(group)
-            start = np.searchsorted(t.doc, np.arange(len(group) + 1))
-            stay = t.size < MIN_WORDS
-            for i in range(len(group)):
-                if keeps[base + i] is not None:
-                    stay[start[i] + np.asarray(keeps[base + i], dtype=np.int64)] = True
-            lost = np.bincount(t.doc, ~stay, len(group)).astype(np.int64)
-            words = np.bincount(t.doc, np.where(stay, t.size, 0), len(group))
-            for i in np.flatnonzero(lost).tolist():
-                lines = group[i].split("\n")
-                out[base + i] = "\n".join(lines[k] for k in np.flatnonzero(stay[start[i]:start[i + 1]]).tolist())
-                removed[base + i], left[base + i] = int(lost[i]), bool(words[i])
-        return pd.DataFrame({"text": pd.Series(out, dtype=object), "removed": removed, "words": left})
-
-    done = j.withColumn("_ld", cut_lines(F.col(text_col), F.col("_ld_kept")))
+        rows = [(t, 0, False) if t is None else _freed(t, k) for t, k in zip(texts, keeps)]
+        text, removed, left = zip(*rows) if rows else ((), (), ())
+        return pd.DataFrame({"text": pd.Series(text, dtype=object), "removed": pd.Series(removed, dtype="int32"), "words": pd.Series(left, dtype=bool)})
+
+    done = held.select("rest", cut_lines("text", "kept").alias("done"))
     if drop_emptied:
-        done = done.filter(F.col("_ld.words") | (F.col("_ld.removed") == 0))
-    return done.select(*[F.col("_ld.text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "lines_removed"],
-                       F.col("_ld.removed").alias("lines_removed"))
+        done = done.filter(F.col("done.words") | (F.col("done.removed") == 0))
+    return done.select(*[F.col("done.text").alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in docs.columns if c in rest or c == text_col],
+                       F.col("done.removed").alias("lines_removed"))

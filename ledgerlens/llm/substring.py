@@ -32,15 +32,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import VALUE, groups, range_hash
+from .arrays import VALUE, groups, look_up, members_of, range_hash
 from .common import cut, join_on, renamed, small_batches
 
 WINDOW = 20
 GRAM = 6
-#: Bits of the bitmap of grams or places that scans look for (8 MB); a larger set is joined instead.
-BITMAP_BITS = 26
-#: Of a bitmap's bits, so many for each member at least.
-BITS_EACH = 8
 
 
 class Chains:
@@ -111,35 +107,6 @@ def _scan(docs: DataFrame, emit: Callable[[Chains], tuple[np.ndarray, dict]], fi
     return docs.select("id", "th", "text").mapInArrow(scan, f"id {id_type}, th long, {schema}" if own else schema)
 
 
-class Members:
-    """A set of hashes for scans to look up: a bitmap of fixed size, in which some others are, too."""
-
-    def __init__(self, hashes: DataFrame, column: Column):
-        slots = hashes.select(column.bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)).alias("slot"))
-        bits = (slots.selectExpr("shiftright(slot, 6) as word", "shiftleft(1L, cast(slot & 63 as int)) as bit")
-                .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
-        out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
-        out[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
-        self.shared = hashes.sparkSession.sparkContext.broadcast(out.tobytes())
-
-    def __call__(self) -> Callable[[np.ndarray], np.ndarray]:
-        bits = np.frombuffer(self.shared.value, dtype=np.uint64)
-
-        def has(h: np.ndarray) -> np.ndarray:
-            slot = h & np.uint64((1 << BITMAP_BITS) - 1)
-            return np.flatnonzero(bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
-        return has
-
-
-def _members(hashes: DataFrame, column: str) -> Members | None:
-    """None if the set is too large for a bitmap to tell much."""
-    return Members(hashes, F.col(column)) if hashes.count() * BITS_EACH <= 1 << BITMAP_BITS else None
-
-
-def _look_up(member: Members | None) -> Callable[[np.ndarray], np.ndarray]:
-    return member() if member else lambda h: np.arange(len(h))
-
-
 def shared_grams(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``gram``: those that pick more than one chain."""
     def emit(t: Chains):
@@ -153,10 +120,10 @@ def chains_of(docs: DataFrame, grams: DataFrame, window: int = WINDOW, around: b
     """``id``, ``th``, ``gram``, ``sig`` (digest of the words), ``start``, ``n`` (windows) of every chain of a
     gram of ``grams`` (and perhaps of others); with ``around`` the chains ``before`` and ``after`` it (gram xor
     sig; 0 for none or one of another gram)."""
-    member = _members(grams, "gram")
+    member = members_of(grams, "gram")
 
     def emit(t: Chains):
-        hit = _look_up(member)(t.gram)
+        hit = look_up(member)(t.gram)
         gram, start, n, doc = t.gram[hit], t.start[hit], t.n[hit], t.doc[hit]
         sig = t.digests(t.at[hit], n)
         out = {"gram": gram, "sig": sig, "start": start, "n": n}
@@ -226,11 +193,11 @@ def repeated_windows(docs: DataFrame, chains: DataFrame, window: int = WINDOW) -
     mixed = chains.join(several, "gram", "left_semi").select("gram", "sig", "at")
     opened = cut(mixed.select(F.col("at.id").alias("id"), F.col("at.th").alias("th"), F.col("at.start").alias("start"),
                               _place(F.col("at.th"), F.col("at.start")).alias("place")))
-    member = _members(opened, "place")
+    member = members_of(opened, "place")
     id_type = docs.schema["id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has = _look_up(member)
+        has = look_up(member)
         for batch in batches:
             ths = batch.column("th").to_numpy(zero_copy_only=False).view(np.uint64)
             for base, some in groups(batch.column("text")):
