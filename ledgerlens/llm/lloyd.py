@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, renamed
 
-#: Vectors in a chunk.
-CHUNK = 2048
+#: Vectors in a chunk, and chunks in a partition of vectors.
+CHUNK, CHUNKS = 1024, 8
 #: Columns in a block.
 WIDTH = 16
 #: Bytes of all centroid slices up to which they are broadcast; beyond it they are joined to their blocks by a shuffle.
@@ -59,7 +59,9 @@ def seeds(vectors: DataFrame, k: int, seed: int) -> list[list[float]]:
 
 
 def numbered(vectors: DataFrame) -> DataFrame:
-    """``vectors`` (checkpointed) with ``chunk`` and ``place``: chunks of at most ``CHUNK`` rows of a partition."""
+    """``vectors`` (checkpointed) with ``chunk`` and ``place``: chunks of at most ``CHUNK`` rows of a partition,
+    full ones but for the last of each partition, however the input is dealt."""
+    vectors = vectors.repartition(max(1, -(-vectors.count() // (CHUNK * CHUNKS))))
     at = F.monotonically_increasing_id()
     part, row = F.shiftright(at, 33), at.bitwiseAND(F.lit((1 << 33) - 1))
     return cut(vectors.select("id", "vector", (F.shiftleft(part, 33) + F.floor(row / CHUNK)).alias("chunk"),
