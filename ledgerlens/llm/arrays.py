@@ -12,7 +12,7 @@ BITMAP_BITS = 26
 #: Of a bitmap's bits, so many for each member at least.
 BITS_EACH = 8
 #: Bytes of text laid out as arrays at once in a task.
-BYTES_AT_ONCE = 1 << 19
+BYTES_AT_ONCE = 1 << 17
 _rng = np.random.Generator(np.random.PCG64(20240229))
 VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)     # what a byte adds to a hash
 _BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93}     # odd, so they have inverses

@@ -24,6 +24,7 @@ Shuffled are hashes and places; the texts once, when the spans are cut out.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -186,40 +187,47 @@ def _place(th, start):
     return th ^ start.astype(np.uint64) * np.uint64(2654435761)
 
 
-def repeated_windows(docs: DataFrame, chains: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``id``, ``th``, ``start``, ``windows`` (1) of the windows at first places of chains that stand earlier in
-    another chain of the same gram."""
-    several = chains.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram")
-    mixed = chains.join(several, "gram", "left_semi").select("gram", "sig", "at")
-    opened = cut(mixed.select(F.col("at.id").alias("id"), F.col("at.th").alias("th"), F.col("at.start").alias("start"),
-                              _place(F.col("at.th"), F.col("at.start")).alias("place")))
-    member = members_of(opened, "place")
+def _open_windows(docs: DataFrame, opened: DataFrame, window: int, wanted: DataFrame | None = None) -> DataFrame:
+    """``id``, ``th``, ``gram``, ``sig`` (digest), ``start`` of the windows of the chains at ``opened`` (places ``id``, ``th``,
+    ``start``; perhaps of others, too); with ``wanted`` only of windows in it (and perhaps others)."""
+    member, some = members_of(opened, "place"), members_of(wanted, "sig") if wanted is not None else None
     id_type = docs.schema["id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has = look_up(member)
+        has, is_wanted = look_up(member), look_up(some)
         for batch in batches:
             ths = batch.column("th").to_numpy(zero_copy_only=False).view(np.uint64)
-            for base, some in groups(batch.column("text")):
-                t = Chains(some, window)
+            for base, texts in groups(batch.column("text")):
+                t = Chains(texts, window)
                 hit = has(_place(ths[base + t.doc], t.start))
                 n = t.n[hit]
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = np.repeat(t.at[hit], n) + step
-                row = pa.array(base + np.repeat(t.doc[hit], n), pa.int64())
+                chain = np.repeat(hit, n)
+                step = np.arange(len(chain)) - np.repeat(np.cumsum(n) - n, n)
+                sig = t.digests(t.at[chain] + step, np.ones(len(chain), dtype=np.int64))
+                keep = is_wanted(sig)
+                chain, step, sig = chain[keep], step[keep], sig[keep]
+                row = pa.array(base + t.doc[chain], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(row), batch.column("th").take(row), pa.array(np.repeat(t.gram[hit], n).view(np.int64)),
-                     pa.array(t.digests(at, np.ones(len(at), dtype=np.int64)).view(np.int64)),
-                     pa.array((np.repeat(t.start[hit], n) + step).astype(np.int32)), pa.array(np.repeat(t.start[hit], n).astype(np.int32))],
+                    [batch.column("id").take(row), batch.column("th").take(row), pa.array(t.gram[chain].view(np.int64)), pa.array(sig.view(np.int64)),
+                     pa.array((t.start[chain] + step).astype(np.int32)), pa.array(t.start[chain].astype(np.int32))],
                     names=["id", "th", "gram", "sig", "start", "chain"])
 
     windows = docs.select("id", "th", "text").mapInArrow(scan, f"id {id_type}, th long, gram long, sig long, start int, chain int")
-    if not member:
+    if member is None:
         windows = join_on(windows, opened.select("id", "th", F.col("start").alias("chain")), ["id", "th", "chain"], "left_semi")
-    windows = windows.drop("chain")
-    first = (windows.groupBy("gram", "sig").agg(F.min(F.struct("id", "start")).alias("at"), F.max(F.struct("id", "start")).alias("last"))
-             .filter(~F.col("at").eqNullSafe(F.col("last"))).drop("last"))
-    return (windows.join(first, ["gram", "sig"])
+    return windows.drop("chain")
+
+
+def repeated_windows(docs: DataFrame, chains: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``id``, ``th``, ``start``, ``windows`` (1) of the windows at first places of chains that stand earlier in
+    another chain of the same gram."""
+    several = chains.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram")
+    opened = cut(chains.join(several, "gram", "left_semi").select(
+        F.col("at.id").alias("id"), F.col("at.th").alias("th"), F.col("at.start").alias("start"), _place(F.col("at.th"), F.col("at.start")).alias("place")))
+    place = F.struct("id", "start")
+    first = cut(_open_windows(docs, opened, window).groupBy("gram", "sig").agg(F.min(place).alias("at"), F.max(place).alias("last"))
+                .filter(~F.col("at").eqNullSafe(F.col("last"))).drop("last"))
+    return (_open_windows(docs, opened, window, first).join(first, ["gram", "sig"])
             .filter(~(F.col("id").eqNullSafe(F.col("at.id")) & (F.col("start") == F.col("at.start"))))
             .select("id", "th", "start", F.lit(1).alias("windows"), F.lit(0).cast("long").alias("check")))
 
@@ -236,26 +244,29 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return small_batches(renamed(docs, id=id_col, text=text_col)).filter("text is not null").withColumn("th", F.xxhash64("text"))
 
 
-def _cut_spans(text: str, starts, windows, checks, window: int) -> tuple[bytes, int, int]:
-    """(kept words joined by one space, words, words removed)."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    if starts is None or not len(starts):
-        return b" ".join(words), len(words), 0
-    starts, windows, checks = np.asarray(starts, dtype=np.int64), np.array(windows, dtype=np.int64), np.asarray(checks, dtype=np.int64)
-    whole = np.flatnonzero(checks)
-    if len(whole):      # the words at the span must be the path's
-        t = Chains([text], window)
-        a, b = np.searchsorted(t.start, starts[whole]), np.searchsorted(t.start, starts[whole] + windows[whole])
-        for i, j, k in zip(whole.tolist(), a.tolist(), b.tolist()):
-            found = int(np.bitwise_xor.reduce(t.digests(t.at[j:k], t.n[j:k])).view(np.int64)) if k > j else 0
-            if found != int(checks[i]):
-                windows[i] = 0
-    ok = windows > 0
-    mark = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(mark, starts[ok], 1)
-    np.add.at(mark, starts[ok] + windows[ok] + window - 1, -1)
-    gone = np.cumsum(mark)[:-1] > 0
-    return b" ".join([w for w, g in zip(words, gone.tolist()) if not g]), len(words), int(gone.sum())
+def _cut_spans(texts: list[str], spans: list[tuple], window: int) -> Iterator[tuple[str, int, int]]:
+    """(kept words joined by one space, words, words removed) of texts with their (starts, windows, checks)."""
+    t = Chains(texts, window) if spans else None
+    edge = np.searchsorted(t.doc, np.arange(len(texts) + 1)) if spans else None
+    for d, text in enumerate(texts):
+        words = text.encode("utf-8", "surrogatepass").split()
+        gone = None
+        if spans and spans[d] is not None:
+            starts, windows, checks = (np.array(x, dtype=np.int64) for x in spans[d])
+            own = t.start[edge[d]:edge[d + 1]]
+            whole = np.flatnonzero(checks)      # the words at these spans must be their path's
+            a, b = edge[d] + np.searchsorted(own, starts[whole]), edge[d] + np.searchsorted(own, starts[whole] + windows[whole])
+            for i, j, k in zip(whole.tolist(), a.tolist(), b.tolist()):
+                found = int(np.bitwise_xor.reduce(t.digests(t.at[j:k], t.n[j:k])).view(np.int64)) if k > j else 0
+                if found != int(checks[i]):
+                    windows[i] = 0
+            ok = windows > 0
+            mark = np.zeros(len(words) + 1, dtype=np.int64)
+            np.add.at(mark, starts[ok], 1)
+            np.add.at(mark, starts[ok] + windows[ok] + window - 1, -1)
+            gone = np.cumsum(mark)[:-1] > 0
+        kept = words if gone is None else list(compress(words, (~gone).tolist()))
+        yield b" ".join(kept).decode("utf-8", "surrogatepass"), len(words), len(words) - len(kept)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -278,9 +289,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     @F.pandas_udf("text string, n_words long, n_removed long")
     def cut_out(texts: pd.Series, starts: pd.Series, windows: pd.Series, checks: pd.Series) -> pd.DataFrame:
-        rows = [(None, 0, 0) if t is None else _cut_spans(t, s, w, c, window) for t, s, w, c in zip(texts, starts, windows, checks)]
-        return pd.DataFrame({"text": pd.Series([r[0] if r[0] is None else r[0].decode("utf-8", "surrogatepass") for r in rows], dtype=object),
-                             "n_words": [r[1] for r in rows], "n_removed": [r[2] for r in rows]})
+        rows = [(None, 0, 0)] * len(texts)
+        with_spans = [i for i, (t, s) in enumerate(zip(texts, starts)) if t is not None and s is not None]
+        without = [i for i, (t, s) in enumerate(zip(texts, starts)) if t is not None and s is None]
+        for i, row in zip(without, _cut_spans([texts[i] for i in without], [], window)):
+            rows[i] = row
+        for base, some in groups(pa.array([texts[i] for i in with_spans], pa.string())):
+            own = with_spans[base:base + len(some)]
+            for i, row in zip(own, _cut_spans(some, [(starts[i], windows[i], checks[i]) for i in own], window)):
+                rows[i] = row
+        text, n_words, n_removed = zip(*rows) if rows else ((), (), ())
+        return pd.DataFrame({"text": pd.Series(text, dtype=object), "n_words": pd.Series(n_words, dtype="int64"), "n_removed": pd.Series(n_removed, dtype="int64")})
 
     done = held.select("rest", cut_out("text", "starts", "windows", "checks").alias("done"))
     return done.select(*[F.col("done.text").alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in docs.columns if c in rest or c == text_col],

@@ -1,6 +1,6 @@
 import random
 
-from ledgerlens.llm import queries, substring
+from ledgerlens.llm import arrays, queries, substring
 from ledgerlens.llm.substring import _cut_spans
 
 from .cases import clashing, no_docs, odd_docs
@@ -67,7 +67,7 @@ def test_random_texts(spark):
 
 
 def test_sets_too_large_for_a_bitmap(spark, monkeypatch):
-    monkeypatch.setattr(substring, "BITS_EACH", 1 << 40)
+    monkeypatch.setattr(arrays, "BITS_EACH", 1 << 40)
     docs = random_docs(random.Random(6), 40)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert deduped(df, window=6) == sorted(brute(docs, 6), key=key)
@@ -97,5 +97,5 @@ def test_a_span_that_is_not_the_paths_words_stays():
     for d in t.digests(t.at, t.n).view("int64").tolist():
         check ^= d
     n = int(t.n.sum())
-    assert _cut_spans(text, [0], [n], [check], 3) == (b"", 8, 8)
-    assert _cut_spans(text, [0], [n], [check + 1], 3) == (text.encode(), 8, 0)
+    own = [t.start[:1].tolist(), [n], [check]]
+    assert list(_cut_spans([text, text], [own, [[0], [n], [check + 1]]], 3)) == [("", 8, 8), (text, 8, 0)]
