@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
+from .functions.scalars import valid_status
 from .operators.overlap import overlap_top_k
 from .models import churn as CH
 from .plans import analyst as A
@@ -185,6 +186,49 @@ YEAR = 1998
 AS_OF = FULL[1]
 
 
+#: Two trees over (revenue, orders, items) of a day: (feature, cut, low, high, length) of their nodes; -1 ends a path.
+GIVEN_TREES = [
+    [(1, 3.0, 1, 2, 0.0), (-1, 0.0, -1, -1, 1.0), (0, 500_000.0, 3, 4, 0.0), (2, 9.0, 5, 6, 0.0), (-1, 0.0, -1, -1, 2.5), (-1, 0.0, -1, -1, 3.0),
+     (-1, 0.0, -1, -1, 4.25)],
+    [(2, 20.0, 1, 2, 0.0), (0, 100_000.0, 3, 4, 0.0), (-1, 0.0, -1, -1, 1.5), (-1, 0.0, -1, -1, 2.0), (-1, 0.0, -1, -1, 3.75)]]
+#: Given coefficients of a trend: level, slope, change points, sine and cosine of the weekly and yearly waves.
+GIVEN_TREND = [1000.0, 250.0] + [(-1) ** j * 40.0 * (j + 1) for j in range(12)] + [10.0 * (i % 5) - 15.0 for i in range(16)]
+DAY_FEATURES = ["revenue", "orders", "items"]
+
+
+def _days(s, d):
+    """A row for each day: its revenue, orders and items."""
+    sold = _star(s, d).fact_slim.filter(valid_status())
+    return sold.groupBy(F.col("order_date").alias("day")).agg(F.sum("sale_price").cast("double").alias("revenue"),
+                                                              F.countDistinct("order_id").alias("orders"), F.count(F.lit(1)).alias("items"))
+
+
+def _anomaly_forest(s, d):
+    from .models import anomaly
+    return anomaly.isolation_forest(_days(s, d).checkpoint(), "day", DAY_FEATURES)
+
+
+def _anomaly_given(s, d):
+    from .models import anomaly
+    forest = s.createDataFrame(list(anomaly.tree_rows(GIVEN_TREES)), anomaly.NODE)
+    scored = anomaly.score_forest(_days(s, d), forest, "day", DAY_FEATURES, anomaly.SAMPLE)
+    return scored.select("day", "path", F.round("score", 6).alias("score"), "is_anomaly")
+
+
+def _forecast_seasons(s, d):
+    from .models import forecast
+    return forecast.forecast(_days(s, d).checkpoint(), 28)
+
+
+def _forecast_given(s, d):
+    """Given coefficients, evaluated on every day of the data."""
+    from .models import forecast
+    days = _days(s, d)
+    ends = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    trend = forecast.Trend(ends.a, (ends.b - ends.a).days + 1, GIVEN_TREND)
+    return days.select("day", F.round(trend.value(F.col("day")), 4).alias("value"))
+
+
 def analyst_queries() -> dict[str, Query]:
     st = _star
     return {
@@ -211,6 +255,8 @@ def analyst_queries() -> dict[str, Query]:
         "audit_pareto_headcount": lambda s, d: A.audit_pareto_headcount(st(s, d).fact_slim, *_full(s, d)),
         "forecast_revenue": lambda s, d: A.forecast_revenue(st(s, d).fact_slim, 14),
         "anomaly_revenue": lambda s, d: A.anomaly_revenue(st(s, d).fact_slim),
+        "anomaly_forest": _anomaly_forest, "anomaly_forest_given": _anomaly_given,
+        "forecast_seasons": _forecast_seasons, "forecast_seasons_given": _forecast_given,
     }
 
 
@@ -238,6 +284,8 @@ def analyst_oracles() -> dict[str, str]:
         "audit_pareto_headcount": O.audit_pareto_headcount(*FULL),
         "forecast_revenue": O.daily_forecast(14),
         "anomaly_revenue": O.anomaly_revenue(),
+        "anomaly_forest_given": O.anomaly_forest(GIVEN_TREES, DAY_FEATURES, 256, 0.6),
+        "forecast_seasons_given": O.forecast_seasons(GIVEN_TREND, 12, 3, 5, 0.8),
     }
 
 
@@ -248,23 +296,41 @@ def _orders_until(s, d, until):
     return _orders(s, d).filter(F.col("order_date") <= F.lit(until).cast("date"))
 
 
-def _features(s, d, until=None):
+def _features(s, d, until=None, columns=None):
     st = _star(s, d)
-    return FE.build_all_features(_orders(s, d) if until is None else _orders_until(s, d, until), st.customers, st.products)
+    return FE.build_all_features(_orders(s, d) if until is None else _orders_until(s, d, until), st.customers, st.products, columns=columns)
+
+
+def _watched(s, d, until=None):
+    """The features that are watched for drift, and no others."""
+    return _features(s, d, until, DR.MONITORED_FEATURES)
 
 
 def _scenario(df):
     return df.withColumn("recency", F.col("recency") * 10).withColumn("monetary", F.col("monetary") / 100)
 
 
+def _churn_features(s, d):
+    return _features(s, d, columns=[*CH.CHURN_FEATURES, "churn"])
+
+
+def _cluster_features(s, d):
+    from .models import segmentation
+    return _features(s, d, columns=segmentation.BASE_FEATURES + segmentation.EXTRA_FEATURES)
+
+
+def _drift_scenario(s, d):
+    """The features against themselves after a shift: computed once for both sides."""
+    watched = _watched(s, d).checkpoint()
+    return DR.drift_check(DR.feature_stats(watched), DR.feature_means(_scenario(watched)))
+
+
 def monitoring_queries() -> dict[str, Query]:
     return {
-        "feature_stats": lambda s, d: DR.feature_stats(_features(s, d)),
-        "baseline_stats_api": lambda s, d: DR.baseline_stats_api(_features(s, d)),
-        "drift_check_scenario": lambda s, d: DR.drift_check(DR.feature_stats(_features(s, d)),
-                                                            DR.feature_means(_scenario(_features(s, d)))),
-        "drift_check_history": lambda s, d: DR.drift_check(DR.feature_stats(_features(s, d)),
-                                                           DR.feature_means(_features(s, d, HISTORY_CUT))),
+        "feature_stats": lambda s, d: DR.feature_stats(_watched(s, d)),
+        "baseline_stats_api": lambda s, d: DR.baseline_stats_api(_features(s, d, columns=DR.API_BASELINE_FEATURES)),
+        "drift_check_scenario": _drift_scenario,
+        "drift_check_history": lambda s, d: DR.drift_check(DR.feature_stats(_watched(s, d)), DR.feature_means(_watched(s, d, HISTORY_CUT))),
         "churn_heuristic": lambda s, d: SC.churn_heuristic(FE.create_rfm(_orders(s, d))),
         "churn_pseudo_features": lambda s, d: SC.churn_pseudo_features(FE.create_rfm(_orders(s, d))),
         "segment_score_batch": lambda s, d: SC.segment_score_batch(FE.create_rfm(_orders_until(s, d, HISTORY_CUT)),
@@ -298,12 +364,32 @@ def _clv_later(s, d):
 
 def _kmeans(s, d):
     from .models import segmentation
-    return segmentation.run_kmeans(_features(s, d))[0]
+    return segmentation.run_kmeans(_cluster_features(s, d))[0]
+
+
+#: Fixed parameters under which CLV scores can be computed in any engine.
+GIVEN_BG = {"r": 0.8, "alpha": 60.0, "a": 0.9, "b": 2.5}
+GIVEN_GG = {"p": 6.0, "q": 4.0, "v": 5000.0}
+
+
+def _clv_given(s, d):
+    """CLV scores under fixed parameters, three months ahead."""
+    from .models import clv
+    return clv.clv_predict(clv.clv_summary(_orders(s, d)), GIVEN_BG, GIVEN_GG, months=3)
+
+
+def _clv_later_given(s, d):
+    from .models import clv
+    return clv.clv_predict(clv.clv_summary(_orders_until(s, d, HISTORY_CUT), _last(s, d)), GIVEN_BG, GIVEN_GG)
+
 
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, O.CLV_DIGITS.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
-def _at_risk_top_clv(s, d):
+
+def _at_risk_top_clv(s, d, clv=_clv):
     seg = _segments(s, d).filter(F.col("segment_key") == "At Risk")
-    return (_clv(s, d).join(seg, "customer_id", "left_semi").orderBy(F.col("clv_pred").desc(), "customer_id")
+    return (clv(s, d).join(seg, "customer_id", "left_semi").orderBy(F.col("clv_pred").desc(), "customer_id")
             .limit(10).select("customer_id", "clv_pred", "predicted_purchases", "predicted_aov"))
 
 
@@ -311,58 +397,67 @@ def _segments(s, d):
     return SG.segment_customers(_star(s, d).fact_slim, _last(s, d))
 
 
-def _champion_gg_gap(s, d):
+def _champion_gg_gap(s, d, clv=_clv):
     champ = _segments(s, d).filter(F.col("segment_key") == "Champion")
-    c = _clv(s, d).join(champ, "customer_id", "left_semi").filter(F.col("frequency") > 0)
+    c = clv(s, d).join(champ, "customer_id", "left_semi").filter(F.col("frequency") > 0)
     return c.agg(F.count(F.lit(1)).alias("customers"), F.avg("monetary_value").alias("actual_aov"),
                  F.avg("predicted_aov").alias("gamma_gamma_aov"))
 
 
-def _low_p_active_category(s, d, category="PROMO"):
+def _low_p_active_category(s, d, category="PROMO", clv=_clv_later):
     st = _star(s, d)
     buyers = (FE.load_valid_orders(st.fact_slim).join(st.products.filter(F.col("category") == category)
                                                       .select("product_id"), "product_id", "left_semi")
               .select("customer_id").distinct())
-    return (_clv_later(s, d).filter(F.col("p_alive") < 0.2).join(buyers, "customer_id", "left_semi")
+    return (clv(s, d).filter(F.col("p_alive") < 0.2).join(buyers, "customer_id", "left_semi")
             .select("customer_id", "p_alive", "frequency", "recency", "T"))
 
 
 def _churn(s, d, kinds=("lr", "gbt")):
-    from .models import churn
-    feats = _features(s, d)
-    return churn.train_churn_model(feats, kinds=kinds)
+    return CH.train_churn_model(_churn_features(s, d), kinds=kinds)
 
 
 def _gbt_importance(s, d):
-    from .models import churn
-    feats = _features(s, d)
-    data = churn.class_weights(churn.prepare(feats)).filter(~F.col("is_test"))
-    model = churn._pipeline("gbt", [f for f in churn.CHURN_FEATURES if f in feats.columns]).fit(data)
-    return churn.feature_importance(model)
+    return CH.feature_importance(CH.fit_churn_model(_churn_features(s, d), "gbt"))
+
+
+def _churn_choice_checked(s, d):
+    """The model choice, its metrics computed again from the stored hold-out predictions."""
+    return CH.check_choice(_churn(s, d))
 
 
 def _churn_scores(s, d):
-    from .models import churn
-    feats = _features(s, d)
-    model, _, _ = churn.train_churn_model(feats, kinds=("lr",))
-    return churn.predict_churn_risk(model, feats)
+    feats = _churn_features(s, d).checkpoint()
+    return CH.predict_churn_risk(CH.fit_churn_model(feats), feats)
 
 
 def _als_recs(s, d):
     from .models import recommend as REC
     st = _star(s, d)
-    m = REC.interaction_matrix(FE.load_valid_orders(st.fact_slim)).persist()
+    m = REC.interaction_matrix(FE.load_valid_orders(st.fact_slim)).checkpoint()
+    return REC.enrich(REC.recommend(REC.train_als(m), m, n=5), st.products)
+
+
+def _als_exact(s, d):
+    """The recommendations held, customer by customer and rank by rank, against the library's ranking of all
+    products without those bought: how many ranks there are, and how many scores differ."""
+    from .models import recommend as REC
+    m = REC.interaction_matrix(_orders(s, d)).checkpoint()
     model = REC.train_als(m)
-    return REC.enrich(REC.recommend(model, m, n=5), st.products)
+    ours = REC.recommend(model, m, n=5)
+    theirs = REC.library_ranking(model, m, n=5)
+    both = ours.join(theirs.withColumnRenamed("score", "library_score").select("customer_id", "rank", "library_score"), ["customer_id", "rank"], "full")
+    off = F.abs(F.col("score") - F.col("library_score")) > 1e-4
+    return both.agg(F.countDistinct("customer_id").alias("customers"), F.count(F.lit(1)).alias("ranks"),
+                    F.count(F.when(off | F.col("score").isNull() | F.col("library_score").isNull(), 1)).alias("different"))
 
 
 def _churn_blend(s, d):
     """Model probability of the fitted classifier blended with the heuristic,
     on the pseudo-features derived from R, F, M."""
-    from .models import churn
-    model, _, _ = churn.train_churn_model(_features(s, d), kinds=("lr",))
+    model = CH.fit_churn_model(_churn_features(s, d))
     pseudo = SC.churn_pseudo_features(FE.create_rfm(_orders(s, d))).withColumn("churn", F.lit(0))
-    probs = churn.predict_churn_risk(model, pseudo).withColumnRenamed("churn_probability", "model_probability")
+    probs = CH.predict_churn_risk(model, pseudo).withColumnRenamed("churn_probability", "model_probability")
     return SC.churn_blend(pseudo.join(probs.select("customer_id", "model_probability"), "customer_id"))
 
 
@@ -388,7 +483,8 @@ def model_queries() -> dict[str, Query]:
         "q_low_p_active_category": _low_p_active_category,
         "kmeans_segments": _kmeans,
         "silhouette_k_sweep": lambda s, d: segmentation.silhouette_k_sweep(FE.create_rfm(_orders(s, d))),
-        "churn_train_lr_metrics": lambda s, d: _churn(s, d, kinds=("lr",))[1],
+        "churn_train_lr_metrics": lambda s, d: _churn(s, d, kinds=("lr",)).metrics.drop("chosen"),
+        "churn_model_choice": lambda s, d: _churn(s, d).metrics,
         "churn_gbt_importance": _gbt_importance,
         "churn_score": _churn_scores,
         "binary_metrics_heuristic": lambda s, d: CH.binary_metrics(_heuristic_predictions(s, d)),
@@ -424,18 +520,19 @@ def _stream_fact(s, d):
 
 
 def _stream_drift(s, d):
-    from .streaming.incremental import scratch_dir, stream_drift
+    from .streaming.incremental import drift_log, scratch_dir, stream_drift
     base = scratch_dir(s, "stream-drift")
     src, log, ck = base + "/snapshots", base + "/log", base + "/checkpoint"
-    full = _features(s, d)
-    baseline = DR.feature_stats(full)
-    first = _features(s, d, HISTORY_CUT).withColumn("snapshot_id", F.lit(1))
-    first.repartition(4, "customer_id").write.mode("append").parquet(src)      # a snapshot of several files
-    stream_drift(s, src, baseline, log, ck, first.schema)
+    full = _watched(s, d).checkpoint()
+    baseline = DR.feature_stats(full).checkpoint()
+    first = _watched(s, d, HISTORY_CUT).checkpoint().withColumn("snapshot_id", F.lit(1))
+    for part in range(3):       # one snapshot that arrives in three runs, the second of several files
+        first.filter(F.col("customer_id") % 3 == part).repartition(1 + part % 2 * 3, "customer_id").write.mode("append").parquet(src)
+        stream_drift(s, src, baseline, log, ck, first.schema)
     second = _scenario(full).withColumn("snapshot_id", F.lit(2)).select(*first.columns)
     second.repartition(3, "customer_id").write.mode("append").parquet(src)
     stream_drift(s, src, baseline, log, ck, first.schema)
-    return s.read.parquet(log).drop("batch_id")
+    return drift_log(s, log)
 
 
 def _scratch(s, name):
@@ -454,31 +551,106 @@ def _sink_incremental(s, d):
     return s.read.parquet(path)
 
 
+def _once(s, table: str) -> DataFrame:
+    """The published table as it is now; its name is given up again."""
+    from .sources.published import read_published
+    found = read_published(s, table)
+    s.sql(f"DROP VIEW `{table}`")
+    return found
+
+
+def _fresh_name(name: str) -> str:
+    import uuid
+    return f"ll_{uuid.uuid4().hex[:12]}_{name}"
+
+
+def _broken(df: DataFrame, column: str) -> DataFrame:
+    """``df``, whose last row (by ``column``) breaks the job that reads it."""
+    from .operators.ranking import attach_scalars
+    last = attach_scalars(df, df.agg(F.max(column).alias("_last")))
+    return last.withColumn(column, F.when(F.col(column) == F.col("_last"), F.raise_error(F.lit("broken row"))).otherwise(F.col(column))).drop("_last")
+
+
+def _fails(action) -> None:
+    try:
+        action()
+    except Exception as e:
+        if "broken row" not in str(e):
+            raise
+        return
+    raise AssertionError("the load was to break")
+
+
 def _sink_full_replace(s, d):
-    """An older, longer table replaced by the products."""
+    """An older, longer table of other columns, partitioned, replaced by the products."""
     from .sources import sinks
-    path = _scratch(s, "sink-full") + "/dim_products"
+    base, table = _scratch(s, "sink-full"), _fresh_name("dim_products")
     products = _etl(s, d)["dim_products"]
-    sinks.sink_full_replace(products.union(products), path)
-    sinks.sink_full_replace(products, path)
-    return s.read.parquet(path)
+    sinks.sink_full_replace(products.union(products).withColumn("more", F.lit(1)), table, base, ["category"])
+    sinks.sink_full_replace(products, table, base)
+    return _once(s, table)
 
 
-def _load_all(s, d):
-    """The star loaded in full and then incrementally; rows per table as loaded."""
+def _sink_replace_broken(s, d):
+    """Products loaded; a second load of other rows breaks midway: the table is still the first load."""
+    from .sources import sinks
+    base, table = _scratch(s, "sink-broken"), _fresh_name("dim_products")
+    products = _etl(s, d)["dim_products"]
+    sinks.sink_full_replace(products, table, base)
+    _fails(lambda: sinks.sink_full_replace(_broken(products.union(products).repartition(4), "product_id"), table, base))
+    return _once(s, table)
+
+
+def _load_star(s, d, loads) -> DataFrame:
+    """Rows per table after the star was loaded by each of ``loads`` in turn."""
     from .sources import sinks
-    base, star = _scratch(s, "load-all"), _etl(s, d, surrogate_key=False)
-    sinks.load_all(star, base)
-    return sinks.load_all(star, base, mode="incremental")
+    from .sources.published import read_published
+    base, star, prefix = _scratch(s, "load-all"), _etl(s, d, surrogate_key=False), _fresh_name("")
+    for load in loads:
+        load(lambda tables, mode: sinks.load_all(tables, base, mode, prefix), star)
+    counts = QA.verify_counts({n: read_published(s, prefix + n) for n in star})
+    for n in star:
+        s.sql(f"DROP VIEW IF EXISTS `{prefix}{n}`")
+    return counts
+
+
+def _load_all(s, d):
+    """The star up to ``HISTORY_CUT`` loaded in full, then all of it incrementally, twice."""
+    def first(load, star):
+        day = F.col("order_date")       # items without an order have no day and come with the first load only
+        load(star | {"fact_orders": star["fact_orders"].filter(day.isNull() | (day <= F.lit(HISTORY_CUT).cast("date")))}, "full")
+    again = lambda load, star: load(star, "incremental")
+    return _load_star(s, d, [first, again, again])
+
+
+def _load_all_broken(s, d):
+    """The star loaded; later loads that change the dimensions break in the fact, full or incremental: nothing has changed."""
+    def broken(mode):
+        def load(load, star):
+            later = star["fact_orders"].withColumn("order_date", F.date_add("order_date", 10_000))
+            fewer = {n: df.limit(3) for n, df in star.items() if n != "fact_orders"}
+            _fails(lambda: load(fewer | {"fact_orders": _broken(later, "order_item_id")}, mode))
+        return load
+    return _load_star(s, d, [lambda load, star: load(star, "full"), broken("full"), broken("incremental")])
+
+
+def _kpis_stored_segments(s, d):
+    """The KPIs of two segments from stored segments: a report before a load, one after it, and the next one of that day."""
+    base, fact = _scratch(s, "segments"), _star(s, d).fact_slim
+    store = SG.SegmentStore(s, base, _fresh_name(""))
+    earlier = fact.filter(F.col("order_date") <= F.lit("1998-12-31").cast("date"))
+    R.kpis(earlier, *MID, segments=store.filter(earlier, MID[1], SEGS)).collect()
+    R.kpis(fact, *MID, segments=store.filter(fact, MID[1], SEGS)).collect()
+    out = R.kpis(fact, *MID, segments=store.filter(fact, MID[1], SEGS))
+    store.forget(MID[1])
+    return out
 
 
 def _verify_counts_missing(s, d):
     """Counts of a star of which one table was never loaded."""
-    from .sources import sinks
-    from .sources.paths import read_if_exists
-    base, star = _scratch(s, "verify"), _etl(s, d, surrogate_key=False)
-    sinks.load_all({n: df for n, df in star.items() if n != "dim_date"}, base)
-    return QA.verify_counts({n: read_if_exists(s, f"{base}/{n}") for n in star})
+    def partly(load, star):
+        load({n: df for n, df in star.items() if n != "dim_date"}, "full")
+    return _load_star(s, d, [partly])
 
 
 def _staged(s, d):
@@ -515,12 +687,12 @@ def _margin(s, d):
 
 
 def _drift_baseline(s, d):
-    return DR.DriftMonitor(s, _scratch(s, "drift")).set_baseline(_features(s, d)).drop("set_at")
+    return DR.DriftMonitor(s, _scratch(s, "drift")).set_baseline(_watched(s, d)).drop("set_at")
 
 
 def _drift_log(s, d):
     """The latest report of a monitor's log after two checks."""
-    monitor, features = DR.DriftMonitor(s, _scratch(s, "drift")), _features(s, d)
+    monitor, features = DR.DriftMonitor(s, _scratch(s, "drift")), _watched(s, d).checkpoint()
     monitor.set_baseline(features)
     monitor.check(features)
     monitor.check(_scenario(features))
@@ -544,8 +716,7 @@ def _dirty_orphans(s, d):
 
 def _churn_split(s, d):
     """Hold-out and fold sizes of each class."""
-    from .models import churn
-    split = churn.prepare(_features(s, d))
+    split = CH.prepare(_churn_features(s, d))
     return (split.groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("n"))
             .select("label", "is_test", "n"))
 
@@ -559,8 +730,7 @@ def _blend_given(s, d):
 def _p_active_given(s, d):
     """P(alive) under fixed parameters."""
     from .models import clv
-    params = {"r": 0.8, "alpha": 60.0, "a": 0.9, "b": 2.5}
-    return clv.clv_summary(_orders(s, d)).select("customer_id", F.round(clv.p_alive(params), 6).alias("p_alive"))
+    return clv.clv_summary(_orders(s, d)).select("customer_id", F.round(clv.p_alive(GIVEN_BG), 6).alias("p_alive"))
 
 
 def _als_invariants(s, d):
@@ -572,7 +742,8 @@ def _als_invariants(s, d):
     per = recs.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"), F.countDistinct("rank").alias("ranks"))
     total = per.agg(F.count(F.lit(1)).alias("customers"), F.sum("n").cast("long").alias("recommendations"),
                     F.count(F.when((F.col("last") != F.col("n")) | (F.col("ranks") != F.col("n")), 1)).alias("gaps_in_rank"))
-    return total.join(F.broadcast(bought))     # one row each
+    from .operators.ranking import attach_scalars
+    return attach_scalars(total, bought)
 
 
 def _kmeans_invariants(s, d):
@@ -581,9 +752,9 @@ def _kmeans_invariants(s, d):
     standardised units) to another centre."""
     from pyspark.ml.functions import vector_to_array
     from .models import segmentation as SEG
-    rfm = FE.create_rfm(_orders(s, d)).drop("avg_order_value").checkpoint()
-    scored, model, centroids = SEG.run_kmeans(rfm, n_init=3)
-    data, _ = SEG._prepared(rfm, SEG.BASE_FEATURES)
+    rfm = _cluster_features(s, d).checkpoint()
+    scored, model, centroids = SEG.run_kmeans(rfm)
+    data, _ = SEG._prepared(rfm, SEG.BASE_FEATURES + SEG.EXTRA_FEATURES)
     x = vector_to_array("features")
     gaps = [F.aggregate(F.zip_with(x, F.array(*map(F.lit, map(float, c))), lambda a, b: (a - b) * (a - b)), F.lit(0.0),
                         lambda acc, v: acc + v) for c in model.clusterCenters()]
@@ -607,23 +778,34 @@ def _lookup_enrich(s, d):
 def load_queries() -> dict[str, Query]:
     return {
         "sink_incremental": _sink_incremental, "sink_full_replace": _sink_full_replace, "load_all": _load_all,
+        "sink_replace_broken": _sink_replace_broken, "load_all_broken": _load_all_broken, "kpis_stored_segments": _kpis_stored_segments,
+        "churn_choice_checked": _churn_choice_checked,
         "verify_counts_missing": _verify_counts_missing, "scan_parquet_stage": _staged, "versioned_output": _versioned,
         "export_scores": _exported, "margin": _margin, "drift_set_baseline": _drift_baseline, "drift_log": _drift_log,
         "validate_raw_dirty": lambda s, d: QA.validate_raw(_dirty_raw(s, d)), "anti_orphans_dirty": _dirty_orphans,
         "churn_split": _churn_split, "churn_blend_given": _blend_given, "p_active_given": _p_active_given,
-        "als_invariants": _als_invariants, "lookup_enrich": _lookup_enrich, "kmeans_invariants": _kmeans_invariants,
+        "clv_predict_given": lambda s, d: _rounded(_clv_given(s, d)),
+        "q_at_risk_top_clv_given": lambda s, d: _rounded(_at_risk_top_clv(s, d, _clv_given)),
+        "q_champion_gg_gap_given": lambda s, d: _rounded(_champion_gg_gap(s, d, _clv_given)),
+        "q_low_p_active_category_given": lambda s, d: _rounded(_low_p_active_category(s, d, clv=_clv_later_given)),
+        "als_invariants": _als_invariants, "als_exact": _als_exact, "lookup_enrich": _lookup_enrich, "kmeans_invariants": _kmeans_invariants,
     }
 
 
 def load_oracles() -> dict[str, str]:
     return {
         "sink_incremental": O.stream_incremental_fact(HISTORY_CUT), "sink_full_replace": O.etl("etl_dim_products"),
+        "sink_replace_broken": O.etl("etl_dim_products"), "load_all_broken": O.verify_counts(),
+        "kpis_stored_segments": O.kpis(*MID, segments=SEGS), "churn_choice_checked": O.churn_choice_checked(),
         "load_all": O.verify_counts(), "verify_counts_missing": O.verify_counts_missing(), "scan_parquet_stage": O.etl("clean_users"),
         "versioned_output": O.create_rfm(), "export_scores": O.churn_heuristic(), "margin": O.margin(),
         "drift_set_baseline": O.feature_stats(), "drift_log": O.drift_check(scenario=True),
         "validate_raw_dirty": O.validate_raw_dirty(), "anti_orphans_dirty": O.anti_orphans("AND customer_id % 7 <> 0"),
         "churn_split": O.churn_split(), "churn_blend_given": O.churn_blend_given(), "p_active_given": O.p_active_given(),
-        "als_invariants": O.als_invariants(), "lookup_enrich": O.lookup_enrich(),
+        "clv_predict_given": O.clv_predict_given(GIVEN_BG, GIVEN_GG, 3), "q_at_risk_top_clv_given": O.at_risk_top_clv(GIVEN_BG, GIVEN_GG, 3, AS_OF),
+        "q_champion_gg_gap_given": O.champion_gg_gap(GIVEN_BG, GIVEN_GG, 3, AS_OF),
+        "q_low_p_active_category_given": O.low_p_active_category(GIVEN_BG, GIVEN_GG, HISTORY_CUT, "PROMO"),
+        "als_invariants": O.als_invariants(), "als_exact": O.als_exact(), "lookup_enrich": O.lookup_enrich(),
         "kmeans_invariants": O.kmeans_invariants(),
     }
 
@@ -647,7 +829,7 @@ def rollup_queries() -> dict[str, Query]:
     from .models import clv
     st = _star
     return {
-        "top_customers": lambda s, d: R.top_customers(_features(s, d), 10),
+        "top_customers": lambda s, d: R.top_customers(_features(s, d, columns=["recency", "frequency", "monetary"]), 10),
         "segment_statistics": lambda s, d: R.segment_statistics(
             SG.score_rfm(SG.customer_rfm(st(s, d).fact_slim, None, _last(s, d)))),
         "revenue_at_risk": lambda s, d: R.revenue_at_risk(

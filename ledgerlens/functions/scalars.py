@@ -75,6 +75,15 @@ def ratio_round(num: Column, den: Column, digits: int) -> Column:
     return F.when(den > 0, q.cast("double") / F.lit(float(scale)))
 
 
+def half_even(col: Column, digits: int) -> Column:
+    """Rounding of a double in two stated steps: to 9 decimals (half up), then to
+    ``digits`` decimals, ties to the even digit, as DOUBLE. Any engine with decimals
+    can follow it. It differs from Python's ``round`` only where the double
+    lies within 5e-10 of a tie without being one (0.11374999999999999 gives
+    0.1138, Python 0.1137), or is one in decimals but not in binary."""
+    return F.bround(col.cast("decimal(38,9)"), digits).cast("double")
+
+
 def money(col: Column) -> Column:
     """Money leaves the engine as DOUBLE after exact decimal arithmetic."""
     return col.cast("double")

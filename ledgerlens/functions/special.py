@@ -1,4 +1,4 @@
-"""Vectorised special functions (numpy only): log-gamma and Gauss 2F1.
+"""Vectorised special functions (numpy only): log-gamma, its first two derivatives and Gauss 2F1.
 
 Used inside Arrow-batched pandas UDFs.
 """
@@ -31,6 +31,30 @@ def gammaln(x):
     return out if out.ndim else float(out)
 
 
+def _shifted(x, step):
+    """(sum of ``step`` over x, x + 1, ... below 12, the first of them from 12 on), for x > 0."""
+    x, total = np.array(x, dtype=float), np.zeros(np.shape(x))
+    for _ in range(12):
+        low = x < 12.0
+        total = total + np.where(low, step(x), 0.0)
+        x = np.where(low, x + 1.0, x)
+    return total, x
+
+
+def digamma(x):
+    """First derivative of log Gamma for x > 0: recurrence up to 12, then the asymptotic series."""
+    below, x = _shifted(x, lambda v: 1.0 / v)
+    y = 1.0 / (x * x)
+    return np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y * (1 / 132 - y * 691 / 32760))))) - below
+
+
+def trigamma(x):
+    """Second derivative of log Gamma for x > 0, likewise."""
+    below, x = _shifted(x, lambda v: 1.0 / (v * v))
+    y = 1.0 / (x * x)
+    return 1.0 / x + 0.5 * y + y / x * (1 / 6 - y * (1 / 30 - y * (1 / 42 - y * (1 / 30 - y * (5 / 66 - y * 691 / 2730))))) + below
+
+
 def hyp2f1(a, b, c, z, tol: float = 1e-15):
     """Gauss hypergeometric 2F1(a, b; c; z) by its power series, 0 <= z < 1.
 

@@ -8,34 +8,53 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+from .fitting import cached, side_by_side
+
 BASE_FEATURES = ["recency", "frequency", "monetary"]
 EXTRA_FEATURES = ["avg_order_value", "unique_categories", "avg_days_between_orders"]
 # Cluster labels, best centroid score first (fixed values).
 CLUSTER_LABELS = ["Champions", "Loyal", "Potential", "At Risk"]
 
 
-def _prepared(rfm: DataFrame, features: list[str]):
-    filled = rfm.select("customer_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
+def _filled(rfm: DataFrame, features: list[str]) -> DataFrame:
+    return rfm.select("customer_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
+
+
+def _scaled(filled: DataFrame, features: list[str]):
     vec = VectorAssembler(inputCols=features, outputCol="_raw").transform(filled)
     scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(vec)
     return scaler.transform(vec), scaler
 
 
+def _prepared(rfm: DataFrame, features: list[str]):
+    return _scaled(_filled(rfm, features), features)
+
+
+def _best_start(data: DataFrame, k: int, seed: int, n_init: int):
+    """The k-means model of lowest cost among ``n_init`` starts (seeds ``seed``, ``seed`` + 1, ...; ties: the first)."""
+    def start(i: int):
+        return lambda: KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(data)
+    return min(side_by_side([start(i) for i in range(n_init)]), key=lambda m: m.summary.trainingCost)
+
+
 def run_kmeans(rfm: DataFrame, n_clusters: int = 4, seed: int = 42, n_init: int = 10):
-    """Fit k-means ``n_init`` times (seeds seed, seed+1, ...) and keep the lowest
-    cost; label clusters by the centroid score monetary - .3 recency + 2
-    frequency in original units. Returns (scored DataFrame, model, centroids)."""
+    """Fit k-means ``n_init`` times side by side and keep the lowest cost; label
+    clusters by the centroid score monetary - .3 recency + 2 frequency in original
+    units. Returns (scored DataFrame, written to the checkpoint folder; model; centroids)."""
+    ensure_checkpoint_dir(rfm.sparkSession)
     features = BASE_FEATURES + [f for f in EXTRA_FEATURES if f in rfm.columns]
-    data, scaler = _prepared(rfm, features)
-    data = data.persist()
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=n_clusters, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    model = best[1]
-    data.unpersist()
+    rows, filled = cached(_filled(rfm, features))
+    try:
+        data, scaler = _scaled(filled, features)
+        held, vectors = cached(data.select("customer_id", "features"))
+        try:
+            model = _best_start(vectors, n_clusters, seed, n_init)
+            placed = model.transform(vectors).select("customer_id", "cluster").checkpoint()
+        finally:
+            held.unpersist()
+    finally:
+        rows.unpersist()
     mean, std = np.array(scaler.mean.toArray()), np.array(scaler.std.toArray())
     centroids = [mean + std * np.array(c) for c in model.clusterCenters()]
     idx = {f: i for i, f in enumerate(features)}
@@ -44,18 +63,20 @@ def run_kmeans(rfm: DataFrame, n_clusters: int = 4, seed: int = 42, n_init: int
     labels = {int(cluster): CLUSTER_LABELS[rank] if rank < len(CLUSTER_LABELS) else f"Cluster {rank}"
               for rank, cluster in enumerate(order)}
     mapping = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
-    scored = model.transform(data).select("customer_id", "cluster", mapping[F.col("cluster")].alias("segment"))
-    return scored, model, centroids
+    return placed.withColumn("segment", mapping[F.col("cluster")]), model, centroids
 
 
-def silhouette_k_sweep(rfm: DataFrame, k_values=range(2, 9), seed: int = 42) -> DataFrame:
-    """k, inertia (training cost) and silhouette (squared Euclidean) per k."""
-    data, _ = _prepared(rfm, BASE_FEATURES)
-    data = data.persist()
+def silhouette_k_sweep(rfm: DataFrame, k_values=range(2, 9), seed: int = 42, n_init: int = 10) -> DataFrame:
+    """k, inertia (lowest training cost of ``n_init`` starts) and silhouette (squared Euclidean) per k;
+    all starts of a k side by side, on features computed once."""
+    rows, filled = cached(_filled(rfm, BASE_FEATURES))
+    held, data = cached(_scaled(filled, BASE_FEATURES)[0].select("customer_id", "features"))
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-    rows = []
-    for k in k_values:
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(data)
-        rows.append((int(k), float(model.summary.trainingCost), float(evaluator.evaluate(model.transform(data)))))
-    data.unpersist()
-    return rfm.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    try:
+        models = {int(k): _best_start(data, k, seed, n_init) for k in k_values}
+        scores = side_by_side([lambda m=m: float(evaluator.evaluate(m.transform(data))) for m in models.values()])
+    finally:
+        held.unpersist()
+        rows.unpersist()
+    found = [(k, float(m.summary.trainingCost), s) for (k, m), s in zip(models.items(), scores)]
+    return rfm.sparkSession.createDataFrame(found, "k int, inertia double, silhouette double")

@@ -17,6 +17,8 @@ deterministic.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,16 @@ def global_row_number(df: DataFrame, order_by: list[Column] | None, rn_col: str
     return out.drop(_PID, _IDX, _OFF, _TOTAL)
 
 
+def count_below(cuts: list, key: Column) -> Column:
+    """How many of the sorted ``cuts`` are below ``key``: first the run of cuts it falls into, then its place there, so
+    a row meets about twice the square root of their number."""
+    run = max(1, math.isqrt(len(cuts)))
+    runs = [cuts[i:i + run] for i in range(0, len(cuts), run)]
+    before = F.size(F.filter(F.array(*[F.lit(r[0]) for r in runs]), lambda b: b < key))
+    inside = F.element_at(F.array(*[F.array(*map(F.lit, r)) for r in runs]), F.greatest(before, F.lit(1)))
+    return F.when(before == 0, F.lit(0)).otherwise((before - 1) * run + F.size(F.filter(inside, lambda b: b < key)))
+
+
 def range_row_number(df: DataFrame, keys: list[str], rn_col: str = "rn", ranges: int | None = None) -> DataFrame:
     """1-based row number in the order of ``keys`` (unique together; nulls last)
     without writing the rows anywhere.
@@ -75,7 +87,7 @@ def range_row_number(df: DataFrame, keys: list[str], rn_col: str = "rn", ranges:
     key = F.col(keys[0])
     bounds = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
     cuts = sorted(set(bounds or []))
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b < key)) if cuts else F.lit(0)
+    place = count_below(cuts, key) if cuts else F.lit(0)
     ranged = df.withColumn("_range", F.when(key.isNull(), F.lit(len(cuts) + 1)).otherwise(place))
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
@@ -135,23 +147,27 @@ def value_at(counted: DataFrame, value: str, position: Column) -> Column:
     return F.max(F.when((F.col("before") <= position) & (position < F.col("before") + F.col("n")), F.col(value)))
 
 
-def qcut_positions(inputs: DataFrame, population: DataFrame, id_col: str, value_col: str,
-                   out_col: str) -> DataFrame:
-    """For every input row: 1 + number of population values strictly below its
-    value, and the population size + 1. This is the rank the row gets when it
-    is put in front of the population and ranked with ``method="first"``.
-
-    Only distinct values are ordered: those of the population with their
-    counts, those of the inputs with count 0."""
-    v = F.col(value_col).cast("double").alias("_v")
-    both = (population.select(v, F.lit(1).alias("_w")).groupBy("_v").agg(F.sum("_w").alias("_w"))
-            .unionByName(inputs.select(v, F.lit(0).cast("long").alias("_w")).distinct())
-            .groupBy("_v").agg(F.sum("_w").alias("_w")))
-    run = global_running_sums(both, [F.col("_v").asc()], ["_w"], rn_col="_rn_all")
-    below = run.select(F.col("_v").alias("_bv"), (F.col("cum__w") - F.col("_w") + 1).alias(out_col))
-    pop_n = population.agg(F.count(F.lit(1)).alias("_pop_n"))
-    pos = inputs.select(id_col, v).join(below, F.col("_v").eqNullSafe(F.col("_bv"))).select(id_col, out_col)
-    return attach_scalars(pos, pop_n).select(id_col, out_col, (F.col("_pop_n") + 1).alias(out_col + "_n"))
+def qcut_positions(inputs: DataFrame, population: DataFrame, id_col: str, value_cols: list[str]) -> DataFrame:
+    """For every input row (by a unique id) and each of ``value_cols``: ``<col>_rank``, 1 + number of population values
+    strictly below its value, and ``n``, the population size + 1. This is the rank the row gets
+    when it is put in front of the population and ranked with ``method="first"``.
+
+    Only distinct values are ordered, those of all columns in one go: of the population with their
+    counts, of the inputs with count 0."""
+    def long(df: DataFrame, *more: str) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v")) for i, c in enumerate(value_cols)])
+        return df.select(*more, F.explode(pairs).alias("_x")).select(*more, "_x.m", "_x.v")
+
+    asked = long(inputs, id_col)
+    both = (long(population).groupBy("m", "v").agg(F.count(F.lit(1)).alias("w"))
+            .unionByName(asked.select("m", "v").distinct().withColumn("w", F.lit(0).cast("long")))
+            .groupBy("m", "v").agg(F.sum("w").alias("w")))
+    run = global_running_sums(both, [F.col("m").asc(), F.col("v").asc()], ["w"], rn_col="_rn_all").withColumn("_before", F.col("cum_w") - F.col("w"))
+    start = run.groupBy("m").agg(F.min("_before").alias("_start"))       # a row for each column
+    below = run.join(F.broadcast(start), "m").select(F.col("m").alias("_m"), F.col("v").alias("_v"), (F.col("_before") - F.col("_start") + 1).alias("_rank"))
+    ranked = asked.join(below, (F.col("m") == F.col("_m")) & F.col("v").eqNullSafe(F.col("_v")))
+    wide = ranked.groupBy(id_col).agg(*[F.max(F.when(F.col("m") == i, F.col("_rank"))).alias(f"{c}_rank") for i, c in enumerate(value_cols)])
+    return attach_scalars(wide, population.agg((F.count(F.lit(1)) + 1).alias("n")))
 
 
 def qcut_bin(rank: Column, n: Column, q: int = 5) -> Column:

@@ -109,22 +109,26 @@ def fill_gap_median(feat: DataFrame) -> DataFrame:
     return attach_scalars(feat, med).withColumn("avg_days_between_orders", F.coalesce(gap, F.col("_median"))).drop("_median")
 
 
-def product_diversity(orders: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
+PRODUCT_FEATURES = ("unique_categories", "unique_products", "last_category")
+
+
+def product_diversity(orders: DataFrame, customers: DataFrame, products: DataFrame, columns=PRODUCT_FEATURES) -> DataFrame:
     """unique_categories, unique_products, last_category (latest non-null
     category; ties on the date broken by order id, then product id) over the
     valid items of known customers; products missing from the dimension count
     for nothing. The items are reduced to (customer, product) before any
-    dimension is joined."""
-    per_cp = (orders.filter("customer_id is not null").groupBy("customer_id", "product_id")
-              .agg(F.max(F.struct("order_date", "order_id")).alias("_last")))
+    dimension is joined. Only the named ``columns`` are computed."""
+    last = [F.max(F.struct("order_date", "order_id")).alias("_last")] if "last_category" in columns else []
+    pairs = orders.filter("customer_id is not null").select("customer_id", "product_id", *(["order_date", "order_id"] if last else []))
+    per_cp = pairs.groupBy("customer_id", "product_id").agg(*last) if last else pairs.distinct()
     known = per_cp.join(customers.select("customer_id"), "customer_id", "left_semi")
     dp = products.select(F.col("product_id").alias("_p"), "category")
     j = known.join(dp, F.col("product_id") == F.col("_p"), "left")
-    latest = F.when(F.col("category").isNotNull(), F.struct("_last", F.col("_p")))
-    return j.groupBy("customer_id").agg(
-        F.countDistinct("category").alias("unique_categories"),
-        F.countDistinct("_p").alias("unique_products"),
-        F.max_by(F.col("category"), latest).alias("last_category"))
+    if last:
+        latest = F.when(F.col("category").isNotNull(), F.struct("_last", F.col("_p")))
+    every = {"unique_categories": lambda: F.countDistinct("category"), "unique_products": lambda: F.countDistinct("_p"),
+             "last_category": lambda: F.max_by(F.col("category"), latest)}
+    return j.groupBy("customer_id").agg(*[make().alias(c) for c, make in every.items() if c in columns])
 
 
 def lag_features(orders: DataFrame, lags=DEFAULT_LAGS, salt_buckets: int = 64) -> DataFrame:
@@ -169,26 +173,38 @@ def create_rfm(orders: DataFrame, snapshot_date=None) -> DataFrame:
         "customer_id", "last_order", "recency", "frequency", "monetary", "avg_order_value")
 
 
+def _once(customers: DataFrame) -> DataFrame:
+    """A customer-grain table that is read twice (for a median and for the rows), computed once."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(customers.sparkSession)
+    return customers.checkpoint()
+
+
 def build_rfm_features(orders: DataFrame, snapshot_date=None, churn_threshold: int = CHURN_THRESHOLD_DAYS) -> DataFrame:
     """RFM + behavioral + label."""
     agg = customer_aggregates(orders, snapshot_date, windows=())
     cols = ["customer_id", "last_order", "recency", "frequency", "monetary", "avg_order_value",
             "avg_days_between_orders", "orders_last_90d", "orders_prev_90d", "purchase_trend"]
-    return churn_label(fill_gap_median(agg.select(*cols)), churn_threshold)
+    return churn_label(fill_gap_median(_once(agg.select(*cols))), churn_threshold)
 
 
 def build_all_features(orders: DataFrame, customers: DataFrame, products: DataFrame, snapshot_date=None,
-                       churn_threshold: int = CHURN_THRESHOLD_DAYS, windows=DEFAULT_WINDOWS) -> DataFrame:
-    """rfm -> behavioral -> product diversity -> time windows -> label."""
-    agg = fill_gap_median(customer_aggregates(orders, snapshot_date, windows))
-    prod = product_diversity(orders, customers, products)
-    feat = (agg.join(prod, "customer_id", "left")
-            .withColumn("unique_categories", F.coalesce(F.col("unique_categories"), F.lit(1)).cast("long"))
-            .withColumn("unique_products", F.coalesce(F.col("unique_products"), F.lit(1)).cast("long")))
-    cols = ["customer_id", "last_order", "recency", "frequency", "monetary", "avg_order_value",
-            "avg_days_between_orders", "orders_last_90d", "orders_prev_90d", "purchase_trend",
-            "unique_categories", "unique_products", "last_category"]
+                       churn_threshold: int = CHURN_THRESHOLD_DAYS, windows=DEFAULT_WINDOWS, columns=None) -> DataFrame:
+    """rfm -> behavioral -> product diversity -> time windows -> label; or only ``customer_id`` and
+    the named ``columns``, with no more of these steps than they need. The fact is aggregated once."""
+    every = ["last_order", "recency", "frequency", "monetary", "avg_order_value",
+             "avg_days_between_orders", "orders_last_90d", "orders_prev_90d", "purchase_trend", *PRODUCT_FEATURES]
     for w in windows:
-        cols += [f"spend_last_{w}d", f"orders_last_{w}d"]
-    cols += ["days_since_first_order"] + (["spend_velocity"] if 30 in windows else [])
-    return churn_label(feat.select(*cols), churn_threshold)
+        every += [f"spend_last_{w}d", f"orders_last_{w}d"]
+    every += ["days_since_first_order"] + (["spend_velocity"] if 30 in windows else []) + ["churn"]
+    chosen = [c for c in every if columns is None or c in columns]
+    needed = [w for w in windows if {f"spend_last_{w}d", f"orders_last_{w}d"} & set(chosen) or (w == 30 and "spend_velocity" in chosen)]
+    own = customer_aggregates(orders, snapshot_date, needed)
+    own = churn_label(own, churn_threshold).select("customer_id", *[c for c in chosen if c not in PRODUCT_FEATURES])
+    feat = fill_gap_median(_once(own)) if "avg_days_between_orders" in chosen else own
+    about_products = [c for c in PRODUCT_FEATURES if c in chosen]
+    if about_products:
+        feat = feat.join(product_diversity(orders, customers, products, about_products), "customer_id", "left")
+        for c in set(about_products) - {"last_category"}:
+            feat = feat.withColumn(c, F.coalesce(F.col(c), F.lit(1)).cast("long"))
+    return feat.select("customer_id", *chosen)

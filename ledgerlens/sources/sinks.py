@@ -1,5 +1,5 @@
-"""Sinks: full replace, high-water incremental append, ordered star load,
-row-count verification, versioned outputs and exports.
+"""Sinks: full replace and star load in one transaction (published tables),
+high-water incremental append, row-count verification, versioned outputs and exports.
 
 Paths are expected on shared storage (the cluster's file system or object
 store); nothing is written to machine-local folders by these helpers.
@@ -15,15 +15,13 @@ from pyspark.sql import functions as F
 
 from ..plans.quality import verify_counts
 from .paths import read_if_exists
+from .published import folders_of, publish, read_published, stage
 
 
-def sink_full_replace(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Overwrite the table at ``path`` in one job (readers see old or new files
-    per partition directory; use a table format for atomic swaps)."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+def sink_full_replace(df: DataFrame, table: str, base_path: str, partition_by: list[str] | None = None) -> None:
+    """Replace the published ``table`` by ``df`` in one transaction: readers see the old rows until
+    the new ones are written and counted, and the old ones for good if that fails."""
+    publish(df.sparkSession, table, [stage(df, base_path, table, partition_by)], df.columns)
 
 
 def high_water_mark(spark: SparkSession, path: str, col: str = "order_date"):
@@ -59,20 +57,34 @@ def sink_incremental(df: DataFrame, path: str, col: str = "order_date") -> int:
     return spark.read.parquet(path).count() - row.n
 
 
-def load_all(tables: dict[str, DataFrame], base_path: str, mode: str = "full") -> DataFrame:
-    """Dimensions first, then the calendar, then the fact; only the fact is
-    incremental, dimensions are always replaced. Returns rows per table."""
-    order = ["dim_customers", "dim_products", "dim_date", "fact_orders"]
-    for name in order:
-        if name not in tables:
-            continue
-        path = os.path.join(base_path, name)
-        if mode == "incremental" and name == "fact_orders":
-            sink_incremental(tables[name], path, "order_date")
-        else:
-            sink_full_replace(tables[name], path)
+LOAD_ORDER = ["dim_customers", "dim_products", "dim_date", "fact_orders"]
+#: Folders of one table after which an incremental load writes it anew into one.
+MOST_FOLDERS = 50
+
+
+def load_all(tables: dict[str, DataFrame], base_path: str, mode: str = "full", prefix: str = "") -> DataFrame:
+    """Load the star into published tables (``prefix`` + name) in one transaction.
+    Dimensions are always replaced; the fact is, too, or with ``mode="incremental"``
+    takes its rows after the last day it has. Everything is written and counted
+    before anything is published; then dimensions, calendar and at last the fact
+    are switched, by one catalog statement each. A load that fails while it writes
+    leaves all tables as they were. Returns rows per table."""
     spark = next(iter(tables.values())).sparkSession
-    return verify_counts({n: read_if_exists(spark, os.path.join(base_path, n)) for n in order if n in tables})
+    states = {}
+    for name in [n for n in LOAD_ORDER if n in tables]:
+        df, table = tables[name], prefix + name
+        held = read_published(spark, table) if mode == "incremental" and name == "fact_orders" else None
+        if held is None:
+            states[table] = [stage(df, base_path, table)], df.columns
+            continue
+        mark = held.agg(F.max("order_date")).first()[0]
+        new = (df if mark is None else df.filter(F.col("order_date") > F.lit(mark))).select(*held.columns)
+        folders = folders_of(spark, table)
+        states[table] = ([stage(held.union(new), base_path, table)] if len(folders) >= MOST_FOLDERS
+                         else [*folders, stage(new, base_path, table)]), held.columns
+    for table, (folders, columns) in states.items():
+        publish(spark, table, folders, columns)
+    return verify_counts({n: read_published(spark, prefix + n) for n in LOAD_ORDER if n in tables})
 
 
 def versioned_output(df: DataFrame, base_path: str, name: str = "features", metadata: dict | None = None) -> str:

@@ -1,9 +1,10 @@
 """Structured Streaming forms of the incremental fact load and the drift check.
 
-Both use ``foreachBatch``. Every micro-batch writes into its own
-``batch_id=<n>`` partition with dynamic partition overwrite, so a retried
-batch replaces its own output and the sink stays exactly-once with plain
-Parquet; the stream's checkpoint (on shared storage) records progress.
+Both use ``foreachBatch`` and dynamic partition overwrite: a micro-batch of the
+fact writes into its own ``batch_id=<n>`` partition, a drift report into that of
+its snapshot. A retried batch replaces its own output, so the sinks stay
+exactly-once with plain Parquet; the stream's checkpoint (on shared storage)
+records progress and state.
 """
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.drift import drift_check, feature_means
+from ..plans.drift import MONITORED_FEATURES, STAT_DIGITS, drift_check
 from ..sources.paths import read_if_exists
 
 
@@ -57,23 +58,37 @@ def stream_incremental_fact(spark: SparkSession, source_dir: str, sink_dir: str,
 
 def stream_drift(spark: SparkSession, snapshots_dir: str, baseline_stats: DataFrame, log_dir: str,
                  checkpoint_dir: str, schema, snapshot_col: str = "snapshot_id", threshold: float = 3.0):
-    """For each feature snapshot (rows tagged with ``snapshot_col``), compare its
-    statistics with the baseline and append one report per snapshot and feature
-    to ``log_dir``. All files there at the start are one batch, so a snapshot is
-    judged over all its files; a snapshot is to be written before the run that
-    checks it starts. All snapshots are judged together, by grouped aggregates."""
-
-    def check(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(drift_check(baseline_stats, feature_means(batch, by=snapshot_col), threshold, by=snapshot_col),
-                     log_dir, batch_id)
-
-    q = (spark.readStream.schema(schema).parquet(snapshots_dir)
-         .writeStream.foreachBatch(check).option("checkpointLocation", checkpoint_dir)
+    """Compare each feature snapshot (rows tagged with ``snapshot_col``) with the baseline: one report
+    per snapshot and feature in ``log_dir`` (read it with ``drift_log``).
+
+    The files of a snapshot may arrive in any number of runs. Sums and counts per snapshot and
+    feature are the stream's state; whenever files of a snapshot come in, its report is
+    written anew from all of them and replaces the one before. A retried batch writes the same."""
+    present = [f for f in MONITORED_FEATURES if f in {field.name for field in schema.fields}]
+
+    def judge(sums: DataFrame, batch_id: int) -> None:
+        pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.round(F.col(f"s_{f}") / F.col(f"n_{f}"), STAT_DIGITS).alias("mean"))
+                          for f in present])
+        means = sums.select(snapshot_col, F.explode(pairs).alias("p")).select(snapshot_col, "p.feature", "p.mean").filter("mean is not null")
+        report = drift_check(baseline_stats, means, threshold, by=snapshot_col)
+        (report.withColumn("of_snapshot", F.col(snapshot_col).cast("string")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("of_snapshot").parquet(log_dir))
+
+    numbers = {f: F.col(f).cast("double") for f in present}
+    state = spark.readStream.schema(schema).parquet(snapshots_dir).groupBy(snapshot_col).agg(
+        *[F.sum(c).alias(f"s_{f}") for f, c in numbers.items()],
+        *[F.when(F.count(c) > 0, F.count(c)).alias(f"n_{f}") for f, c in numbers.items()])
+    q = (state.writeStream.outputMode("update").foreachBatch(judge).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
 
+def drift_log(spark: SparkSession, log_dir: str) -> DataFrame:
+    """The reports of ``stream_drift``, one per snapshot and feature."""
+    return spark.read.parquet(log_dir).drop("of_snapshot")
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's checkpoint directory (shared storage
     on a cluster)."""

@@ -1,4 +1,6 @@
 """Drift scenario of the reference tests, risk bands, heuristic scores."""
+from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -71,5 +73,24 @@ def test_churn_heuristic_values(spark):
                                "customer_id long, recency long, frequency long, monetary double")
     got = {r["customer_id"]: r["churn_probability"] for r in S.churn_heuristic(df).collect()}
     def h(r, f, m):
-        return round(min(1.0, min(1.0, r / 180) * 0.6 + max(0.0, 1 - f / 20) * 0.25 + max(0.0, 1 - m / 2000) * 0.15), 4)
+        p = min(1.0, min(1.0, r / 180) * 0.6 + max(0.0, 1 - f / 20) * 0.25 + max(0.0, 1 - m / 2000) * 0.15)
+        nine = Decimal(repr(p)).quantize(Decimal("1e-9"), ROUND_HALF_UP)
+        return float(nine.quantize(Decimal("1e-4"), ROUND_HALF_EVEN))
     assert got == {1: h(30, 5, 250.0), 2: h(120, 2, 150.0), 3: h(5, 10, 2000.0)}
+
+
+def test_rounding_rule_on_ties(spark):
+    """Ties go to the even digit, in all three uses."""
+    from ledgerlens.functions.scalars import half_even
+    cases = [(0.25375, 4, 0.2538), (0.25365, 4, 0.2536), (0.11374999999999999, 4, 0.1138), (0.113749, 4, 0.1137), (2.5, 0, 2.0), (3.5, 0, 4.0),
+             (2.4999999999, 0, 2.0), (0.00005, 4, 0.0), (0.00015, 4, 0.0002)]
+    df = spark.createDataFrame([(i, x) for i, (x, _, _) in enumerate(cases)], "i int, x double")
+    for digits in (0, 4):
+        got = {r.i: r.y for r in df.select("i", half_even(F.col("x"), digits).alias("y")).collect()}
+        assert all(got[i] == want for i, (_, d, want) in enumerate(cases) if d == digits)
+    # model 0.5 and no other risk: 0.35; R = 180 days and one order
+    one = spark.createDataFrame([(1, 73, 20, 2000.0, 0.18892857142857142)], "customer_id int, recency int, frequency int, monetary double, model_probability double")
+    assert S.churn_heuristic(one).first().churn_probability == 0.2433
+    assert S.churn_pseudo_features(one.withColumn("recency", F.lit(0)).withColumn("frequency", F.lit(365 / 90 * 2.5))).first().orders_last_90d == 2
+    tie = one.withColumn("recency", F.lit(0)).withColumn("model_probability", F.lit(0.3625))       # 0.25375
+    assert S.churn_blend(tie).first().churn_probability == 0.2538

@@ -11,7 +11,7 @@ from ledgerlens.sources import sinks
 from ledgerlens.sources.paths import read_if_exists
 from ledgerlens.sources.star import order_item_id
 from ledgerlens.sources.tables import extract_all, read_staged
-from ledgerlens.streaming.incremental import stream_drift, stream_incremental_fact
+from ledgerlens.streaming.incremental import drift_log, stream_drift, stream_incremental_fact
 
 SCHEMA = "order_id long, customer_id long, order_date date, sale_price double"
 
@@ -73,6 +73,23 @@ def test_snapshot_of_many_files_is_judged_once(spark, tmp_dir):
     assert len(log) == 1 and log[0].z_score == 0.0 and not log[0].drifted
 
 
+def test_snapshot_that_arrives_in_parts_has_one_verdict(spark, tmp_dir):
+    rows = [(i, float(i % 50), float(i % 7) if i % 3 else None, 1 + i % 2) for i in range(900)]
+    df = spark.createDataFrame(rows, "customer_id long, recency double, monetary double, snapshot_id int")
+    base = DR.feature_stats(df.withColumn("recency", F.col("recency") * 2), ["recency", "monetary"])
+    logs = []
+    for parts in (1, 3):
+        src, log, ck = (os.path.join(tmp_dir, f"{x}{parts}") for x in ("src", "log", "ck"))
+        for k in range(parts):
+            df.filter(F.col("customer_id") % parts == k).repartition(1 + k).write.mode("append").parquet(src)
+            stream_drift(spark, src, base, log, ck, df.schema)
+            so_far = drift_log(spark, log)
+            assert so_far.count() == so_far.select("snapshot_id", "feature").distinct().count()
+        stream_drift(spark, src, base, log, ck, df.schema)      # nothing new
+        logs.append(sorted(drift_log(spark, log).collect()))
+    assert logs[0] == logs[1] and len(logs[0]) == 4
+
+
 def test_an_order_of_many_items_keeps_them_all(spark):
     ids = spark.range(1, 1501).withColumn("order_id", F.lit(7).cast("long")).union(spark.range(1, 6).withColumn("order_id", F.lit(8).cast("long")))
     assert ids.select(order_item_id(F.col("order_id"), F.col("id")).alias("x")).distinct().count() == 1505

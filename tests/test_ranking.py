@@ -31,7 +31,10 @@ def test_qcut_with_one_value_held_by_most(spark, hot):
     pop = [1.0 if i < 500 * hot else float(i) for i in range(500)]
     inputs = spark.createDataFrame([(1, 0.5), (2, 1.0), (3, 470.0)], "customer_id long, x double")
     popdf = spark.createDataFrame([(100 + i, v) for i, v in enumerate(pop)], "customer_id long, x double")
-    got = {r.customer_id: (r.r, r.r_n) for r in qcut_positions(inputs, popdf, "customer_id", "x", "r").collect()}
+    both = [df.withColumn("y", -F.col("x")) for df in (inputs, popdf)]
+    rows = qcut_positions(*both, "customer_id", ["x", "y"]).collect()
+    got = {r.customer_id: (r.x_rank, r.n) for r in rows}
+    assert {r.customer_id: r.y_rank for r in rows} == {i: 1 + sum(p > v for p in pop) for i, v in ((1, 0.5), (2, 1.0), (3, 470.0))}
     assert got == {i: (1 + sum(p < v for p in pop), 501) for i, v in ((1, 0.5), (2, 1.0), (3, 470.0))}
 
 
@@ -63,8 +66,8 @@ def test_qcut_rank_matches_pandas(spark, pop):
     new_values = [0, 1, 4.5, 5, 9, 10]
     inputs = spark.createDataFrame([(i, float(v)) for i, v in enumerate(new_values)], "customer_id long, x double")
     popdf = spark.createDataFrame([(100 + i, float(v)) for i, v in enumerate(pop)], "customer_id long, x double")
-    pos = qcut_positions(inputs, popdf, "customer_id", "x", "r")
-    got = dict(pos.select("customer_id", qcut_bin(F.col("r"), F.col("r_n")).alias("b")).collect())
+    pos = qcut_positions(inputs, popdf, "customer_id", ["x"])
+    got = dict(pos.select("customer_id", qcut_bin(F.col("x_rank"), F.col("n")).alias("b")).collect())
     for i, v in enumerate(new_values):
         s = pd.Series([v] + pop, dtype=float)
         want = int(pd.qcut(s.rank(method="first"), q=5, labels=[1, 2, 3, 4, 5])[0])
@@ -79,3 +82,12 @@ def test_range_row_number_matches_window(spark, ranges):
     want = df.withColumn("rn", F.row_number().over(Window.orderBy(F.col("a").asc_nulls_last(), "b")).cast("long"))
     assert sorted(got.collect(), key=lambda r: r.rn) == sorted(want.collect(), key=lambda r: r.rn)
     assert range_row_number(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_count_below_by_runs(spark):
+    from ledgerlens.operators.ranking import count_below
+    df = spark.range(-5, 130).select((F.col("id") * 0.5).alias("k")).union(spark.createDataFrame([(None,)], "k double"))
+    for n in (1, 2, 3, 10, 50, 61):
+        cuts = [float(i) for i in range(n)]
+        got = df.select("k", count_below(cuts, F.col("k")).alias("c")).filter("k is not null").collect()
+        assert all(r.c == sum(x < r.k for x in cuts) for r in got)

@@ -36,11 +36,13 @@ def test_load_all_full_then_incremental(spark, tmp_dir):
     d = dt.date
     dims = {"dim_customers": spark.range(2).withColumnRenamed("id", "customer_id")}
     f1 = _fact(spark, [(1, 0, d(2024, 1, 1), 1.0), (2, 1, d(2024, 1, 5), 2.0)])
-    counts = {r["table"]: r["rows"] for r in sinks.load_all({**dims, "fact_orders": f1}, tmp_dir).collect()}
+    counts = {r["table"]: r["rows"] for r in sinks.load_all({**dims, "fact_orders": f1}, tmp_dir, prefix="t1_").collect()}
     assert counts == {"dim_customers": 2, "fact_orders": 2}
     f2 = _fact(spark, [(2, 1, d(2024, 1, 5), 2.0), (3, 1, d(2024, 1, 6), 3.0)])
-    counts = {r["table"]: r["rows"] for r in sinks.load_all({**dims, "fact_orders": f2}, tmp_dir, "incremental").collect()}
+    counts = {r["table"]: r["rows"] for r in sinks.load_all({**dims, "fact_orders": f2}, tmp_dir, "incremental", "t1_").collect()}
     assert counts["fact_orders"] == 3
+    for t in ("dim_customers", "fact_orders"):
+        spark.sql(f"DROP VIEW t1_{t}")
 
 
 def test_margin_when_items_carry_cost(spark):
