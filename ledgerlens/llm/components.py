@@ -49,3 +49,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def joined_components(found: DataFrame, more: DataFrame) -> DataFrame:
+    """``found`` (of ``connected_components``) after ``more`` edges: only the components that these join are looked at again."""
+    if more.isEmpty():
+        return found
+    ends = more.select("u", "v")
+    for end in ("u", "v"):
+        name = found.select(F.col("node").alias("n"), F.col("component").alias("c"))
+        ends = ends.join(name, ends[end] == name["n"], "left").withColumn(end, F.coalesce("c", end)).select("u", "v")
+    again = cut(connected_components(ends).withColumnsRenamed({"node": "n", "component": "c"}))
+    moved = found.join(again, found["component"] == again["n"], "left").select("node", F.coalesce("c", "component").alias("component"))
+    fresh = again.join(found.select("node"), again["n"] == found["node"], "left_anti").select(F.col("n").alias("node"), F.col("c").alias("component"))
+    return moved.union(fresh)

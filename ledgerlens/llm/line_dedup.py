@@ -7,18 +7,20 @@ group keeps one occurrence, its first.
 
 Candidates come from SimHash blocks. The words of a line fall into a few groups by
 their hash, and each group gives one block of the line's fingerprint: the SimHash (64
-bits, by vote) of its words. An edit touches the blocks of the words it takes and
-puts, and no other, so while the edits touch fewer blocks than there are, one block is
-the same in both lines: lines meet by an equality join on (size class, block).
+bits, by vote) of its different words, each of which votes once, so that common words
+do not decide it. An edit touches the blocks of the words it takes and puts, and no
+other, so while the edits touch fewer blocks than there are, one block is the same in
+both lines: lines meet by an equality join on (size class, block).
 ``GROUPS`` holds how many blocks a class has; that they are fewer than the most edits
 could touch, and that blocks of less than ``LEAST_WORDS`` words are no key, costs some of
 the pairs with very many edits (recall in the README). Of two lines that meet, sizes
 and SimHashes of the whole lines (``MAX_BITS``) are compared before their words are.
 
 Under a key that few lines share all pairs are held against each other; in a larger one
-first every line against one of them. Of larger ones only what these links have
-not connected goes on, with keys of its own: the key and one of the line's longest
-other words, so many of them that no pair is lost.
+first every line against its centre, the line nearest to the bits that most of them
+have. Then only pairs that these links have not connected are looked at; where
+they still are too many, under keys of two parts: the key and one of the line's
+longest other words, so many of them that no pair is lost.
 
 Only hashes and positions are shuffled. The words of a line travel only for the
 lines of candidate pairs. Scans find what they look for by bitmaps of fixed size, or
@@ -36,24 +38,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import VALUE, Members, groups, look_up, members_of, mix, range_hash
-from .common import SPACED, cut, renamed, small_batches
-from .components import connected_components
+from .arrays import VALUE, groups, look_up, members_of, mix, range_hash
+from .common import SPACED, cut, renamed, small_batches, stored
+from .components import connected_components, joined_components
 
 MIN_WORDS = 1        # lines without a word are never repeats
 MIN_SIMILARITY = 0.8
 #: Words of the longer line of the shortest near pair; each size class goes from there to twice as many.
 SHORTEST = 5
 #: Blocks of the fingerprint of lines of 5, 10, 20, 40, 80 words and more, and for how many ways of dealing words to them.
-GROUPS, WAYS = (3, 4, 6, 8, 10), (2, 2, 1, 1, 1)
-#: Words of a block that is a key, by class.
-LEAST_WORDS = (1, 2, 2, 2, 2)
+GROUPS, WAYS = (3, 4, 5, 6, 8), (2, 2, 1, 1, 1)
+#: Different words of a block that is a key, by class.
+LEAST_WORDS = (1, 2, 2, 3, 3)
 #: Bits in which the SimHashes of two lines may differ (at similarity 0.8 they differ in 13, with a deviation of 3).
 MAX_BITS = 24
 #: Words above which the votes of a stretch are counted by themselves.
 MANY = 256
-#: Lines under one key that are held against each other, all pairs.
-FEW = 12
+#: Lines under one key that are held against each other, all pairs; pairs under a larger one that may be left to look at.
+FEW, OPEN_PAIRS = 12, 4_000_000
 #: Characters of scripts without blanks (Thai, Lao, Burmese, Khmer, kana, Han) are words each.
 _APART = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _KIND = np.array([2 if chr(c).isalnum() or c >= 128 else 1 if c == 10 else 0 for c in range(256)], dtype=np.uint8)
@@ -126,8 +128,30 @@ class Lines:
         long = np.flatnonzero(self.size + 1e-9 >= SHORTEST * MIN_SIMILARITY)
         return long[np.unique(self.h[long], return_index=True)[1]]
 
+    def _different(self, number: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words (by number) that stand in slots, by slot, each word of a slot once; and their slots."""
+        key = slot.astype(np.uint64) << np.uint64(40) | self.word[number] >> np.uint64(24)
+        order = np.argsort(key)
+        key = key[order]
+        order = order[np.concatenate(([True], key[1:] != key[:-1]))] if len(order) else order
+        return number[order], slot[order]
+
     def simhash(self, lines: np.ndarray) -> np.ndarray:
-        return majority(self.word, self.start[lines], self.size[lines])
+        """SimHash of the different words of each of the given lines."""
+        size = self.size[lines]
+        first = np.cumsum(size) - size
+        number, slot = self._different(np.repeat(self.start[lines] - first, size) + np.arange(size.sum()), np.repeat(np.arange(len(lines)), size))
+        count = np.bincount(slot, minlength=len(lines))
+        return majority(self.word[number], np.cumsum(count) - count, count)
+
+    def odd(self, lines: np.ndarray) -> np.ndarray:
+        """64 bits of each of the given lines (with words), each set by an odd number of its words: an edit changes two at most."""
+        if not len(lines):
+            return np.zeros(0, dtype=np.uint64)
+        size = self.size[lines]
+        first = np.cumsum(size) - size
+        words = self.word[np.repeat(self.start[lines] - first, size) + np.arange(size.sum())]
+        return np.bitwise_xor.reduceat(np.uint64(1) << (words >> np.uint64(58)), first)
 
     def entries(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in ``lines``, size class, way of dealing) of everything the lines are cut into blocks for:
@@ -142,7 +166,7 @@ class Lines:
 
     def blocks(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Keys of the given lines (such as ``different`` gives) and the place in ``lines`` of each; then the words
-        of all keyed blocks (numbers of words, one block after the other), where each block begins among them and its words."""
+        of all keyed blocks (numbers of different words, one block after the other), where each block begins among them and how many it has."""
         at, kind, way = self.entries(lines)
         size = self.size[lines[at]]
         first = np.cumsum(size) - size
@@ -151,9 +175,7 @@ class Lines:
         salt = mix((kind * 8 + way + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         entry = np.repeat(np.arange(len(at)), size)
         group = (mix(self.word[number] ^ salt[entry]) >> np.uint64(33)).astype(np.int64) % n_groups[entry]
-        slot = entry * max(GROUPS) + group
-        order = np.argsort(slot, kind="stable")
-        slot, number = slot[order], number[order]
+        number, slot = self._different(number, entry * max(GROUPS) + group)
         begin = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))) if len(slot) else np.zeros(0, dtype=np.int64)
         count = np.diff(np.append(begin, len(slot)))
         owner = slot[begin] // max(GROUPS)
@@ -169,7 +191,7 @@ def most_edits(longest, least: float = MIN_SIMILARITY):
     return np.asarray((1 - least) * longest + 1e-9).astype(np.int64)
 
 
-def _batches(emit: Callable[[Lines], dict[str, np.ndarray]], names: list[str], take: list[str]):
+def _batches(emit: Callable[[Lines], dict], names: list[str], take: list[str]):
     """Arrow batches of documents (``text`` and more) to rows that ``emit`` makes of their lines; with the columns
     ``take`` of the document ``doc`` that a row is of."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,84 +199,99 @@ def _batches(emit: Callable[[Lines], dict[str, np.ndarray]], names: list[str], t
             for base, texts in groups(batch.column("text")):
                 rows = emit(Lines(texts))
                 of = [batch.column(c).take(pa.array(base + rows["doc"], pa.int64())) for c in take]
-                yield pa.RecordBatch.from_arrays(of + [pa.array(rows[n]) for n in names], names=take + names)
+                yield pa.RecordBatch.from_arrays(of + [pa.array(rows[n]) if isinstance(rows[n], np.ndarray) else rows[n] for n in names], names=take + names)
     return run
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``id``, ``th``, ``text`` to one row per line with words: ``id``, ``th``, ``line`` (from 0), ``h``, ``size``."""
+    """``id``, ``th``, ``text`` to one row per line with words (a written table): ``id``, ``th``, ``line`` (from 0), its hash ``h``,
+    ``size`` (words), ``sim`` (SimHash of the line), ``odd`` and the ``keys`` of its blocks. Of equal lines that
+    a task sees together only one has keys."""
     def emit(t: Lines) -> dict:
         some = np.flatnonzero(t.size >= MIN_WORDS)
-        return {"doc": t.doc[some], "line": t.line[some].astype(np.int32), "h": t.h[some].view(np.int64)}
+        lines = t.different()
+        key, at, *_ = t.blocks(lines)
+        order = np.argsort(at, kind="stable")
+        ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(lines))), [len(at)]))      # and one line without keys
+        keys = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(key[order].view(np.int64)))
+        place = np.full(len(t.size), len(lines))
+        place[lines] = np.arange(len(lines))
+        place = place[some]
+        held = {"sim": np.append(t.simhash(lines), np.uint64(0)), "odd": np.append(t.odd(lines), np.uint64(0))}
+        return {"doc": t.doc[some], "line": t.line[some].astype(np.int32), "h": t.h[some].view(np.int64), "size": t.size[some].astype(np.int32),
+                "keys": keys.take(pa.array(place))} | {n: v.view(np.int64)[place] for n, v in held.items()}
+    names = ["line", "h", "size", "sim", "odd", "keys"]
     id_type = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "th", "text").mapInArrow(_batches(emit, ["line", "h"], ["id", "th"]), f"id {id_type}, th long, line int, h long")
+    return stored(docs.select("id", "th", "text").mapInArrow(
+        _batches(emit, names, ["id", "th"]), f"id {id_type}, th long, line int, h long, size int, sim long, odd long, keys array<long>"), "lines")
 
 
-def shared_keys(docs: DataFrame) -> DataFrame:
+def shared_keys(lines: DataFrame) -> DataFrame:
     """``key``: those of two different lines or more."""
-    def emit(t: Lines) -> dict:
-        lines = t.different()
-        key, at, *_ = t.blocks(lines)
-        return {"key": key.view(np.int64), "h": t.h[lines][at].view(np.int64)}
-    rows = docs.select("text").mapInArrow(_batches(emit, ["key", "h"], []), "key long, h long")
+    rows = lines.select(F.explode("keys").alias("key"), "h")
     return cut(rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("key"))
 
 
-_MEMBER = "key long, h long, size int, sim long"
+#: What is known of a line under a key.
+MEMBER = {"h": "long", "size": "int", "sim": "long", "odd": "long"}
+_MEMBER = "key long, " + ", ".join(f"{n} {t}" for n, t in MEMBER.items())
 
 
-def _members(docs: DataFrame, keys: DataFrame, emit: Callable[[Lines, Callable], dict]) -> DataFrame:
-    """Distinct ``key``, ``h``, ``size``, ``sim`` of the rows that ``emit`` finds for ``keys``."""
+def members_under(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """Lines under each of ``keys`` (and perhaps others): ``key`` and the columns ``MEMBER``."""
     member = members_of(keys, "key")
-    rows = docs.select("text").mapInArrow(_batches(lambda t: emit(t, look_up(member)), ["base", "key", "h", "size", "sim"], []), "base long, " + _MEMBER)
-    if member is None:
-        rows = rows.join(keys.withColumnRenamed("key", "base"), "base", "left_semi")
-    return cut(rows.groupBy("key", "h").agg(F.first("size").alias("size"), F.first("sim").alias("sim")))
 
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has = look_up(member)
+        for batch in batches:
+            lists = batch.column("keys")
+            key = lists.flatten().to_numpy(zero_copy_only=False)
+            line = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            hit = has(key.view(np.uint64))
+            at = pa.array(line[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), *[batch.column(c).take(at) for c in MEMBER]], names=["key", *MEMBER])
 
-def members_under(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Lines under each of ``keys`` (and perhaps others): ``key``, ``h``, ``size``, ``sim`` (SimHash of the line)."""
-    def emit(t: Lines, has: Callable) -> dict:
-        lines = t.different()
-        key, at, *_ = t.blocks(lines)
-        hit = has(key)
-        own, place = np.unique(at[hit], return_inverse=True)
-        sim = t.simhash(lines[own])
-        return {"base": key[hit].view(np.int64), "key": key[hit].view(np.int64), "h": t.h[lines[own]].view(np.int64)[place],
-                "size": t.size[lines[own]].astype(np.int32)[place], "sim": sim.view(np.int64)[place]}
-    return _members(docs, keys, emit)
+    rows = lines.select(*MEMBER, "keys").mapInArrow(pick, _MEMBER)
+    return cut(rows.distinct() if member else rows.join(keys, "key", "left_semi").distinct())
 
 
 def members_split(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Lines under ``keys`` that too many share, under keys of two parts: the old one and a word of the line that is
     not of that block. Two near lines of k edits differ in k of these at most on either side, so one of the
     first k + 1 in any order is the same; the order is by length, as long words are seldom common."""
-    def emit(t: Lines, has: Callable) -> dict:
+    member = members_of(keys, "key")
+
+    def emit(t: Lines) -> dict:
         lines = t.different()
         key, at, number, begin, count = t.blocks(lines)
-        out = {"base": [], "key": [], "h": [], "size": [], "sim": []}
-        for b in has(key).tolist():
+        out = {n: [] for n in ("base", "key", *MEMBER)}
+        for b in look_up(member)(key).tolist():
             i = int(lines[at[b]])
             every = np.arange(t.start[i], t.start[i] + t.size[i])
-            rest = np.setdiff1d(every, number[begin[b]:begin[b] + count[b]])
+            rest = every[~np.isin(t.word[every], t.word[number[begin[b]:begin[b] + count[b]]])]
             n = int(most_edits(int(t.size[i] / MIN_SIMILARITY + 1e-9))) + 1
             chosen = rest[np.lexsort((t.word[rest], t.first[rest] - t.end[rest]))[:n]]
             # a line that is the block and a few words more may share the block alone
             sub = np.append(mix(key[b] ^ mix(t.word[chosen])), key[b:b + 1]) if len(rest) < n else mix(key[b] ^ mix(t.word[chosen]))
             out["key"].append(sub)
-            for name, value in (("base", key[b]), ("h", t.h[i]), ("size", t.size[i]), ("sim", t.simhash(np.array([i]))[0])):
+            for name, value in (("base", key[b]), ("h", t.h[i]), ("size", t.size[i]), ("sim", t.simhash(np.array([i]))[0]), ("odd", t.odd(np.array([i]))[0])):
                 out[name].append(np.full(len(sub), value))
         none = np.zeros(0, dtype=np.uint64)
         rows = {n: np.concatenate(v) if v else none for n, v in out.items()}
         return {n: v.astype(np.int32) if n == "size" else v.view(np.int64) for n, v in rows.items()}
-    return _members(docs, keys, emit)
+
+    rows = docs.select("text").mapInArrow(_batches(emit, ["base", "key", *MEMBER], []), "base long, " + _MEMBER)
+    if member is None:
+        rows = rows.join(keys.withColumnRenamed("key", "base"), "base", "left_semi")
+    return cut(rows.select("key", *MEMBER).distinct())
 
 
 def _near(a: str, b: str):
-    """Whether lines can be near by size and SimHash; columns ``size`` and ``sim`` with these endings."""
+    """Whether lines can be near by size, by their words in odd numbers, and by SimHash; of columns with these endings."""
     size, other = F.col(f"size{a}"), F.col(f"size{b}")
     edits = F.floor(F.greatest(size, other) * F.lit(1 - MIN_SIMILARITY) + F.lit(1e-9))
-    return (F.abs(size - other) <= edits) & (F.bit_count(F.col(f"sim{a}").bitwiseXOR(F.col(f"sim{b}"))) <= MAX_BITS)
+    bits = {n: F.bit_count(F.col(f"{n}{a}").bitwiseXOR(F.col(f"{n}{b}"))) for n in ("odd", "sim")}
+    return (F.abs(size - other) <= edits) & (bits["odd"] <= 2 * edits) & (bits["sim"] <= MAX_BITS)
 
 
 def _pairs(members: DataFrame, apart: str = "h") -> DataFrame:
@@ -271,16 +308,13 @@ def words_of_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def emit(t: Lines) -> dict:
         lines = t.different()
         lines = lines[look_up(member)(t.h[lines])]
-        return {"h": t.h[lines].view(np.int64), "words": [t.words_of(int(i)) for i in lines]}
+        return {"h": t.h[lines].view(np.int64), "words": pa.array([t.words_of(int(i)) for i in lines], pa.binary())}
     found = docs.select("text").mapInArrow(_batches(emit, ["h", "words"], []), "h long, words binary")
     return found.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("words").alias("words"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (``u``, ``v``) whose lines have the edit similarity (a written checkpoint)."""
-    pairs = cut(pairs.distinct())
-    wanted = cut(pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct())
-    words = words_of_lines(docs, wanted)
+def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (``u``, ``v``) whose lines have the edit similarity (a written checkpoint). ``words``: of all their lines."""
     left = words.select(F.col("h").alias("u"), F.col("words").alias("words_u"))
     right = words.select(F.col("h").alias("v"), F.col("words").alias("words_v"))
 
@@ -330,34 +364,55 @@ def _along(x: list[bytes], y: list[bytes], i: int, j: int) -> int:
         j += 1
     return i
 
-def linked_lines(docs: DataFrame) -> DataFrame:
-    """Verified links ``u``, ``v`` between line hashes that connect whatever all verified links of candidates would."""
-    members = members_under(docs, shared_keys(docs))
-    keys = cut(members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("h", "size", "sim")).alias("c")).filter("n > 1"))
+def centres(members: DataFrame) -> DataFrame:
+    """``key``, ``c`` (the columns ``MEMBER``): of the lines under each key that whose SimHash is nearest to the bits that over half of
+    them have."""
+    bits = [F.sum(F.shiftrightunsigned("sim", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
+    votes = members.groupBy("key").agg(F.count("*").alias("n"), *bits)
+    most = F.lit(0).cast("long")
+    for b in range(64):
+        most = most.bitwiseOR(F.when(2 * F.col(f"b{b}") > F.col("n"), F.lit((1 << b) - (1 << 64 if b == 63 else 0))).otherwise(F.lit(0)).cast("long"))
+    majority_of = cut(votes.select("key", most.alias("most")))
+    far = F.bit_count(F.col("sim").bitwiseXOR(F.col("most")))
+    return members.join(majority_of, "key").groupBy("key").agg(F.min(F.struct(far.alias("far"), *MEMBER)).alias("c"))
+
+
+def linked_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``node``, ``component`` of the lines that verified links of candidates connect (a hash and the smallest one reachable)."""
+    members = members_under(lines, shared_keys(lines))
+    keys = cut(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     few = members.join(keys.filter(F.col("n") <= FEW).select("key"), "key", "left_semi")
-    centre = keys.filter(F.col("n") > FEW).select(F.col("key").alias("key_c"), F.col("c.h").alias("v"), F.col("c.size").alias("size_c"), F.col("c.sim").alias("sim_c"))
-    stars = members.join(centre, (F.col("key") == F.col("key_c")) & (F.col("h") != F.col("v")) & _near("", "_c")).select(F.col("h").alias("u"), "v")
-    links = verified(docs, _pairs(few).union(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))))
-    found = connected_components(links)
-
-    def grouped(rows: DataFrame) -> DataFrame:
-        """With the group ``g`` that a line is in so far, under keys whose lines are in several."""
-        held = cut(rows.join(found, rows["h"] == found["node"], "left").select("key", "h", "size", "sim", F.coalesce("component", "h").alias("g")))
-        several = held.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("key")
-        return held.join(several, "key", "left_semi")
-
-    large = cut(grouped(members.join(centre.select(F.col("key_c").alias("key")), "key", "left_semi")).select("key").distinct())
-    if large.isEmpty():
-        return links
-    split = members_split(docs, large)
-    return links.union(verified(docs, _pairs(grouped(split), "g")))
+    many = cut(members.join(keys.filter(F.col("n") > FEW).select("key"), "key", "left_semi"))
+    centre = centres(many).select(F.col("key").alias("key_c"), *[F.col(f"c.{c}").alias(f"{c}_c") for c in MEMBER])
+    stars = many.join(centre, (F.col("key") == F.col("key_c")) & (F.col("h") != F.col("h_c")) & _near("", "_c"))
+    pairs = cut(_pairs(few).union(stars.select(F.least("h", "h_c").alias("u"), F.greatest("h", "h_c").alias("v"))).distinct())
+    # one scan for the words of all lines that may be compared now or later
+    wanted = cut(pairs.select(F.col("u").alias("h")).union(pairs.select("v")).union(many.select("h")).distinct())
+    words = stored(words_of_lines(docs, wanted), "words")
+    found = connected_components(verified(pairs, words))
+
+    def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows with the group ``g`` that a line is in so far, keys with the pairs of lines in different groups: ``open``)."""
+        held = cut(rows.join(found, rows["h"] == found["node"], "left").select("key", *MEMBER, F.coalesce("component", "h").alias("g")))
+        sizes = held.groupBy("key", "g").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(
+            ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("open"))
+        return held, cut(sizes.filter("open > 0"))
+
+    held, left = grouped(many)
+    rest = _pairs(held.join(left.filter(F.col("open") <= OPEN_PAIRS).select("key"), "key", "left_semi"), "g")
+    large = left.filter(F.col("open") > OPEN_PAIRS).select("key")
+    if not large.isEmpty():
+        split, open_ = grouped(members_split(docs, cut(large)))
+        rest = rest.union(_pairs(split.join(open_.select("key"), "key", "left_semi"), "g"))
+    return joined_components(found, verified(rest.distinct(), words))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """For keyed ``docs`` (``id``, ``th``, ``text``): per ``id``, ``th`` the numbers of the kept lines with words, ``kept``.
     Documents that keep none are not listed."""
-    found = connected_components(linked_lines(docs))
-    nodes = lines_of(docs).groupBy("h").agg(F.min(F.struct("id", "th", "line")).alias("at"))
+    lines = lines_of(docs)
+    found = linked_lines(docs, lines)
+    nodes = lines.groupBy("h").agg(F.min(F.struct("id", "th", "line")).alias("at"))
     named = nodes.join(found, nodes["h"] == found["node"], "left")
     first = named.groupBy(F.coalesce("component", "h").alias("g")).agg(F.min("at").alias("at"))
     return first.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list("at.line").alias("kept"))

@@ -2,6 +2,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import line_dedup as L
 from ledgerlens.llm import queries
@@ -108,6 +110,13 @@ def test_simhash_by_vote():
         assert x == sum(1 << b for b in range(64) if 2 * sum(w >> b & 1 for w in own) > n)
 
 
+def test_simhash_of_a_line_is_of_its_different_words():
+    t = L.Lines(["a b b b c\nc b a\na b c d e f g"])
+    got = t.simhash(np.arange(3)).tolist()
+    first = [int(t.word[i]) for i in (0, 1, 4)]
+    assert got[0] == got[1] == sum(1 << b for b in range(64) if 2 * sum(w >> b & 1 for w in first) > 3) != got[2]
+
+
 def test_fuzzy_lines(spark):
     rng = random.Random(2)
     vocab = [f"word{i}" for i in range(500)]
@@ -138,12 +147,14 @@ def test_lines_of_ordinary_length(spark):
     assert_deduplicated(docs, got)
 
 
-def test_a_block_that_many_lines_share(spark):
+@pytest.mark.parametrize("most_open", [L.OPEN_PAIRS, 10])
+def test_a_block_that_many_lines_share(spark, monkeypatch, most_open):
     """Hundreds of unlike lines under common words, with near pairs among them."""
+    monkeypatch.setattr(L, "OPEN_PAIRS", most_open)
     rng = random.Random(3)
     docs = []
     for i in range(300):
-        line = ["of", "the"] * 4 + [f"w{rng.randrange(10 ** 6)}" for _ in range(rng.choice([2, 5, 12]))]
+        line = ["of", "the", "to", "in", "and", "the"] + [f"w{rng.randrange(10 ** 6)}" for _ in range(rng.choice([4, 8, 14]))]
         rng.shuffle(line)
         docs.append((2 * i, " ".join(line)))
         line[rng.randrange(len(line))] = "other"
@@ -164,8 +175,10 @@ def test_keys_of_two_parts_lose_no_pair(spark):
         docs += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(copy))]
         pairs.append((tuple(words(docs[-2][1])), tuple(words(docs[-1][1]))))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    keys = L.shared_keys(df)
-    under, split = L.members_under(df, keys).collect(), L.members_split(df, keys).collect()
+    df = df.withColumnRenamed("doc_id", "id").withColumn("th", F.xxhash64("text"))
+    lines = L.lines_of(df)
+    keys = L.shared_keys(lines)
+    under, split = L.members_under(lines, keys).collect(), L.members_split(df, keys).collect()
     t = L.Lines(["\n".join(d for _, d in docs)])
     name = {tuple(words(d)): int(h) for (_, d), h in zip(docs, t.h.view(np.int64).tolist())}
     by = lambda rows: {h: {r.key for r in rows if r.h == h} for h in name.values()}
