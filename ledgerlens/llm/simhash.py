@@ -97,6 +97,19 @@ def linked_pairs(nodes: DataFrame, max_bits: int) -> DataFrame:
             .select("u", "v"))
 
 
+def fingerprint_groups(prints: DataFrame, max_bits: int, same_id: bool = True) -> DataFrame:
+    """``id``, ``fp`` to one row for each fingerprint: ``fp``, ``group`` (the smallest fingerprint reachable over links),
+    ``rep`` (its smallest id; null if it has none). With ``same_id`` fingerprints of one id are linked, too."""
+    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
+    links = linked_pairs(nodes.select("fp", F.col("fp").alias("rep")), max_bits)
+    if same_id:
+        spread = (prints.filter("id is not null").groupBy("id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+                  .filter("lo <> hi").select("id", "lo"))
+        links = links.union(prints.join(spread, "id").select(F.col("lo").alias("u"), F.col("fp").alias("v")))
+    found = connected_components(links)
+    return nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("group"), "rep")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     max_bits: int = 4) -> DataFrame:
     """One row per input row: the id, ``fp`` (signed long), ``component`` (the
@@ -104,19 +117,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and blank texts have fingerprint 0 and link like any other.
     Repeated rows come back as often as they went in; rows that share an id are
-    one node per distinct fingerprint. A null id gets the component of its
-    fingerprint's other rows, or null if there is none, and never names one. An
+    linked with one another. Rows with a null id link like others and pass links on; they get
+    the component of their group, or null if no id is in it, and never name one. An
     empty table gives an empty result; further columns are not touched."""
     d = small_batches(renamed(docs, id=id_col, text=text_col))
     prints = cut(d.select("id", fingerprints(shingle)(F.col("text")).alias("fp")))
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")).filter("rep is not null"))
-    # rows of one id with several fingerprints tie these together
-    spread = (prints.groupBy("id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi")
-              .select("id"))
-    same_id = (prints.join(spread, "id").select("id", "fp").distinct().join(nodes, "fp")
-               .select(F.col("id").alias("u"), F.col("rep").alias("v")))
-    links = linked_pairs(nodes, max_bits)
-    found = connected_components(links.union(same_id))
-    of_fp = (nodes.join(found, nodes["rep"] == found["node"], "left")
-             .select("fp", F.coalesce("component", "rep").alias("component")))
+    grouped = cut(fingerprint_groups(prints, max_bits))
+    of_fp = grouped.join(grouped.groupBy("group").agg(F.min("rep").alias("component")), "group").select("fp", "component")
     return prints.join(of_fp, "fp", "left").select(F.col("id").alias(id_col), "fp", "component")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
+                      max_bits: int = 4) -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates, unchanged: that with the smallest id (a null id is
+    larger than any other), of several the one with the smallest hash of its columns.
+
+    Groups are of texts alone: rows that share an id but not their text are told apart, and rows with null ids
+    take part. An empty table gives an empty result; further columns, whatever they are called, pass through."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"))
+    packed = small_batches(docs).select(row.alias("row"), place.alias("place"), fingerprints(shingle)(F.col(text_col)).alias("fp"))
+    prints = cut(packed.select(F.col("place.id").alias("id"), "fp", "place"))
+    grouped = fingerprint_groups(prints.select("id", "fp"), max_bits, same_id=False).select("fp", "group")
+    first = cut(prints.groupBy("fp").agg(F.min("place").alias("place")).join(grouped, "fp").groupBy("group")
+                .agg(F.min(F.struct("place", "fp")).alias("first")).select("first.fp"))
+    kept = packed.join(first, "fp", "left_semi").groupBy("fp").agg(F.min_by("row", "place").alias("row"))
+    return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns])

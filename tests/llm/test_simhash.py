@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from ledgerlens.llm import queries, simhash
-from ledgerlens.llm.components import connected_components
+from ledgerlens.llm.components import connected_components, joined_components
 
 from .cases import clashing, no_docs, odd_docs
 
@@ -77,7 +77,51 @@ def test_odd_cases(spark):
     assert [r.component for r in simhash.near_duplicates(alone).collect()] == [None]
 
 
+def test_links_through_a_row_without_an_id(spark):
+    """Three texts, the middle one without an id and near both others."""
+    rng = random.Random(1)
+    words, found = [f"w{i}" for i in range(60)], None
+    base = " ".join(rng.choices(words, k=400))
+    for _ in range(4000):
+        a, b = base.split(), base.split()
+        a[rng.randrange(200)] = rng.choice(words)
+        b[200 + rng.randrange(200)] = rng.choice(words)
+        p, q, r = (fingerprint(x) for x in (" ".join(a), base, " ".join(b)))
+        if 0 < (p ^ q).bit_count() <= 4 and 0 < (q ^ r).bit_count() <= 4 < (p ^ r).bit_count():
+            found = " ".join(a), " ".join(b)
+            break
+    docs = spark.createDataFrame([(1, found[0]), (None, base), (2, found[1])], "doc_id long, text string")
+    assert sorted(r.component for r in simhash.near_duplicates(docs).collect()) == [1, 1, 1]
+    assert [r.doc_id for r in simhash.one_of_each_group(docs).collect()] == [1]
+
+
+def test_one_of_each_group(spark):
+    docs = odd_docs(spark)
+    odd = clashing(docs)
+    for name in ("row", "place", "fp", "group", "first", "_n", "none"):
+        odd = odd.withColumn(name, odd.lang)
+    out = simhash.one_of_each_group(odd)
+    assert out.columns == odd.columns
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3, 6, 7, 8]
+    assert simhash.one_of_each_group(no_docs(spark)).count() == 0
+    same_id = spark.createDataFrame([(5, "one text of a few words here"), (5, "and quite another one of the same id"), (None, "no id at all but words"),
+                                     (None, "no id at all but words")], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.one_of_each_group(same_id).collect()) == sorted({r.text for r in same_id.collect()})
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 700)] + [(7, 7), (None, 1), (1, None)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 100 for i in range(101, 161)}, **{i: 500 for i in range(501, 700)}}
+
+
+def test_more_edges_join_components(spark):
+    rng = random.Random(4)
+    nodes = list(range(60))
+    edges = [tuple(rng.sample(nodes, 2)) for _ in range(25)]
+    more = [tuple(rng.sample(nodes, 2)) for _ in range(12)] + [(200, 201), (5, 202)]
+    df = lambda e: spark.createDataFrame(e, "u long, v long")
+    found = connected_components(df(edges))
+    want = {r.node: r.component for r in connected_components(df(edges + more)).collect()}
+    assert {r.node: r.component for r in joined_components(found, df(more)).collect()} == want
+    assert joined_components(found, df(more).limit(0)).collect() == found.collect()
