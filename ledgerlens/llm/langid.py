@@ -2,8 +2,10 @@
 
 Per language a suffix automaton of sampled labelled text. A text is parsed
 against it into phrases, each the longest match with the sample from where the
-last one ended; coding a phrase costs log2(sample length) bits. The language
-whose sample needs the fewest normalised phrases (bits a symbol) wins.
+last one ended; coding a phrase costs log2(sample length) bits, with the longest
+sample's length for all languages, so that a small sample is no cheaper, and a letter that the
+sample lacks costs one of the whole alphabet more. The language whose sample
+needs the fewest bits a symbol wins. A language without a letter in its sample takes no part.
 
 Parsing goes window by window (``WINDOW`` symbols, each starting a new phrase):
 all windows of a batch step through the automaton together as one array, so a
@@ -28,6 +30,8 @@ SYMBOLS_AT_ONCE = 2_000_000
 SAMPLE_DOCS = 200
 SAMPLE_SYMBOLS = 30_000
 UNKNOWN = "und"
+#: Entries of a transition table; an automaton that needs more (a script of very many letters) keeps its transitions sorted.
+TABLE = 16_000_000
 
 
 def _letters() -> np.ndarray:
@@ -37,14 +41,13 @@ def _letters() -> np.ndarray:
 
 
 class Alphabet:
-    """Lower-case letters to symbols: 0 is any run of other characters, the last one any unlisted letter."""
+    """Lower-case letters to symbols: 0 is any run of other characters, the last one any letter of no sample."""
 
     def __init__(self, letters: str):
         self.size = len(letters) + 2
-        is_letter = _letters()
-        self.table = np.where(is_letter, self.size - 1, 0).astype(np.uint8)
-        for i, c in enumerate(letters):
-            self.table[ord(c)] = i + 1
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.table = np.where(_letters(), self.size - 1, 0).astype(self.kind)
+        self.table[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1, dtype=self.kind)
 
     def symbols(self, text: str) -> np.ndarray:
         """Symbols of the text with one 0 around each run of letters."""
@@ -57,8 +60,8 @@ class Alphabet:
         return s[keep]
 
 
-def suffix_automaton(symbols: list[int], k: int) -> np.ndarray:
-    """Transitions [state * k + symbol] of the suffix automaton; state 0 is the start, target 0 means none."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton; state 0 is the start."""
     nxt: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -85,31 +88,54 @@ def suffix_automaton(symbols: list[int], k: int) -> np.ndarray:
                     nxt[p][c] = clone
                     p = link[p]
         last = cur
-    table = np.zeros(len(nxt) * k, dtype=np.uint16 if len(nxt) < 1 << 16 else np.int32)
-    for s, t in enumerate(nxt):
-        for c, to in t.items():
-            table[s * k + c] = to
-    return table
-
-
-def count_phrases(table: np.ndarray, k: int, columns: np.ndarray, active: list[int]) -> np.ndarray:
-    """Phrases of each window. ``columns``: [step, window] symbols, windows by
-    falling length; ``active``: how many windows reach each step."""
-    n = columns.shape[1]
-    state, count = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
-    for t, m in enumerate(active):
-        c = columns[t, :m]
-        s = state[:m]
-        to = table[s * k + c]
-        miss = to == 0
-        at = np.flatnonzero(miss)
-        if len(at):
-            count[at] += s[at] != 0          # the phrase so far ends here
-            again = table[c[at]]             # and the next one starts with this symbol
-            count[at] += again == 0          # a symbol the sample lacks is a phrase by itself
-            to[at] = again
-        state[:m] = to
-    return count + (state != 0)
+    return nxt
+
+
+class Parser:
+    """The automaton of one sample over the letters it has: as a table where these are few, else as sorted transitions."""
+
+    def __init__(self, symbols: np.ndarray, size: int):
+        own = np.unique(symbols)
+        self.k = len(own) + 1                                   # the last one: a symbol the sample lacks
+        self.local = np.full(size, len(own), dtype=np.uint16 if self.k <= 1 << 16 else np.uint32)
+        self.local[own] = np.arange(len(own))
+        nxt = suffix_automaton(self.local[symbols].tolist())
+        at = np.array([s * self.k + c for s, t in enumerate(nxt) for c in t], dtype=np.int64)
+        to = np.array([n for t in nxt for n in t.values()], dtype=np.int32)
+        if len(nxt) * self.k <= TABLE:
+            self.table = np.zeros(len(nxt) * self.k, dtype=np.uint16 if len(nxt) < 1 << 16 else np.int32)
+            self.table[at] = to
+            self.at = None
+        else:
+            order = np.argsort(at)
+            self.at, self.to = np.append(at[order], np.int64(1) << 62), np.append(to[order], np.int32(0))
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Next states; 0 for none."""
+        key = state.astype(np.int64) * self.k + c
+        if self.at is None:
+            return self.table[key]
+        place = np.searchsorted(self.at, key)
+        return np.where(self.at[place] == key, self.to[place], 0)
+
+    def count(self, columns: np.ndarray, active: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases, and letters the sample lacks, of each window. ``columns``: [step, window] symbols, windows by
+        falling length; ``active``: how many windows reach each step."""
+        n = columns.shape[1]
+        state, count, lacking = (np.zeros(n, dtype=np.int32) for _ in range(3))
+        for t, m in enumerate(active):
+            c = self.local[columns[t, :m]]
+            s = state[:m]
+            to = self.step(s, c)
+            at = np.flatnonzero(to == 0)
+            if len(at):
+                count[at] += s[at] != 0          # the phrase so far ends here
+                again = self.step(np.zeros(len(at), dtype=np.int32), c[at])      # and the next one starts with this symbol
+                count[at] += again == 0          # a symbol the sample lacks is a phrase by itself
+                lacking[at] += again == 0
+                to[at] = again
+            state[:m] = to
+        return count + (state != 0), lacking
 
 
 class Model:
@@ -118,33 +144,28 @@ class Model:
     _built: dict[int, tuple] = {}
 
     def __init__(self, samples: dict[str, list[str]]):
-        self.samples = {lang: samples[lang] for lang in sorted(samples)}
-        seen: dict[str, int] = {}
-        for pieces in self.samples.values():
-            for p in pieces:
-                for c in set(p.lower()):
-                    if c.isalpha() and len(c) == 1:
-                        seen[c] = seen.get(c, 0) + 1
-        self.letters = "".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[:250]))
+        letter = _letters()
+        has = {lang: {c for p in pieces for c in p.lower() if letter[ord(c)]} for lang, pieces in samples.items()}
+        self.samples = {lang: samples[lang] for lang in sorted(samples) if has[lang]}
+        self.letters = "".join(sorted(set().union(*has.values())))
         self.key = hash((self.letters, tuple((a, tuple(b)) for a, b in self.samples.items())))
 
-    def automata(self):
+    def automata(self) -> tuple[Alphabet, list[Parser], float, float]:
+        """Alphabet, a parser for each language, bits of a phrase, and of a letter that a sample lacks beside it."""
         if self.key not in Model._built:
             Model._built.clear()
             alphabet = Alphabet(self.letters)
-            found: list[tuple[str, np.ndarray, float]] = []
-            for lang, pieces in self.samples.items():
-                symbols = np.concatenate([alphabet.symbols(p) for p in pieces] + [np.zeros(0, np.uint8)])[:SAMPLE_SYMBOLS]
-                found.append((lang, suffix_automaton(symbols.tolist(), alphabet.size), math.log2(len(symbols) + 2)))
-            Model._built[self.key] = (alphabet, found)
+            symbols = [np.concatenate([alphabet.symbols(p) for p in pieces])[:SAMPLE_SYMBOLS] for pieces in self.samples.values()]
+            parsers = [Parser(s, alphabet.size) for s in symbols]
+            Model._built[self.key] = alphabet, parsers, math.log2(max([len(s) for s in symbols], default=0) + 2), math.log2(alphabet.size)
         return Model._built[self.key]
 
     def bits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """([text, language] bits a symbol, symbols of each text; 0 symbols: no letter)."""
-        alphabet, automata = self.automata()
-        syms = [alphabet.symbols(t) if t else np.zeros(0, np.uint8) for t in texts]
+        alphabet, parsers, phrase, letter = self.automata()
+        syms = [alphabet.symbols(t) if t else np.zeros(0, alphabet.kind) for t in texts]
         lengths = np.array([len(s) for s in syms], dtype=np.int64)
-        phrases = np.zeros((len(texts), len(automata)))
+        cost = np.zeros((len(texts), len(parsers)))
         windows = (lengths + WINDOW - 1) // WINDOW
         owner = np.repeat(np.arange(len(texts)), windows)
         if len(owner):
@@ -154,13 +175,13 @@ class Model:
             start = np.repeat(np.cumsum(lengths) - lengths, windows) + rank * WINDOW
             order = np.argsort(-size, kind="stable")
             size, start, owner = size[order], start[order], owner[order]
-            padded = np.concatenate([flat, np.zeros(WINDOW, np.uint8)])
+            padded = np.concatenate([flat, np.zeros(WINDOW, alphabet.kind)])
             columns = np.ascontiguousarray(padded[start[None, :] + np.arange(WINDOW)[:, None]])
             active = [int(x) for x in len(size) - np.searchsorted(size[::-1], np.arange(int(size[0])), side="right")]
-            for j, (_, table, _) in enumerate(automata):
-                phrases[:, j] = np.bincount(owner, count_phrases(table, alphabet.size, columns, active), len(texts))
-        cost = np.array([c for _, _, c in automata])
-        return phrases * cost / np.maximum(lengths, 1)[:, None], lengths
+            for j, parser in enumerate(parsers):
+                phrases, lacking = parser.count(columns, active)
+                cost[:, j] = np.bincount(owner, phrases * phrase + lacking * letter, len(texts))
+        return cost / np.maximum(lengths, 1)[:, None], lengths
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and confidence of each text; ties go to the first language by name."""
@@ -215,7 +236,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """``docs`` with ``lang_pred`` and ``lang_score`` (0 to 1) added.
 
     A text that is null, empty or has no letter is ``und`` with score 0, and so
-    is every text when there was nothing to learn from. Equal texts get equal
+    is every text when there was nothing to learn from; languages of whose sample no letter
+    is known are never predicted. Equal texts get equal
     results; ties go to the language first by name."""
     schema = "lang_pred string, lang_score double"
 
