@@ -10,6 +10,9 @@ assignment of largest likelihood under that rule wins.
 The trees are fitted on a bounded sample of the pages themselves, labelled by
 their markup, together with altered copies: the article under another tag, and
 menus, notices, adverts, forms, sidebars and comments put in under common names.
+Labels come only from pages that name their article (an ``article`` or ``main``
+element, or one by its role or itemprop); a page that does not says nothing about where it is. Where no
+page of the sample names it, the densest part of each is taken for it.
 """
 from __future__ import annotations
 
@@ -220,23 +223,37 @@ _WITHIN = ('<div class="ad">{}</div>', '<aside class="promo"><p>{}</p></aside>',
            '<div class="notice">{}</div>', '<nav>{}</nav>')
 _HOLDERS = ('<main data-y="1">', '<div class="content" data-y="1">', '<div class="post" data-y="1">', '<div id="main" data-y="1">',
             '<section data-y="1">', '<div data-y="1">', '<article class="entry" data-y="1">', '<div itemprop="articleBody" data-y="1">')
-_ARTICLE = re.compile(r"<article\b[^>]*>", re.I)
+_NAMED = re.compile(r"""<(article|main)\b[^>]*>|<(\w+)\b(?=[^>]*\b(?:role\s*=\s*["']?(?:main|article)\b|itemprop\s*=\s*["']?articleBody\b))[^>]*>""", re.I)
+
+
+def article_span(html: str) -> tuple[int, int, int, int] | None:
+    """Where a page's article stands, by the first element that names it: begin of its tag, begin and end of what is inside, end
+    of its end tag. Without an end tag it goes to the end of the page; without such an element there is none."""
+    found = list(_NAMED.finditer(html))
+    if not found:
+        return None
+    m = next((x for x in found if (x[1] or "").lower() == "article"), found[0])
+    depth = 1
+    for x in re.finditer(rf"<(/?){re.escape(m[1] or m[2])}\b[^>]*>", html[m.end():], re.I):
+        depth += -1 if x[1] else 0 if x[0].endswith("/>") else 1
+        if not depth:
+            return m.start(), m.end(), m.end() + x.start(), m.end() + x.end()
+    return m.start(), m.end(), len(html), len(html)
 
 
 def altered(html: str, rng: random.Random) -> str:
-    """A copy of a page whose article stands under another element and among more things to leave out."""
+    """A copy of a page whose article stands under another element and among more things to leave out (as it is if it names none)."""
     filler = [t for _, t in Page(html).blocks] or ["More"]
 
     def fill(template: str) -> str:
         mark = template.replace(">", ' data-y="0">', 1)
         return re.sub(r"\{\}", lambda _: rng.choice(filler).replace("<", "&lt;"), mark)
 
-    m = _ARTICLE.search(html)
-    if not m:
+    span = article_span(html)
+    if span is None:
         return html
-    end = re.compile(r"</article\s*>", re.I).search(html, m.end())
-    stop, rest = (end.start(), html[end.end():]) if end else (len(html), "")
-    body = html[m.end():stop]
+    start, begin, stop, end = span
+    body = html[begin:stop]
     if rng.random() < 0.5:
         cuts = [x.end() for x in re.finditer(r"</p>", body)] or [len(body)]
         at = rng.choice(cuts)
@@ -244,15 +261,21 @@ def altered(html: str, rng: random.Random) -> str:
     holder = rng.choice(_HOLDERS)
     before = "".join(fill(rng.choice(_AROUND)) for _ in range(rng.randint(0, 2)))
     after = "".join(fill(rng.choice(_AROUND + _WITHIN)) for _ in range(rng.randint(0, 2)))
-    return html[:m.start()] + before + holder + body + f"</{holder[1:].split()[0]}>" + after + rest
+    return html[:start] + before + holder + body + f"</{holder[1:].split()[0]}>" + after + html[end:]
+
+
+def marked(html: str) -> str | None:
+    """The page with its article's element marked for ``targets``; None if the page names none."""
+    span = article_span(html)
+    return None if span is None else html[:span[1] - 1].rstrip("/") + ' data-y="1"' + html[span[1] - 1:]
 
 
 def targets(page: Page) -> np.ndarray:
-    """1 for nodes in the article and in none of its marked parts, by markup."""
+    """1 for nodes in the marked article and in none of its parts marked or known to be left out."""
     y = np.zeros(len(page.nodes))
     for x in page.nodes[1:]:
         up = y[x.parent.index]
-        if 'data-y="1"' in x.attrs or (x.tag == "article" and "data-y" not in x.attrs):
+        if 'data-y="1"' in x.attrs:
             up = 1
         if 'data-y="0"' in x.attrs or x.tag in ("nav", "aside", "footer", "form"):
             up = 0
@@ -260,17 +283,49 @@ def targets(page: Page) -> np.ndarray:
     return y
 
 
+def densest(page: Page) -> np.ndarray:
+    """1 for nodes in the smallest element that holds most of the page's text outside links and parts known to be left out."""
+    n = len(page.nodes)
+    plain, left = np.zeros(n), np.zeros(n, dtype=bool)
+    for x in page.nodes:
+        up = x.parent is not None and left[x.parent.index]
+        own = _own_features(x.tag, x.attrs)
+        left[x.index] = up or x.tag in ("nav", "aside", "footer", "form", "header") or own[len(TAGS) + 1:-1].any()
+        plain[x.index] = 0 if left[x.index] else max(0, x.own - page.link_chars.get(x.index, 0))
+    whole = plain.copy()
+    for x in reversed(page.nodes[1:]):
+        whole[x.parent.index] += whole[x.index]
+    at = 0
+    for x in page.nodes[1:]:        # parents come before children
+        if x.parent.index == at and whole[x.index] > 0.6 * whole[0]:
+            at = x.index
+    y = np.zeros(n)
+    if whole[0]:
+        for x in page.nodes:
+            y[x.index] = 0 if left[x.index] else x.index == at or (x.parent is not None and y[x.parent.index])
+    return y
+
+
 class Model:
     def __init__(self, pages: list[str]):
         rng = random.Random(7)
         x, y, w = [], [], []
-        for html in pages:
-            for k, copy in enumerate([html, *(altered(html, rng) for _ in range(ALTERED))]):
-                page = Page(copy)
-                x.append(node_features(page))
-                y.append(targets(page))
-                # a page counts as one, however long it is, and twice as much as all its altered copies
-                w.append(np.full(len(page.nodes), (1.0 if k else 2.0 * ALTERED) * 20.0 / len(page.nodes)))
+
+        def learn(page: Page, target: np.ndarray, weight: float) -> None:
+            x.append(node_features(page))
+            y.append(target)
+            w.append(np.full(len(page.nodes), weight * 20.0 / len(page.nodes)))      # a page counts as one, however long it is
+
+        named = [(html, m) for html, m in ((h, marked(h)) for h in pages) if m is not None]
+        for html, mark in named:
+            page = Page(mark)
+            learn(page, targets(page), 2.0 * ALTERED)       # twice as much as all its altered copies
+            for _ in range(ALTERED):
+                page = Page(altered(html, rng))
+                learn(page, targets(page), 1.0)
+        for html in pages if not named else ():
+            page = Page(html)
+            learn(page, densest(page), 1.0)
         self.trees = Boosted(np.concatenate(x), np.concatenate(y), np.concatenate(w)) if x else None
 
     def extract(self, htmls: list[str | None]) -> list[str]:
@@ -292,7 +347,9 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
     """Model from at most ``sample`` pages with html, by hash of the id."""
     d = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter("id is not null and html is not null")
     ids = top_by_hash(d.select("id", F.lit(0).alias("g")), "g", "id", sample).select("id")
-    rows = d.join(F.broadcast(ids), "id", "left_semi").dropDuplicates(["id"]).collect()   # at most ``sample`` pages
+    # at most ``sample`` pages; of several under one id the first by its hash
+    one = d.join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(F.min(F.struct(F.xxhash64("html").alias("h"), "html")).alias("x"))
+    rows = one.select("id", "x.html").collect()
     return Model([r.html for r in sorted(rows, key=lambda r: r.id)])
 
 

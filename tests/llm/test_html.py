@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from ledgerlens.llm import html_extract, queries
 from ledgerlens.llm.dom import Page
@@ -86,6 +87,31 @@ def test_other_layouts(spark):
     assert right >= 90
 
 
+def _renamed(html, opening, closing):
+    return html.replace("<article>", opening).replace("</article>", closing)
+
+
+@pytest.mark.parametrize("opening,closing,every", [("<main>", "</main>", 1), ("<main>", "</main>", 3), ('<div class="x1">', "</div>", 3),
+                                                   ('<div role="main">', "</div>", 1), ('<div class="x1">', "</div>", 1)])
+def test_sites_that_do_not_use_the_article_element(spark, opening, closing, every):
+    """A third of the pages, or all, hold their article in another element; where none is named, density has to do."""
+    pages = [p.html for p in spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").limit(180).collect()]
+    other = [_renamed(h, opening, closing) if i % every == 0 else h for i, h in enumerate(pages)]
+    got = html_extract.Model(other[:100]).extract(other)
+    right = [g == reference(h) for i, (g, h) in enumerate(zip(got, pages)) if i % every == 0]
+    assert np.mean(right) >= (0.8 if opening == '<div class="x1">' and every == 1 else 0.95), np.mean(right)
+
+
+def test_where_an_article_stands():
+    span = lambda h: (lambda s: s and h[s[1]:s[2]])(html_extract.article_span(h))
+    assert span("<div><article class=x>a<div>b</div></article>c</div>") == "a<div>b</div>"
+    assert span("<main>x<article>y</article></main>") == "y" and span("<MAIN id=m>x</MAIN>") == "x"
+    assert span("<div><div role='main'>a<div>b</div>c</div>d</div>") == "a<div>b</div>c" and span('<div itemprop="articleBody">q') == "q"
+    assert span("<div>a</div>") is None and span("") is None and html_extract.marked("<p>a</p>") is None
+    page = Page(html_extract.marked("<div>m</div><article>a<nav>n</nav><p>b</p></article>f"))
+    assert [t for i, t in page.blocks if html_extract.targets(page)[i]] == ["a", "b"]
+
+
 def test_odd_cases(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "v", "<article><p>text</p></article>"), (3, "u", "no markup at all"), (3, "u", "no markup at all")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("id", html_extract.F.lit(1)).withColumn("g", html_extract.F.lit(1))
