@@ -221,7 +221,7 @@ def _open_windows(docs: DataFrame, opened: DataFrame, window: int, wanted: DataF
 def repeated_windows(docs: DataFrame, chains: DataFrame, window: int = WINDOW) -> DataFrame:
     """``id``, ``th``, ``start``, ``windows`` (1) of the windows at first places of chains that stand earlier in
     another chain of the same gram."""
-    several = chains.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram")
+    several = cut(chains.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram"))
     opened = cut(chains.join(several, "gram", "left_semi").select(
         F.col("at.id").alias("id"), F.col("at.th").alias("th"), F.col("at.start").alias("start"), _place(F.col("at.th"), F.col("at.start")).alias("place")))
     place = F.struct("id", "start")
