@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontam, langid, line_dedup, mixing, simhash
@@ -25,18 +25,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each group of like lines stays once; documents that are left without a word go."""
     out = line_dedup.dedup(docs, drop_emptied=True)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    n_chars = F.length("text").cast("long").alias("n_chars")
+    return out.select(*[n_chars if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that with the smallest id;
-    of rows that share it, one. Rows without an id can be named by no group and stay."""
-    found = simhash.near_duplicates(docs, shingle=4, max_bits=4)
-    kept = found.filter("doc_id = component").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
-    named = (docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one))
-             .filter("_n = 1").select(*docs.columns))
-    return named.union(docs.filter("doc_id is null"))
+    """One document of each near-duplicate group stays, that with the smallest id. Groups are of
+    texts: rows that share an id only are no copies, and rows without an id take part."""
+    return simhash.one_of_each_group(docs, shingle=4, max_bits=4)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,15 +42,16 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each copy of a document it takes, ``copy`` from 1, with
-    its source's ``target`` (words) and the document's ``size``."""
-    key = F.xxhash64("doc_id", "source", "text")
-    plan = mixing.mix(docs.withColumn("_key", key), id_col="_key")
-    # rows alike in id, source and text share a key, and so one number of copies
-    copies = plan.groupBy("_key").agg(F.min("copies").alias("_copies"), F.min("size").alias("size"),
-                                      F.min("target").alias("target"))
-    taken = docs.withColumn("_key", key).join(copies.filter("_copies > 0"), "_key")
-    return (taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-            .select(*docs.columns, "size", "target", "copy"))
+    its source's ``target`` (words) and the document's ``size`` (these three in place of
+    columns of the same names). Rows alike in all columns are one document that may be
+    taken as often as all of them together."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.struct(F.xxhash64(F.lit(1), *columns).alias("a"), F.xxhash64(F.lit(2), *columns).alias("b"))
+    plan = mixing.mix(docs.select(key.alias("key"), "source", "text"), id_col="key")
+    copies = plan.groupBy("key").agg(F.sum("copies").alias("copies"), F.min("size").alias("size"), F.min("target").alias("target")).filter("copies > 0")
+    one = docs.select(key.alias("key"), F.struct(*columns).alias("row")).groupBy("key").agg(F.first("row").alias("row"))
+    taken = one.join(copies, "key").select("row", "size", "target", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return taken.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ("size", "target", "copy")], "size", "target", "copy")
 
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies),
