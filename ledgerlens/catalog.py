@@ -20,6 +20,7 @@ from .plans import features as FE
 from .plans import quality as QA
 from .sources.raw import raw_tables
 from .plans import reports as R
+from .session import written_once
 from .sources.star import load_star
 
 # Parameters of the registered report calls. The full range runs from the first
@@ -139,9 +140,9 @@ def etl_queries() -> dict[str, Query]:
         "clean_order_items": lambda s, d: ETL.clean_order_items(_raw(s, d)["order_items"]),
         "clean_users": lambda s, d: ETL.clean_users(_raw(s, d)["users"]),
         "clean_products": lambda s, d: ETL.clean_products(_raw(s, d)["products"]),
-        "etl_dim_customers": lambda s, d: _etl(s, d)["dim_customers"],
-        "etl_dim_products": lambda s, d: _etl(s, d)["dim_products"],
-        "etl_dim_date": lambda s, d: _etl(s, d)["dim_date"],
+        "etl_dim_customers": lambda s, d: _etl(s, d, surrogate_key=False)["dim_customers"],
+        "etl_dim_products": lambda s, d: _etl(s, d, surrogate_key=False)["dim_products"],
+        "etl_dim_date": lambda s, d: _etl(s, d, surrogate_key=False)["dim_date"],
         "etl_fact_orders": lambda s, d: _etl(s, d)["fact_orders"],
         "null_profile_raw": lambda s, d: reduce(
             DataFrame.unionByName, [QA.null_profile(df, n) for n, df in _raw(s, d).items()]),
@@ -251,7 +252,7 @@ def analyst_queries() -> dict[str, Query]:
         "q_inter_purchase": lambda s, d: A.inter_purchase_days(st(s, d).fact_slim, _last(s, d)),
         "fewshot_overlap_topk": lambda s, d: overlap_top_k(st(s, d).tables.benchmark, st(s, d).tables.documents,
                                                            "item_id", "text", "doc_id", "text", k=2),
-        "audit_recompute": lambda s, d: A.audit_recompute(st(s, d).fact_slim, st(s, d).products, *_full(s, d)),
+        "audit_recompute": lambda s, d: A.audit_recompute(written_once(st(s, d).fact_slim, "fact"), st(s, d).products, *_full(s, d)),
         "audit_pareto_headcount": lambda s, d: A.audit_pareto_headcount(st(s, d).fact_slim, *_full(s, d)),
         "forecast_revenue": lambda s, d: A.forecast_revenue(st(s, d).fact_slim, 14),
         "anomaly_revenue": lambda s, d: A.anomaly_revenue(st(s, d).fact_slim),
@@ -602,10 +603,11 @@ def _sink_replace_broken(s, d):
 
 
 def _load_star(s, d, loads) -> DataFrame:
-    """Rows per table after the star was loaded by each of ``loads`` in turn."""
+    """Rows per table after the star was loaded by each of ``loads`` in turn. The star is built once, for all of them."""
     from .sources import sinks
     from .sources.published import read_published
-    base, star, prefix = _scratch(s, "load-all"), _etl(s, d, surrogate_key=False), _fresh_name("")
+    base, prefix = _scratch(s, "load-all"), _fresh_name("")
+    star = {n: written_once(df, n) for n, df in _etl(s, d, surrogate_key=False).items()}
     for load in loads:
         load(lambda tables, mode: sinks.load_all(tables, base, mode, prefix), star)
     counts = QA.verify_counts({n: read_published(s, prefix + n) for n in star})
@@ -636,7 +638,7 @@ def _load_all_broken(s, d):
 
 def _kpis_stored_segments(s, d):
     """The KPIs of two segments from stored segments: a report before a load, one after it, and the next one of that day."""
-    base, fact = _scratch(s, "segments"), _star(s, d).fact_slim
+    base, fact = _scratch(s, "segments"), written_once(_star(s, d).fact_slim, "fact")
     store = SG.SegmentStore(s, base, _fresh_name(""))
     earlier = fact.filter(F.col("order_date") <= F.lit("1998-12-31").cast("date"))
     R.kpis(earlier, *MID, segments=store.filter(earlier, MID[1], SEGS)).collect()
