@@ -69,8 +69,8 @@ def _apart(text: str) -> str:
 def majority(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """SimHash of each stretch ``words[first:first + count]``: the bits set in over half of its hashes.
 
-    Votes of all stretches (but those of over ``MANY`` words) are counted together, bit by bit of the counts:
-    plane j holds bit j of the 64 counts of every stretch."""
+    Stretches of up to 1, 2, 4 ... words (but those of over ``MANY``) are columns of one matrix, filled up with zeros, and
+    their votes are added in pairs of rows, bit by bit of the counts: plane j holds bit j of the 64 counts of each number."""
     out = np.zeros(len(count), dtype=np.uint64)
     for i in np.flatnonzero(count > MANY).tolist():
         votes = np.zeros(64, dtype=np.int64)
@@ -78,23 +78,28 @@ def majority(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndar
             part = words[at:min(at + (1 << 14), int(first[i] + count[i]))]
             votes += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out[i] = np.packbits(2 * votes > count[i], bitorder="little").view("<u8")[0]
-    order = np.flatnonzero(count <= MANY)
-    order = order[np.argsort(-count[order], kind="stable")]
-    most = int(count[order[0]]) if len(order) else 0
-    first, planes = first[order], np.zeros((most.bit_length(), len(order)), dtype=np.uint64)
-    sizes = -count[order]
-    for r in range(most):
-        active = int(np.searchsorted(sizes, -r))        # stretches of more than r words
-        carry = words[first[:active] + r]
-        for plane in planes[:(r + 1).bit_length()]:
-            plane[:active], carry = plane[:active] ^ carry, plane[:active] & carry
-    over, equal = np.zeros(len(order), dtype=np.uint64), np.full(len(order), ~np.uint64(0))
-    half = count[order] // 2
-    for j in reversed(range(len(planes))):
-        bit = np.where(half >> j & 1, ~np.uint64(0), np.uint64(0))
-        over |= equal & planes[j] & ~bit
-        equal &= ~(planes[j] ^ bit)
-    out[order] = over
+    for k in range(MANY.bit_length()):
+        own = np.flatnonzero((count <= min(1 << k, MANY)) & (count > 1 << k >> 1))
+        if not len(own):
+            continue
+        row = np.arange(1 << k)[:, None]
+        planes = [words.take(first[own] + row, mode="clip")]
+        planes[0][1 << k >> 1:] *= row[1 << k >> 1:] < count[own]
+        while len(planes[0]) > 1:
+            half, carry, added = len(planes[0]) // 2, None, []
+            for plane in planes:
+                a, b = plane[:half], plane[half:]
+                odd, both = a ^ b, a & b
+                added.append(odd if carry is None else odd ^ carry)
+                carry = both if carry is None else both | odd & carry
+            planes = added + [carry]
+        over, equal = np.zeros(len(own), dtype=np.uint64), np.full(len(own), ~np.uint64(0))
+        need = count[own] // 2
+        for j in reversed(range(len(planes))):
+            bit = np.where(need >> j & 1, ~np.uint64(0), np.uint64(0))
+            over |= equal & planes[j][0] & ~bit
+            equal &= ~(planes[j][0] ^ bit)
+        out[own] = over
     return out
 
 
@@ -412,9 +417,8 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     Documents that keep none are not listed."""
     lines = lines_of(docs)
     found = linked_lines(docs, lines)
-    nodes = lines.groupBy("h").agg(F.min(F.struct("id", "th", "line")).alias("at"))
-    named = nodes.join(found, nodes["h"] == found["node"], "left")
-    first = named.groupBy(F.coalesce("component", "h").alias("g")).agg(F.min("at").alias("at"))
+    named = lines.select("h", "id", "th", "line").join(found, lines["h"] == found["node"], "left")
+    first = named.groupBy(F.coalesce("component", "h").alias("g")).agg(F.min(F.struct("id", "th", "line")).alias("at"))
     return first.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list("at.line").alias("kept"))
 
 

@@ -230,3 +230,29 @@ def test_odd_cases(spark):
     assert L.dedup(no_docs(spark)).count() == 0
     gone = L.dedup(docs, drop_emptied=True)
     assert 1 not in [r.doc_id for r in gone.collect()] and gone.count() == docs.count() - 3
+
+
+class _Counted(np.ndarray):
+    """Counts the array operations that it and what is made of it take part in."""
+    steps = 0
+
+    def __array_ufunc__(self, ufunc, method, *inputs, out=None, **kwargs):
+        _Counted.steps += 1
+        plain = [x.view(np.ndarray) if isinstance(x, _Counted) else x for x in inputs]
+        if out is not None:
+            kwargs["out"] = tuple(x.view(np.ndarray) if isinstance(x, _Counted) else x for x in out)
+        made = getattr(ufunc, method)(*plain, **kwargs)
+        return made.view(_Counted) if isinstance(made, np.ndarray) else made
+
+
+def test_votes_take_few_steps_whatever_the_number_of_words():
+    rng = np.random.default_rng(8)
+    count = np.concatenate((np.arange(300), [511, 512, 600]))
+    words = rng.integers(0, 1 << 63, int(count.sum()), dtype=np.uint64) * np.uint64(5)
+    first = np.cumsum(count) - count
+    _Counted.steps = 0
+    got = L.majority(words.view(_Counted), first, count)
+    assert _Counted.steps < 1000        # one word of every stretch after the other: over 2,000
+    for f, n, value in zip(first.tolist(), count.tolist(), got.view(np.ndarray).tolist()):
+        votes = [sum(int(w) >> b & 1 for w in words[f:f + n]) for b in range(64)]
+        assert value == sum(1 << b for b in range(64) if 2 * votes[b] > n)
