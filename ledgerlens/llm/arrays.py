@@ -46,13 +46,13 @@ def range_hash(values: np.ndarray, first: np.ndarray, end: np.ndarray, kind: str
     return mix((total[end] - total[first]) * inverse[first])
 
 
-def groups(texts) -> Iterator[tuple[int, list[str]]]:
-    """Texts of an Arrow column, few at a time: (place of the first, texts); null is empty."""
+def groups(texts, at_once: int = BYTES_AT_ONCE) -> Iterator[tuple[int, list[str]]]:
+    """Texts of an Arrow column, few at a time (``at_once`` characters or one text): (place of the first, texts); null is empty."""
     group, room = [], 0
     for i in range(len(texts)):
         group.append(texts[i].as_py() or "")
         room += len(group[-1])
-        if room >= BYTES_AT_ONCE or i + 1 == len(texts):
+        if room >= at_once or i + 1 == len(texts):
             yield i + 1 - len(group), group
             group, room = [], 0
 

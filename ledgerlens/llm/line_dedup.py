@@ -35,9 +35,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shuffle_partitions
 from .arrays import VALUE, groups, look_up, members_of, mix, range_hash
 from .common import SPACED, cut, renamed, small_batches, stored
 from .components import connected_components, joined_components
@@ -58,12 +60,23 @@ MANY = 256
 FEW, OPEN_PAIRS = 12, 4_000_000
 #: Characters of scripts without blanks (Thai, Lao, Burmese, Khmer, kana, Han) are words each.
 _APART = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
-_KIND = np.array([2 if chr(c).isalnum() or c >= 128 else 1 if c == 10 else 0 for c in range(256)], dtype=np.uint8)
+#: First bytes of characters of three bytes and more, as all of these are.
+_LONG_LEADS = bytes(range(0xe0, 0xf8))
+_KIND = bytes(2 if chr(c).isalnum() or c >= 128 else 1 if c == 10 else 0 for c in range(256))
+#: Characters of text laid out as arrays at once.
+CHARS_AT_ONCE = 1 << 18
+#: Keys that a task brings into order at once, and lines for each part of the table of keys (up to 15 keys each).
+KEYS_AT_ONCE, LINES_A_PART = 1 << 19, 50_000
 _LINES = bytes(10 if c == 10 else SPACED[c] for c in range(256))
 
 
-def _apart(text: str) -> str:
-    return text if text.isascii() else _APART.sub(r" \g<0> ", text)
+def _lower_bytes(text: str) -> bytes:
+    """Lower-case UTF-8 of a text, with blanks around each character that is a word."""
+    text = text.lower()
+    data = text.encode("utf-8", "replace")
+    if data.isascii() or len(data.translate(None, _LONG_LEADS)) == len(data):
+        return data
+    return _APART.sub(r" \g<0> ", text).encode("utf-8", "replace")
 
 
 def majority(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -107,12 +120,14 @@ class Lines:
     """The lines of some texts as arrays: ``doc`` and ``line`` number, ``size`` (words), ``h`` (hash of the words)."""
 
     def __init__(self, texts: list[str]):
-        data = b"".join(_apart(t.lower()).encode("utf-8", "replace") + b"\n" for t in texts)
-        raw = np.frombuffer(data, dtype=np.uint8)
-        kind = _KIND[raw]
-        edge = np.diff((kind == 2).view(np.int8), prepend=np.int8(0), append=np.int8(0))
-        self.first, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.word = range_hash(VALUE[raw], self.first, self.end, "byte")
+        data = b"".join(_lower_bytes(t) + b"\n" for t in texts)
+        kind = np.frombuffer(data.translate(_KIND), dtype=np.uint8)
+        within = kind == 2
+        edge = np.flatnonzero(within[1:] != within[:-1]) + 1      # begin and end of each word; a break is last
+        if within[:1].any():
+            edge = np.concatenate(([0], edge))
+        self.first, self.end = edge[::2].copy(), edge[1::2].copy()
+        self.word = range_hash(VALUE[np.frombuffer(data, dtype=np.uint8)], self.first, self.end, "byte")
         breaks = np.flatnonzero(kind == 1)
         upto = np.searchsorted(self.first, breaks)
         self.start = np.concatenate(([0], upto[:-1])) if len(upto) else upto     # first word of each line
@@ -201,7 +216,7 @@ def _batches(emit: Callable[[Lines], dict], names: list[str], take: list[str]):
     ``take`` of the document ``doc`` that a row is of."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, texts in groups(batch.column("text")):
+            for base, texts in groups(batch.column("text"), CHARS_AT_ONCE):
                 rows = emit(Lines(texts))
                 of = [batch.column(c).take(pa.array(base + rows["doc"], pa.int64())) for c in take]
                 yield pa.RecordBatch.from_arrays(of + [pa.array(rows[n]) if isinstance(rows[n], np.ndarray) else rows[n] for n in names], names=take + names)
@@ -210,7 +225,7 @@ def _batches(emit: Callable[[Lines], dict], names: list[str], take: list[str]):
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """``id``, ``th``, ``text`` to one row per line with words (a written table): ``id``, ``th``, ``line`` (from 0), its hash ``h``,
-    ``size`` (words), ``sim`` (SimHash of the line), ``odd`` and the ``keys`` of its blocks. Of equal lines that
+    ``size`` (words), ``sim`` (SimHash of the line), ``odd`` and the ``keys`` of its blocks (8 bytes each). Of equal lines that
     a task sees together only one has keys."""
     def emit(t: Lines) -> dict:
         some = np.flatnonzero(t.size >= MIN_WORDS)
@@ -218,7 +233,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
         key, at, *_ = t.blocks(lines)
         order = np.argsort(at, kind="stable")
         ends = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(lines))), [len(at)]))      # and one line without keys
-        keys = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(key[order].view(np.int64)))
+        keys = _runs(key[order], ends)
         place = np.full(len(t.size), len(lines))
         place[lines] = np.arange(len(lines))
         place = place[some]
@@ -228,13 +243,66 @@ def lines_of(docs: DataFrame) -> DataFrame:
     names = ["line", "h", "size", "sim", "odd", "keys"]
     id_type = docs.schema["id"].dataType.simpleString()
     return stored(docs.select("id", "th", "text").mapInArrow(
-        _batches(emit, names, ["id", "th"]), f"id {id_type}, th long, line int, h long, size int, sim long, odd long, keys array<long>"), "lines")
+        _batches(emit, names, ["id", "th"]), f"id {id_type}, th long, line int, h long, size int, sim long, odd long, keys binary"), "lines")
+
+
+def _runs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary column of the rows of ``values`` (8 bytes a number) from each of ``ends`` to the next."""
+    offsets = (ends * (values.strides[0])).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a binary column, row after row, and how many each row has."""
+    return (np.frombuffer(b"".join(column.to_pylist()), dtype=np.int64),
+            pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 8)
+
+
+def _extremes(key: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order (as unsigned numbers), and the smallest and largest ``h`` of each."""
+    order = np.argsort(key.view(np.uint64))
+    key, h = key[order], h[order]
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+    if not len(begin):
+        return key, h, h
+    return key[begin], np.minimum.reduceat(h, begin), np.maximum.reduceat(h, begin)
 
 
 def shared_keys(lines: DataFrame) -> DataFrame:
-    """``key``: those of two different lines or more."""
-    rows = lines.select(F.explode("keys").alias("key"), "h")
-    return cut(rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("key"))
+    """``key``: those of two different lines or more. Keys and lines are shuffled in runs of numbers, one for each part of
+    the table, of which a task sends two lines at most under one key."""
+    # several parts for each shuffle partition, so that they spread evenly
+    parts = max(4 * shuffle_partitions(lines.sparkSession), lines.count() // LINES_A_PART + 1)
+
+    def run_of(key: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        key, low, high = _extremes(key, h)
+        sent = 1 + (low != high)
+        rows = np.stack((np.repeat(key, sent), np.repeat(low, sent)), axis=1)
+        rows[np.cumsum(sent) - 1, 1] = high
+        part = ((rows[:, 0].view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        return pa.RecordBatch.from_arrays([pa.array(part[begin].astype(np.int32)), _runs(rows, np.append(begin, len(rows)))], names=["part", "run"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, hs, room = [], [], 0
+        for batch in batches:
+            key, count = _numbers(batch.column("keys"))
+            keys.append(key)
+            hs.append(np.repeat(batch.column("h").to_numpy(zero_copy_only=False), count))
+            room += len(key)
+            if room >= KEYS_AT_ONCE:
+                yield run_of(np.concatenate(keys), np.concatenate(hs))
+                keys, hs, room = [], [], 0
+        if room:
+            yield run_of(np.concatenate(keys), np.concatenate(hs))
+
+    def shared(part: pa.Table) -> pa.Table:
+        rows = _numbers(part.column("run").combine_chunks())[0].reshape(-1, 2)
+        key, low, high = _extremes(np.ascontiguousarray(rows[:, 0]), rows[:, 1])
+        return pa.table({"key": key[low != high]})
+
+    runs = lines.select("h", "keys").mapInArrow(deal, "part int, run binary")
+    return cut(runs.groupBy("part").applyInArrow(shared, "key long"))
 
 
 #: What is known of a line under a key.
@@ -249,9 +317,8 @@ def members_under(lines: DataFrame, keys: DataFrame) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has = look_up(member)
         for batch in batches:
-            lists = batch.column("keys")
-            key = lists.flatten().to_numpy(zero_copy_only=False)
-            line = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            key, count = _numbers(batch.column("keys"))
+            line = np.repeat(np.arange(len(batch)), count)
             hit = has(key.view(np.uint64))
             at = pa.array(line[hit])
             yield pa.RecordBatch.from_arrays([pa.array(key[hit]), *[batch.column(c).take(at) for c in MEMBER]], names=["key", *MEMBER])
@@ -339,12 +406,17 @@ def similarity(a: bytes, b: bytes, least: float = MIN_SIMILARITY) -> float:
     longest = max(len(x), len(y))
     if longest == 0:
         return 1.0
-    limit = int(most_edits(longest, least))
+    limit = int((1 - least) * longest + 1e-9)
     if abs(len(x) - len(y)) > limit:
         return 0.0
-    if longest - sum((Counter(x) & Counter(y)).values()) > limit:    # so many words have no partner at all
-        return 0.0
+    begin = _along(x, y, 0, 0)      # what both begin and end with is no part of the distance
+    end = _along(x[:begin - 1 if begin else None:-1], y[:begin - 1 if begin else None:-1], 0, 0)
+    x, y = x[begin:len(x) - end], y[begin:len(y) - end]
     n, m = len(x), len(y)
+    if len(set(y).difference(x)) > limit - max(0, n - m) or len(set(x).difference(y)) > limit - max(0, m - n):
+        return 0.0      # so many words have no partner at all
+    if limit > MANY and max(n, m) - sum((Counter(x) & Counter(y)).values()) > limit:
+        return 0.0
     reach = {0: _along(x, y, 0, 0)}
     edits = 0
     while reach.get(m - n, -1) < n:
@@ -417,7 +489,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     Documents that keep none are not listed."""
     lines = lines_of(docs)
     found = linked_lines(docs, lines)
-    named = lines.select("h", "id", "th", "line").join(found, lines["h"] == found["node"], "left")
+    named = lines.select("h", "id", "th", "line").join(found.hint("shuffle_hash"), lines["h"] == found["node"], "left")
     first = named.groupBy(F.coalesce("component", "h").alias("g")).agg(F.min(F.struct("id", "th", "line")).alias("at"))
     return first.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list("at.line").alias("kept"))
 
@@ -448,7 +520,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_
     rest = [c for c in docs.columns if c not in (text_col, "lines_removed")]
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col(text_col).alias("text"), F.col(id_col).alias("id"),
                       F.xxhash64(F.col(text_col)).alias("th"))
-    held = own.join(kept, F.col("id").eqNullSafe(F.col("key")) & (F.col("th") == F.col("key_th")), "left")
+    held = own.join(kept.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("key")) & (F.col("th") == F.col("key_th")), "left")
 
     @F.pandas_udf("text string, removed int, words boolean")
     def cut_lines(texts: pd.Series, keeps: pd.Series) -> pd.DataFrame:

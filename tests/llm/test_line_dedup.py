@@ -256,3 +256,23 @@ def test_votes_take_few_steps_whatever_the_number_of_words():
     for f, n, value in zip(first.tolist(), count.tolist(), got.view(np.ndarray).tolist()):
         votes = [sum(int(w) >> b & 1 for w in words[f:f + n]) for b in range(64)]
         assert value == sum(1 << b for b in range(64) if 2 * votes[b] > n)
+
+
+def test_keys_travel_in_few_rows_and_none_is_lost(spark, monkeypatch):
+    """The keys of two different lines or more, as by grouping them; a task sends rows of many keys, and two lines at most of one."""
+    monkeypatch.setattr(L, "KEYS_AT_ONCE", 500)
+    monkeypatch.setattr(L, "LINES_A_PART", 50)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "text").withColumn("th", F.xxhash64("text"))
+    lines = L.lines_of(docs)
+    rows = [(h, k) for r in lines.select("h", "keys").collect() for h in [r.h] for k in np.frombuffer(r["keys"], dtype=np.int64).tolist()]
+    of = {}
+    for h, k in rows:
+        of.setdefault(k, set()).add(h)
+    keys = L.shared_keys(lines)
+    got = [r.key for r in keys.collect()]
+    assert len(got) == len(set(got)) and set(got) == {k for k, hs in of.items() if len(hs) > 1} and len(got) > 10
+    under = {(r.key, r.h) for r in L.members_under(lines, keys).collect() if r.key in set(got)}
+    assert under == {(k, h) for k in got for h in of[k]}
+    key, low, high = L._extremes(np.array([5, -1, 5, 5], dtype=np.int64), np.array([2, 7, -3, 1], dtype=np.int64))
+    assert (key.tolist(), low.tolist(), high.tolist()) == ([5, -1], [-3, 7], [2, 7])
+    assert L.shared_keys(lines.limit(0)).count() == 0

@@ -125,3 +125,13 @@ def test_more_edges_join_components(spark):
     want = {r.node: r.component for r in connected_components(df(edges + more)).collect()}
     assert {r.node: r.component for r in joined_components(found, df(more)).collect()} == want
     assert joined_components(found, df(more).limit(0)).collect() == found.collect()
+
+
+def test_components_end_with_the_round_that_leaves_stars(spark, monkeypatch):
+    from ledgerlens.llm import components
+    rounds, plain = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda e: rounds.append(1) or plain(e))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40, 2)] + [(100, 101), (100, 102), (101, 102)], "u long, v long")
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    assert got == {i + 1: i for i in range(0, 40, 2)} | {101: 100, 102: 100}
+    assert len(rounds) == 1
