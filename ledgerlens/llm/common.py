@@ -1,12 +1,10 @@
 """Helpers shared by the operators of this package."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written_once
 
 #: A word in the sense of most operators here: a run of anything but space and \t \n \v \f \r.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -48,11 +46,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the session's shared checkpoint folder: like ``cut`` for what
-    is read more than once by few of its columns, and smaller."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    is read more than once by few of its columns, smaller, and without the shuffles that made it."""
+    return written_once(df, name)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

@@ -19,7 +19,8 @@ windows of different ``GRAM`` are never equal.
    begins or ends). Of each such chain the first place alone is opened into its
    windows, which are edges on their own: counted, first places found, and joined back.
 
-Shuffled are hashes and places; the texts once, when the spans are cut out.
+Shuffled are hashes and places; the texts that have spans once, when these are cut out. Each step is written
+as a table, and its shuffles go.
 """
 from __future__ import annotations
 
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import VALUE, groups, look_up, members_of, range_hash
-from .common import cut, join_on, renamed, small_batches
+from .common import join_on, renamed, small_batches, stored
 
 WINDOW = 20
 GRAM = 6
@@ -114,7 +115,7 @@ def shared_grams(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         gram, n = np.unique(t.gram, return_counts=True)
         return None, {"gram": gram, "n": n}
     counted = _scan(docs, emit, {"gram": "long", "n": "int"}, window, own=False)
-    return cut(counted.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram"))
+    return stored(counted.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram"), "grams")
 
 
 def chains_of(docs: DataFrame, grams: DataFrame, window: int = WINDOW, around: bool = True) -> DataFrame:
@@ -149,7 +150,7 @@ def distinct_chains(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = chains_of(docs, shared_grams(docs, window), window).groupBy("gram", "sig").agg(
         F.min(F.struct("id", "start", "th")).alias("at"), F.max("n").alias("n"), F.count("*").alias("times"),
         only("before").alias("before"), only("after").alias("after"))
-    return cut(found)
+    return stored(found, "chains")
 
 
 def paths_of(chains: DataFrame) -> DataFrame:
@@ -173,7 +174,7 @@ def paths_of(chains: DataFrame) -> DataFrame:
 
 def repeated_paths(docs: DataFrame, chains: DataFrame, window: int = WINDOW) -> DataFrame:
     """``id``, ``th``, ``start``, ``windows``, ``check`` of every place of a path but its first."""
-    paths = cut(paths_of(chains))
+    paths = stored(paths_of(chains), "paths")
     heads = chains_of(docs, paths.select("gram").distinct(), window, around=False)
     return (heads.join(paths, ["gram", "sig"])
             .filter(~(F.col("id").eqNullSafe(F.col("at.id")) & (F.col("start") == F.col("at.start"))))
@@ -221,12 +222,12 @@ def _open_windows(docs: DataFrame, opened: DataFrame, window: int, wanted: DataF
 def repeated_windows(docs: DataFrame, chains: DataFrame, window: int = WINDOW) -> DataFrame:
     """``id``, ``th``, ``start``, ``windows`` (1) of the windows at first places of chains that stand earlier in
     another chain of the same gram."""
-    several = cut(chains.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram"))
-    opened = cut(chains.join(several, "gram", "left_semi").select(
-        F.col("at.id").alias("id"), F.col("at.th").alias("th"), F.col("at.start").alias("start"), _place(F.col("at.th"), F.col("at.start")).alias("place")))
+    several = stored(chains.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram"), "several")
+    opened = stored(chains.join(several, "gram", "left_semi").select(
+        F.col("at.id").alias("id"), F.col("at.th").alias("th"), F.col("at.start").alias("start"), _place(F.col("at.th"), F.col("at.start")).alias("place")), "opened")
     place = F.struct("id", "start")
-    first = cut(_open_windows(docs, opened, window).groupBy("gram", "sig").agg(F.min(place).alias("at"), F.max(place).alias("last"))
-                .filter(~F.col("at").eqNullSafe(F.col("last"))).drop("last"))
+    first = stored(_open_windows(docs, opened, window).groupBy("gram", "sig").agg(F.min(place).alias("at"), F.max(place).alias("last"))
+                   .filter(~F.col("at").eqNullSafe(F.col("last"))).drop("last"), "windows")
     return (_open_windows(docs, opened, window, first).join(first, ["gram", "sig"])
             .filter(~(F.col("id").eqNullSafe(F.col("at.id")) & (F.col("start") == F.col("at.start"))))
             .select("id", "th", "start", F.lit(1).alias("windows"), F.lit(0).cast("long").alias("check")))
@@ -280,12 +281,27 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     goes: of a window at the same word of two such rows neither is earlier, so
     repeated rows stay alike. An empty table gives an empty result; all other columns
     pass through, whatever they are called."""
-    spans = repeated_spans(docs, id_col, text_col, window).groupBy("id", "th").agg(F.collect_list(F.struct("start", "windows", "check")).alias("s")).select(
-        F.col("id").alias("key"), F.col("th").alias("key_th"), F.col("s.start").alias("starts"), F.col("s.windows").alias("windows"), F.col("s.check").alias("checks"))
+    spans = stored(repeated_spans(docs, id_col, text_col, window).groupBy("id", "th").agg(F.collect_list(F.struct("start", "windows", "check")).alias("s")).select(
+        F.col("id").alias("key"), F.col("th").alias("key_th"), F.col("s.start").alias("starts"), F.col("s.windows").alias("windows"), F.col("s.check").alias("checks")), "spans")
     rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed")]
     own = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col(text_col).alias("text"), F.col(id_col).alias("id"),
                                      F.xxhash64(F.col(text_col)).alias("th"))
-    held = own.join(spans, F.col("id").eqNullSafe(F.col("key")) & (F.col("th") == F.col("key_th")), "left")
+    member = members_of(spans, "key_th")
+
+    @F.pandas_udf("boolean")
+    def may_have(th: pd.Series) -> pd.Series:
+        found = np.zeros(len(th), dtype=bool)
+        found[look_up(member)(th.to_numpy().view(np.uint64))] = True
+        return pd.Series(found)
+
+    on = F.col("id").eqNullSafe(F.col("key")) & (F.col("th") == F.col("key_th"))
+    if member:      # texts without a span stay where they are
+        marked = own.withColumn("may", may_have("th"))
+        held = marked.filter("may").join(spans, on, "left")
+        none = [F.lit(None).cast(spans.schema[c].dataType).alias(c) for c in ("starts", "windows", "checks")]
+        held = held.select("rest", "text", "starts", "windows", "checks").union(marked.filter("not may").select("rest", "text", *none))
+    else:
+        held = own.join(spans, on, "left")
 
     @F.pandas_udf("text string, n_words long, n_removed long")
     def cut_out(texts: pd.Series, starts: pd.Series, windows: pd.Series, checks: pd.Series) -> pd.DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens import session
+from ledgerlens.llm import substring
 from ledgerlens.models import recommend as REC
 
 
@@ -61,3 +62,18 @@ def test_recommendations_keep_the_last_state_only(spark, purchases, monkeypatch)
     bought = {(r.user_idx, r.item_idx) for r in purchases.collect()}
     rows = found.collect()
     assert len(rows) == 60 and all(len(r["items"]) == 5 and not {(r.user_idx, i) for i in r["items"]} & bought for r in rows)
+
+
+def test_texts_without_a_repeated_span_are_not_shuffled(spark):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(600)) for _ in range(400)]
+    texts[7] = texts[3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).persist()
+    docs.count()
+    before = shuffle_files(spark)
+    rows = substring.dedup(docs).collect()
+    size = sum(n for f, n in shuffle_files(spark).items() if f not in before)
+    assert [(r.doc_id, r.n_removed) for r in rows if r.n_removed] == [(7, 600)] and len(rows) == 400
+    assert all(r.text == texts[r.doc_id] for r in rows if r.doc_id != 7)
+    assert size < sum(map(len, texts)) / 10
+    docs.unpersist()
