@@ -48,7 +48,7 @@ def test_a_fit_keeps_the_files_of_few_rounds(spark, purchases, monkeypatch):
         if len(left) <= 10:
             break
         time.sleep(0.5)
-    assert len(left) <= 10      # of 30 and more
+    assert len(left) <= 10      # all that the fit made are 20 and more
     assert model.userFactors.count() == 60
 
 
